@@ -98,6 +98,7 @@ def with_neighbor(
     values: dict[str, str],
     direction="next",
     *,
+    profile=None,
     pieces=SALTS,
     share=HOT_SHARE,
     min_rows=HOT_MIN_ROWS,
@@ -105,7 +106,8 @@ def with_neighbor(
     """Add values of the next or previous row of the same key.
 
     `order` is a list of columns, the first a timestamp without zone; `values`
-    maps new column -> column of the neighbour. The history of a hot key is
+    maps new column -> column of the neighbour; `profile` is the DataFrame to
+    look for hot keys in when `df` is costly to compute twice. The history of a hot key is
     cut at time quantiles, each piece is its own window group, and the rows at
     the cuts take their neighbour from a table of one row per piece, at most
     (1/share) x pieces rows.
@@ -114,7 +116,7 @@ def with_neighbor(
         raise ValueError(f"no direction {direction}")
     keys, order = list(keys), list(order)
     step = F.lead if direction == "next" else F.lag
-    hot = hot_hashes(df, keys, share, min_rows)
+    hot = hot_hashes(df if profile is None else profile, keys, share, min_rows)
     if not hot:
         window = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumns({new: step(old).over(window) for new, old in values.items()})

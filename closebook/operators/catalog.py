@@ -196,3 +196,8 @@ def cast_profile(raw: DataFrame, columns: list[tuple[str, str, int | None]]) ->
             )
         )
     return raw.agg(*sums).select(F.inline(F.array(*rows)))
+
+
+def sample_rows(table: DataFrame, key, n: int = 10) -> DataFrame:
+    """The first `n` rows by key, the same ones on every run."""
+    return table.orderBy(*key).limit(n)

@@ -59,9 +59,9 @@ def posted_line_totals(headers: DataFrame, lines: DataFrame) -> DataFrame:
     )
 
 
-def period_totals(headers: DataFrame, lines: DataFrame) -> DataFrame:
+def period_totals(headers: DataFrame, lines: DataFrame, totals: DataFrame | None = None):
     """Net of all posted lines per ledger, period and currency."""
-    totals = posted_line_totals(headers, lines)
+    totals = posted_line_totals(headers, lines) if totals is None else totals
     return totals.groupBy("ledger_id", "period_name", "currency_code").agg(
         F.sum("total_dr").alias("total_dr"),
         F.sum("total_cr").alias("total_cr"),
@@ -70,13 +70,14 @@ def period_totals(headers: DataFrame, lines: DataFrame) -> DataFrame:
     )
 
 
-def balance_proof(balances: DataFrame, headers: DataFrame, lines: DataFrame) -> DataFrame:
+def balance_proof(balances, headers, lines, totals: DataFrame | None = None) -> DataFrame:
     """Begin plus posted net against the reported end, per balance row.
 
     Proved means a difference below 0.01 (a reconciliation check allows 0.01 itself).
     """
     keys = ["ledger_id", "code_combination_id", "currency_code", "period_name"]
-    totals = posted_line_totals(headers, lines).select(
+    totals = posted_line_totals(headers, lines) if totals is None else totals
+    totals = totals.select(
         *keys, (F.col("total_dr") - F.col("total_cr")).alias("net")
     )
     money = "decimal(38,2)"
@@ -96,10 +97,11 @@ def balance_proof(balances: DataFrame, headers: DataFrame, lines: DataFrame) ->
 
 def period_close(headers, lines, balances) -> DataFrame:
     """Close state per ledger and period: are debits and credits equal, do balances prove."""
-    totals = period_totals(headers, lines).groupBy("ledger_id", "period_name").agg(
+    posted = posted_line_totals(headers, lines)
+    totals = period_totals(headers, lines, posted).groupBy("ledger_id", "period_name").agg(
         F.sum("net").alias("discrepancy_amount"), F.sum("line_count").alias("line_count")
     )
-    proof = balance_proof(balances, headers, lines).groupBy("ledger_id", "period_name").agg(
+    proof = balance_proof(balances, headers, lines, posted).groupBy("ledger_id", "period_name").agg(
         F.count("*").alias("accounts"), F.count_if(~F.col("proved")).alias("accounts_not_proved")
     )
     none = F.lit(0)

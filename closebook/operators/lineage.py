@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from closebook.functions.skew import hot_hashes, salted_join, with_neighbor
-from closebook.session import checkpoint_dir
+from closebook.session import scratch_path
 
 EDGE_SCHEMA = "source string, target string, transformation string"
 
@@ -19,33 +19,30 @@ def document_lineage(spark, path: str, edges: list[tuple[str, str, str]]) -> Non
 def lineage_graph(edges: DataFrame, asset: str, direction="upstream", max_depth=100) -> DataFrame:
     """Assets an asset is made from (upstream) or feeds (downstream), with their distance.
 
-    Goes level by level; each level is cut from its lineage by a checkpoint in
-    the shared folder, assets already found are not followed again, so cycles
-    end. More than `max_depth` levels is an error, not a shorter result.
+    Goes level by level. Each level is written to the shared folder and read
+    back, which cuts its lineage; assets already found are not followed again,
+    so cycles end. More than `max_depth` levels is an error, not a shorter
+    result.
     """
     if direction not in ("upstream", "downstream"):
         raise ValueError(f"no direction {direction}")
     near, far = ("target", "source") if direction == "upstream" else ("source", "target")
-    spark = edges.sparkSession
-    checkpoint_dir(spark)
+    spark, path = edges.sparkSession, scratch_path(edges.sparkSession, "lineage")
     steps = edges.select(F.col(near).alias("asset"), F.col(far).alias("next"))
     hot = hot_hashes(steps, ["asset"])
-    start = spark.createDataFrame([(asset, 0)], "asset string, depth int")
-    found, frontier = start, start
+
+    def level(rows, depth):
+        rows.write.parquet(f"{path}/depth={depth}")
+        return spark.read.schema("asset string").parquet(f"{path}/depth={depth}")
+
+    frontier = level(spark.createDataFrame([(asset,)], "asset string"), 0)
     for depth in range(1, max_depth + 2):
-        reached = (
-            salted_join(steps, frontier.select("asset"), "asset", "left_semi", hot=hot)
-            .select(F.col("next").alias("asset"))
-            .distinct()
-        )
-        frontier = (
-            reached.join(found.select("asset"), "asset", "left_anti")
-            .withColumn("depth", F.lit(depth))
-            .checkpoint()
-        )
+        found = spark.read.schema("asset string, depth int").parquet(path)
+        reached = salted_join(steps, frontier, "asset", "left_semi", hot=hot)
+        new = reached.select(F.col("next").alias("asset")).distinct()
+        frontier = level(new.join(found.select("asset"), "asset", "left_anti"), depth)
         if frontier.isEmpty():
             return found.where("depth > 0")
-        found = found.unionByName(frontier)
     raise ValueError(f"{asset} has lineage deeper than {max_depth} levels")
 
 

@@ -8,7 +8,7 @@ from closebook.functions.scalars import model_name
 from closebook.operators import catalog, codeaudit, compliance, lineage
 from closebook.plans.checks import REPORT_SQL, report
 from closebook.plans.extracts import RAW_INVOICES, raw_invoices
-from closebook.plans.registry import moment, query
+from closebook.plans.registry import moment, money, query
 from closebook.streaming import cdc
 
 # ---- Catalog ----
@@ -154,6 +154,14 @@ def cast_profile(t):
     return catalog.cast_profile(raw_invoices(t["fx_ap_invoices"]), columns)
 
 
+@query("q_table_sample", """
+SELECT invoice_id, invoice_num, vendor_id, CAST(invoice_amount AS DOUBLE) AS invoice_amount FROM fx_ap_invoices ORDER BY invoice_id LIMIT 10""")
+def table_sample(t):
+    return catalog.sample_rows(t["fx_ap_invoices"], ["invoice_id"]).select(
+        "invoice_id", "invoice_num", "vendor_id", money("invoice_amount").alias("invoice_amount")
+    )
+
+
 # ---- Personal data ----
 
 

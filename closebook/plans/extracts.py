@@ -78,7 +78,9 @@ SELECT b.ledger_id, b.code_combination_id, b.period_name, b.currency_code,
 FROM fx_gl_balances b JOIN fx_gl_code_combinations c ON b.code_combination_id = c.code_combination_id
 WHERE b.actual_flag = 'A' AND b.currency_code <> 'STAT'""")
 def gl_balances(t):
-    rows = extract.gl_balances(t["fx_gl_balances"], t["fx_gl_code_combinations"])
+    rows = extract.gl_balances(
+        t["fx_gl_balances"], t["fx_gl_code_combinations"], profile=t["fx_gl_je_lines"]
+    )
     return rows.select(
         "ledger_id", "code_combination_id", "period_name", "currency_code",
         money("begin_balance_net").alias("begin_net"), money("period_net").alias("period_net"),

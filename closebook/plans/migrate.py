@@ -19,35 +19,53 @@ RESULT_SCHEMA = (
 )
 
 
+# What a lake table is partitioned by, so that a run replaces its own scope only.
+PARTITIONS = {
+    "GL_JE_HEADERS": ["ledger_id", "period_name"],
+    "GL_JE_LINES": ["ledger_id", "period_name"],
+    "GL_BALANCES": ["ledger_id", "period_name"],
+    "AP_INVOICES_ALL": ["org_id"],
+    "AP_INVOICE_LINES_ALL": ["org_id"],
+}
+
+
 def extract_module(module, sources, period=None, ledger_id=None, org_id=None) -> dict:
     """Source table -> extract, for every table of the module that is in `sources`."""
     s = sources
     if module == "GL":
-        out = {
+        return {
             "GL_JE_HEADERS": extract.posted_headers(s["GL_JE_HEADERS"], period, ledger_id),
             "GL_JE_LINES": extract.journal_lines(
                 s["GL_JE_LINES"], s["GL_CODE_COMBINATIONS"], s["GL_JE_HEADERS"], period, ledger_id
             ),
             "GL_BALANCES": extract.gl_balances(
-                s["GL_BALANCES"], s["GL_CODE_COMBINATIONS"], period, ledger_id
+                s["GL_BALANCES"], s["GL_CODE_COMBINATIONS"], period, ledger_id,
+                profile=s["GL_JE_LINES"],
             ),
             "GL_CODE_COMBINATIONS": s["GL_CODE_COMBINATIONS"],
         }
-    elif module == "AP":
-        out = {
+    if module == "AP":
+        return {
             "AP_INVOICES_ALL": extract.ap_invoices(s["AP_INVOICES_ALL"], org_id),
-            "AP_INVOICE_LINES_ALL": extract.ap_invoice_lines(
+            "AP_INVOICE_LINES_ALL": extract.ap_invoice_lines_with_org(
                 s["AP_INVOICE_LINES_ALL"], s["AP_INVOICES_ALL"], org_id
             ),
             "AP_SUPPLIERS": s["AP_SUPPLIERS"],
         }
-    elif module == "HCM":
+    if module == "HCM":
         out = {"PER_ALL_PEOPLE_F": extract.current_employees(s["PER_ALL_PEOPLE_F"])}
         if "PAY_PAYROLL_ACTIONS" in s:
             out["PAY_PAYROLL_ACTIONS"] = s["PAY_PAYROLL_ACTIONS"]
-    else:
-        out = {}
-    return out
+        return out
+    return {}
+
+
+def in_scope(rows: DataFrame, partitions, period=None, ledger_id=None, org_id=None) -> DataFrame:
+    """Rows of a lake table that a run of this scope wrote; prunes partitions."""
+    for column, value in (("period_name", period), ("ledger_id", ledger_id), ("org_id", org_id)):
+        if column in partitions and value is not None:
+            rows = rows.where(F.col(column) == value)
+    return rows
 
 
 def migrate(
@@ -66,9 +84,10 @@ def migrate(
 ) -> DataFrame:
     """Run a module's migration and return its result row.
 
-    `period_name` "all" takes every period. A dry run writes no table and
-    reconciles what would have been written. The first error ends the run;
-    events up to it are in the run log under `lake`.
+    `period_name` "all" takes every period; ledgers and organizations are all
+    taken when not given. A dry run writes no table and reconciles what would
+    have been written. The first error ends the run; events up to it are in the
+    run log under `lake`.
     """
     module, run_id = module.upper(), run_id or uuid.uuid4().hex[:8]
     period = None if period_name == "all" else period_name
@@ -87,7 +106,7 @@ def migrate(
     try:
         extracts = extract_module(module, sources, period, ledger_id, org_id)
         # Reading the schema resolves every column, so a bad source fails here.
-        bronze = {table_map[name]: _bronze(df, module, period_name) for name, df in extracts.items()}
+        bronze = {table_map[name]: df for name, df in extracts.items()}
         steps.append("extract")
         event("ExtractionComplete", tables=list(extracts))
 
@@ -97,11 +116,12 @@ def migrate(
             steps.append("load_bronze (dry_run)")
         else:
             target = {}
-            for name, df in bronze.items():
-                path = f"{lake}/bronze/{name}"
-                files.load_table(df, path, ("load_module", "load_period"))
-                target[name] = files.read_table(spark, path).where(
-                    (F.col("load_module") == module) & (F.col("load_period") == period_name)
+            whole = period is None and ledger_id is None and org_id is None
+            for source, df in extracts.items():
+                path, parts = f"{lake}/bronze/{table_map[source]}", PARTITIONS.get(source, [])
+                files.load_table(df, path, parts, whole)
+                target[table_map[source]] = in_scope(
+                    files.read_table(spark, path, df), parts, period, ledger_id, org_id
                 )
             edges = [(f"oracle.{n}", f"bronze.{table_map[n]}", "load_bronze") for n in extracts]
             if edges:
@@ -159,10 +179,6 @@ def migrate(
     )
 
 
-def _bronze(df: DataFrame, module: str, period: str) -> DataFrame:
-    return df.withColumns({"load_module": F.lit(module), "load_period": F.lit(period)})
-
-
 def _log(spark, lake, run_id, events) -> None:
     """Write the events of one run; the same run again replaces its own."""
     names = [c.split(" ", 1)[0] for c in lineage.RUN_EVENT_SCHEMA.split(", ")]

@@ -71,19 +71,21 @@ def journal_headers(headers, batches, period=None, ledger_id=None) -> DataFrame:
     return salted_join(posted, batches, "je_batch_id", profile=headers)
 
 
-def lines_with_account(lines: DataFrame, accounts: DataFrame) -> DataFrame:
+def lines_with_account(lines: DataFrame, accounts: DataFrame, profile=None) -> DataFrame:
     """Journal or balance rows with the segments of their account."""
     dims = accounts.select(
         "code_combination_id", *SEGMENTS, join_segments(*SEGMENTS).alias("concatenated_segments")
     )
-    return salted_join(lines, dims, "code_combination_id")
+    return salted_join(lines, dims, "code_combination_id", profile=profile)
 
 
 def journal_lines(lines, accounts, headers, period=None, ledger_id=None) -> DataFrame:
-    """Lines of the posted headers, with account segments."""
-    ids = posted_headers(headers, period, ledger_id).select("je_header_id")
-    wanted = salted_join(lines, ids, "je_header_id", "left_semi")
-    return lines_with_account(wanted, accounts)
+    """Lines of the posted headers, with account segments, ledger and period."""
+    scope = posted_headers(headers, period, ledger_id).select(
+        "je_header_id", "ledger_id", "period_name"
+    )
+    wanted = salted_join(lines, scope.dropDuplicates(["je_header_id"]), "je_header_id")
+    return lines_with_account(wanted, accounts, profile=lines)
 
 
 def journals_with_line_totals(
@@ -188,8 +190,11 @@ def resolve_journal_lines(raw: DataFrame) -> DataFrame:
     )
 
 
-def gl_balances(balances, accounts, period=None, ledger_id=None) -> DataFrame:
-    """Actual balances outside the statistical currency, with net begin and end."""
+def gl_balances(balances, accounts, period=None, ledger_id=None, profile=None) -> DataFrame:
+    """Actual balances outside the statistical currency, with net begin and end.
+
+    `profile` is a cheaper table with the same hot accounts, such as the lines.
+    """
     rows = balances.where((F.col("actual_flag") == "A") & (F.col("currency_code") != "STAT"))
     if period is not None:
         rows = rows.where(F.col("period_name") == period)
@@ -204,7 +209,7 @@ def gl_balances(balances, accounts, period=None, ledger_id=None) -> DataFrame:
     with_net = rows.withColumns(
         {"begin_balance_net": begin, "period_net": net, "end_balance_net": begin + net}
     )
-    return lines_with_account(with_net, accounts)
+    return lines_with_account(with_net, accounts, profile)
 
 
 # ---- Payables ----
@@ -223,6 +228,12 @@ def ap_invoice_lines(lines: DataFrame, invoices: DataFrame, org_id: int | None =
     return salted_join(lines, ids, "invoice_id", "left_semi")
 
 
+def ap_invoice_lines_with_org(lines, invoices, org_id=None) -> DataFrame:
+    """The same lines with the organization of their header."""
+    orgs = ap_invoices(invoices, org_id).select("invoice_id", "org_id")
+    return salted_join(lines, orgs.dropDuplicates(["invoice_id"]), "invoice_id")
+
+
 def invoices_with_line_totals(invoices, lines, org_id=None) -> DataFrame:
     """One row per invoice with totals of its lines; invoices without lines stay."""
     totals = lines.groupBy("invoice_id").agg(

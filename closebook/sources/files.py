@@ -33,19 +33,23 @@ def split_export(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, bad
 
 
-def load_table(df: DataFrame, path: str, partition_by=("module", "period_name")) -> None:
-    """Write rows to a lake table, replacing only the partitions they fall in.
+def load_table(df: DataFrame, path: str, partition_by=(), whole=False) -> None:
+    """Write rows to a lake table; a run that is repeated leaves the same rows.
 
-    A run that is repeated leaves the same rows. The rebalance hint lets AQE
-    split a partition value that holds most of the rows into even files.
+    With `partition_by`, only the partitions the rows fall in are replaced,
+    unless `whole` says the rows are the whole table. The rebalance hint then
+    gathers the rows of a partition value and lets AQE split a value that holds
+    most of them into even files. Without it rows are written where they are.
     """
-    parts = [c for c in partition_by if c in df.columns]
-    writer = df.hint("rebalance", *parts) if parts else df.hint("rebalance")
-    out = writer.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    parts = list(partition_by)
+    rows = df.hint("rebalance", *parts) if parts else df
+    mode = "static" if whole or not parts else "dynamic"
+    out = rows.write.mode("overwrite").option("partitionOverwriteMode", mode)
     if parts:
         out = out.partitionBy(*parts)
     out.parquet(path)
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_table(spark: SparkSession, path: str, like: DataFrame | None = None) -> DataFrame:
+    """A lake table, with the columns of `like` when given instead of looking for them."""
+    return (spark.read.schema(like.schema) if like is not None else spark.read).parquet(path)

@@ -54,7 +54,7 @@ def history(events: DataFrame, keys=KEYS, order=ORDER, values=("value",)) -> Dat
         .agg(F.max_by(payload, F.struct(*order[1:])).alias("row"))
         .select(*keys, at, "row.*")
     )
-    closed = with_neighbor(versions, keys, [at], {"next_time": at})
+    closed = with_neighbor(versions, keys, [at], {"next_time": at}, profile=events)
     end = F.lit(END_OF_TIME).cast("timestamp_ntz")
     return closed.where(F.col("operation") != "DELETE").select(
         *keys, *values,
