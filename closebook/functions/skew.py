@@ -107,10 +107,11 @@ def with_neighbor(
 
     `order` is a list of columns, the first a timestamp without zone; `values`
     maps new column -> column of the neighbour; `profile` is the DataFrame to
-    look for hot keys in when `df` is costly to compute twice. The history of a hot key is
-    cut at time quantiles, each piece is its own window group, and the rows at
-    the cuts take their neighbour from a table of one row per piece, at most
-    (1/share) x pieces rows.
+    look for hot keys in when `df` is costly to compute twice.
+
+    The history of a hot key is cut at time quantiles, each piece is its own
+    window group, and the rows at the cuts take their neighbour from a table of
+    one row per piece, at most (1/share) x pieces rows.
     """
     if direction not in ("next", "previous"):
         raise ValueError(f"no direction {direction}")

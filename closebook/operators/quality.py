@@ -46,8 +46,9 @@ def violates(rule: Rule, df: DataFrame) -> Column:
     if rule.rule_type == "all_not_null":
         return reduce(Column.__or__, [_column(df, c)[0].isNull() for c in rule.columns])
     if rule.rule_type == "range":
-        raw, _ = _column(df, rule.column_name)
-        value = to_amount(raw)
+        raw, data_type = _column(df, rule.column_name)
+        numeric = isinstance(data_type, (T.NumericType, T.StringType))
+        value = to_amount(raw if numeric else raw.cast("string"))
         bad = value.isNull()
         if rule.min_value is not None:
             bad = bad | (value < F.lit(rule.min_value).cast(AMOUNT))
