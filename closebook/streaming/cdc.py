@@ -152,17 +152,18 @@ def trigger_for(mode: str, interval="900 seconds") -> dict:
 
 
 def start_volume(changes, path, checkpoint, *, lateness="1 hour", width="900 seconds",
-                 mode="incremental"):
+                 mode="incremental", interval="900 seconds"):
     """Stream of finished volume windows; events later than the watermark are dropped."""
     counted = volume(changes.withWatermark("event_time", lateness), width)
     return (
         counted.writeStream.outputMode("append").format("parquet")
         .option("path", path).option("checkpointLocation", checkpoint)
-        .trigger(**trigger_for(mode)).start()
+        .trigger(**trigger_for(mode, interval)).start()
     )
 
 
-def start_state(changes, path, checkpoint, *, keys=KEYS, order=ORDER, mode="incremental"):
+def start_state(changes, path, checkpoint, *, keys=KEYS, order=ORDER, mode="incremental",
+                interval="900 seconds"):
     """Stream that keeps the newest event per key in a table of deltas.
 
     Each micro-batch writes its newest events to its own partition and
@@ -178,7 +179,7 @@ def start_state(changes, path, checkpoint, *, keys=KEYS, order=ORDER, mode="incr
 
     return (
         changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-        .trigger(**trigger_for(mode)).start()
+        .trigger(**trigger_for(mode, interval)).start()
     )
 
 

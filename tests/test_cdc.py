@@ -185,7 +185,9 @@ def test_stream_volume_is_batch_volume_up_to_the_watermark(spark, slices, tmp_pa
 def test_continuous_stream_can_be_paused(spark, tmp_path):
     inbox, out, check = (str(tmp_path / n) for n in ("in", "state", "check"))
     feed(events(spark, [(1, 1, "INSERT", 0, 1.0)]), inbox, 0)
-    query = cdc.start_state(cdc.read_changes(spark, inbox), out, check, mode="continuous")
+    query = cdc.start_state(
+        cdc.read_changes(spark, inbox), out, check, mode="continuous", interval="1 second"
+    )
     try:
         query.processAllAvailable()
     finally:
