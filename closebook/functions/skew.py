@@ -18,13 +18,15 @@ def _key_hash(keys) -> Column:
     return F.xxhash64(*[F.col(k) for k in keys])
 
 
-def hot_hashes(df: DataFrame, keys, share=HOT_SHARE, min_rows=HOT_MIN_ROWS) -> list[int]:
+def hot_hashes(df: DataFrame, keys, share=None, min_rows=None) -> list[int]:
     """Hashes of the keys that hold at least `share` of the rows.
 
     One pass over the key columns with a mergeable sketch; the list has at
     most 1/share entries. It only decides how rows are spread, never which
     rows a result has.
     """
+    share = HOT_SHARE if share is None else share
+    min_rows = HOT_MIN_ROWS if min_rows is None else min_rows
     top = int(1 / share) + 1
     row = (
         df.select(_key_hash(keys).alias(_HASH))
@@ -48,8 +50,8 @@ def salted_join(
     profile=None,
     salts=SALTS,
     salt_by=None,
-    share=HOT_SHARE,
-    min_rows=HOT_MIN_ROWS,
+    share=None,
+    min_rows=None,
 ) -> DataFrame:
     """Equi join (inner, left, left_semi, left_anti) of a skewed `fact` with `dim`.
 
@@ -100,8 +102,8 @@ def with_neighbor(
     *,
     profile=None,
     pieces=SALTS,
-    share=HOT_SHARE,
-    min_rows=HOT_MIN_ROWS,
+    share=None,
+    min_rows=None,
 ) -> DataFrame:
     """Add values of the next or previous row of the same key.
 

@@ -202,7 +202,8 @@ def bronze_flatten(t):
         t["fx_ap_invoice_lines"], "invoice_id", "line_number",
         ["amount", "description", "dist_code_combination_id"],
     )
-    return layers.flatten(extract.resolve_invoices(t["fx_ap_invoices"], pages))
+    invoices = extract.resolve_invoices(t["fx_ap_invoices"], pages, t["fx_ap_invoice_lines"])
+    return layers.flatten(invoices)
 
 
 RAW_INVOICES = [

@@ -251,10 +251,11 @@ def invoices_with_line_totals(invoices, lines, org_id=None) -> DataFrame:
     )
 
 
-def resolve_invoices(raw: DataFrame, pages: DataFrame) -> DataFrame:
+def resolve_invoices(raw: DataFrame, pages: DataFrame, profile=None) -> DataFrame:
     """Raw headers and their line pages to invoices, one row per page of lines.
 
-    An invoice without lines gets one row with an empty list.
+    An invoice without lines gets one row with an empty list. `profile` is the
+    table the pages were made of.
     """
     def money(c):
         return F.struct(
@@ -274,7 +275,12 @@ def resolve_invoices(raw: DataFrame, pages: DataFrame) -> DataFrame:
             x["dist_code_combination_id"].alias("dist_code_combination_id"),
         ),
     )
-    joined = ap_invoices(raw).join(pages.select("invoice_id", "page", "lines"), "invoice_id", "left")
+    headers, pages = ap_invoices(raw), pages.select("invoice_id", "page", "lines")
+    with_lines = salted_join(
+        pages, headers, "invoice_id", profile=profile, salt_by=["invoice_id", "page"]
+    )
+    without = headers.join(pages.select("invoice_id").distinct(), "invoice_id", "left_anti")
+    joined = with_lines.unionByName(without, allowMissingColumns=True)
     return joined.select(
         "invoice_id", "invoice_num", "vendor_id", "invoice_date", "gl_date",
         money("invoice_amount"), money("amount_paid"), "invoice_currency_code",

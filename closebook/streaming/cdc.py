@@ -8,6 +8,9 @@ cannot bring a key back.
 
 from __future__ import annotations
 
+import hashlib
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -167,15 +170,20 @@ def start_state(changes, path, checkpoint, *, keys=KEYS, order=ORDER, mode="incr
     """Stream that keeps the newest event per key in a table of deltas.
 
     Each micro-batch writes its newest events to its own partition and
-    replaces it when the batch is run again, so the work is that of the batch,
-    not of the table. `read_state` merges on read and `compact_state` folds
-    deltas into a base.
+    replaces it when the batch is run again, then logs itself as done; the work
+    is that of the batch, not of the table. `read_state` merges on read and
+    `compact_state` folds deltas into a base. Batch numbers belong to a
+    checkpoint: with a new one the changes are read from the start, which
+    gives the same state again.
     """
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
     def write(batch: DataFrame, batch_id: int) -> None:
         latest_per_key(batch, keys, order).write.mode("overwrite").parquet(
-            f"{path}/delta/batch_id={batch_id}"
+            f"{path}/delta/stream={stream}/batch_id={batch_id}"
         )
+        done = batch.sparkSession.createDataFrame([(stream, batch_id)], _DONE)
+        done.coalesce(1).write.mode("append").parquet(f"{path}/done")
 
     return (
         changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
@@ -183,54 +191,69 @@ def start_state(changes, path, checkpoint, *, keys=KEYS, order=ORDER, mode="incr
     )
 
 
-def _folded(spark: SparkSession, path: str) -> int:
-    """Last batch folded into the base, -1 for none."""
-    if not _exists(spark, f"{path}/folded"):
-        return -1
-    last = spark.read.schema("upto bigint").parquet(f"{path}/folded").agg(F.max("upto")).first()[0]
-    return -1 if last is None else last
+_DONE = "stream string, batch_id bigint"
+_FOLDED = "version bigint, stream string, batch_id bigint"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _log(spark: SparkSession, path: str, schema: str):
+    """A small log table, None before its first row."""
     try:
-        spark.read.format("binaryFile").load(path).limit(0).collect()
-        return True
-    except Exception as e:  # the path-not-found error has no class of its own here
-        if "PATH_NOT_FOUND" in str(e):
-            return False
-        raise
-
-
-def _merged(spark, path, keys, order) -> DataFrame:
-    upto = _folded(spark, path)
-    deltas = spark.read.parquet(f"{path}/delta").where(F.col("batch_id") > upto).drop("batch_id")
-    if upto >= 0:
-        deltas = deltas.unionByName(spark.read.parquet(f"{path}/base/upto={upto}"))
-    return latest_per_key(deltas, keys, order)
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def _folded(spark: SparkSession, path: str) -> tuple[int, dict[str, int]]:
+    """Version of the base, and the last batch of each stream in it; 0 without a base."""
+    log = _log(spark, f"{path}/folded", _FOLDED)
+    if log is None:
+        return 0, {}
+    version = log.agg(F.max("version")).first()[0]
+    return version, {r["stream"]: r["batch_id"] for r in log.where(F.col("version") == version).collect()}
+
+
+def _done(spark: SparkSession, path: str) -> dict[str, int]:
+    """Last finished batch of each stream; one row per checkpoint ever used."""
+    log = _log(spark, f"{path}/done", _DONE)
+    if log is None:
+        return {}
+    return dict(log.groupBy("stream").agg(F.max("batch_id")).collect())
+
+
+def _merged(spark, path, keys, order, done, version, folded) -> DataFrame:
+    """Newest event per key of the base and of finished deltas that are not in it."""
+    wanted = F.lit(False)
+    for stream, last in done.items():
+        wanted = wanted | (
+            (F.col("stream") == stream) & (F.col("batch_id") > folded.get(stream, -1))
+            & (F.col("batch_id") <= last)
+        )
+    events = spark.read.parquet(f"{path}/delta").where(wanted).drop("stream", "batch_id")
+    if version:
+        events = events.unionByName(spark.read.parquet(f"{path}/base/version={version}"))
+    return latest_per_key(events, keys, order)
 
 
 def read_state(spark: SparkSession, path: str, keys=KEYS, order=ORDER) -> DataFrame:
     """Current rows from base and deltas, deleted keys left out."""
-    return _merged(spark, path, keys, order).where(F.col("operation") != "DELETE")
+    state = _merged(spark, path, keys, order, _done(spark, path), *_folded(spark, path))
+    return state.where(F.col("operation") != "DELETE")
 
 
 def compact_state(spark: SparkSession, path: str, keys=KEYS, order=ORDER) -> int:
-    """Fold all deltas into a new base, tombstones kept; returns the last batch folded.
+    """Fold all finished deltas into a new base, tombstones kept; returns its version.
 
-    The base is written whole before its number is logged, so a reader sees
-    either the old base or the new one.
+    The base is written whole before it is logged, so a reader sees either the
+    old base or the new one.
     """
-    last = spark.read.parquet(f"{path}/delta").agg(F.max("batch_id")).first()[0]
-    upto = _folded(spark, path)
-    if last is None or last <= upto:
-        return upto
-    deltas = spark.read.parquet(f"{path}/delta").where(
-        (F.col("batch_id") > upto) & (F.col("batch_id") <= last)
-    ).drop("batch_id")
-    if upto >= 0:
-        deltas = deltas.unionByName(spark.read.parquet(f"{path}/base/upto={upto}"))
-    latest_per_key(deltas, keys, order).write.mode("overwrite").parquet(f"{path}/base/upto={last}")
-    spark.createDataFrame([(last,)], "upto bigint").coalesce(1).write.mode("append").parquet(
-        f"{path}/folded"
-    )
-    return last
+    done, (version, folded) = _done(spark, path), _folded(spark, path)
+    if all(last <= folded.get(stream, -1) for stream, last in done.items()):
+        return version
+    base = _merged(spark, path, keys, order, done, version, folded)
+    base.write.mode("overwrite").parquet(f"{path}/base/version={version + 1}")
+    spark.createDataFrame([(version + 1, s, n) for s, n in done.items()], _FOLDED).coalesce(
+        1
+    ).write.mode("append").parquet(f"{path}/folded")
+    return version + 1

@@ -137,7 +137,7 @@ def test_stream_state_is_batch_state(spark, slices, tmp_path):
             assert cdc.compact_state(spark, out) == 1
             assert cdc.compact_state(spark, out) == 1
             assert comparable(cdc.read_state(spark, out)) == got
-    assert cdc.compact_state(spark, out) == 3
+    assert cdc.compact_state(spark, out) == 2
     assert comparable(cdc.read_state(spark, out)) == comparable(cdc.current_state(every))
 
 
@@ -151,13 +151,31 @@ def test_late_update_does_not_bring_a_key_back(spark, tmp_path):
     assert cdc.read_state(spark, out).count() == 0
 
 
-def test_batch_run_again_is_replaced(spark, tmp_path):
+def test_new_checkpoint_gives_the_same_state(spark, tmp_path):
     inbox, out = str(tmp_path / "in"), str(tmp_path / "state")
+    feed(events(spark, [(1, 1, "INSERT", 0, 1.0), (2, 2, "INSERT", 0, 2.0)]), inbox, 0)
+    finish(cdc.start_state(cdc.read_changes(spark, inbox), out, str(tmp_path / "check0")))
+    cdc.compact_state(spark, out)
+    feed(events(spark, [(3, 2, "DELETE", 5, 0.0), (4, 3, "INSERT", 5, 3.0)]), inbox, 1)
+    # Batch numbers start again at 0, below what was folded.
+    finish(cdc.start_state(cdc.read_changes(spark, inbox), out, str(tmp_path / "check1")))
+    assert state(cdc.read_state(spark, out)) == {1: 1.0, 3: 3.0}
+    cdc.compact_state(spark, out)
+    assert state(cdc.read_state(spark, out)) == {1: 1.0, 3: 3.0}
+
+
+def test_unfinished_batch_is_not_read(spark, tmp_path):
+    inbox, out, check = (str(tmp_path / n) for n in ("in", "state", "check"))
     feed(events(spark, [(1, 1, "INSERT", 0, 1.0)]), inbox, 0)
-    for run in range(2):  # a lost checkpoint repeats batch 0
-        finish(cdc.start_state(cdc.read_changes(spark, inbox), out, str(tmp_path / f"check{run}")))
-    assert spark.read.parquet(f"{out}/delta").count() == 1
+    finish(cdc.start_state(cdc.read_changes(spark, inbox), out, check))
+    delta = next((tmp_path / "state" / "delta").iterdir())
+    half = events(spark, [(2, 2, "INSERT", 0, 2.0)])
+    half.write.parquet(str(delta / "batch_id=1"))
     assert state(cdc.read_state(spark, out)) == {1: 1.0}
+    # The batch runs again and is replaced.
+    feed(events(spark, [(3, 3, "INSERT", 0, 3.0)]), inbox, 1)
+    finish(cdc.start_state(cdc.read_changes(spark, inbox), out, check))
+    assert state(cdc.read_state(spark, out)) == {1: 1.0, 3: 3.0}
 
 
 def test_stream_volume_is_batch_volume_up_to_the_watermark(spark, slices, tmp_path):
