@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # A key is hot when it has at least this share of the rows and this many rows.
 HOT_SHARE = 0.005
@@ -12,6 +13,7 @@ HOT_MIN_ROWS = 100_000
 SALTS = 64
 
 _HASH, _SALT, _SLICE = "__key_hash", "__salt", "__slice"
+_LOWEST = -(2**63)
 
 
 def _key_hash(keys) -> Column:
@@ -93,6 +95,38 @@ def _micros(column: str) -> Column:
     )
 
 
+def _piece(df: DataFrame, keys, order, hot: list[int], pieces: int) -> Column:
+    """Number of the piece of a hot key's history a row is in, 0 for other keys."""
+    at = _micros(order[0])
+    parts = [i / pieces for i in range(1, pieces)]
+    tied = len(order) > 1 and isinstance(df.schema[order[1]].dataType, T.IntegralType)
+    second = F.col(order[1]).cast("bigint") if tied else F.lit(0).cast("bigint")
+    timed = df.select(_key_hash(keys).alias(_HASH), at.alias("at"), second.alias("id")).where(
+        F.col(_HASH).isin(hot)
+    )
+    # At most `pieces` numbers for each of the 1/share hot keys.
+    times = timed.groupBy(_HASH).agg(F.percentile_approx("at", parts, 10_000).alias("cuts")).collect()
+    cuts = {r[_HASH]: {(t, _LOWEST) for t in r["cuts"]} for r in times}
+    full = {t for r in times for t in r["cuts"] if r["cuts"].count(t) > 1}
+    if tied and full:
+        # An instant is a cut more than once when its rows fill whole pieces.
+        ids = F.percentile_approx("id", parts, 10_000).alias("cuts")
+        for r in timed.where(F.col("at").isin(list(full))).groupBy(_HASH, "at").agg(ids).collect():
+            if (r["at"], _LOWEST) in cuts[r[_HASH]]:
+                cuts[r[_HASH]] |= {(r["at"], i) for i in r["cuts"]}
+    out, here = F.lit(0), F.struct(at.alias("at"), second.alias("id"))
+    for key_hash, points in cuts.items():
+        passed = F.array(
+            *[
+                F.struct(F.lit(t).cast("bigint").alias("at"), F.lit(i).cast("bigint").alias("id"))
+                for t, i in sorted(points)
+            ]
+        )
+        inside = F.size(F.filter(passed, lambda p: p <= here))
+        out = F.when(_key_hash(keys) == F.lit(key_hash), inside).otherwise(out)
+    return out
+
+
 def with_neighbor(
     df: DataFrame,
     keys,
@@ -100,6 +134,7 @@ def with_neighbor(
     values: dict[str, str],
     direction="next",
     *,
+    hot=None,
     profile=None,
     pieces=SALTS,
     share=None,
@@ -108,40 +143,27 @@ def with_neighbor(
     """Add values of the next or previous row of the same key.
 
     `order` is a list of columns, the first a timestamp without zone; `values`
-    maps new column -> column of the neighbour; `profile` is the DataFrame to
-    look for hot keys in when `df` is costly to compute twice.
-
-    The history of a hot key is cut at time quantiles, each piece is its own
-    window group, and the rows at the cuts take their neighbour from a table of
-    one row per piece, at most (1/share) x pieces rows.
+    maps new column -> column of the neighbour. `hot` takes a known result of
+    hot_hashes; `profile` is the DataFrame to look for hot keys in when `df` is
+    costly to compute twice.
+
+    The history of a hot key is cut at time quantiles, and an instant that
+    fills whole pieces at quantiles of the second order column when that is a
+    whole number. Each piece is its own window group, and the rows at the cuts
+    take their neighbour from a table of one row per piece. A hot key has at
+    most `pieces` squared of them, so that table is bounded and broadcast.
     """
     if direction not in ("next", "previous"):
         raise ValueError(f"no direction {direction}")
     keys, order = list(keys), list(order)
     step = F.lead if direction == "next" else F.lag
-    hot = hot_hashes(df if profile is None else profile, keys, share, min_rows)
+    if hot is None:
+        hot = hot_hashes(df if profile is None else profile, keys, share, min_rows)
     if not hot:
         window = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumns({new: step(old).over(window) for new, old in values.items()})
 
-    cut_points = [i / pieces for i in range(1, pieces)]
-    cuts = {
-        r[_HASH]: sorted(set(r["cuts"]))
-        for r in df.select(_key_hash(keys).alias(_HASH), _micros(order[0]).alias("at"))
-        .where(F.col(_HASH).isin(hot))
-        .groupBy(_HASH)
-        .agg(F.percentile_approx("at", cut_points, 10_000).alias("cuts"))
-        .collect()
-    }
-    piece = F.lit(0)
-    at = _micros(order[0])
-    for key_hash, points in cuts.items():
-        passed = F.array(*[F.lit(p).cast("bigint") for p in points])
-        piece = F.when(
-            _key_hash(keys) == F.lit(key_hash),
-            F.size(F.filter(passed, lambda p: p <= at)),
-        ).otherwise(piece)
-    rows = df.withColumn(_SLICE, piece)
+    rows = df.withColumn(_SLICE, _piece(df, keys, order, hot, pieces))
     window = Window.partitionBy(*keys, _SLICE).orderBy(*order)
     inner = rows.withColumns(
         {

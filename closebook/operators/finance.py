@@ -38,24 +38,19 @@ def aging(invoices: DataFrame, as_of: str, by=("invoice_currency_code",)) -> Dat
 
 
 def posted_line_totals(headers: DataFrame, lines: DataFrame) -> DataFrame:
-    """Debit and credit per ledger, period, account and currency of posted journals.
-
-    Lines are added up per journal and account before they meet the headers,
-    so a journal with very many lines reaches the join as few rows.
-    """
+    """Debit and credit per ledger, period, account and currency of posted journals."""
     posted = headers.where(
         F.col("status").isin(POSTED_STATUSES) & F.col("period_name").isNotNull()
     ).select("je_header_id", "ledger_id", "period_name")
-    per_journal = lines.groupBy("je_header_id", "code_combination_id", "currency_code").agg(
-        F.sum("accounted_dr").alias("dr"), F.sum("accounted_cr").alias("cr"),
-        F.count("*").alias("line_count"),
+    wanted = lines.select(
+        "je_header_id", "code_combination_id", "currency_code", "accounted_dr", "accounted_cr"
     )
-    joined = salted_join(per_journal, posted, "je_header_id", profile=lines)
-    zero = F.lit(0).cast(per_journal.schema["dr"].dataType)
+    joined = salted_join(wanted, posted, "je_header_id")
+    zero = F.lit(0).cast(lines.schema["accounted_dr"].dataType)
     return joined.groupBy("ledger_id", "period_name", "code_combination_id", "currency_code").agg(
-        F.coalesce(F.sum("dr"), zero).alias("total_dr"),
-        F.coalesce(F.sum("cr"), zero).alias("total_cr"),
-        F.sum("line_count").alias("line_count"),
+        F.coalesce(F.sum("accounted_dr"), zero).alias("total_dr"),
+        F.coalesce(F.sum("accounted_cr"), zero).alias("total_cr"),
+        F.count("*").alias("line_count"),
     )
 
 
@@ -95,9 +90,13 @@ def balance_proof(balances, headers, lines, totals: DataFrame | None = None) ->
     )
 
 
-def period_close(headers, lines, balances) -> DataFrame:
-    """Close state per ledger and period: are debits and credits equal, do balances prove."""
-    posted = posted_line_totals(headers, lines)
+def period_close(headers, lines, balances, totals: DataFrame | None = None) -> DataFrame:
+    """Close state per ledger and period: are debits and credits equal, do balances prove.
+
+    Totals are used twice; `totals` takes those of posted_line_totals from a
+    table they were written to.
+    """
+    posted = posted_line_totals(headers, lines) if totals is None else totals
     totals = period_totals(headers, lines, posted).groupBy("ledger_id", "period_name").agg(
         F.sum("net").alias("discrepancy_amount"), F.sum("line_count").alias("line_count")
     )

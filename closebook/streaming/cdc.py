@@ -51,15 +51,11 @@ def history(events: DataFrame, keys=KEYS, order=ORDER, values=("value",)) -> Dat
     the sentinel date.
     """
     at = order[0]
-    payload = F.struct("operation", *values)
-    versions = (
-        events.groupBy(*keys, at)
-        .agg(F.max_by(payload, F.struct(*order[1:])).alias("row"))
-        .select(*keys, at, "row.*")
-    )
-    closed = with_neighbor(versions, keys, [at], {"next_time": at}, profile=events)
+    rows = events.select(*keys, *order, "operation", *values)
+    followed = with_neighbor(rows, keys, order, {"next_time": at}, profile=events)
+    last_of_instant = F.col("next_time").isNull() | (F.col("next_time") > F.col(at))
     end = F.lit(END_OF_TIME).cast("timestamp_ntz")
-    return closed.where(F.col("operation") != "DELETE").select(
+    return followed.where(last_of_instant & (F.col("operation") != "DELETE")).select(
         *keys, *values,
         F.col(at).alias("valid_from"),
         F.coalesce("next_time", end).alias("valid_to"),

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from closebook.functions import skew
 from closebook.functions.skew import hot_hashes, salted_join, with_neighbor
 from tests.util import rows
 
@@ -70,8 +71,6 @@ def test_copies_of_one_row_are_spread(spark):
     dim = spark.range(1, 2).select(F.col("id").alias("k"))
     joined = salted_join(copies, dim, "k", share=0.05, min_rows=1, salts=64)
     assert joined.count() == 800
-    from closebook.functions import skew
-
     salt = F.pmod(F.xxhash64("k", "v") + F.spark_partition_id(), F.lit(skew.SALTS))
     assert copies.select(salt.alias("s")).distinct().count() == 8
 
@@ -109,3 +108,24 @@ def test_neighbor_is_the_window(events, direction, pieces):
     assert rows(got) == rows(plain)
     unsplit = with_neighbor(events, ["k"], ["at", "id"], {"at2": "at", "id2": "id"}, direction)
     assert rows(unsplit) == rows(plain)
+
+
+def test_one_instant_of_a_hot_key_is_cut_by_id(spark):
+    """Two thirds of the rows have one key, most of them one time."""
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    df = spark.range(0, 3000, 1, 5).select(
+        F.when(F.col("id") % 3 != 0, "hot").otherwise((F.col("id") % 50).cast("string")).alias("k"),
+        F.when(F.col("id") % 10 != 1, start)
+        .otherwise(F.timestamp_add("SECOND", F.col("id").cast("int") - 1500, start)).alias("at"),
+        F.col("id"),
+    )
+    window = Window.partitionBy("k").orderBy("at", "id")
+    for direction, step in (("next", F.lead), ("previous", F.lag)):
+        got = with_neighbor(df, ["k"], ["at", "id"], {"id2": "id"}, direction,
+                            pieces=16, share=0.05, min_rows=1)
+        assert rows(got) == rows(df.withColumn("id2", step("id").over(window)))
+    hot = skew.hot_hashes(df, ["k"], 0.05, 1)
+    piece = skew._piece(df, ["k"], ["at", "id"], hot, 16)
+    sizes = df.where("k = 'hot'").groupBy(piece.alias("p")).count()
+    assert sizes.agg(F.max("count")).first()[0] < 400
+    assert sizes.count() > 16
