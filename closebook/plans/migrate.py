@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -115,22 +116,25 @@ def migrate(
             target = bronze
             steps.append("load_bronze (dry_run)")
         else:
-            target = {}
             whole = period is None and ledger_id is None and org_id is None
-            for source, df in extracts.items():
+
+            def load(source):
                 path, parts = f"{lake}/bronze/{table_map[source]}", PARTITIONS.get(source, [])
-                files.load_table(df, path, parts, whole)
-                target[table_map[source]] = in_scope(
-                    files.read_table(spark, path, df), parts, period, ledger_id, org_id
-                )
+                files.load_table(extracts[source], path, parts, whole)
+                table = files.read_table(spark, path, extracts[source])
+                table = in_scope(table, parts, period, ledger_id, org_id)
+                # Counting a Parquet table reads its footers only.
+                return table_map[source], table, table.count()
+
+            # The tables are jobs of their own: small ones fill the gaps of large ones.
+            with ThreadPoolExecutor(max(1, len(extracts))) as pool:
+                loaded = list(pool.map(load, extracts))
+            target = {name: table for name, table, _ in loaded}
+            result["rows_loaded"] = sum(n for *_, n in loaded)
             edges = [(f"oracle.{n}", f"bronze.{table_map[n]}", "load_bronze") for n in extracts]
             if edges:
                 lineage.document_lineage(spark, f"{lake}/lineage", edges)
             steps.append("load_bronze")
-
-        # Counting a Parquet table reads its footers only.
-        result["rows_loaded"] = 0 if dry_run else sum(df.count() for df in target.values())
-        if not dry_run:
             event("LoadComplete", layer="bronze", rows=result["rows_loaded"])
 
         stage = "Reconciliation"
