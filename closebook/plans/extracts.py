@@ -32,7 +32,7 @@ def gl_journals(t):
 
 
 @query("q_gl_journal_pages", """
-SELECT je_header_id, CAST((je_line_num - 1) // 3 AS INTEGER) AS page, CAST(sum(copies) AS BIGINT) AS line_count,
+SELECT je_header_id, CAST((je_line_num - 1) // 1000 AS INTEGER) AS page, CAST(0 AS INTEGER) AS part, CAST(sum(copies) AS BIGINT) AS line_count,
        CAST(count(*) AS INTEGER) AS entries,
        string_agg(CAST(je_line_num AS VARCHAR) || ':' || CAST(code_combination_id AS VARCHAR) || 'x' || CAST(copies AS VARCHAR), ','
                   ORDER BY je_line_num, code_combination_id) AS line_text
@@ -40,7 +40,7 @@ FROM (SELECT je_header_id, je_line_num, code_combination_id, count(*) AS copies
 GROUP BY 1, 2""")
 def gl_journal_pages(t):
     pages = extract.line_pages(
-        t["fx_gl_je_lines"], "je_header_id", "je_line_num", ["code_combination_id"], page_size=3
+        t["fx_gl_je_lines"], "je_header_id", "je_line_num", ["code_combination_id"]
     )
     text = F.transform(
         "lines",
@@ -50,7 +50,7 @@ def gl_journal_pages(t):
         ),
     )
     return pages.select(
-        "je_header_id", "page", "line_count", F.size("lines").alias("entries"),
+        "je_header_id", "page", "part", "line_count", F.size("lines").alias("entries"),
         F.array_join(text, ",").alias("line_text"),
     )
 
@@ -192,7 +192,7 @@ SELECT i.invoice_id, i.invoice_num, i.vendor_id, strftime(i.invoice_date, '%Y-%m
        CAST(i.amount_paid AS DOUBLE) AS amount_paid, i.invoice_currency_code AS amount_paid_currency,
        i.invoice_currency_code, i.payment_status_flag,
        '{"org_id":' || CAST(i.org_id AS VARCHAR) || ',"set_of_books_id":' || CAST(i.set_of_books_id AS VARCHAR) || '}' AS context,
-       CAST(COALESCE(p.page, 0) AS INTEGER) AS page, CAST(COALESCE(p.n, 0) AS INTEGER) AS lines_count
+       CAST(COALESCE(p.page, 0) AS INTEGER) AS page, CAST(0 AS INTEGER) AS part, CAST(COALESCE(p.n, 0) AS INTEGER) AS lines_count
 FROM fx_ap_invoices i
 LEFT JOIN (SELECT invoice_id, (line_number - 1) // 1000 AS page,
                   count(DISTINCT (line_number, amount, description, dist_code_combination_id)) AS n

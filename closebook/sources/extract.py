@@ -275,11 +275,12 @@ def resolve_invoices(raw: DataFrame, pages: DataFrame, profile=None) -> DataFram
             x["dist_code_combination_id"].alias("dist_code_combination_id"),
         ),
     )
-    headers, pages = ap_invoices(raw), pages.select("invoice_id", "page", "lines")
+    headers, pages = ap_invoices(raw), pages.select("invoice_id", "page", "part", "lines")
     with_lines = salted_join(
-        pages, headers, "invoice_id", profile=profile, salt_by=["invoice_id", "page"]
+        pages, headers, "invoice_id", profile=profile, salt_by=["invoice_id", "page", "part"]
     )
-    without = headers.join(pages.select("invoice_id").distinct(), "invoice_id", "left_anti")
+    have_lines = (pages if profile is None else profile).select("invoice_id").distinct()
+    without = headers.join(have_lines, "invoice_id", "left_anti")
     joined = with_lines.unionByName(without, allowMissingColumns=True)
     return joined.select(
         "invoice_id", "invoice_num", "vendor_id", "invoice_date", "gl_date",
@@ -290,6 +291,7 @@ def resolve_invoices(raw: DataFrame, pages: DataFrame, profile=None) -> DataFram
             F.col("set_of_books_id").cast("bigint").alias("set_of_books_id"),
         ).alias("context"),
         F.coalesce("page", F.lit(0)).alias("page"),
+        F.coalesce("part", F.lit(0)).alias("part"),
         F.coalesce(lines, F.array()).alias("lines"),
     )
 
@@ -300,15 +302,23 @@ def line_pages(
     """Lines nested under their header in pages of `page_size` line numbers.
 
     Equal copies are counted first and kept as one entry with its number of
-    copies, so neither a long document nor a flood of copies makes one row or
-    one task large.
+    copies. A page that still has more entries, as line numbers repeat, is
+    split by hash into parts of about `page_size`. So neither a long document
+    nor a flood of copies or of one number makes a row or a task large.
     """
     entry = [number, *[f for f in fields if f != number]]
-    distinct = lines.groupBy(key, *entry).agg(F.count("*").alias("copies"))
     page = F.call_function("div", F.col(number) - 1, F.lit(page_size)).cast("int")
+    paged = lines.withColumn("page", page)
+    distinct = paged.groupBy(key, "page", *entry).agg(F.count("*").alias("copies"))
+    overfull = (
+        distinct.groupBy(key, "page").agg(F.count("*").alias("n")).where(F.col("n") > page_size)
+        .select(key, "page", F.ceil(F.col("n") / page_size).alias("parts"))
+    )
+    split = salted_join(distinct, overfull, [key, "page"], "left", profile=paged, salt_by=entry)
+    part = F.pmod(F.xxhash64(*entry), F.coalesce("parts", F.lit(1))).cast("int")
     return (
-        distinct.withColumn("page", page)
-        .groupBy(key, "page")
+        split.withColumn("part", part)
+        .groupBy(key, "page", "part")
         .agg(
             F.sort_array(F.collect_list(F.struct(*entry, "copies"))).alias("lines"),
             F.sum("copies").alias("line_count"),
