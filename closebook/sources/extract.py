@@ -302,7 +302,7 @@ def line_pages(
     """Lines nested under their header in pages of `page_size` line numbers.
 
     Equal copies are counted first and kept as one entry with its number of
-    copies. A page that still has more entries, as line numbers repeat, is
+    copies. A page of more than twice `page_size` lines, as numbers repeat, is
     split by hash into parts of about `page_size`. So neither a long document
     nor a flood of copies or of one number makes a row or a task large.
     """
@@ -311,7 +311,8 @@ def line_pages(
     paged = lines.withColumn("page", page)
     distinct = paged.groupBy(key, "page", *entry).agg(F.count("*").alias("copies"))
     overfull = (
-        distinct.groupBy(key, "page").agg(F.count("*").alias("n")).where(F.col("n") > page_size)
+        paged.groupBy(key, "page").agg(F.count("*").alias("n"))
+        .where(F.col("n") > 2 * page_size)
         .select(key, "page", F.ceil(F.col("n") / page_size).alias("parts"))
     )
     split = salted_join(distinct, overfull, [key, "page"], "left", profile=paged, salt_by=entry)
