@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from closebook.plans.registry import ORACLES, QUERIES
 from tests.oracle import compare, connect
 
 
@@ -11,15 +12,17 @@ def duck(folder):
     return connect(folder)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, folder, duck, name):
-    rows, problems = compare(entry.queries()[name](spark, folder), duck, entry.oracle_sql()[name])
+    rows, problems = compare(QUERIES[name](spark, folder), duck, ORACLES[name])
     assert not problems
     assert rows >= 0
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry(spark):
