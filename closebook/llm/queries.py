@@ -1,4 +1,15 @@
 """All registered queries of this subpackage."""
 
-from closebook.llm import fingerprints  # noqa: F401
+from closebook.llm import (  # noqa: F401
+    decontaminate,
+    fingerprints,
+    linededup,
+    minhash,
+    packing,
+    pages,
+    quality,
+    secrets,
+    suffixdedup,
+    toxicity,
+)
 from closebook.llm.common import ORACLES, QUERIES  # noqa: F401
