@@ -12,7 +12,8 @@ The corpus is cut so that equal strings meet in one task:
 2. Hashes that occur at one place only are dropped. Documents with equal texts are one.
    Equal segments are one, with their number; if it is two or more, all its windows
    are repeated.
-3. The segments of a hash that has several different ones are concatenated, with those
+3. The segments of a hash that has several different ones, or one that may repeat
+   itself, are concatenated, with those
    of other hashes, to blocks. In each block threshold-bounded interval expansion on the
    Burrows-Wheeler transform finds which windows are equal: from the interval of the
    empty string, breadth first, each interval is extended backward by every byte before
@@ -53,8 +54,12 @@ def _bytes(text: str | None) -> np.ndarray:
 
 
 def segments(data: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """(hash, first start, last start) of the segments of a text, in order, as three arrays."""
-    keys, firsts, lasts = [], [], []
+    """(hash, first start, last start, again) of the segments of a text, in order, as four arrays.
+
+    `again` tells that the hash is that of several substrings of the segment (periodic text),
+    so that its windows may be equal to each other.
+    """
+    keys, firsts, lasts, again = [], [], [], []
     for at in range(0, max(len(data) - length + 1, 0), STARTS):
         piece = data[at:at + STARTS + length - 1]
         n = len(piece)
@@ -70,14 +75,18 @@ def segments(data: np.ndarray, length: int = LENGTH, gram: int = GRAM):
             width *= 2
         if width < window:
             least = np.minimum(least[:len(least) - (window - width)], least[window - width:])
-        key = hashes[(least & np.uint64((1 << _INDEX_BITS) - 1)).astype(np.int64)]
+        place = (least & np.uint64((1 << _INDEX_BITS) - 1)).astype(np.int64)
+        key = hashes[place]
         new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         keys.append(key[new].view(np.int64))
         firsts.append(new + at)
-        lasts.append(np.concatenate([new[1:], [len(key)]]) - 1 + at)
+        last = np.concatenate([new[1:], [len(key)]]) - 1
+        lasts.append(last + at)
+        again.append(place[last] != place[new])
     if not keys:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(keys), np.concatenate(firsts), np.concatenate(lasts)
+        none = np.zeros(0, np.int64)
+        return none, none, none, np.zeros(0, bool)
+    return np.concatenate(keys), np.concatenate(firsts), np.concatenate(lasts), np.concatenate(again)
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -160,7 +169,8 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _anchors(length, gram):
-    """Of each text its digest, and the hash and first start of each segment."""
+    """Of each text its digest, and the hash and first start of each segment; a segment
+    that may repeat itself counts as two places."""
 
     def step(batches):
         for batch in batches:
@@ -168,10 +178,10 @@ def _anchors(length, gram):
             digests, texts = batch.column(at("digest")), batch.column(at("text"))
             owner, keys, firsts = [], [], []
             for n, text in enumerate(texts):
-                k, f, _ = segments(_bytes(text.as_py()), length, gram)
-                owner.append(np.full(len(k), n))
-                keys.append(k)
-                firsts.append(f)
+                k, f, _, again = segments(_bytes(text.as_py()), length, gram)
+                owner.append(np.full(len(k) + again.sum(), n))
+                keys += [k, k[again]]
+                firsts += [f, f[again] + 1]
             owner = np.concatenate(owner) if owner else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [digests.take(pa.array(owner, pa.int64())),
@@ -189,28 +199,32 @@ def _cut(length, gram):
         for batch in batches:
             at = batch.schema.get_field_index
             columns = (batch.column(at(c)) for c in ("digest", "text", "keys"))
-            rows = ([], [], [], [], [])
+            rows, held = [[] for _ in _CUT], 0
             for digest, text, wanted in zip(*columns, strict=True):
                 data = _bytes(text.as_py())
-                keys, firsts, lasts = segments(data, length, gram)
+                keys, firsts, lasts, again = segments(data, length, gram)
                 for i in np.flatnonzero(np.isin(keys, np.array(wanted.as_py(), np.int64))):
                     piece = data[firsts[i]:lasts[i] + length].tobytes()
                     for column, value in zip(rows, (
-                        digest.as_py(), int(keys[i]), int(firsts[i]), hashlib.blake2b(piece, digest_size=16).digest(), piece,
+                        digest.as_py(), int(keys[i]), int(firsts[i]), hashlib.blake2b(piece, digest_size=16).digest(),
+                        bool(again[i]), piece,
                     ), strict=True):
                         column.append(value)
-                    if sum(map(len, rows[4][-64:])) > 8_000_000:
+                    held += len(piece)
+                    if held > 8_000_000:
                         yield _cut_batch(rows)
-                        rows = ([], [], [], [], [])
+                        rows, held = [[] for _ in _CUT], 0
             yield _cut_batch(rows)
 
     return step
 
 
+_CUT = ("digest", "key", "first", "piece_id", "again", "piece")
+
+
 def _cut_batch(rows):
-    kinds = (pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], names=["digest", "key", "first", "piece_id", "piece"])
+    kinds = (pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], names=list(_CUT))
 
 
 _FOUND = ("key", "piece_id", "a", "b", "window")
@@ -316,12 +330,14 @@ def repeated_runs(
     chosen = written(texts.join(wanted, "digest"), "candidates")
 
     cut = written(
-        chosen.mapInArrow(_cut(length, gram), "digest binary, key bigint, first bigint, piece_id binary, piece binary"), "segments")
+        chosen.mapInArrow(_cut(length, gram), "digest binary, key bigint, first bigint, piece_id binary, again boolean, piece binary"), "segments")
     pieces = cut.groupBy("key", "piece_id").agg(
-        F.count("*").alias("copies"), F.any_value("piece").alias("piece"))
+        F.count("*").alias("copies"), F.any_value("again").alias("again"), F.any_value("piece").alias("piece"))
     pieces = written(pieces, "pieces")
     size = F.octet_length("piece")
-    shape = pieces.groupBy("key").agg(F.count("*").alias("kinds"), F.sum(size).alias("bytes")).where("kinds > 1").select(
+    shape = pieces.groupBy("key").agg(
+        F.count("*").alias("kinds"), F.bool_or("again").alias("again"), F.sum(size).alias("bytes"),
+    ).where("kinds > 1 OR again").select(
         "key", F.ceil(F.col("bytes") / block_bytes).cast("int").alias("blocks"))
     dealt = (
         pieces.join(shape, "key")
