@@ -48,10 +48,10 @@ def elapsed_days(start, end) -> Column:
 
 
 def is_blank(column, data_type: T.DataType) -> Column:
-    """Null, or text with nothing but white space."""
+    """Null, or text with nothing but white space, that of Unicode included."""
     c = _col(column)
     if isinstance(data_type, T.StringType):
-        return c.isNull() | ~c.rlike(r"\S")
+        return c.isNull() | ~c.rlike(r"(?U)\S")
     return c.isNull()
 
 

@@ -1,92 +1,32 @@
-"""Joins and neighbour lookups that stay balanced when one key holds a large part of the rows."""
+"""Joins of one fact with one dimension, and neighbour lookups on keys with long histories."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# A key is hot when it has at least this share of the rows and this many rows.
-HOT_SHARE = 0.005
-HOT_MIN_ROWS = 100_000
-# Pieces a hot key is split into.
-SALTS = 64
-
-_HASH, _SALT, _SLICE = "__key_hash", "__salt", "__slice"
-_LOWEST = -(2**63)
-
-
-def _key_hash(keys) -> Column:
-    return F.xxhash64(*[F.col(k) for k in keys])
-
-
-def hot_hashes(df: DataFrame, keys, share=None, min_rows=None) -> list[int]:
-    """Hashes of the keys that hold at least `share` of the rows.
+# Rows of one key that a single window group may hold; a longer history is cut.
+TASK_ROWS = 1_000_000
 
-    One pass over the key columns with a mergeable sketch; the list has at
-    most 1/share entries. It only decides how rows are spread, never which
-    rows a result has.
-    """
-    share = HOT_SHARE if share is None else share
-    min_rows = HOT_MIN_ROWS if min_rows is None else min_rows
-    top = int(1 / share) + 1
-    row = (
-        df.select(_key_hash(keys).alias(_HASH))
-        .agg(
-            F.count("*").alias("n"),
-            F.expr(f"approx_top_k({_HASH}, {top}, {max(10_000, 50 * top)})").alias("top"),
-        )
-        .first()
-    )
-    floor = max(share * row["n"], min_rows)
-    return [e["item"] for e in row["top"] or [] if e["count"] >= floor]
-
-
-def salted_join(
-    fact: DataFrame,
-    dim: DataFrame,
-    on,
-    how="inner",
-    *,
-    hot=None,
-    profile=None,
-    salts=SALTS,
-    salt_by=None,
-    share=None,
-    min_rows=None,
-) -> DataFrame:
-    """Equi join (inner, left, left_semi, left_anti) of a skewed `fact` with `dim`.
 
-    Rows of a hot key get one of `salts` numbers, and the few dim rows of that
-    key are repeated once per number, so the key's rows go to many tasks. All
-    other keys are joined as usual. The salt comes from the row itself and its
-    input partition, so a task that runs again gives the same salt, and equal
-    copies of a row are spread too.
+def checked_join(fact: DataFrame, dim: DataFrame, on, how="inner") -> DataFrame:
+    """Equi join of a `fact` with a `dim` on columns of one type.
 
-    `hot` takes a known result of hot_hashes; `profile` is the DataFrame to
-    look for hot keys in when `fact` is costly to compute twice.
+    Small dimensions are broadcast by Spark's own measure. Otherwise adaptive execution
+    splits the fact side of a hot key by its map output, whatever the key, null included,
+    so no rows need a salt. Joins that would split the other side are refused.
     """
     on = [on] if isinstance(on, str) else list(on)
     if how not in ("inner", "left", "left_semi", "left_anti"):
-        raise ValueError(f"salted_join cannot do a {how} join")
+        raise ValueError(f"checked_join cannot do a {how} join")
     for key in on:
         left, right = fact.schema[key].dataType, dim.schema[key].dataType
         if left != right:
             raise TypeError(f"join key {key}: {left.simpleString()} and {right.simpleString()}")
-    if hot is None:
-        hot = hot_hashes(fact if profile is None else profile, on, share, min_rows)
-    if not hot:
-        return fact.join(dim, on, how)
-    spread = F.xxhash64(*[F.col(c) for c in (salt_by or fact.columns)])
-    row_salt = F.pmod(spread + F.spark_partition_id(), F.lit(salts)).cast("int")
-    fact = fact.withColumn(
-        _SALT, F.when(_key_hash(on).isin(hot), row_salt).otherwise(F.lit(0))
-    )
-    all_salts = F.sequence(F.lit(0), F.lit(salts - 1))
-    dim = dim.withColumn(
-        _SALT, F.explode(F.when(_key_hash(on).isin(hot), all_salts).otherwise(F.array(F.lit(0))))
-    )
-    return fact.join(dim, [*on, _SALT], how).drop(_SALT)
+    return fact.join(dim, on, how)
 
 
 def _micros(column: str) -> Column:
@@ -95,76 +35,85 @@ def _micros(column: str) -> Column:
     )
 
 
-def _piece(df: DataFrame, keys, order, hot: list[int], pieces: int) -> Column:
-    """Number of the piece of a hot key's history a row is in, 0 for other keys."""
-    at = _micros(order[0])
-    parts = [i / pieces for i in range(1, pieces)]
+_CUT = "array<struct<at:bigint,id:bigint>>"
+_CUTS = f"key_hash bigint, cuts {_CUT}, strides {_CUT}"
+
+
+def history_cuts(df: DataFrame, keys, order, task_rows: int) -> DataFrame | None:
+    """Cuts of every key with more than `task_rows` rows: (key_hash, points, every n-th point).
+
+    Rows of such keys are range-partitioned by key, time and second order column, so
+    they fall in even ranges however they share keys or instants; each range gives one
+    cut per key in it. That is a list of at most the number of shuffle partitions plus
+    the number of such keys, taken to the driver once so that all uses see one list.
+    None when no key is that long.
+    """
+    spark = df.sparkSession
+    tied = len(order) > 1 and isinstance(df.schema[order[1]].dataType, T.IntegralType)
+    light = df.select(
+        F.xxhash64(*keys).alias("key_hash"), _micros(order[0]).alias("at"),
+        (F.col(order[1]).cast("bigint") if tied else F.lit(0).cast("bigint")).alias("id"),
+    )
+    long_ones = light.groupBy("key_hash").agg(F.count("*").alias("n")).where(F.col("n") > task_rows)
+    pieces = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = (
+        light.join(long_ones.select("key_hash"), "key_hash", "left_semi")
+        .repartitionByRange(pieces, "key_hash", "at", "id")
+        .groupBy("key_hash", F.spark_partition_id().alias("range"))
+        .agg(F.min(F.struct("at", "id")).alias("cut"))
+        .groupBy("key_hash").agg(F.sort_array(F.collect_list("cut")).alias("cuts"))
+        .collect()
+    )
+    rows = [(r["key_hash"], r["cuts"], r["cuts"][::_stride(len(r["cuts"]))]) for r in ranges]
+    return spark.createDataFrame(rows, _CUTS) if rows else None
+
+
+def _stride(cuts: int) -> int:
+    return max(1, math.isqrt(cuts))
+
+
+def with_piece(df: DataFrame, keys, order, cuts: DataFrame, name: str) -> DataFrame:
+    """`df` with the number of cuts at or before a row, 0 for keys without cuts."""
     tied = len(order) > 1 and isinstance(df.schema[order[1]].dataType, T.IntegralType)
-    second = F.col(order[1]).cast("bigint") if tied else F.lit(0).cast("bigint")
-    timed = df.select(_key_hash(keys).alias(_HASH), at.alias("at"), second.alias("id")).where(
-        F.col(_HASH).isin(hot)
+    here = F.struct(
+        _micros(order[0]).alias("at"),
+        (F.col(order[1]).cast("bigint") if tied else F.lit(0).cast("bigint")).alias("id"),
     )
-    # At most `pieces` numbers for each of the 1/share hot keys.
-    times = timed.groupBy(_HASH).agg(F.percentile_approx("at", parts, 10_000).alias("cuts")).collect()
-    cuts = {r[_HASH]: {(t, _LOWEST) for t in r["cuts"]} for r in times}
-    full = {t for r in times for t in r["cuts"] if r["cuts"].count(t) > 1}
-    if tied and full:
-        # An instant is a cut more than once when its rows fill whole pieces.
-        ids = F.percentile_approx("id", parts, 10_000).alias("cuts")
-        for r in timed.where(F.col("at").isin(list(full))).groupBy(_HASH, "at").agg(ids).collect():
-            if (r["at"], _LOWEST) in cuts[r[_HASH]]:
-                cuts[r[_HASH]] |= {(r["at"], i) for i in r["cuts"]}
-    out, here = F.lit(0), F.struct(at.alias("at"), second.alias("id"))
-    for key_hash, points in cuts.items():
-        passed = F.array(
-            *[
-                F.struct(F.lit(t).cast("bigint").alias("at"), F.lit(i).cast("bigint").alias("id"))
-                for t, i in sorted(points)
-            ]
-        )
-        inside = F.size(F.filter(passed, lambda p: p <= here))
-        out = F.when(_key_hash(keys) == F.lit(key_hash), inside).otherwise(out)
-    return out
+    hashed = df.withColumn("__key_hash", F.xxhash64(*keys))
+    joined = hashed.join(cuts, hashed["__key_hash"] == cuts["key_hash"], "left")
+    # Whole strides first, then within one stride: about twice the root of the cuts.
+    stride = F.greatest(F.lit(1), F.floor(F.sqrt(F.size("cuts").cast("double"))).cast("int"))
+    passed = F.size(F.filter("strides", lambda c: c <= here))
+    start = F.greatest((passed - 1) * stride, F.lit(0))
+    inside = F.size(F.filter(F.slice("cuts", start + 1, stride), lambda c: c <= here))
+    piece = F.when(F.col("cuts").isNull(), F.lit(0)).otherwise(start + inside)
+    return joined.withColumn(name, piece.cast("int")).drop("__key_hash", "key_hash", "cuts", "strides")
 
 
 def with_neighbor(
-    df: DataFrame,
-    keys,
-    order,
-    values: dict[str, str],
-    direction="next",
-    *,
-    hot=None,
-    profile=None,
-    pieces=SALTS,
-    share=None,
-    min_rows=None,
+    df: DataFrame, keys, order, values: dict[str, str], direction="next", *, task_rows=None
 ) -> DataFrame:
     """Add values of the next or previous row of the same key.
 
     `order` is a list of columns, the first a timestamp without zone; `values`
-    maps new column -> column of the neighbour. `hot` takes a known result of
-    hot_hashes; `profile` is the DataFrame to look for hot keys in when `df` is
-    costly to compute twice.
-
-    The history of a hot key is cut at time quantiles, and an instant that
-    fills whole pieces at quantiles of the second order column when that is a
-    whole number. Each piece is its own window group, and the rows at the cuts
-    take their neighbour from a table of one row per piece. A hot key has at
-    most `pieces` squared of them, so that table is bounded and broadcast.
+    maps new column -> column of the neighbour.
+
+    A key with more than `task_rows` rows is cut at points of its time (and of the second
+    order column when that is a whole number). Each piece is a window group of its own,
+    and rows at a cut take their neighbour from a table of one row per piece. The plan has
+    one size whatever the number of keys and cuts; without long keys it is the plain window.
     """
     if direction not in ("next", "previous"):
         raise ValueError(f"no direction {direction}")
     keys, order = list(keys), list(order)
     step = F.lead if direction == "next" else F.lag
-    if hot is None:
-        hot = hot_hashes(df if profile is None else profile, keys, share, min_rows)
-    if not hot:
+    cuts = history_cuts(df, keys, order, TASK_ROWS if task_rows is None else task_rows)
+    if cuts is None:
         window = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumns({new: step(old).over(window) for new, old in values.items()})
 
-    rows = df.withColumn(_SLICE, _piece(df, keys, order, hot, pieces))
-    window = Window.partitionBy(*keys, _SLICE).orderBy(*order)
+    rows = with_piece(df, keys, order, cuts, "__piece")
+    window = Window.partitionBy(*keys, "__piece").orderBy(*order)
     inner = rows.withColumns(
         {
             **{f"__{new}": step(old).over(window) for new, old in values.items()},
@@ -173,21 +122,19 @@ def with_neighbor(
     )
     pick = F.min_by if direction == "next" else F.max_by
     payload = F.struct(*[F.col(old).alias(new) for new, old in values.items()])
-    heads = (
-        rows.where(_key_hash(keys).isin(hot))
-        .groupBy(*keys, _SLICE)
-        .agg(pick(payload, F.struct(*order)).alias("head"))
-    )
-    along = Window.partitionBy(*keys).orderBy(_SLICE)
+    # Only keys with cuts have more than one piece.
+    long_rows = rows.join(cuts, F.xxhash64(*keys) == F.col("key_hash"), "left_semi")
+    heads = long_rows.groupBy(*keys, "__piece").agg(pick(payload, F.struct(*order)).alias("head"))
+    along = Window.partitionBy(*keys).orderBy("__piece")
     heads = heads.select(
         *[F.col(k).alias(f"__h_{k}") for k in keys],
-        F.col(_SLICE).alias("__h_slice"),
+        F.col("__piece").alias("__h_piece"),
         step("head").over(along).alias("__head"),
     )
-    same = F.col(_SLICE) == F.col("__h_slice")
+    same = F.col("__edge") & (F.col("__piece") == F.col("__h_piece"))
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"__h_{k}"))
-    joined = inner.join(F.broadcast(heads), same, "left")
+    joined = inner.join(heads, same, "left")
     return joined.select(
         *df.columns,
         *[

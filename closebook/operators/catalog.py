@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from closebook.functions.scalars import target_type
 from closebook.model import MODULE_PREFIXES
@@ -59,44 +62,70 @@ def primary_keys(constraints: DataFrame, cons_columns: DataFrame) -> DataFrame:
     )
 
 
+TABLE = ["owner", "table_name"]
+
+
 def classify(tables: DataFrame, columns: DataFrame) -> DataFrame:
-    """Module, number of columns and estimated rows per table."""
-    counts = columns.groupBy("table_name").agg(F.count("*").alias("column_count"))
-    return live_tables(tables).join(counts, "table_name", "left").select(
-        "table_name", module_of().alias("module"),
+    """Module, number of columns and estimated rows per table of an owner."""
+    counts = columns.groupBy(*TABLE).agg(F.count("*").alias("column_count"))
+    return live_tables(tables).join(counts, TABLE, "left").select(
+        *TABLE, module_of().alias("module"),
         F.coalesce("column_count", F.lit(0)).alias("column_count"),
         F.coalesce("num_rows", F.lit(0)).alias("estimated_rows"),
     )
 
 
 def schema_metadata(tables, columns, keys) -> DataFrame:
-    """Tables with their columns in order, key columns, module and flexfields."""
-    cols = columns.groupBy("table_name").agg(
+    """Tables of an owner with their columns in order, key columns, module and flexfields."""
+    cols = columns.groupBy(*TABLE).agg(
         F.sort_array(
-            F.collect_list(F.struct("column_id", "column_name", "data_type",
+            F.collect_list(F.struct("column_id", "column_name", "data_type", "data_length",
+                                    "data_precision", "data_scale",
                                     (F.col("nullable") == "Y").alias("nullable")))
         ).alias("columns")
     )
-    pk = keys.groupBy("table_name").agg(
+    pk = keys.groupBy(*TABLE).agg(
         F.sort_array(F.collect_list(F.struct("position", "column_name"))).alias("pk")
     )
-    joined = live_tables(tables).join(cols, "table_name", "left").join(pk, "table_name", "left")
+    joined = live_tables(tables).join(cols, TABLE, "left").join(pk, TABLE, "left")
     no_columns = F.array().cast(cols.schema["columns"].dataType)
     return joined.select(
-        "table_name", module_of().alias("module"),
+        *TABLE, module_of().alias("module"),
         F.coalesce("columns", no_columns).alias("columns"),
         F.coalesce(F.col("pk.column_name"), F.array().cast("array<string>")).alias("primary_key"),
         F.coalesce("num_rows", F.lit(0)).alias("estimated_rows"),
     )
 
 
+def table_columns(columns: DataFrame, owner: str, table: str) -> list[tuple[str, str, int | None]]:
+    """(name, source type, length of text) of one table's columns, in order.
+
+    What staging and cast profiles are made from. A number's type is written with its
+    precision and scale; only text has a length that a value can break.
+    """
+    rows = (
+        columns.where((F.col("owner") == owner) & (F.col("table_name") == table))
+        .orderBy("column_id").collect()
+    )
+    out = []
+    for r in rows:
+        base, text = r["data_type"].split("(")[0].strip().upper(), None
+        full = r["data_type"]
+        if base == "NUMBER" and r["data_precision"] is not None and "(" not in full:
+            full = f"NUMBER({r['data_precision']},{r['data_scale'] or 0})"
+        elif base in ("VARCHAR2", "CHAR", "NVARCHAR2", "NCHAR"):
+            text = r["data_length"]
+        out.append((r["column_name"], full, text))
+    return out
+
+
 def flexfields(columns: DataFrame) -> DataFrame:
-    """Segment and attribute columns per table, in column order."""
+    """Segment and attribute columns per table of an owner, in column order."""
     found = columns.withColumn("flexfield_type", flexfield_type()).where(
         F.col("flexfield_type").isNotNull()
     )
     listed = F.sort_array(F.collect_list(F.struct("column_id", "column_name")))
-    return found.groupBy("table_name", "flexfield_type").agg(
+    return found.groupBy(*TABLE, "flexfield_type").agg(
         F.count("*").alias("column_count"), listed["column_name"].alias("columns")
     )
 
@@ -118,58 +147,52 @@ def key_description(pk="is_pk", fk_table="fk_target_table", fk_column="fk_target
     return F.concat_ws(" ", primary, foreign)
 
 
+def _comparable(a: T.DataType, b: T.DataType) -> bool:
+    """Of one type, or both exact numbers: those meet in the wider type."""
+    exact = (T.IntegralType, T.DecimalType)
+    return a == b or (isinstance(a, exact) and isinstance(b, exact))
+
+
 def relationships(
     tables: dict[str, DataFrame], keys: dict[str, str], threshold: float = 0.95
 ) -> DataFrame:
     """Columns that look like references to a key of the same name.
 
-    For each key name the distinct values of all tables that have the column
-    are grouped once, with a bit per table; containment of every table in the
-    key's table is then a sum over the few bit patterns. `keys` maps a table
-    to its key column.
+    For each key name the values of all tables that have the column are grouped by value
+    and table, whatever the number of tables, and marked where the key's table has the
+    value. `keys` maps a table to its key column. Whole numbers and decimals of any width
+    are compared; a column of another kind than the key is no reference.
     """
     out = None
     for key_table, key in keys.items():
-        users = [n for n, df in tables.items() if n != key_table and key in df.columns]
-        if not users:
-            continue
-        if len(users) > 62:
-            raise ValueError(f"more than 62 tables share {key}; call with fewer tables")
         key_type = tables[key_table].schema[key].dataType
-        users = [n for n in users if tables[n].schema[key].dataType == key_type]
-        marked = tables[key_table].select(F.col(key).alias("v"), F.lit(1).cast("bigint").alias("b"))
-        for i, name in enumerate(users):
-            marked = marked.unionByName(
-                tables[name].select(F.col(key).alias("v"), F.lit(1 << (i + 1)).cast("bigint").alias("b"))
-            )
-        patterns = marked.where(F.col("v").isNotNull()).groupBy("v").agg(F.bit_or("b").alias("b"))
-        patterns = patterns.groupBy("b").agg(F.count("*").alias("n"))
-        sums, rows = [], []
-        for i, name in enumerate(users):
-            has = F.col("b").bitwiseAND(F.lit(1 << (i + 1))) != 0
-            in_key = F.col("b").bitwiseAND(F.lit(1)) != 0
-            zero = F.lit(0).cast("bigint")
-            sums += [
-                F.coalesce(F.sum(F.when(has, F.col("n"))), zero).alias(f"d{i}"),
-                F.coalesce(F.sum(F.when(has & in_key, F.col("n"))), zero).alias(f"m{i}"),
-            ]
-            rows.append(
-                F.struct(
-                    F.lit(name).alias("source_table"), F.lit(key).alias("column_name"),
-                    F.lit(key_table).alias("target_table"),
-                    F.col(f"d{i}").alias("distinct_values"), F.col(f"m{i}").alias("matched_values"),
-                )
-            )
-        if not rows:
+        users = [
+            n for n, df in tables.items()
+            if n != key_table and key in df.columns and _comparable(df.schema[key].dataType, key_type)
+        ]
+        if not users:
             continue
-        part = patterns.agg(*sums).select(F.inline(F.array(*rows)))
+
+        def values(name, key=key):
+            return tables[name].select(F.col(key).alias("v"), F.lit(name).alias("source_table"))
+
+        rows = reduce(DataFrame.unionByName, [values(n) for n in (key_table, *users)])
+        pairs = rows.where(F.col("v").isNotNull()).distinct()
+        known = F.bool_or(F.col("source_table") == key_table)
+        # At most one entry per table and value: the names of the tables that have it.
+        by_value = pairs.groupBy("v").agg(known.alias("known"), F.collect_set("source_table").alias("names"))
+        part = by_value.select("known", F.explode("names").alias("source_table")).groupBy("source_table").agg(
+            F.count("*").alias("distinct_values"), F.count_if("known").alias("matched_values")
+        ).where(F.col("source_table") != key_table)
+        part = part.select(
+            "source_table", F.lit(key).alias("column_name"), F.lit(key_table).alias("target_table"),
+            "distinct_values", "matched_values",
+        )
         out = part if out is None else out.unionByName(part)
     if out is None:
         raise ValueError("no two tables share a key column")
     contained = F.col("matched_values") / F.col("distinct_values")
-    return out.where(F.col("distinct_values") > 0).withColumn("containment", contained).where(
-        F.col("containment") >= threshold
-    )
+    return out.withColumn("containment", contained).where(F.col("containment") >= threshold)
 
 
 def cast_profile(raw: DataFrame, columns: list[tuple[str, str, int | None]]) -> DataFrame:

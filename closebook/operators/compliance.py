@@ -66,8 +66,10 @@ def pii_values(rows: DataFrame, text_columns, by=()) -> DataFrame:
 
 
 def mask_email(column) -> Column:
-    """First letter and domain stay."""
-    return F.regexp_replace(F.col(column), "^([^@])[^@]*@", "$1***@")
+    """First letter and domain stay; what is no address is hidden whole."""
+    c = F.col(column)
+    masked = F.regexp_replace(c, "^([^@])[^@]*@", "$1***@")
+    return F.when(c.rlike("^[^@\\s]+@[^@\\s]+$"), masked).otherwise(F.regexp_replace(c, "(?s).", "*"))
 
 
 def mask_id(column, keep: int = 4) -> Column:
@@ -83,7 +85,12 @@ def mask_key(column, secret: str) -> Column:
 
 
 def mask(rows: DataFrame, *, emails=(), ids=(), keys=(), hide=(), secret="") -> DataFrame:
-    """Rows with personal columns masked; `hide` columns become null."""
+    """Rows with personal columns masked; `hide` columns become null.
+
+    `keys` need a secret: without one their digests could be looked up.
+    """
+    if keys and not secret:
+        raise ValueError("keys are masked with a secret only")
     changes = {c: mask_email(c) for c in emails}
     changes |= {c: mask_id(c) for c in ids}
     changes |= {c: mask_key(c, secret) for c in keys}

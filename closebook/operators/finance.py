@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from closebook.functions.scalars import elapsed_days
-from closebook.functions.skew import salted_join
+from closebook.functions.skew import checked_join
 from closebook.model import AGING_BUCKETS, POSTED_STATUSES, UNPAID_FLAGS
 
 
@@ -37,17 +37,25 @@ def aging(invoices: DataFrame, as_of: str, by=("invoice_currency_code",)) -> Dat
     return unpaid.groupBy(*by).agg(*sums).select(*by, F.inline(F.array(*rows)))
 
 
+TOTAL_KEYS = ["ledger_id", "period_name", "code_combination_id", "currency_code"]
+# Proved and balanced mean a difference below this; a reconciliation check allows it.
+DIFFERENCE = "0.01"
+
+
 def posted_line_totals(headers: DataFrame, lines: DataFrame) -> DataFrame:
-    """Debit and credit per ledger, period, account and currency of posted journals."""
-    posted = headers.where(
-        F.col("status").isin(POSTED_STATUSES) & F.col("period_name").isNotNull()
-    ).select("je_header_id", "ledger_id", "period_name")
+    """Debit and credit per ledger, period, account and currency of posted journals.
+
+    Journals without a period are a group of their own, so that no posted line is lost.
+    """
+    posted = headers.where(F.col("status").isin(POSTED_STATUSES)).select(
+        "je_header_id", "ledger_id", "period_name"
+    )
     wanted = lines.select(
         "je_header_id", "code_combination_id", "currency_code", "accounted_dr", "accounted_cr"
     )
-    joined = salted_join(wanted, posted, "je_header_id")
+    joined = checked_join(wanted, posted, "je_header_id")
     zero = F.lit(0).cast(lines.schema["accounted_dr"].dataType)
-    return joined.groupBy("ledger_id", "period_name", "code_combination_id", "currency_code").agg(
+    return joined.groupBy(*TOTAL_KEYS).agg(
         F.coalesce(F.sum("accounted_dr"), zero).alias("total_dr"),
         F.coalesce(F.sum("accounted_cr"), zero).alias("total_cr"),
         F.count("*").alias("line_count"),
@@ -55,7 +63,7 @@ def posted_line_totals(headers: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def period_totals(headers: DataFrame, lines: DataFrame, totals: DataFrame | None = None):
-    """Net of all posted lines per ledger, period and currency."""
+    """Net of all posted lines per ledger, period (null: none given) and currency."""
     totals = posted_line_totals(headers, lines) if totals is None else totals
     return totals.groupBy("ledger_id", "period_name", "currency_code").agg(
         F.sum("total_dr").alias("total_dr"),
@@ -65,57 +73,79 @@ def period_totals(headers: DataFrame, lines: DataFrame, totals: DataFrame | None
     )
 
 
+def _same_keys(left: str, right: str) -> Column:
+    """Equal total keys of two aliases; a period may be absent on both sides."""
+    same = F.lit(True)
+    for k in TOTAL_KEYS:
+        same = same & F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}"))
+    return same
+
+
+def _begin() -> Column:
+    return F.coalesce("begin_balance_dr", F.lit(0)) - F.coalesce("begin_balance_cr", F.lit(0))
+
+
 def balance_proof(balances, headers, lines, totals: DataFrame | None = None) -> DataFrame:
     """Begin plus posted net against the reported end, per balance row.
 
-    Proved means a difference below 0.01 (a reconciliation check allows 0.01 itself).
+    Amounts keep the scale of the source: a currency may have more than two decimals.
     """
-    keys = ["ledger_id", "code_combination_id", "currency_code", "period_name"]
     totals = posted_line_totals(headers, lines) if totals is None else totals
-    totals = totals.select(
-        *keys, (F.col("total_dr") - F.col("total_cr")).alias("net")
-    )
-    money = "decimal(38,2)"
-    begin = F.coalesce("begin_balance_dr", F.lit(0)) - F.coalesce("begin_balance_cr", F.lit(0))
-    # Both sides have one row per key.
-    joined = balances.join(totals, keys, "left")
-    expected = begin.cast(money) + F.coalesce("net", F.lit(0)).cast(money)
-    difference = (expected - F.col("reported_end_balance")).cast(money)
+    nets = totals.select(*TOTAL_KEYS, (F.col("total_dr") - F.col("total_cr")).alias("net"))
+    joined = balances.alias("b").join(nets.alias("t"), _same_keys("b", "t"), "left")
+    expected = _begin() + F.coalesce("net", F.lit(0))
+    difference = expected - F.col("reported_end_balance")
+    keys = ["ledger_id", "code_combination_id", "currency_code", "period_name"]
     return joined.select(
-        *keys,
-        expected.cast(money).alias("expected_end"),
-        F.col("reported_end_balance").cast(money).alias("reported_end"),
+        *[F.col(f"b.{k}").alias(k) for k in keys],
+        expected.alias("expected_end"),
+        F.col("reported_end_balance").alias("reported_end"),
         difference.alias("difference"),
-        (F.abs(difference) < F.lit("0.01").cast(money)).alias("proved"),
+        (F.abs(difference) < F.lit(DIFFERENCE).cast("decimal(3,2)")).alias("proved"),
     )
 
 
 def period_close(headers, lines, balances, totals: DataFrame | None = None) -> DataFrame:
     """Close state per ledger and period: are debits and credits equal, do balances prove.
 
-    Totals are used twice; `totals` takes those of posted_line_totals from a
-    table they were written to.
+    Line totals and balances are each grouped once by ledger, period, account and currency
+    and meet in one full join, so periods with balances only, or without any, are there.
+    A balance row enters as what its begin lacks to its reported end; equal ones of an
+    account are counted.
     """
     posted = posted_line_totals(headers, lines) if totals is None else totals
-    totals = period_totals(headers, lines, posted).groupBy("ledger_id", "period_name").agg(
-        F.sum("net").alias("discrepancy_amount"), F.sum("line_count").alias("line_count")
-    )
-    proof = balance_proof(balances, headers, lines, posted).groupBy("ledger_id", "period_name").agg(
-        F.count("*").alias("accounts"), F.count_if(~F.col("proved")).alias("accounts_not_proved")
+    lacking = balances.select(*TOTAL_KEYS, (_begin() - F.col("reported_end_balance")).alias("lack"))
+    reported = (
+        lacking.groupBy(*TOTAL_KEYS, "lack").agg(F.count("*").alias("n"))
+        .groupBy(*TOTAL_KEYS).agg(
+            F.sum("n").alias("accounts"), F.collect_list(F.struct("lack", "n")).alias("lacks"))
+    )
+    joined = posted.alias("p").join(reported.alias("r"), _same_keys("p", "r"), "full")
+    net = F.coalesce(F.col("total_dr") - F.col("total_cr"), F.lit(0))
+    limit = F.lit(DIFFERENCE).cast("decimal(3,2)")
+    # A balance without begin or end cannot prove.
+    missed = F.aggregate(
+        F.coalesce("lacks", F.array().cast(reported.schema["lacks"].dataType)),
+        F.lit(0).cast("bigint"),
+        lambda acc, x: acc + F.when(F.coalesce(F.abs(F.col("net") + x["lack"]) < limit, F.lit(False)), 0).otherwise(x["n"]),
+    )
+    keyed = joined.select(
+        F.coalesce("p.ledger_id", "r.ledger_id").alias("ledger_id"),
+        F.coalesce("p.period_name", "r.period_name").alias("period_name"),
+        net.alias("net"), "line_count", "accounts", "lacks",
     )
-    none = F.lit(0)
     return (
-        totals.join(proof, ["ledger_id", "period_name"], "left")
-        .withColumns(
-            {
-                "accounts": F.coalesce("accounts", none),
-                "accounts_not_proved": F.coalesce("accounts_not_proved", none),
-            }
+        keyed.select("*", missed.alias("missed"))
+        .groupBy("ledger_id", "period_name")
+        .agg(
+            F.sum("net").alias("discrepancy_amount"),
+            F.coalesce(F.sum("line_count"), F.lit(0)).alias("line_count"),
+            F.coalesce(F.sum("accounts"), F.lit(0)).alias("accounts"),
+            F.sum("missed").alias("accounts_not_proved"),
         )
         .withColumn(
             "is_balanced",
-            (F.abs(F.col("discrepancy_amount")) < F.lit("0.01").cast("decimal(3,2)"))
-            & (F.col("accounts_not_proved") == 0),
+            (F.abs(F.col("discrepancy_amount")) < limit) & (F.col("accounts_not_proved") == 0),
         )
     )
 
@@ -150,40 +180,46 @@ def duplicate_invoices(invoices: DataFrame) -> DataFrame:
 def outlier_invoices(invoices: DataFrame, deviations: float = 3.0) -> DataFrame:
     """Invoices more than `deviations` sample standard deviations off their vendor's mean.
 
-    Moments are taken as exact decimal sums, so the result does not hang on
-    the order rows are added in.
+    The first pass takes exact totals, the second sums squares of what each invoice is off
+    the mean, so nothing cancels. Deviations are taken times the vendor's number of
+    invoices, which keeps them exact decimals. A vendor whose amounts are all equal, or who
+    has one invoice, has no outliers.
     """
     amount = F.col("invoice_amount").cast("decimal(18,2)")
-    stats = invoices.where(F.col("vendor_id").isNotNull()).groupBy("vendor_id").agg(
-        F.count("invoice_amount").alias("n"),
-        F.sum(amount).cast("double").alias("total"),
-        F.sum((amount * amount).cast("decimal(38,4)")).cast("double").alias("squares"),
-    )
-    mean = F.col("total") / F.col("n")
-    spread = F.sqrt(
-        F.greatest(F.lit(0.0), F.col("squares") - F.col("total") * F.col("total") / F.col("n"))
-        / (F.col("n") - 1)
-    )
-    stats = stats.where(F.col("n") > 1).select(
-        "vendor_id", mean.alias("vendor_mean"), spread.alias("vendor_stddev")
+    rows = invoices.where(F.col("vendor_id").isNotNull() & F.col("invoice_amount").isNotNull())
+    totals = rows.groupBy("vendor_id").agg(
+        F.count("*").alias("n"), F.sum(amount).alias("total"),
+        F.min(amount).alias("least"), F.max(amount).alias("largest"),
+    ).where(F.col("least") < F.col("largest"))
+    off = (amount * F.col("n") - F.col("total")).cast("double")
+    apart = checked_join(
+        rows.select("invoice_id", "vendor_id", "invoice_amount"), totals, "vendor_id"
+    ).select("invoice_id", "vendor_id", "invoice_amount", "n", off.alias("off"))
+    spread = apart.groupBy("vendor_id").agg(
+        F.sqrt(F.sum(F.col("off") * F.col("off")) / (F.max("n") - 1)).alias("spread")
     )
-    rows = invoices.select("invoice_id", "vendor_id", "invoice_amount")
-    return salted_join(rows, stats, "vendor_id", salt_by=["invoice_id"], profile=invoices).where(
-        F.abs(F.col("invoice_amount").cast("double") - F.col("vendor_mean"))
-        > F.lit(deviations) * F.col("vendor_stddev")
+    return checked_join(apart, spread, "vendor_id").where(
+        F.abs("off") > F.lit(deviations) * F.col("spread")
+    ).select(
+        "vendor_id", "invoice_id", "invoice_amount", (F.col("spread") / F.col("n")).alias("vendor_stddev")
     )
 
 
 def trial_balance(headers, lines, accounts) -> DataFrame:
-    """Posted totals by ledger, period and the first segment, with subtotals (rollup)."""
+    """Posted totals by ledger, period and the first segment, with subtotals (rollup).
+
+    Accounts are summed to companies first, so the rollup only multiplies those.
+    """
     totals = posted_line_totals(headers, lines)
     company = accounts.select("code_combination_id", F.col("segment1").alias("company"))
-    joined = salted_join(totals, company, "code_combination_id", profile=lines)
-    return joined.rollup("ledger_id", "period_name", "company").agg(
+    by_company = checked_join(totals, company, "code_combination_id").groupBy(
+        "ledger_id", "period_name", "company"
+    ).agg(F.sum("total_dr").alias("dr"), F.sum("total_cr").alias("cr"))
+    return by_company.rollup("ledger_id", "period_name", "company").agg(
         F.grouping_id().alias("level"),
-        F.sum("total_dr").alias("total_dr"),
-        F.sum("total_cr").alias("total_cr"),
-        (F.sum("total_dr") - F.sum("total_cr")).alias("net"),
+        F.sum("dr").alias("total_dr"),
+        F.sum("cr").alias("total_cr"),
+        (F.sum("dr") - F.sum("cr")).alias("net"),
     )
 
 

@@ -63,10 +63,13 @@ def spark_type(source_type: str) -> str:
     return _SPARK_TYPES[target]
 
 
-def staging(raw: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:
-    """Raw columns cast by their source type, names in lower case; bad values become null."""
+def staging(raw: DataFrame, columns: list[tuple]) -> DataFrame:
+    """Raw columns cast by their source type, names in lower case; bad values become null.
+
+    `columns` holds (name, source type, ...) as `catalog.table_columns` reads it.
+    """
     return raw.select(
-        *[F.col(f"`{name}`").try_cast(spark_type(t)).alias(name.lower()) for name, t in columns]
+        *[F.col(f"`{name}`").try_cast(spark_type(t)).alias(name.lower()) for name, t, *_ in columns]
     )
 
 
@@ -80,13 +83,25 @@ def intermediate(staged: DataFrame) -> DataFrame:
     )
 
 
+def model_of(tables: list[str]) -> dict[str, str]:
+    """Staging model -> table; two tables that would share a model are an error."""
+    out: dict[str, str] = {}
+    for table in tables:
+        name = "stg_" + table.lower().replace("_all", "").rstrip("_")
+        if name in out:
+            raise ValueError(f"{out[name]} and {table} both make the model {name}")
+        out[name] = table
+    return out
+
+
 def mart_union(models: dict[str, DataFrame]) -> DataFrame:
-    """All staging models of a module under each other.
+    """All staging models of a module under each other, named by their source table.
 
     Columns a model lacks are null; `source_table` tells where a row is from.
     """
     out = None
-    for name, df in models.items():
+    for name, table in model_of(list(models)).items():
+        df = models[table]
         tagged = df.withColumn("source_table", F.lit(name))
         out = tagged if out is None else out.unionByName(tagged, allowMissingColumns=True)
     return out

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from closebook.functions.skew import hot_hashes, salted_join, with_neighbor
+from closebook.functions.skew import checked_join, with_neighbor
 from closebook.session import scratch_path
 
 EDGE_SCHEMA = "source string, target string, transformation string"
@@ -16,50 +16,52 @@ def document_lineage(spark, path: str, edges: list[tuple[str, str, str]]) -> Non
     spark.createDataFrame(edges, EDGE_SCHEMA).coalesce(1).write.mode("append").parquet(path)
 
 
-def lineage_graph(edges: DataFrame, asset: str, direction="upstream", max_depth=100) -> DataFrame:
+def lineage_graph(edges: DataFrame, asset: str, direction="upstream") -> DataFrame:
     """Assets an asset is made from (upstream) or feeds (downstream), with their distance.
 
-    Goes level by level. Each level is written to the shared folder and read
-    back, which cuts its lineage; assets already found are not followed again,
-    so cycles end. More than `max_depth` levels is an error, not a shorter
-    result.
+    Goes level by level; assets already found are not followed again, so it ends with the
+    graph, cycles or not. Each level is written to the shared folder in one job that also
+    counts it, which cuts its lineage.
     """
     if direction not in ("upstream", "downstream"):
         raise ValueError(f"no direction {direction}")
     near, far = ("target", "source") if direction == "upstream" else ("source", "target")
     spark, path = edges.sparkSession, scratch_path(edges.sparkSession, "lineage")
     steps = edges.select(F.col(near).alias("asset"), F.col(far).alias("next"))
-    hot = hot_hashes(steps, ["asset"])
 
     def level(rows, depth):
-        rows.write.parquet(f"{path}/depth={depth}")
-        return spark.read.schema("asset string").parquet(f"{path}/depth={depth}")
+        seen = Observation()
+        rows.observe(seen, F.count("*").alias("n")).write.parquet(f"{path}/depth={depth}")
+        return spark.read.schema("asset string").parquet(f"{path}/depth={depth}"), seen.get["n"]
 
-    frontier = level(spark.createDataFrame([(asset,)], "asset string"), 0)
-    for depth in range(1, max_depth + 2):
+    frontier, size = level(spark.createDataFrame([(asset,)], "asset string"), 0)
+    depth = 0
+    while size:
+        depth += 1
         found = spark.read.schema("asset string, depth int").parquet(path)
-        reached = salted_join(steps, frontier, "asset", "left_semi", hot=hot)
+        reached = checked_join(steps, frontier, "asset", "left_semi")
         new = reached.select(F.col("next").alias("asset")).distinct()
-        frontier = level(new.join(found.select("asset"), "asset", "left_anti"), depth)
-        if frontier.isEmpty():
-            return found.where("depth > 0")
-    raise ValueError(f"{asset} has lineage deeper than {max_depth} levels")
+        frontier, size = level(new.join(found.select("asset"), "asset", "left_anti"), depth)
+    return found.where("depth > 0")
 
 
 RUN_EVENT_SCHEMA = (
-    "run_id string, event_name string, module string, period_name string, org_id bigint, "
+    "run_id string, event_id bigint, event_name string, module string, period_name string, org_id bigint, "
     "event_time timestamp_ntz, tables array<string>, dry_run boolean, rows bigint, layer string, "
     "passed boolean, total_checks int, passed_checks int, certificate_id string, "
     "success boolean, errors array<string>"
 )
 
 
-def run_timeline(events: DataFrame) -> DataFrame:
-    """Events of every run in order, with the seconds since the one before."""
+def run_timeline(events: DataFrame, task_rows=None) -> DataFrame:
+    """Events of every run in order, with the seconds since the one before.
+
+    Events of one instant go by their number in the run.
+    """
     order = ["event_time", "event_id"]
     rows = with_neighbor(
         events, ["run_id"], order, {"previous_time": "event_time", "previous_event": "event_name"},
-        "previous",
+        "previous", task_rows=task_rows,
     )
     micros = F.timestamp_diff("MICROSECOND", F.col("previous_time"), F.col("event_time"))
     return rows.withColumn("seconds_since", micros / F.lit(1_000_000.0))

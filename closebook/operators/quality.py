@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from closebook.functions.scalars import AMOUNT, is_blank, to_amount
-from closebook.functions.skew import salted_join
+from closebook.functions.scalars import AMOUNT, is_blank
+from closebook.functions.skew import checked_join
 from closebook.model import Rule, default_rules
+from closebook.operators.catalog import module_of
 
 ROW_RULES = ("not_null", "any_not_null", "all_not_null", "range", "custom_sql")
 RULE_TYPES = (*ROW_RULES, "balance", "uniqueness", "referential")
@@ -47,19 +48,46 @@ def violates(rule: Rule, df: DataFrame) -> Column:
         return reduce(Column.__or__, [_column(df, c)[0].isNull() for c in rule.columns])
     if rule.rule_type == "range":
         raw, data_type = _column(df, rule.column_name)
-        numeric = isinstance(data_type, (T.NumericType, T.StringType))
-        value = to_amount(raw if numeric else raw.cast("string"))
-        bad = value.isNull()
-        if rule.min_value is not None:
-            bad = bad | (value < F.lit(rule.min_value).cast(AMOUNT))
-        if rule.max_value is not None:
-            bad = bad | (value > F.lit(rule.max_value).cast(AMOUNT))
-        return raw.isNotNull() & bad
+        return raw.isNotNull() & ~_within(raw, data_type, rule.min_value, rule.max_value)
     if rule.rule_type == "custom_sql":
         return F.coalesce(~F.expr(rule.expression), F.lit(False))
     raise ValueError(f"{rule.rule_type} is not a row rule")
 
 
+# Digits before and after the point that the exact comparison looks at.
+_WHOLE, _FRACTION = 19, 19
+_NUMBER = r"^\s*([+-]?)([0-9]*)\.?([0-9]*)(?:[eE]([+-]?[0-9]{1,4}))?\s*$"
+
+
+def _within(raw: Column, data_type: T.DataType, least: str | None, most: str | None) -> Column:
+    """Is a value a number from `least` to `most`, without rounding it; false for other text.
+
+    A value that decimal(38,19) holds exactly is compared as that. Others are larger than
+    it holds, or have more places: the sign of what the decimal lost, against the bound
+    that is nearest, decides by the value as double and then by its text's sign.
+    """
+    exact_type = f"decimal({_WHOLE + _FRACTION},{_FRACTION})"
+    text = raw.cast("string")
+    if isinstance(data_type, (T.DecimalType, T.IntegralType)):
+        is_number, rounded, double = F.lit(True), raw.try_cast(exact_type), raw.cast("double")
+    elif isinstance(data_type, (T.DoubleType, T.FloatType)):
+        is_number, rounded, double = ~F.isnan(raw), raw.try_cast(exact_type), raw.cast("double")
+    else:
+        is_number, rounded, double = (
+            text.rlike(_NUMBER) & text.rlike("[0-9]"), text.try_cast(exact_type), text.try_cast("double"))
+    # What the rounding has changed: compared as text digits it is the sign of value - rounded.
+    lost = (double != rounded.cast("double")) | rounded.isNull()
+    inside = F.lit(True)
+    for bound, above in ((least, True), (most, False)):
+        if bound is None:
+            continue
+        limit = F.lit(bound)
+        by_decimal = rounded >= limit.cast(exact_type) if above else rounded <= limit.cast(exact_type)
+        by_double = double >= limit.cast("double") if above else double <= limit.cast("double")
+        inside = inside & F.when(lost, by_double).otherwise(by_decimal)
+    return is_number & F.coalesce(inside, F.lit(False))
+
+
 def _result(rule: Rule, count: Column, message: Column) -> Column:
     passed = count == 0
     return F.struct(
@@ -205,14 +233,14 @@ def violations(rule: Rule, df: DataFrame, key=(), reference: DataFrame | None =
         first = df.where(F.col(column).isNotNull()).groupBy(column).agg(
             F.min(F.struct(*key)).alias("__first"), F.count("*").alias("__n")
         )
-        repeated = salted_join(df, first.where("__n > 1"), column, salt_by=list(key), profile=df)
+        repeated = checked_join(df, first.where("__n > 1"), column)
         return repeated.where(F.struct(*key) != F.col("__first")).select(*df.columns)
     if rule.rule_type == "referential":
         rows = df.where(F.col(column).isNotNull())
         if reference is None:
             return rows
         known, _ = _column(reference, rule.reference_column or rule.column_name)
-        return salted_join(
+        return checked_join(
             rows, reference.select(known.alias(column)).distinct(), column, "left_anti"
         )
     raise ValueError(f"{rule.rule_type} has no violating rows")
@@ -228,23 +256,20 @@ def sample_violations(rule, df, key, reference=None, limit=SAMPLES) -> DataFrame
     )
 
 
-def key_rules(catalog: list[dict]) -> list[Rule]:
-    """Unique and not-null rules for the key columns of catalog entries."""
+def key_rules(keys: DataFrame) -> list[Rule]:
+    """Unique and not-null rules for the key columns of the dictionary.
+
+    `keys` is what `catalog.primary_keys` gives, of the tables that rules are wanted for.
+    """
     rules = []
-    for entry in catalog:
-        if not entry.get("is_pk"):
-            continue
-        table, column = entry["table_name"], entry["column_name"]
+    rows = keys.select("table_name", "column_name", "position", module_of().alias("module")).distinct()
+    for r in rows.orderBy("table_name", "position").collect():
+        table, column = r["table_name"], r["column_name"]
         for kind, rule_type in (("unique", "uniqueness"), ("not_null", "not_null")):
             rules.append(
                 Rule(
-                    f"{kind}_{table}_{column}".lower(),
-                    f"{table}.{column} {kind}",
-                    entry.get("module", "ALL"),
-                    "ERROR",
-                    rule_type,
-                    table,
-                    column,
+                    f"{kind}_{table}_{column}".lower(), f"{table}.{column} {kind}", r["module"],
+                    "ERROR", rule_type, table, column,
                 )
             )
     return rules

@@ -28,7 +28,8 @@ CHECK_SCHEMA = (
 _VALUE = "decimal(38,9)"
 
 
-def _measure(check: Check) -> Column:
+def measure(check: Check) -> Column:
+    """The value a check takes of a table."""
     if check.check_type == "row_count":
         return F.count("*").cast(_VALUE)
     if check.check_type == "aggregate_balance":
@@ -57,7 +58,7 @@ def _side(tables: dict[str, DataFrame], checks: list[Check], side: str) -> list[
     for name, group in by_table.items():
         if name not in tables:
             raise ValueError(f"no {side} table {name}")
-        measures = [_measure(c).alias(f"m{i}") for i, c in group]
+        measures = [measure(c).alias(f"m{i}") for i, c in group]
         rows = F.array(
             *[
                 F.struct(F.lit(i).alias("check"), F.lit(side).alias("side"),
@@ -162,9 +163,9 @@ def compare_groups(source, target, by, count=True, sums=(), checksum=(), toleran
 def row_differences(source, target, key, columns) -> DataFrame:
     """Keys that are missing, extra, changed or repeated, with the changed columns.
 
-    Both sides are stacked and grouped by key: a repeated key is counted, not
-    paired with its copies, and reported as `repeated` when its rows differ
-    between the sides. `repeated_row_differences` lists those rows.
+    Both sides are stacked and grouped by key: rows of a repeated key are counted and
+    their digests summed, not paired, and the key is reported as `repeated` when that
+    differs between the sides. `multiset_differences` lists the rows.
     """
     key = list(key)
     stacked = source.select(*key, *columns, F.lit(1).alias("__s")).unionByName(
@@ -174,7 +175,10 @@ def row_differences(source, target, key, columns) -> DataFrame:
     aggs = [
         F.count_if(in_source).alias("source_rows"),
         F.count_if(~in_source).alias("target_rows"),
+        F.sum(F.when(in_source, F.col("__digest"))).alias("__s_digest"),
+        F.sum(F.when(~in_source, F.col("__digest"))).alias("__t_digest"),
     ]
+    stacked = stacked.withColumn("__digest", row_digest(list(columns)))
     for c in columns:
         aggs.append(F.max(F.when(in_source, F.col(c))).alias(f"__s_{c}"))
         aggs.append(F.max(F.when(~in_source, F.col(c))).alias(f"__t_{c}"))
@@ -185,10 +189,13 @@ def row_differences(source, target, key, columns) -> DataFrame:
         )
     )
     one_each = (F.col("source_rows") <= 1) & (F.col("target_rows") <= 1)
+    same_rows = (F.col("source_rows") == F.col("target_rows")) & (
+        F.col("__s_digest") == F.col("__t_digest")
+    )
     status = (
         F.when(F.col("target_rows") == 0, "missing")
         .when(F.col("source_rows") == 0, "extra")
-        .when(~one_each, "repeated")
+        .when(~one_each, F.when(~same_rows, "repeated"))
         .when(F.size(changed) > 0, "changed")
     )
     changed_text = F.when(status == "changed", F.array_join(changed, ",")).otherwise(F.lit(""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from closebook.model import DEFAULT_RULES, Rule
-from closebook.operators import quality, reconcile
+from closebook.operators import catalog, lineage, quality, reconcile
 from closebook.plans.migrate import migrate
 from closebook.plans.registry import money, query
 from closebook.session import scratch_path
@@ -86,7 +86,7 @@ SQL = {
     "hcm_unique_employee_num": _unique_sql(
         RULES["hcm_unique_employee_num"], "employee_number", "fx_people"),
     "hcm_valid_names": _row_sql(
-        RULES["hcm_valid_names"], "last_name IS NULL OR trim(last_name) = ''", "fx_people"),
+        RULES["hcm_valid_names"], "last_name IS NULL OR trim(last_name, ' ' || chr(160)) = ''", "fx_people"),
     "hcm_valid_hire_date": _row_sql(
         RULES["hcm_valid_hire_date"], "original_date_of_hire IS NULL", "fx_people"),
     "ap_known_vendor": _orphan_sql(
@@ -203,27 +203,26 @@ def dq_summary(t):
     return quality.summarize(report(t), ["module"])
 
 
-CATALOG = [
-    {"table_name": "AP_INVOICES_ALL", "column_name": "INVOICE_ID", "module": "AP", "is_pk": True},
-    {"table_name": "AP_INVOICES_ALL", "column_name": "VENDOR_ID", "module": "AP", "is_pk": False},
-    {"table_name": "GL_JE_HEADERS", "column_name": "JE_HEADER_ID", "module": "GL", "is_pk": True},
-    {"table_name": "GL_JE_LINES", "column_name": "JE_HEADER_ID", "module": "GL", "is_pk": True},
-    {"table_name": "PER_ALL_PEOPLE_F", "column_name": "PERSON_ID", "module": "HCM", "is_pk": True},
-]
-_VIEW = {"AP_INVOICES_ALL": "fx_ap_invoices", "GL_JE_HEADERS": "fx_gl_je_headers",
-         "GL_JE_LINES": "fx_gl_je_lines", "PER_ALL_PEOPLE_F": "fx_people"}
+def _key_rule(kind, rule_type, module, table, column):
+    return Rule(f"{kind}_{table}_{column}".lower(), f"{table}.{column} {kind}", module, "ERROR", rule_type, table, column)
 
 
-def _key_rule_sql(rule):
-    column, view = rule.column_name.lower(), _VIEW[rule.table_name]
-    if rule.rule_type == "uniqueness":
-        return _unique_sql(rule, column, view)
-    return _row_sql(rule, f"{column} IS NULL", view)
+KEY_SQL = [
+    _unique_sql(_key_rule("unique", "uniqueness", "AP", "AP_INVOICES_ALL", "INVOICE_ID"), "invoice_id", "fx_ap_invoices"),
+    _row_sql(_key_rule("not_null", "not_null", "AP", "AP_INVOICES_ALL", "INVOICE_ID"), "invoice_id IS NULL", "fx_ap_invoices"),
+    _unique_sql(_key_rule("unique", "uniqueness", "GL", "GL_JE_HEADERS", "JE_HEADER_ID"), "je_header_id", "fx_gl_je_headers"),
+    _row_sql(_key_rule("not_null", "not_null", "GL", "GL_JE_HEADERS", "JE_HEADER_ID"), "je_header_id IS NULL", "fx_gl_je_headers"),
+    _unique_sql(_key_rule("unique", "uniqueness", "GL", "GL_JE_LINES", "JE_HEADER_ID"), "je_header_id", "fx_gl_je_lines"),
+    _row_sql(_key_rule("not_null", "not_null", "GL", "GL_JE_LINES", "JE_HEADER_ID"), "je_header_id IS NULL", "fx_gl_je_lines"),
+    _unique_sql(_key_rule("unique", "uniqueness", "HCM", "PER_ALL_PEOPLE_F", "PERSON_ID"), "person_id", "fx_people"),
+    _row_sql(_key_rule("not_null", "not_null", "HCM", "PER_ALL_PEOPLE_F", "PERSON_ID"), "person_id IS NULL", "fx_people"),
+]
 
 
-@query("q_dq_from_catalog", "\nUNION ALL\n".join(map(_key_rule_sql, quality.key_rules(CATALOG))))
+@query("q_dq_from_catalog", "\nUNION ALL\n".join(KEY_SQL))
 def dq_from_catalog(t):
-    return quality.evaluate_rules("ALL", source_tables(t), quality.key_rules(CATALOG))
+    keys = catalog.primary_keys(t["fx_dict_constraints"], t["fx_dict_cons_columns"])
+    return quality.evaluate_rules("ALL", source_tables(t), quality.key_rules(keys))
 
 
 # ---- Reconciliation ----
@@ -381,21 +380,28 @@ def certificate(t):
     return reconcile.certificate(checks, "AP", "Aug-01", 2001, 8, "r1")
 
 
-COMPARED = ["invoice_num", "vendor_id", "invoice_date", "gl_date", "invoice_amount", "amount_paid",
-            "payment_status_flag"]
+COMPARED = ["invoice_num", "vendor_id", "invoice_amount", "payment_status_flag"]
+
 
+def _rows_of(view):
+    """Rows of each key as a sorted list of texts, with the number of them."""
+    row = " || '|' || ".join(f"COALESCE(CAST({c} AS VARCHAR), 'null')" for c in COMPARED)
+    return f"(SELECT invoice_id, count(*) AS n, list_sort(list({row})) AS r FROM {view} GROUP BY 1)"
 
-@query("q_recon_rowdiff", """
-SELECT COALESCE(s.invoice_id, x.invoice_id) AS invoice_id,
-       CASE WHEN x.invoice_id IS NULL THEN 'missing' WHEN s.invoice_id IS NULL THEN 'extra' ELSE 'changed' END AS status,
-       CASE WHEN x.invoice_id IS NULL OR s.invoice_id IS NULL THEN '' ELSE 'invoice_amount' END AS changed_columns,
-       CAST(CASE WHEN s.invoice_id IS NULL THEN 0 ELSE 1 END AS BIGINT) AS source_rows,
-       CAST(CASE WHEN x.invoice_id IS NULL THEN 0 ELSE 1 END AS BIGINT) AS target_rows
-FROM fx_ap_invoices s FULL JOIN fx_ap_invoices_tgt x ON s.invoice_id = x.invoice_id
-WHERE x.invoice_id IS NULL OR s.invoice_id IS NULL OR s.invoice_amount <> x.invoice_amount""")
+
+@query("q_recon_rowdiff", f"""
+SELECT * FROM (
+  SELECT COALESCE(s.invoice_id, x.invoice_id) AS invoice_id,
+         CASE WHEN x.invoice_id IS NULL THEN 'missing' WHEN s.invoice_id IS NULL THEN 'extra'
+              WHEN s.n > 1 OR x.n > 1 THEN CASE WHEN s.r <> x.r THEN 'repeated' END
+              WHEN s.r <> x.r THEN 'changed' END AS status,
+         CASE WHEN s.n = 1 AND x.n = 1 THEN 'invoice_amount' ELSE '' END AS changed_columns,
+         COALESCE(s.n, 0) AS source_rows, COALESCE(x.n, 0) AS target_rows
+  FROM {_rows_of('fx_ap_invoices_rep')} s FULL JOIN {_rows_of('fx_ap_invoices_rep_tgt')} x ON s.invoice_id = x.invoice_id)
+WHERE status IS NOT NULL""")
 def recon_rowdiff(t):
     return reconcile.row_differences(
-        t["fx_ap_invoices"], t["fx_ap_invoices_tgt"], ["invoice_id"], COMPARED
+        t["fx_ap_invoices_rep"], t["fx_ap_invoices_rep_tgt"], ["invoice_id"], COMPARED
     )
 
 
@@ -441,7 +447,7 @@ def migration_run(t):
     return migrate(
         t.spark, "AP", sources, scratch_path(t.spark, "migration"), period_year=2001, period_num=8,
         run_id="check",
-    )
+    ).drop("duration_seconds")
 
 
 @query("q_migration_ledger", """
@@ -461,4 +467,71 @@ def migration_ledger(t):
     return migrate(
         t.spark, "GL", sources, scratch_path(t.spark, "migration"), period_year=2001, period_num=8,
         run_id="check",
+    ).drop("duration_seconds")
+
+
+@query("q_migration_lost", """
+WITH h AS (SELECT * FROM fx_gl_je_headers WHERE status IN ('P', 'POSTED')),
+l AS (SELECT l.*, l.code_combination_id IN (SELECT code_combination_id FROM fx_gl_code_combinations WHERE code_combination_id % 50 <> 0) AS known
+      FROM fx_gl_je_lines l WHERE je_header_id IN (SELECT je_header_id FROM h)),
+b AS (SELECT b.code_combination_id IN (SELECT code_combination_id FROM fx_gl_code_combinations WHERE code_combination_id % 50 <> 0) AS known FROM fx_gl_balances b)
+SELECT 'row_count' AS check_type, 'Oracle GL_JE_HEADERS' AS source_label, CAST((SELECT count(*) FROM h) AS DOUBLE) AS source_value,
+       CAST((SELECT count(*) FROM h) AS DOUBLE) AS extract_value, CAST((SELECT count(*) FROM h) AS DOUBLE) AS target_value, true AS passed, 'FAILED' AS status
+UNION ALL
+SELECT 'row_count', 'Oracle GL_JE_LINES', CAST(count(*) AS DOUBLE), CAST(count(*) FILTER (known) AS DOUBLE), CAST(count(*) FILTER (known) AS DOUBLE), bool_and(known), 'FAILED' FROM l
+UNION ALL
+SELECT 'aggregate_balance', 'Oracle GL_JE_LINES.ACCOUNTED_DR', CAST(sum(accounted_dr) AS DOUBLE), CAST(sum(accounted_dr) FILTER (known) AS DOUBLE),
+       CAST(sum(accounted_dr) FILTER (known) AS DOUBLE), abs(sum(accounted_dr) - sum(accounted_dr) FILTER (known)) <= 0.01, 'FAILED' FROM l
+UNION ALL
+SELECT 'aggregate_balance', 'Oracle GL_JE_LINES.ACCOUNTED_CR', CAST(sum(accounted_cr) AS DOUBLE), CAST(sum(accounted_cr) FILTER (known) AS DOUBLE),
+       CAST(sum(accounted_cr) FILTER (known) AS DOUBLE), abs(sum(accounted_cr) - sum(accounted_cr) FILTER (known)) <= 0.01, 'FAILED' FROM l
+UNION ALL
+SELECT 'row_count', 'Oracle GL_BALANCES', CAST(count(*) AS DOUBLE), CAST(count(*) FILTER (known) AS DOUBLE), CAST(count(*) FILTER (known) AS DOUBLE), bool_and(known), 'FAILED' FROM b
+UNION ALL
+SELECT 'row_count', 'Oracle GL_CODE_COMBINATIONS', CAST(count(*) AS DOUBLE), CAST(count(*) AS DOUBLE), CAST(count(*) AS DOUBLE), true, 'FAILED'
+FROM fx_gl_code_combinations WHERE code_combination_id % 50 <> 0""")
+def migration_lost(t):
+    """A run whose lines and balances are partly on accounts the source no longer has."""
+    accounts = t["fx_gl_code_combinations"].where("code_combination_id % 50 <> 0")
+    sources = {
+        "GL_JE_HEADERS": t["fx_gl_je_headers"], "GL_JE_LINES": t["fx_gl_je_lines"],
+        "GL_BALANCES": t["fx_gl_balances"], "GL_CODE_COMBINATIONS": accounts,
+    }
+    lake = scratch_path(t.spark, "migration")
+    migrate(t.spark, "GL", sources, lake, run_id="check")
+    status = t.spark.read.parquet(f"{lake}/certificates").select("run_id", "status")
+    checks = t.spark.read.parquet(f"{lake}/checks").join(status, "run_id")
+    return checks.select(
+        "check_type", "source_label", money("source_value").alias("source_value"),
+        money("extract_value").alias("extract_value"), money("target_value").alias("target_value"),
+        "passed", "status",
     )
+
+
+@query("q_lineage_log", """
+SELECT * FROM (VALUES ('oracle.AP_INVOICES_ALL', 'bronze.ap_invoices', 'load_bronze'), ('oracle.AP_INVOICE_LINES_ALL', 'bronze.ap_invoice_lines', 'load_bronze'),
+                      ('oracle.AP_SUPPLIERS', 'bronze.ap_suppliers', 'load_bronze')) AS v(source, target, transformation)
+WHERE (SELECT count(*) FROM fx_ap_invoices WHERE org_id = 101) > 0""")
+def lineage_log(t):
+    """The edges a migration of one organization leaves in the lake."""
+    sources = {
+        "AP_INVOICES_ALL": t["fx_ap_invoices"], "AP_INVOICE_LINES_ALL": t["fx_ap_invoice_lines"],
+        "AP_SUPPLIERS": t["fx_ap_suppliers"],
+    }
+    lake = scratch_path(t.spark, "migration")
+    migrate(t.spark, "AP", sources, lake, org_id=101, run_id="check")
+    return t.spark.read.schema(lineage.EDGE_SCHEMA).parquet(f"{lake}/lineage")
+
+
+@query("q_run_timeline_own", """
+SELECT 'check' AS run_id, CAST(n AS BIGINT) AS event_id, e AS event_name, lag(e) OVER (ORDER BY n) AS previous_event, r AS rows
+FROM (SELECT * FROM (VALUES (1, 'MigrationStarted', NULL), (2, 'ExtractionComplete', NULL),
+        (3, 'LoadComplete', (SELECT count(*) FROM fx_people WHERE current_employee_flag = 'Y' AND effective_end_date = DATE '4712-12-31')),
+        (4, 'ReconciliationComplete', NULL),
+        (5, 'MigrationComplete', (SELECT count(*) FROM fx_people WHERE current_employee_flag = 'Y' AND effective_end_date = DATE '4712-12-31'))) AS v(n, e, r))""")
+def run_timeline_own(t):
+    """The timeline of the log a migration wrote."""
+    lake = scratch_path(t.spark, "migration")
+    migrate(t.spark, "HCM", {"PER_ALL_PEOPLE_F": t["fx_people"]}, lake, run_id="check")
+    events = t.spark.read.schema(lineage.RUN_EVENT_SCHEMA).parquet(f"{lake}/run_events")
+    return lineage.run_timeline(events).select("run_id", "event_id", "event_name", "previous_event", "rows")

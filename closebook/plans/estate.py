@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from closebook.functions.scalars import model_name
 from closebook.operators import catalog, codeaudit, compliance, lineage
 from closebook.plans.checks import REPORT_SQL, report
-from closebook.plans.extracts import RAW_INVOICES, raw_invoices
+from closebook.plans.extracts import raw_invoices
 from closebook.plans.registry import moment, money, query
+from closebook.session import scratch_path
 from closebook.streaming import cdc
 
 # ---- Catalog ----
@@ -40,33 +41,39 @@ MODULE_CASE = """CASE WHEN table_name LIKE 'GL\\_%' ESCAPE '\\' THEN 'GL' WHEN t
 
 
 @query("q_catalog_columns", f"""
-SELECT t.table_name, {MODULE_CASE.replace('table_name', 't.table_name')} AS module, c.columns, COALESCE(k.pk, '') AS primary_key, t.num_rows AS estimated_rows
+SELECT t.owner, t.table_name, {MODULE_CASE.replace('table_name', 't.table_name')} AS module, c.columns, COALESCE(k.pk, '') AS primary_key, t.num_rows AS estimated_rows
 FROM fx_catalog_tables t
-LEFT JOIN (SELECT table_name, string_agg(column_name || ' ' || data_type, ',' ORDER BY column_id) AS columns FROM fx_catalog_columns GROUP BY 1) c ON c.table_name = t.table_name
-LEFT JOIN (SELECT table_name, string_agg(column_name, ',' ORDER BY column_id) AS pk FROM fx_catalog_columns WHERE is_pk GROUP BY 1) k ON k.table_name = t.table_name
+LEFT JOIN (SELECT owner, table_name, string_agg(column_name || ' ' || data_type || ' ' || COALESCE(CAST(data_length AS VARCHAR), '-') || ' '
+                                              || COALESCE(CAST(data_precision AS VARCHAR) || '.' || CAST(data_scale AS VARCHAR), '-'), ',' ORDER BY column_id) AS columns
+           FROM fx_catalog_columns GROUP BY 1, 2) c ON c.owner = t.owner AND c.table_name = t.table_name
+LEFT JOIN (SELECT owner, table_name, string_agg(column_name, ',' ORDER BY column_id) AS pk FROM fx_catalog_columns WHERE is_pk GROUP BY 1, 2) k
+  ON k.owner = t.owner AND k.table_name = t.table_name
 WHERE t.table_name NOT LIKE 'BIN$%'""")
 def catalog_columns(t):
     keys = catalog.primary_keys(t["fx_constraints"], t["fx_cons_columns"])
     rows = catalog.schema_metadata(t["fx_catalog_tables"], t["fx_catalog_columns"], keys)
-    text = F.transform("columns", lambda c: F.concat(c["column_name"], F.lit(" "), c["data_type"]))
+    text = F.transform("columns", lambda c: F.concat_ws(
+        " ", c["column_name"], c["data_type"], F.coalesce(c["data_length"].cast("string"), F.lit("-")),
+        F.coalesce(F.concat(c["data_precision"].cast("string"), F.lit("."), c["data_scale"].cast("string")), F.lit("-")),
+    ))
     return rows.select(
-        "table_name", "module", F.array_join(text, ",").alias("columns"),
+        "owner", "table_name", "module", F.array_join(text, ",").alias("columns"),
         F.array_join("primary_key", ",").alias("primary_key"), "estimated_rows",
     )
 
 
 @query("q_classify", f"""
-SELECT t.table_name, {MODULE_CASE.replace('table_name', 't.table_name')} AS module, COALESCE(c.n, 0) AS column_count, t.num_rows AS estimated_rows
-FROM fx_catalog_tables t LEFT JOIN (SELECT table_name, count(*) AS n FROM fx_catalog_columns GROUP BY 1) c ON c.table_name = t.table_name
+SELECT t.owner, t.table_name, {MODULE_CASE.replace('table_name', 't.table_name')} AS module, COALESCE(c.n, 0) AS column_count, t.num_rows AS estimated_rows
+FROM fx_catalog_tables t LEFT JOIN (SELECT owner, table_name, count(*) AS n FROM fx_catalog_columns GROUP BY 1, 2) c ON c.owner = t.owner AND c.table_name = t.table_name
 WHERE t.table_name NOT LIKE 'BIN$%'""")
 def classify(t):
     return catalog.classify(t["fx_catalog_tables"], t["fx_catalog_columns"])
 
 
 @query("q_flexfields", """
-SELECT table_name, CASE WHEN contains(column_name, 'SEGMENT') THEN 'KFF' ELSE 'DFF' END AS flexfield_type,
+SELECT owner, table_name, CASE WHEN contains(column_name, 'SEGMENT') THEN 'KFF' ELSE 'DFF' END AS flexfield_type,
        count(*) AS column_count, string_agg(column_name, ',' ORDER BY column_id) AS columns
-FROM fx_catalog_columns WHERE contains(column_name, 'SEGMENT') OR contains(column_name, 'ATTRIBUTE') GROUP BY 1, 2""")
+FROM fx_catalog_columns WHERE contains(column_name, 'SEGMENT') OR contains(column_name, 'ATTRIBUTE') GROUP BY 1, 2, 3""")
 def flexfields(t):
     return catalog.flexfields(t["fx_catalog_columns"]).withColumn(
         "columns", F.array_join("columns", ",")
@@ -135,10 +142,27 @@ def relationships(t):
     return catalog.relationships(tables, {name: key for name, (_, key) in KEYED.items()})
 
 
+@query("q_key_descriptions", """
+SELECT owner, table_name, column_name,
+       concat_ws(' ', CASE WHEN is_pk THEN 'Primary key.' END,
+                 CASE column_name WHEN 'ORG_ID' THEN 'Foreign key to HR_ORGANIZATIONS.ORG_ID.' WHEN 'INVOICE_AMOUNT' THEN 'Foreign key to XX_LIMITS.AMOUNT.' END) AS description
+FROM fx_catalog_columns""")
+def key_descriptions(t):
+    targets = t["fx_catalog_columns"].withColumns({
+        "fk_target_table": F.when(F.col("column_name") == "ORG_ID", "HR_ORGANIZATIONS")
+        .when(F.col("column_name") == "INVOICE_AMOUNT", "XX_LIMITS"),
+        "fk_target_column": F.when(F.col("column_name") == "ORG_ID", "ORG_ID")
+        .when(F.col("column_name") == "INVOICE_AMOUNT", "AMOUNT"),
+    })
+    return targets.select(
+        "owner", "table_name", "column_name", catalog.key_description().alias("description")
+    )
+
+
 @query("q_cast_profile", """
 WITH r AS (
   SELECT invoice_id, invoice_num, vendor_id, CASE WHEN invoice_id % 41 = 0 THEN 'n/a' ELSE CAST(invoice_amount AS VARCHAR) END AS amount_text FROM fx_ap_invoices)
-SELECT 'invoice_num' AS column_name, 'VARCHAR2(50)' AS data_type, count(*) AS row_count, CAST(count(*) FILTER (invoice_num IS NULL) AS BIGINT) AS null_count,
+SELECT 'invoice_num' AS column_name, 'VARCHAR2' AS data_type, count(*) AS row_count, CAST(count(*) FILTER (invoice_num IS NULL) AS BIGINT) AS null_count,
        CAST(0 AS BIGINT) AS lost_count, CAST(count(*) FILTER (length(invoice_num) > 8) AS BIGINT) AS too_long_count FROM r
 UNION ALL
 SELECT 'invoice_amount', 'NUMBER(15,2)', count(*), CAST(0 AS BIGINT), CAST(count(*) FILTER (invoice_id % 41 = 0) AS BIGINT), CAST(0 AS BIGINT) FROM r
@@ -147,10 +171,9 @@ SELECT 'vendor_id', 'NUMBER(18,0)', count(*), CAST(count(*) FILTER (vendor_id IS
 UNION ALL
 SELECT 'invoice_date', 'DATE', count(*), CAST(0 AS BIGINT), CAST(count(*) FILTER (invoice_id % 43 = 0) AS BIGINT), CAST(0 AS BIGINT) FROM r""")
 def cast_profile(t):
-    types = dict(RAW_INVOICES)
-    columns = [("INVOICE_NUM", types["INVOICE_NUM"], 8)] + [
-        (c, types[c], None) for c in ("INVOICE_AMOUNT", "VENDOR_ID", "INVOICE_DATE")
-    ]
+    wanted = ("INVOICE_NUM", "INVOICE_AMOUNT", "VENDOR_ID", "INVOICE_DATE")
+    columns = catalog.table_columns(t["fx_dict_columns"], "AP", "AP_INVOICES_ALL")
+    columns = [c for c in columns if c[0] in wanted]
     return catalog.cast_profile(raw_invoices(t["fx_ap_invoices"]), columns)
 
 
@@ -178,7 +201,8 @@ def pii_columns(t):
 
 @query("q_mask_people", """
 SELECT sha256('pepper' || CAST(person_id AS VARCHAR)) AS person_id,
-       substr(email_address, 1, 1) || '***@' || split_part(email_address, '@', 2) AS email_address,
+       CASE WHEN contains(email_address, '@') THEN substr(email_address, 1, 1) || '***@' || split_part(email_address, '@', 2)
+            ELSE repeat('*', length(email_address)) END AS email_address,
        repeat('*', length(national_identifier) - 4) || right(national_identifier, 4) AS national_identifier,
        CAST(NULL AS VARCHAR) AS first_name, employee_number
 FROM fx_people""")
@@ -189,6 +213,23 @@ def mask_people(t):
     ).select("person_id", "email_address", "national_identifier", "first_name", "employee_number")
 
 
+@query("q_consent_latest", """
+SELECT person_id, arg_max(operation, (event_time, operation, details)) AS action, arg_max(details, (event_time, operation, details)) AS details,
+       strftime(max(event_time), '%Y-%m-%d %H:%M:%S') AS logged_at
+FROM (SELECT pk AS person_id, operation, table_name AS details, event_time FROM fx_cdc_events) GROUP BY 1""")
+def consent_latest(t):
+    """The newest action of each person, from a log written in two parts."""
+    path = scratch_path(t.spark, "consent")
+    actions = t["fx_cdc_events"].select(
+        F.col("pk").alias("person_id"), F.col("operation").alias("action"),
+        F.col("table_name").alias("details"), F.col("event_time").alias("logged_at"), "event_id",
+    )
+    for part in (0, 1):
+        compliance.log_consent(actions.where(F.col("event_id") % 2 == part).drop("event_id"), path)
+    latest = compliance.latest_consent(t.spark.read.parquet(path))
+    return latest.withColumn("logged_at", moment("logged_at"))
+
+
 def _pii_sql(table, column, by):
     parts = [
         f"""SELECT {by}, '{column}' AS column_name, '{kind}' AS pii_kind,
@@ -271,38 +312,95 @@ def plsql_summary(t):
 # ---- Change events ----
 
 
-@query("q_cdc_current", """
+CURRENT_SQL = """
 SELECT table_name, pk, operation, value, event_id, strftime(event_time, '%Y-%m-%d %H:%M:%S') AS event_time FROM (
   SELECT *, row_number() OVER (PARTITION BY table_name, pk ORDER BY event_time DESC, event_id DESC) AS rn FROM fx_cdc_events)
-WHERE rn = 1 AND operation <> 'DELETE'""")
+WHERE rn = 1 AND operation <> 'DELETE'"""
+
+
+@query("q_cdc_current", CURRENT_SQL)
 def cdc_current(t):
     return cdc.current_state(t["fx_cdc_events"]).select(
         "table_name", "pk", "operation", "value", "event_id", moment("event_time").alias("event_time")
     )
 
 
-@query("q_cdc_history", """
+HISTORY_SQL = """
 WITH v AS (
   SELECT table_name, pk, event_time, arg_max(operation, event_id) AS operation, arg_max(value, event_id) AS value FROM fx_cdc_events GROUP BY 1, 2, 3),
 w AS (SELECT *, lead(event_time) OVER (PARTITION BY table_name, pk ORDER BY event_time) AS nxt FROM v)
 SELECT table_name, pk, value, strftime(event_time, '%Y-%m-%d %H:%M:%S') AS valid_from,
        COALESCE(strftime(nxt, '%Y-%m-%d %H:%M:%S'), '4712-12-31 00:00:00') AS valid_to, nxt IS NULL AS is_current
-FROM w WHERE operation <> 'DELETE'""")
+FROM w WHERE operation <> 'DELETE'"""
+
+
+@query("q_cdc_history", HISTORY_SQL)
 def cdc_history(t):
     rows = cdc.history(t["fx_cdc_events"])
     return rows.withColumns({c: moment(c) for c in ("valid_from", "valid_to")})
 
 
-@query("q_cdc_volume", """
+@query("q_cdc_history_cut", HISTORY_SQL)
+def cdc_history_cut(t):
+    """The same with every history of more than 15 events cut into pieces."""
+    rows = cdc.history(t["fx_cdc_events"], task_rows=15)
+    return rows.withColumns({c: moment(c) for c in ("valid_from", "valid_to")})
+
+
+VOLUME_SQL = """
 SELECT strftime(time_bucket(INTERVAL '15 minutes', event_time), '%Y-%m-%d %H:%M:%S') AS window_start,
        strftime(time_bucket(INTERVAL '15 minutes', event_time) + INTERVAL '15 minutes', '%Y-%m-%d %H:%M:%S') AS window_end,
        stream_name, table_name, operation, count(*) AS events, CAST(sum(row_count) AS BIGINT) AS row_count
-FROM fx_cdc_events GROUP BY 1, 2, 3, 4, 5""")
+FROM fx_cdc_events GROUP BY 1, 2, 3, 4, 5"""
+
+
+@query("q_cdc_volume", VOLUME_SQL)
 def cdc_volume(t):
     rows = cdc.volume(t["fx_cdc_events"])
     return rows.withColumns({c: moment(c) for c in ("window_start", "window_end")})
 
 
+def _inbox(t) -> str:
+    """The change events as files of a folder, the newest ones first."""
+    path = scratch_path(t.spark, "changes")
+    events = t["fx_cdc_events"].select(
+        F.col("event_id").cast("bigint").alias("event_id"), "stream_name", "table_name", "operation",
+        F.col("pk").cast("bigint").alias("pk"), F.col("value").cast("double").alias("value"), "event_time",
+        F.col("row_count").cast("int").alias("row_count"),
+    )
+    for turn in (2, 1, 0):
+        events.where(F.col("event_id") % 3 == turn).write.mode("append").parquet(path)
+    return path
+
+
+def _ended(stream) -> None:
+    stream.awaitTermination()
+    if stream.exception():
+        raise stream.exception()
+
+
+@query("q_cdc_stream_state", CURRENT_SQL)
+def cdc_stream_state(t):
+    """The state of a stream over the same events, folded half way."""
+    inbox, out, check = _inbox(t), scratch_path(t.spark, "state"), scratch_path(t.spark, "offsets")
+    _ended(cdc.start_state(cdc.read_changes(t.spark, inbox, 4), out, check))
+    cdc.compact_state(t.spark, out)
+    # The same changes once more, by another checkpoint: the state stays what it is.
+    _ended(cdc.start_state(cdc.read_changes(t.spark, inbox), out, scratch_path(t.spark, "offsets")))
+    return cdc.read_state(t.spark, out).select(
+        "table_name", "pk", "operation", "value", "event_id", moment("event_time").alias("event_time")
+    )
+
+
+@query("q_cdc_stream_volume", VOLUME_SQL)
+def cdc_stream_volume(t):
+    """Volume windows of a stream over the same events, the newest ones first."""
+    out = scratch_path(t.spark, "volume")
+    _ended(cdc.start_volume(cdc.read_changes(t.spark, _inbox(t), 4), out, scratch_path(t.spark, "offsets")))
+    rows = cdc.read_volume(t.spark, out)
+    return rows.withColumns({c: moment(c) for c in ("window_start", "window_end")})
+
+
 @query("q_cdc_status", """
 SELECT stream_name, count(DISTINCT table_name) AS tables_synced, CAST(sum(row_count) AS BIGINT) AS rows_synced,
        strftime(max(event_time), '%Y-%m-%d %H:%M:%S') AS last_sync_time, CAST(0 AS BIGINT) AS error_count, 5 AS total_tables,

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from closebook.functions.scalars import join_segments, period_number, period_year
-from closebook.operators import layers
+from closebook.operators import catalog, layers
 from closebook.plans.registry import big, moment, money, query
-from closebook.sources import extract
+from closebook.session import scratch_path
+from closebook.sources import extract, files
 
 
 @query("q_gl_journals", """
@@ -78,9 +79,7 @@ SELECT b.ledger_id, b.code_combination_id, b.period_name, b.currency_code,
 FROM fx_gl_balances b JOIN fx_gl_code_combinations c ON b.code_combination_id = c.code_combination_id
 WHERE b.actual_flag = 'A' AND b.currency_code <> 'STAT'""")
 def gl_balances(t):
-    rows = extract.gl_balances(
-        t["fx_gl_balances"], t["fx_gl_code_combinations"], profile=t["fx_gl_je_lines"]
-    )
+    rows = extract.gl_balances(t["fx_gl_balances"], t["fx_gl_code_combinations"])
     return rows.select(
         "ledger_id", "code_combination_id", "period_name", "currency_code",
         money("begin_balance_net").alias("begin_net"), money("period_net").alias("period_net"),
@@ -107,7 +106,7 @@ SELECT l.je_header_id AS header_id, l.je_line_num AS line_num, l.code_combinatio
        CAST(l.accounted_cr AS DOUBLE) AS cr
 FROM fx_gl_je_lines l JOIN fx_gl_code_combinations c ON l.code_combination_id = c.code_combination_id""")
 def gl_resolve_lines(t):
-    raw = extract.lines_with_account(t["fx_gl_je_lines"], t["fx_gl_code_combinations"])
+    raw = extract.lines_with_account(t["fx_gl_je_lines"], t["fx_gl_code_combinations"], lists=True)
     return extract.resolve_journal_lines(raw).select(
         "header_id", "line_num", "account_id", F.col("concatenated_segments").alias("account"),
         F.size("segments").alias("segment_count"), money("accounted_dr.amount").alias("dr"),
@@ -192,25 +191,96 @@ SELECT i.invoice_id, i.invoice_num, i.vendor_id, strftime(i.invoice_date, '%Y-%m
        CAST(i.amount_paid AS DOUBLE) AS amount_paid, i.invoice_currency_code AS amount_paid_currency,
        i.invoice_currency_code, i.payment_status_flag,
        '{"org_id":' || CAST(i.org_id AS VARCHAR) || ',"set_of_books_id":' || CAST(i.set_of_books_id AS VARCHAR) || '}' AS context,
-       CAST(COALESCE(p.page, 0) AS INTEGER) AS page, CAST(0 AS INTEGER) AS part, CAST(COALESCE(p.n, 0) AS INTEGER) AS lines_count
+       COALESCE(p.n, 0) AS lines_count
 FROM fx_ap_invoices i
-LEFT JOIN (SELECT invoice_id, (line_number - 1) // 1000 AS page,
-                  count(DISTINCT (line_number, amount, description, dist_code_combination_id)) AS n
-           FROM fx_ap_invoice_lines GROUP BY 1, 2) p ON p.invoice_id = i.invoice_id""")
+LEFT JOIN (SELECT invoice_id, count(*) AS n FROM fx_ap_invoice_lines_rough GROUP BY 1) p ON p.invoice_id = i.invoice_id""")
 def bronze_flatten(t):
+    return layers.flatten(extract.resolve_invoices(t["fx_ap_invoices"], t["fx_ap_invoice_lines_rough"]))
+
+
+@query("q_ap_invoice_pages", """
+WITH d AS (
+  SELECT invoice_id, COALESCE((line_number - 1) // 1000, -1) AS page, line_number, amount, description, dist_code_combination_id, count(*) AS copies
+  FROM fx_ap_invoice_lines_rough GROUP BY ALL)
+SELECT d.invoice_id, CAST(d.page AS INTEGER) AS page, CAST(0 AS INTEGER) AS part, CAST(sum(copies) AS BIGINT) AS line_count,
+       CAST(count(*) AS INTEGER) AS entries, CAST(sum(amount * copies) AS DOUBLE) AS amount, min(i.invoice_currency_code) AS currency
+FROM d JOIN (SELECT DISTINCT invoice_id, invoice_currency_code FROM fx_ap_invoices) i ON i.invoice_id = d.invoice_id
+GROUP BY 1, 2""")
+def ap_invoice_pages(t):
     pages = extract.line_pages(
-        t["fx_ap_invoice_lines"], "invoice_id", "line_number",
+        t["fx_ap_invoice_lines_rough"], "invoice_id", "line_number",
         ["amount", "description", "dist_code_combination_id"],
     )
-    invoices = extract.resolve_invoices(t["fx_ap_invoices"], pages, t["fx_ap_invoice_lines"])
-    return layers.flatten(invoices)
+    resolved = extract.resolve_invoice_pages(t["fx_ap_invoices"], pages)
+    amount = F.aggregate(
+        "lines", F.lit(0).cast("decimal(38,2)"),
+        lambda acc, x: (acc + x["amount"]["amount"] * x["copies"]).cast("decimal(38,2)"),
+    )
+    return resolved.select(
+        "invoice_id", "page", "part", "line_count", F.size("lines").alias("entries"),
+        money(amount).alias("amount"), F.col("lines")[0]["amount"]["currency"].alias("currency"),
+    )
+
+
+# ---- Scoped extracts ----
+
+SCOPE = {"period": "Jan-95", "ledger_id": 2001}
+_IN_SCOPE = "period_name = 'Jan-95' AND ledger_id = 2001"
+
+
+@query("q_gl_journals_scoped", f"""
+SELECT h.je_header_id, b.batch_name, h.period_name, h.ledger_id, COALESCE(t.n, 0) AS line_count,
+       COALESCE(t.dr, 0.0) AS total_dr, COALESCE(t.cr, 0.0) AS total_cr
+FROM fx_gl_je_headers h JOIN fx_gl_je_batches b ON h.je_batch_id = b.je_batch_id
+LEFT JOIN (SELECT l.je_header_id, count(*) AS n, CAST(sum(accounted_dr) AS DOUBLE) AS dr, CAST(sum(accounted_cr) AS DOUBLE) AS cr
+           FROM fx_gl_je_lines l JOIN fx_gl_code_combinations c ON l.code_combination_id = c.code_combination_id
+           GROUP BY l.je_header_id) t ON t.je_header_id = h.je_header_id
+WHERE h.status IN ('P', 'POSTED') AND {_IN_SCOPE}""")
+def gl_journals_scoped(t):
+    rows = extract.journals_with_line_totals(
+        t["fx_gl_je_headers"], t["fx_gl_je_batches"], t["fx_gl_je_lines"],
+        t["fx_gl_code_combinations"], **SCOPE,
+    )
+    return rows.select(
+        "je_header_id", "batch_name", "period_name", "ledger_id", "line_count",
+        money("total_dr").alias("total_dr"), money("total_cr").alias("total_cr"),
+    )
 
 
-RAW_INVOICES = [
-    ("INVOICE_ID", "NUMBER(18,0)"), ("INVOICE_NUM", "VARCHAR2(50)"), ("VENDOR_ID", "NUMBER(18,0)"),
-    ("INVOICE_AMOUNT", "NUMBER(15,2)"), ("INVOICE_DATE", "DATE"), ("RATE", "BINARY_DOUBLE"),
-    ("ORG_ID", "INTEGER"),
-]
+@query("q_gl_lines_scoped", f"""
+SELECT l.je_header_id, l.je_line_num, l.code_combination_id, h.ledger_id, h.period_name, CAST(l.accounted_dr AS DOUBLE) AS accounted_dr
+FROM fx_gl_je_lines l JOIN fx_gl_je_headers h ON l.je_header_id = h.je_header_id
+JOIN fx_gl_code_combinations c ON l.code_combination_id = c.code_combination_id
+WHERE h.status IN ('P', 'POSTED') AND {_IN_SCOPE}""")
+def gl_lines_scoped(t):
+    rows = extract.journal_lines(
+        t["fx_gl_je_lines"], t["fx_gl_code_combinations"], t["fx_gl_je_headers"], **SCOPE
+    )
+    return rows.select(
+        "je_header_id", "je_line_num", "code_combination_id", "ledger_id", "period_name",
+        money("accounted_dr").alias("accounted_dr"),
+    )
+
+
+@query("q_gl_balances_scoped", f"""
+SELECT b.ledger_id, b.code_combination_id, b.period_name, CAST(begin_balance_dr - begin_balance_cr + period_net_dr - period_net_cr AS DOUBLE) AS end_net
+FROM fx_gl_balances b JOIN fx_gl_code_combinations c ON b.code_combination_id = c.code_combination_id
+WHERE b.actual_flag = 'A' AND b.currency_code <> 'STAT' AND {_IN_SCOPE}""")
+def gl_balances_scoped(t):
+    rows = extract.gl_balances(t["fx_gl_balances"], t["fx_gl_code_combinations"], **SCOPE)
+    return rows.select(
+        "ledger_id", "code_combination_id", "period_name", money("end_balance_net").alias("end_net")
+    )
+
+
+@query("q_ap_invoices_scoped", """
+SELECT i.invoice_id, i.org_id, COALESCE(t.n, 0) AS line_count, COALESCE(t.s, 0.0) AS line_total
+FROM fx_ap_invoices i
+LEFT JOIN (SELECT invoice_id, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS s FROM fx_ap_invoice_lines GROUP BY 1) t ON t.invoice_id = i.invoice_id
+WHERE i.org_id = 102""")
+def ap_invoices_scoped(t):
+    rows = extract.invoices_with_line_totals(t["fx_ap_invoices"], t["fx_ap_invoice_lines"], 102)
+    return rows.select("invoice_id", "org_id", "line_count", money("line_total").alias("line_total"))
 
 
 def raw_invoices(invoices):
@@ -237,7 +307,8 @@ STAGED_SQL = """
 
 @query("q_staging_cast", STAGED_SQL)
 def staging_cast(t):
-    staged = layers.staging(raw_invoices(t["fx_ap_invoices"]), RAW_INVOICES)
+    columns = catalog.table_columns(t["fx_dict_columns"], "AP", "AP_INVOICES_ALL")
+    staged = layers.staging(raw_invoices(t["fx_ap_invoices"]), columns)
     return staged.withColumns(
         {
             "invoice_id": big("invoice_id"), "vendor_id": big("vendor_id"),
@@ -246,15 +317,11 @@ def staging_cast(t):
     )
 
 
-RAW_ACCOUNTS = [("CODE_COMBINATION_ID", "NUMBER(18,0)")] + [
-    (f"SEGMENT{i}", "VARCHAR2(25)") for i in range(1, 6)
-]
-
-
 def staged_accounts(t):
+    columns = catalog.table_columns(t["fx_dict_columns"], "GL", "GL_CODE_COMBINATIONS")
     raw = t["fx_gl_code_combinations"]
-    raw = raw.select(*[F.col(n.lower()).cast("string").alias(n) for n, _ in RAW_ACCOUNTS])
-    return layers.staging(raw, RAW_ACCOUNTS)
+    raw = raw.select(*[F.col(n.lower()).cast("string").alias(n) for n, *_ in columns])
+    return layers.staging(raw, columns)
 
 
 @query("q_intermediate", """
@@ -267,6 +334,49 @@ def intermediate(t):
     )
 
 
+@query("q_export_files", """
+SELECT 'good' AS kind, invoice_id, CAST(invoice_amount AS DOUBLE) AS amount, CAST(NULL AS VARCHAR) AS line
+FROM fx_ap_invoices WHERE invoice_id % 41 <> 0
+UNION ALL
+SELECT 'bad', NULL, NULL, CAST(invoice_id AS VARCHAR) || ',oops' FROM fx_ap_invoices WHERE invoice_id % 41 = 0""")
+def export_files(t):
+    """Export files, some lines of them unreadable, read back and parted."""
+    path = scratch_path(t.spark, "export")
+    line = F.concat(
+        F.col("invoice_id").cast("string"), F.lit(","),
+        F.when(F.col("invoice_id") % 41 == 0, "oops").otherwise(F.col("invoice_amount").cast("string")),
+    )
+    header = t.spark.createDataFrame([("invoice_id,amount",)], "value string")
+    header.coalesce(1).unionByName(t["fx_ap_invoices"].select(line.alias("value"))).write.text(path)
+    good, bad = files.split_export(
+        files.read_export(t.spark, path, "invoice_id bigint, amount decimal(18,2)")
+    )
+    return good.select(
+        F.lit("good").alias("kind"), "invoice_id", money("amount").alias("amount"),
+        F.lit(None).cast("string").alias("line"),
+    ).unionByName(bad.select(
+        F.lit("bad").alias("kind"), F.lit(None).cast("bigint").alias("invoice_id"),
+        F.lit(None).cast("double").alias("amount"), F.col(files.CORRUPT).alias("line"),
+    ))
+
+
+@query("q_sink_rerun", """
+SELECT org_id, count(*) AS invoices, CAST(sum(invoice_amount) AS DOUBLE) AS amount FROM fx_ap_invoices WHERE org_id <> 103 GROUP BY 1""")
+def sink_rerun(t):
+    """A lake table after a second load of one organization that has no invoice left."""
+    path = scratch_path(t.spark, "sink")
+    rows = t["fx_ap_invoices"].select("org_id", "invoice_id", "invoice_amount")
+    files.load_table(rows, path, ["org_id"], whole=True)
+    files.load_table(
+        rows.where("org_id = 103 AND invoice_id < 0"), path, ["org_id"],
+        scope=lambda table: table.where("org_id = 103"),
+    )
+    loaded = files.read_table(t.spark, path, rows)
+    return loaded.groupBy("org_id").agg(
+        F.count("*").alias("invoices"), F.sum("invoice_amount").alias("amount")
+    ).withColumn("amount", money("amount"))
+
+
 @query("q_mart_union", """
 SELECT 'stg_ap_invoices' AS source_table, invoice_id, vendor_id, CAST(NULL AS INTEGER) AS line_number, CAST(invoice_amount AS DOUBLE) AS amount, CAST(NULL AS VARCHAR) AS vendor_name FROM fx_ap_invoices
 UNION ALL
@@ -276,13 +386,13 @@ SELECT 'stg_ap_suppliers', NULL, vendor_id, NULL, NULL, vendor_name FROM fx_ap_s
 def mart_union(t):
     return layers.mart_union(
         {
-            "stg_ap_invoices": t["fx_ap_invoices"].select(
+            "AP_INVOICES_ALL": t["fx_ap_invoices"].select(
                 "invoice_id", "vendor_id", money("invoice_amount").alias("amount")
             ),
-            "stg_ap_invoice_lines": t["fx_ap_invoice_lines"].select(
+            "AP_INVOICE_LINES_ALL": t["fx_ap_invoice_lines"].select(
                 "invoice_id", "line_number", money("amount").alias("amount")
             ),
-            "stg_ap_suppliers": t["fx_ap_suppliers"].select("vendor_id", "vendor_name"),
+            "AP_SUPPLIERS": t["fx_ap_suppliers"].select("vendor_id", "vendor_name"),
         }
     )
 

@@ -29,7 +29,7 @@ POSTED_SQL = """
   SELECT h.ledger_id, h.period_name, l.code_combination_id, l.currency_code,
          COALESCE(sum(l.accounted_dr), 0) AS dr, COALESCE(sum(l.accounted_cr), 0) AS cr, count(*) AS n
   FROM fx_gl_je_lines l JOIN fx_gl_je_headers h ON l.je_header_id = h.je_header_id
-  WHERE h.status IN ('P', 'POSTED') AND h.period_name IS NOT NULL
+  WHERE h.status IN ('P', 'POSTED')
   GROUP BY 1, 2, 3, 4"""
 
 
@@ -44,11 +44,15 @@ def gl_period_totals(t):
 
 PROOF_SQL = f"""
   SELECT b.ledger_id, b.code_combination_id, b.currency_code, b.period_name,
-         CAST(b.begin_balance_dr - b.begin_balance_cr + COALESCE(p.dr - p.cr, 0) AS DECIMAL(38,2)) AS expected_end,
-         CAST(b.reported_end_balance AS DECIMAL(38,2)) AS reported_end
-  FROM fx_gl_balances b LEFT JOIN ({POSTED_SQL}) p
+         b.begin_balance_dr - b.begin_balance_cr + COALESCE(p.dr - p.cr, 0) AS expected_end, b.reported_end_balance AS reported_end
+  FROM fx_gl_balances_close b LEFT JOIN ({POSTED_SQL}) p
     ON b.ledger_id = p.ledger_id AND b.code_combination_id = p.code_combination_id
-   AND b.currency_code = p.currency_code AND b.period_name = p.period_name"""
+   AND b.currency_code = p.currency_code AND b.period_name IS NOT DISTINCT FROM p.period_name"""
+
+
+def exact(column):
+    """A decimal of any scale as double for output."""
+    return F.col(column).cast("double")
 
 
 @query("q_gl_balance_proof", f"""
@@ -57,19 +61,20 @@ SELECT ledger_id, code_combination_id, currency_code, period_name, CAST(expected
        abs(expected_end - reported_end) < 0.01 AS proved
 FROM ({PROOF_SQL})""")
 def gl_balance_proof(t):
-    rows = finance.balance_proof(t["fx_gl_balances"], t["fx_gl_je_headers"], t["fx_gl_je_lines"])
-    return rows.withColumns({c: money(c) for c in ("expected_end", "reported_end", "difference")})
+    rows = finance.balance_proof(t["fx_gl_balances_close"], t["fx_gl_je_headers"], t["fx_gl_je_lines"])
+    return rows.withColumns({c: exact(c) for c in ("expected_end", "reported_end", "difference")})
 
 
 @query("q_gl_close", f"""
-SELECT x.ledger_id, x.period_name, CAST(x.net AS DOUBLE) AS discrepancy_amount, x.line_count, COALESCE(y.accounts, 0) AS accounts,
-       COALESCE(y.bad, 0) AS accounts_not_proved, abs(x.net) < 0.01 AND COALESCE(y.bad, 0) = 0 AS is_balanced
+SELECT COALESCE(x.ledger_id, y.ledger_id) AS ledger_id, COALESCE(x.period_name, y.period_name) AS period_name,
+       CAST(COALESCE(x.net, 0) AS DOUBLE) AS discrepancy_amount, COALESCE(x.line_count, 0) AS line_count, COALESCE(y.accounts, 0) AS accounts,
+       COALESCE(y.bad, 0) AS accounts_not_proved, abs(COALESCE(x.net, 0)) < 0.01 AND COALESCE(y.bad, 0) = 0 AS is_balanced
 FROM (SELECT ledger_id, period_name, sum(dr) - sum(cr) AS net, CAST(sum(n) AS BIGINT) AS line_count FROM ({POSTED_SQL}) GROUP BY 1, 2) x
-LEFT JOIN (SELECT ledger_id, period_name, count(*) AS accounts,
+FULL JOIN (SELECT ledger_id, period_name, count(*) AS accounts,
                   CAST(sum(CASE WHEN abs(expected_end - reported_end) < 0.01 THEN 0 ELSE 1 END) AS BIGINT) AS bad
-           FROM ({PROOF_SQL}) GROUP BY 1, 2) y ON x.ledger_id = y.ledger_id AND x.period_name = y.period_name""")
+           FROM ({PROOF_SQL}) GROUP BY 1, 2) y ON x.ledger_id = y.ledger_id AND x.period_name IS NOT DISTINCT FROM y.period_name""")
 def gl_close(t):
-    rows = finance.period_close(t["fx_gl_je_headers"], t["fx_gl_je_lines"], t["fx_gl_balances"])
+    rows = finance.period_close(t["fx_gl_je_headers"], t["fx_gl_je_lines"], t["fx_gl_balances_close"])
     return rows.withColumn("discrepancy_amount", money("discrepancy_amount"))
 
 
@@ -93,15 +98,14 @@ def ap_duplicates(t):
 
 @query("q_ap_outliers", """
 WITH s AS (
-  SELECT vendor_id, count(invoice_amount) AS n, CAST(sum(invoice_amount) AS DOUBLE) AS total,
-         CAST(sum(CAST(invoice_amount AS DECIMAL(18,2)) * CAST(invoice_amount AS DECIMAL(18,2))) AS DOUBLE) AS squares
-  FROM fx_ap_invoices WHERE vendor_id IS NOT NULL GROUP BY 1)
+  SELECT vendor_id, avg(CAST(invoice_amount AS DOUBLE)) AS mean, stddev_samp(CAST(invoice_amount AS DOUBLE)) AS spread
+  FROM fx_ap_invoices_regular WHERE vendor_id IS NOT NULL AND invoice_amount IS NOT NULL
+  GROUP BY 1 HAVING min(invoice_amount) < max(invoice_amount))
 SELECT i.invoice_id, i.vendor_id, CAST(i.invoice_amount AS DOUBLE) AS invoice_amount
-FROM fx_ap_invoices i JOIN s ON i.vendor_id = s.vendor_id
-WHERE s.n > 1 AND abs(CAST(i.invoice_amount AS DOUBLE) - s.total / s.n)
-      > 3.0 * sqrt(greatest(0.0, s.squares - s.total * s.total / s.n) / (s.n - 1))""")
+FROM fx_ap_invoices_regular i JOIN s ON i.vendor_id = s.vendor_id
+WHERE abs(CAST(i.invoice_amount AS DOUBLE) - s.mean) > 3.0 * s.spread""")
 def ap_outliers(t):
-    return finance.outlier_invoices(t["fx_ap_invoices"]).select(
+    return finance.outlier_invoices(t["fx_ap_invoices_regular"]).select(
         "invoice_id", "vendor_id", money("invoice_amount").alias("invoice_amount")
     )
 

@@ -7,11 +7,11 @@ totals of its lines; `line_pages` nests lines in arrays of bounded size.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from closebook.functions.scalars import AMOUNT, join_segments
-from closebook.functions.skew import salted_join
+from closebook.functions.skew import checked_join
 from closebook.model import END_OF_TIME, POSTED_STATUSES
 
 SEGMENTS = [f"segment{i}" for i in range(1, 6)]
@@ -68,15 +68,41 @@ def posted_headers(headers: DataFrame, period: str | None = None, ledger_id: int
 def journal_headers(headers, batches, period=None, ledger_id=None) -> DataFrame:
     """Posted headers with the name of their batch; headers without a batch drop out."""
     posted = posted_headers(headers, period, ledger_id)
-    return salted_join(posted, batches, "je_batch_id", profile=headers)
+    return checked_join(posted, batches, "je_batch_id")
 
 
-def lines_with_account(lines: DataFrame, accounts: DataFrame, profile=None) -> DataFrame:
-    """Journal or balance rows with the segments of their account."""
+def segment_list(present) -> Column:
+    """Account segments that are there, as (number, name, value)."""
+    if not present:
+        return F.array().cast("array<struct<segment_num:int,segment_name:string,segment_value:string>>")
+    return F.array_compact(
+        F.array(
+            *[
+                F.when(
+                    F.col(s).isNotNull() & (F.col(s) != ""),
+                    F.struct(
+                        F.lit(int(s[-1])).alias("segment_num"),
+                        F.lit(s.capitalize()).alias("segment_name"),
+                        F.col(s).cast("string").alias("segment_value"),
+                    ),
+                )
+                for s in present
+            ]
+        )
+    )
+
+
+def lines_with_account(lines: DataFrame, accounts: DataFrame, lists=False) -> DataFrame:
+    """Journal or balance rows with the segments of their account.
+
+    With `lists` also the segment list: it hangs on the account alone, so it is built
+    once per account and not once per line.
+    """
+    more = [segment_list(SEGMENTS).alias("segments")] if lists else []
     dims = accounts.select(
-        "code_combination_id", *SEGMENTS, join_segments(*SEGMENTS).alias("concatenated_segments")
+        "code_combination_id", *SEGMENTS, join_segments(*SEGMENTS).alias("concatenated_segments"), *more
     )
-    return salted_join(lines, dims, "code_combination_id", profile=profile)
+    return checked_join(lines, dims, "code_combination_id")
 
 
 def journal_lines(lines, accounts, headers, period=None, ledger_id=None) -> DataFrame:
@@ -84,22 +110,23 @@ def journal_lines(lines, accounts, headers, period=None, ledger_id=None) -> Data
     scope = posted_headers(headers, period, ledger_id).select(
         "je_header_id", "ledger_id", "period_name"
     )
-    wanted = salted_join(lines, scope.dropDuplicates(["je_header_id"]), "je_header_id")
-    return lines_with_account(wanted, accounts, profile=lines)
+    wanted = checked_join(lines, scope.dropDuplicates(["je_header_id"]), "je_header_id")
+    return lines_with_account(wanted, accounts)
 
 
 def journals_with_line_totals(
     headers, batches, lines, accounts, period=None, ledger_id=None
 ) -> DataFrame:
-    """One row per posted journal; journals without lines keep zero totals."""
+    """One row per posted journal; journals without lines keep zero totals.
+
+    Lines of other journals go before they are grouped; join and grouping share a shuffle.
+    """
     head = journal_headers(headers, batches, period, ledger_id)
-    if period is None and ledger_id is None:
-        # Most headers are wanted: the last join drops the others.
-        found = salted_join(
-            lines, accounts.select("code_combination_id"), "code_combination_id", "left_semi"
-        )
-    else:
-        found = journal_lines(lines, accounts, headers, period, ledger_id)
+    known = checked_join(
+        lines, accounts.select("code_combination_id"), "code_combination_id", "left_semi"
+    )
+    scope = posted_headers(headers, period, ledger_id).select("je_header_id")
+    found = checked_join(known, scope, "je_header_id", "left_semi")
     totals = found.groupBy("je_header_id").agg(
         F.count("*").alias("line_count"),
         F.sum("accounted_dr").alias("total_dr"),
@@ -158,29 +185,15 @@ def resolve_journal_lines(raw: DataFrame) -> DataFrame:
         return F.when(F.col(name).isNotNull(), value).alias(name)
 
     present = [s for s in SEGMENTS if s in have]
-    segments = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    F.col(s).isNotNull() & (F.col(s) != ""),
-                    F.struct(
-                        F.lit(int(s[-1])).alias("segment_num"),
-                        F.lit(s.capitalize()).alias("segment_name"),
-                        F.col(s).cast("string").alias("segment_value"),
-                    ),
-                )
-                for s in present
-            ]
-        )
-    ) if present else F.array().cast(
-        "array<struct<segment_num:int,segment_name:string,segment_value:string>>"
-    )
+    segments = F.col("segments") if "segments" in have else segment_list(present)
+    joined = "concatenated_segments" if "concatenated_segments" in have else None
     return raw.select(
         F.col("je_header_id").alias("header_id"),
         first(0, "je_line_num", "line_num").cast("int").alias("line_num"),
         first(0, "code_combination_id").cast("bigint").alias("account_id"),
         segments.alias("segments"),
-        (join_segments(*present) if present else F.lit("")).alias("concatenated_segments"),
+        (F.col(joined) if joined else join_segments(*present) if present else F.lit(""))
+        .alias("concatenated_segments"),
         money("entered_dr"),
         money("entered_cr"),
         money("accounted_dr"),
@@ -190,16 +203,19 @@ def resolve_journal_lines(raw: DataFrame) -> DataFrame:
     )
 
 
-def gl_balances(balances, accounts, period=None, ledger_id=None, profile=None) -> DataFrame:
-    """Actual balances outside the statistical currency, with net begin and end.
-
-    `profile` is a cheaper table with the same hot accounts, such as the lines.
-    """
+def actual_balances(balances, period=None, ledger_id=None) -> DataFrame:
+    """Actual balances outside the statistical currency."""
     rows = balances.where((F.col("actual_flag") == "A") & (F.col("currency_code") != "STAT"))
     if period is not None:
         rows = rows.where(F.col("period_name") == period)
     if ledger_id is not None:
         rows = rows.where(F.col("ledger_id") == ledger_id)
+    return rows
+
+
+def gl_balances(balances, accounts, period=None, ledger_id=None) -> DataFrame:
+    """Actual balances outside the statistical currency, with net begin and end."""
+    rows = actual_balances(balances, period, ledger_id)
 
     def amount(name):
         return F.coalesce(name, F.lit(0).cast(balances.schema[name].dataType))
@@ -209,7 +225,7 @@ def gl_balances(balances, accounts, period=None, ledger_id=None, profile=None) -
     with_net = rows.withColumns(
         {"begin_balance_net": begin, "period_net": net, "end_balance_net": begin + net}
     )
-    return lines_with_account(with_net, accounts, profile)
+    return lines_with_account(with_net, accounts)
 
 
 # ---- Payables ----
@@ -225,18 +241,22 @@ def ap_invoices(invoices: DataFrame, org_id: int | None = None) -> DataFrame:
 def ap_invoice_lines(lines: DataFrame, invoices: DataFrame, org_id: int | None = None):
     """Invoice lines whose header is in the extract."""
     ids = ap_invoices(invoices, org_id).select("invoice_id")
-    return salted_join(lines, ids, "invoice_id", "left_semi")
+    return checked_join(lines, ids, "invoice_id", "left_semi")
 
 
 def ap_invoice_lines_with_org(lines, invoices, org_id=None) -> DataFrame:
     """The same lines with the organization of their header."""
     orgs = ap_invoices(invoices, org_id).select("invoice_id", "org_id")
-    return salted_join(lines, orgs.dropDuplicates(["invoice_id"]), "invoice_id")
+    return checked_join(lines, orgs.dropDuplicates(["invoice_id"]), "invoice_id")
 
 
 def invoices_with_line_totals(invoices, lines, org_id=None) -> DataFrame:
-    """One row per invoice with totals of its lines; invoices without lines stay."""
-    totals = lines.groupBy("invoice_id").agg(
+    """One row per invoice with totals of its lines; invoices without lines stay.
+
+    Lines of other organizations go before they are grouped.
+    """
+    wanted = lines if org_id is None else ap_invoice_lines(lines, invoices, org_id)
+    totals = wanted.groupBy("invoice_id").agg(
         F.count("*").alias("line_count"),
         F.sum("amount").alias("line_total"),
         F.min("line_number").alias("first_line"),
@@ -251,18 +271,35 @@ def invoices_with_line_totals(invoices, lines, org_id=None) -> DataFrame:
     )
 
 
-def resolve_invoices(raw: DataFrame, pages: DataFrame, profile=None) -> DataFrame:
-    """Raw headers and their line pages to invoices, one row per page of lines.
+def _invoice_money(column: str, currency: str = "invoice_currency_code") -> Column:
+    return F.struct(F.col(column).cast(AMOUNT).alias("amount"), F.col(currency).alias("currency")).alias(column)
+
+
+def resolve_invoices(raw: DataFrame, lines: DataFrame, org_id: int | None = None) -> DataFrame:
+    """Raw headers to invoices, one row each, with the number of their lines.
 
-    An invoice without lines gets one row with an empty list. `profile` is the
-    table the pages were made of.
+    The lines themselves stay a table of their own (`resolve_invoice_pages`): one invoice
+    may have more of them than a row can hold.
     """
-    def money(c):
-        return F.struct(
-            F.col(c).cast(AMOUNT).alias("amount"),
-            F.col("invoice_currency_code").alias("currency"),
-        ).alias(c)
+    rows = invoices_with_line_totals(raw, lines, org_id)
+    return rows.select(
+        "invoice_id", "invoice_num", "vendor_id", "invoice_date", "gl_date",
+        _invoice_money("invoice_amount"), _invoice_money("amount_paid"), "invoice_currency_code",
+        "payment_status_flag",
+        F.struct(
+            F.col("org_id").cast("bigint").alias("org_id"),
+            F.col("set_of_books_id").cast("bigint").alias("set_of_books_id"),
+        ).alias("context"),
+        F.col("line_count").alias("lines_count"),
+    )
+
 
+def resolve_invoice_pages(raw: DataFrame, pages: DataFrame) -> DataFrame:
+    """Pages of invoice lines with amounts in the currency of their invoice.
+
+    Equal lines are one entry with its number of `copies`; `line_count` counts them all.
+    """
+    currency = ap_invoices(raw).select("invoice_id", "invoice_currency_code").dropDuplicates(["invoice_id"])
     lines = F.transform(
         "lines",
         lambda x: F.struct(
@@ -273,52 +310,42 @@ def resolve_invoices(raw: DataFrame, pages: DataFrame, profile=None) -> DataFram
             ).alias("amount"),
             x["description"].alias("description"),
             x["dist_code_combination_id"].alias("dist_code_combination_id"),
+            x["copies"].alias("copies"),
         ),
     )
-    headers, pages = ap_invoices(raw), pages.select("invoice_id", "page", "part", "lines")
-    with_lines = salted_join(
-        pages, headers, "invoice_id", profile=profile, salt_by=["invoice_id", "page", "part"]
-    )
-    have_lines = (pages if profile is None else profile).select("invoice_id").distinct()
-    without = headers.join(have_lines, "invoice_id", "left_anti")
-    joined = with_lines.unionByName(without, allowMissingColumns=True)
-    return joined.select(
-        "invoice_id", "invoice_num", "vendor_id", "invoice_date", "gl_date",
-        money("invoice_amount"), money("amount_paid"), "invoice_currency_code",
-        "payment_status_flag",
-        F.struct(
-            F.col("org_id").cast("bigint").alias("org_id"),
-            F.col("set_of_books_id").cast("bigint").alias("set_of_books_id"),
-        ).alias("context"),
-        F.coalesce("page", F.lit(0)).alias("page"),
-        F.coalesce("part", F.lit(0)).alias("part"),
-        F.coalesce(lines, F.array()).alias("lines"),
+    return checked_join(pages, currency, "invoice_id").select(
+        "invoice_id", "page", "part", "line_count", lines.alias("lines")
     )
 
 
+#: Page of lines without a number.
+NO_NUMBER = -1
+
+
 def line_pages(
     lines: DataFrame, key: str, number: str, fields: list[str], page_size: int = 1000
 ) -> DataFrame:
     """Lines nested under their header in pages of `page_size` line numbers.
 
-    Equal copies are counted first and kept as one entry with its number of
-    copies. A page of more than twice `page_size` lines, as numbers repeat, is
-    split by hash into parts of about `page_size`. So neither a long document
-    nor a flood of copies or of one number makes a row or a task large.
+    Equal copies are counted first and kept as one entry with its number of copies. As
+    numbers repeat or are null (page -1), a page may still have many entries: it has a
+    part for every `2 * page_size` of them, and a hash deals them out. So neither a long
+    document nor a flood of copies, of one number or of none makes a row or a task large.
     """
     entry = [number, *[f for f in fields if f != number]]
     page = F.call_function("div", F.col(number) - 1, F.lit(page_size)).cast("int")
-    paged = lines.withColumn("page", page)
-    distinct = paged.groupBy(key, "page", *entry).agg(F.count("*").alias("copies"))
-    overfull = (
-        paged.groupBy(key, "page").agg(F.count("*").alias("n"))
-        .where(F.col("n") > 2 * page_size)
-        .select(key, "page", F.ceil(F.col("n") / page_size).alias("parts"))
+    distinct = (
+        lines.withColumn("page", F.coalesce(page, F.lit(NO_NUMBER)))
+        .groupBy(key, "page", *entry).agg(F.count("*").alias("copies"))
+    )
+    sizes = distinct.groupBy(F.col(key).alias("__key"), F.col("page").alias("__page")).agg(
+        F.ceil(F.count("*") / (2 * page_size)).alias("__parts")
     )
-    split = salted_join(distinct, overfull, [key, "page"], "left", profile=paged, salt_by=entry)
-    part = F.pmod(F.xxhash64(*entry), F.coalesce("parts", F.lit(1))).cast("int")
+    same = F.col(key).eqNullSafe(F.col("__key")) & (F.col("page") == F.col("__page"))
+    part = F.pmod(F.xxhash64(*entry), F.col("__parts")).cast("int")
     return (
-        split.withColumn("part", part)
+        distinct.join(sizes, same)
+        .withColumn("part", part)
         .groupBy(key, "page", "part")
         .agg(
             F.sort_array(F.collect_list(F.struct(*entry, "copies"))).alias("lines"),
@@ -376,6 +403,6 @@ def resolve_org_id(orgs: DataFrame, name: str) -> DataFrame:
 def with_org_context(rows: DataFrame, orgs: DataFrame) -> DataFrame:
     """Rows with the ledger and set of books of their organization, null when unknown."""
     context = orgs.select("org_id", "set_of_books_id", "ledger_id", "org_name")
-    return salted_join(
+    return checked_join(
         rows.drop("set_of_books_id", "ledger_id", "org_name"), context, "org_id", "left"
     )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,21 +12,27 @@ CORRUPT = "_corrupt_record"
 
 
 def read_export(spark: SparkSession, path: str, schema: str, fmt: str = "csv", **options):
-    """Legacy export files with a declared schema.
+    """Legacy export files with a declared schema, one record a line.
 
-    A line that does not fit keeps its text in `_corrupt_record`, so nothing
-    is lost on the way in; `split_export` parts the two.
+    Lines are read as text and parsed by expression. One that does not fit keeps its text in
+    `_corrupt_record`, so nothing is lost on the way in and the bad lines alone can be read,
+    counted or written; `split_export` parts the two. A CSV line that is the list of the
+    schema's columns is a header; blank lines are none.
     """
-    reader = (
-        spark.read.schema(f"{schema}, {CORRUPT} string")
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-    )
+    if fmt not in ("csv", "json"):
+        raise ValueError(f"no line format {fmt}")
+    fields = f"{schema}, {CORRUPT} string"
+    own = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, **options}
+    lines = spark.read.text(path).where(F.trim("value") != "")
     if fmt == "csv":
-        reader = reader.option("header", "true").option("enforceSchema", "false")
-    for key, value in options.items():
-        reader = reader.option(key, value)
-    return reader.format(fmt).load(path)
+        names = [f.name for f in spark.createDataFrame([], schema).schema]
+        separator = options.get("sep", ",")
+        plain = F.regexp_replace(F.lower("value"), '["\\s]', "")
+        lines = lines.where(plain != separator.join(n.lower() for n in names))
+        parsed = F.from_csv("value", fields, own)
+    else:
+        parsed = F.from_json("value", fields, own)
+    return lines.select(parsed.alias("row")).select("row.*")
 
 
 def split_export(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -33,13 +42,17 @@ def split_export(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, bad
 
 
-def load_table(df: DataFrame, path: str, partition_by=(), whole=False) -> None:
+def load_table(
+    df: DataFrame, path: str, partition_by=(), whole=False,
+    scope: Callable[[DataFrame], DataFrame] | None = None,
+) -> None:
     """Write rows to a lake table; a run that is repeated leaves the same rows.
 
-    With `partition_by`, only the partitions the rows fall in are replaced,
-    unless `whole` says the rows are the whole table. The rebalance hint then
-    gathers the rows of a partition value and lets AQE split a value that holds
-    most of them into even files. Without it rows are written where they are.
+    With `partition_by`, only the partitions the rows fall in are replaced, unless `whole`
+    says the rows are the whole table. `scope` picks from the table what a run stands for:
+    partitions in it that no longer get any row are removed. The rebalance hint gathers the
+    rows of a partition value and lets AQE split a value that holds most of them into even
+    files. Without `partition_by` rows are written where they are.
     """
     parts = list(partition_by)
     rows = df.hint("rebalance", *parts) if parts else df
@@ -47,7 +60,31 @@ def load_table(df: DataFrame, path: str, partition_by=(), whole=False) -> None:
     out = rows.write.mode("overwrite").option("partitionOverwriteMode", mode)
     if parts:
         out = out.partitionBy(*parts)
+    before = _files(df.sparkSession, path, df, scope) if mode == "dynamic" and scope else set()
     out.parquet(path)
+    if before:
+        # Files of a replaced partition are new ones: those that are still there are stale.
+        remove(df.sparkSession, before & _files(df.sparkSession, path, df, scope))
+
+
+def _files(spark: SparkSession, path: str, like: DataFrame, scope) -> set[str]:
+    """Files of a lake table that hold rows of the scope; none before the first load."""
+    try:
+        table = scope(read_table(spark, path, like))
+        return {r[0] for r in table.select("_metadata.file_path").distinct().collect()}
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return set()
+
+
+def remove(spark: SparkSession, paths) -> None:
+    """Remove files or folders, wherever the session's file systems have them."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = hadoop.Path(path)
+        at.getFileSystem(conf).delete(at, True)
 
 
 def read_table(spark: SparkSession, path: str, like: DataFrame | None = None) -> DataFrame:

@@ -46,6 +46,21 @@ SELECT l_orderkey AS invoice_id, l_linenumber AS line_number,
        CAST(l_extendedprice AS DECIMAL(18,2)) AS amount,
        l_returnflag AS description, l_partkey AS dist_code_combination_id
 FROM lineitem""",
+    # Equal copies of lines, and lines without a number.
+    "fx_ap_invoice_lines_rough": """
+SELECT invoice_id, CASE WHEN invoice_id % 41 = 0 THEN NULL ELSE line_number END AS line_number,
+       amount, description, dist_code_combination_id
+FROM fx_ap_invoice_lines
+UNION ALL
+SELECT invoice_id, CASE WHEN invoice_id % 41 = 0 THEN NULL ELSE line_number END,
+       amount, description, dist_code_combination_id
+FROM fx_ap_invoice_lines WHERE invoice_id % 37 = 0""",
+    # Vendors that always bill the same amount.
+    "fx_ap_invoices_regular": """
+SELECT invoice_id, vendor_id, invoice_amount FROM fx_ap_invoices
+UNION ALL
+SELECT invoice_id + 200000000, 800000000 + invoice_id % 40, CAST(0.10 AS DECIMAL(18,2))
+FROM fx_ap_invoices WHERE invoice_id % 5 = 0""",
     "fx_ap_suppliers": """
 SELECT c_custkey AS vendor_id, c_name AS vendor_name, CAST(c_custkey AS STRING) AS segment1, 'Y' AS enabled_flag
 FROM customer""",
@@ -87,11 +102,23 @@ SELECT n.*, 'A' AS actual_flag, CAST(code_combination_id % 1000 AS DECIMAL(18,2)
             + CASE WHEN code_combination_id % 20 = 0 THEN 0.01 WHEN code_combination_id % 21 = 0 THEN 5.00 ELSE 0.00 END
             AS DECIMAL(18,2)) AS reported_end_balance
 FROM n""",
+    # Amounts of three decimals, some off by 0.008; a period with balances only, some of one
+    # account more than once, and a period that has lost its balances.
+    "fx_gl_balances_close": """
+SELECT ledger_id, code_combination_id, currency_code, period_name,
+       CAST(begin_balance_dr AS DECIMAL(18,3)) AS begin_balance_dr, CAST(begin_balance_cr AS DECIMAL(18,3)) AS begin_balance_cr,
+       CAST(reported_end_balance + CASE WHEN code_combination_id % 22 = 0 THEN 0.008 ELSE 0.000 END AS DECIMAL(18,3)) AS reported_end_balance
+FROM fx_gl_balances WHERE period_name <> 'Feb-95'
+UNION ALL
+SELECT ledger_id, code_combination_id, currency_code, 'Adj-99', CAST(begin_balance_dr AS DECIMAL(18,3)),
+       CAST(begin_balance_cr AS DECIMAL(18,3)), CAST(begin_balance_dr + code_combination_id % 3 AS DECIMAL(18,3))
+FROM fx_gl_balances WHERE code_combination_id % 10 = 0""",
     "fx_people": """
 SELECT c_custkey AS person_id,
        'EMP' || CAST(CASE WHEN c_custkey % 100 = 99 THEN c_custkey - 1 ELSE c_custkey END AS STRING) AS employee_number,
-       c_mktsegment AS first_name, CASE WHEN c_custkey % 97 = 0 THEN '  ' ELSE c_name END AS last_name,
-       lower(c_mktsegment) || CAST(c_custkey AS STRING) || '@example.com' AS email_address,
+       c_mktsegment AS first_name, CASE WHEN c_custkey % 97 = 0 THEN '  ' WHEN c_custkey % 79 = 0 THEN chr(160) || ' ' ELSE c_name END AS last_name,
+       CASE WHEN c_custkey % 83 = 0 THEN 'no address ' || CAST(c_custkey AS STRING)
+            ELSE lower(c_mktsegment) || CAST(c_custkey AS STRING) || '@example.com' END AS email_address,
        CAST(1000000000 + c_custkey AS STRING) AS national_identifier,
        CASE WHEN c_custkey % 89 = 0 THEN NULL ELSE DATE '2020-03-15' END AS original_date_of_hire,
        CASE WHEN c_custkey % 10 = 0 THEN 'N' ELSE 'Y' END AS current_employee_flag,
@@ -115,6 +142,17 @@ SELECT invoice_id, line_number,
        CAST(amount + CASE WHEN invoice_id % 613 = 0 THEN 0.50 ELSE 0.00 END AS DECIMAL(18,2)) AS amount,
        description, dist_code_combination_id
 FROM fx_ap_invoice_lines""",
+    # Both sides with repeated keys, some repeats changed on the way.
+    "fx_ap_invoices_rep": """
+SELECT invoice_id, invoice_num, vendor_id, invoice_amount, payment_status_flag FROM fx_ap_invoices
+UNION ALL
+SELECT invoice_id, invoice_num, vendor_id, invoice_amount, payment_status_flag FROM fx_ap_invoices WHERE invoice_id % 29 = 0""",
+    "fx_ap_invoices_rep_tgt": """
+SELECT invoice_id, invoice_num, vendor_id, invoice_amount, payment_status_flag FROM fx_ap_invoices_tgt
+UNION ALL
+SELECT invoice_id, invoice_num, vendor_id,
+       CAST(invoice_amount + CASE WHEN invoice_id % 58 = 0 THEN 1.00 ELSE 0.00 END AS DECIMAL(18,2)), payment_status_flag
+FROM fx_ap_invoices_tgt WHERE invoice_id % 29 = 0""",
     "fx_plsql_objects": """
 SELECT 'APPS' AS schema_name, 'PROC_' || CAST(p_partkey AS STRING) AS object_name,
        CASE p_partkey % 6
@@ -128,8 +166,9 @@ FROM part""",
     # The source dictionary: eight columns per table, one table per eight parts.
     "fx_catalog_columns": """
 WITH k AS (
-  SELECT p_partkey % 8 AS slot, CAST((p_partkey - p_partkey % 8) / 8 AS BIGINT) AS tno FROM part)
-SELECT CASE tno % 9 WHEN 0 THEN 'GL_CODE_COMBINATIONS' WHEN 1 THEN 'GL_JE_LINES' WHEN 2 THEN 'AP_INVOICES_ALL'
+  SELECT p_partkey % 8 AS slot, CAST((p_partkey - p_partkey % 8) / 8 AS BIGINT) AS tno FROM part),
+o AS (SELECT 'APPS' AS owner, slot, tno FROM k UNION ALL SELECT 'XX', slot, tno FROM k WHERE tno % 10 = 0 AND slot < 4)
+SELECT owner, CASE tno % 9 WHEN 0 THEN 'GL_CODE_COMBINATIONS' WHEN 1 THEN 'GL_JE_LINES' WHEN 2 THEN 'AP_INVOICES_ALL'
                     WHEN 3 THEN 'AP_SUPPLIERS' WHEN 4 THEN 'PER_ALL_PEOPLE_F' WHEN 5 THEN 'PAY_ACTIONS'
                     WHEN 6 THEN 'FND_LOBS' WHEN 7 THEN 'BIN$X' ELSE 'XX_AP_STAGE' END
          || '_' || CAST(tno AS STRING) || CASE WHEN tno % 2 = 0 THEN '_ALL' ELSE '' END AS table_name,
@@ -149,22 +188,54 @@ SELECT CASE tno % 9 WHEN 0 THEN 'GL_CODE_COMBINATIONS' WHEN 1 THEN 'GL_JE_LINES'
                  WHEN 6 THEN CASE tno % 3 WHEN 0 THEN 'INTEGER' WHEN 1 THEN 'BINARY_DOUBLE' ELSE 'CHAR(30)' END
                  ELSE CASE tno % 4 WHEN 0 THEN 'BLOB' WHEN 1 THEN 'LONG RAW' WHEN 2 THEN 'ROWID' ELSE 'XMLTYPE' END
        END AS data_type,
+       CAST(CASE slot WHEN 1 THEN 25 WHEN 2 THEN 150 END AS INT) AS data_length,
+       CAST(CASE slot WHEN 4 THEN 15 END AS INT) AS data_precision, CAST(CASE slot WHEN 4 THEN 2 END AS INT) AS data_scale,
        CASE WHEN slot IN (0, 4, 5) THEN 'N' ELSE 'Y' END AS nullable,
        slot = 0 OR (slot = 4 AND tno % 10 = 0) AS is_pk
-FROM k""",
+FROM o""",
     "fx_catalog_tables": """
-SELECT DISTINCT 'APPS' AS owner, table_name, CAST(length(table_name) * 1000 AS BIGINT) AS num_rows
+SELECT DISTINCT owner, table_name, CAST(length(table_name) * 1000 AS BIGINT) AS num_rows
 FROM fx_catalog_columns""",
     "fx_constraints": """
-SELECT DISTINCT 'APPS' AS owner, 'PK_' || table_name AS constraint_name, 'P' AS constraint_type
+SELECT DISTINCT owner, 'PK_' || table_name AS constraint_name, 'P' AS constraint_type
 FROM fx_catalog_columns WHERE is_pk
 UNION ALL
-SELECT DISTINCT 'APPS', 'CK_' || table_name, 'C' FROM fx_catalog_columns WHERE nullable = 'N'""",
+SELECT DISTINCT owner, 'CK_' || table_name, 'C' FROM fx_catalog_columns WHERE nullable = 'N'""",
     "fx_cons_columns": """
-SELECT 'APPS' AS owner, 'PK_' || table_name AS constraint_name, table_name, column_name, column_id AS position
+SELECT owner, 'PK_' || table_name AS constraint_name, table_name, column_name, column_id AS position
 FROM fx_catalog_columns WHERE is_pk
 UNION ALL
-SELECT 'APPS', 'CK_' || table_name, table_name, column_name, column_id FROM fx_catalog_columns WHERE nullable = 'N'""",
+SELECT owner, 'CK_' || table_name, table_name, column_name, column_id FROM fx_catalog_columns WHERE nullable = 'N'""",
+    # The dictionary's entries for the tables above, as the source keeps them.
+    "fx_dict_columns": """
+SELECT 'AP' AS owner, 'AP_INVOICES_ALL' AS table_name, 1 AS column_id, 'INVOICE_ID' AS column_name, 'NUMBER' AS data_type,
+       22 AS data_length, 18 AS data_precision, 0 AS data_scale, 'N' AS nullable
+UNION ALL SELECT 'AP', 'AP_INVOICES_ALL', 2, 'INVOICE_NUM', 'VARCHAR2', 8, NULL, NULL, 'Y'
+UNION ALL SELECT 'AP', 'AP_INVOICES_ALL', 3, 'VENDOR_ID', 'NUMBER', 22, 18, 0, 'Y'
+UNION ALL SELECT 'AP', 'AP_INVOICES_ALL', 4, 'INVOICE_AMOUNT', 'NUMBER', 22, 15, 2, 'Y'
+UNION ALL SELECT 'AP', 'AP_INVOICES_ALL', 5, 'INVOICE_DATE', 'DATE', 7, NULL, NULL, 'Y'
+UNION ALL SELECT 'AP', 'AP_INVOICES_ALL', 6, 'RATE', 'BINARY_DOUBLE', 8, NULL, NULL, 'Y'
+UNION ALL SELECT 'AP', 'AP_INVOICES_ALL', 7, 'ORG_ID', 'INTEGER', 22, NULL, NULL, 'Y'
+UNION ALL SELECT 'XX', 'AP_INVOICES_ALL', 1, 'OTHER_ID', 'NUMBER', 22, 18, 0, 'N'
+UNION ALL SELECT 'GL', 'GL_CODE_COMBINATIONS', 1, 'CODE_COMBINATION_ID', 'NUMBER', 22, 18, 0, 'N'
+UNION ALL SELECT 'GL', 'GL_CODE_COMBINATIONS', 2, 'SEGMENT1', 'VARCHAR2', 25, NULL, NULL, 'Y'
+UNION ALL SELECT 'GL', 'GL_CODE_COMBINATIONS', 3, 'SEGMENT2', 'VARCHAR2', 25, NULL, NULL, 'Y'
+UNION ALL SELECT 'GL', 'GL_CODE_COMBINATIONS', 4, 'SEGMENT3', 'VARCHAR2', 25, NULL, NULL, 'Y'
+UNION ALL SELECT 'GL', 'GL_CODE_COMBINATIONS', 5, 'SEGMENT4', 'VARCHAR2', 25, NULL, NULL, 'Y'
+UNION ALL SELECT 'GL', 'GL_CODE_COMBINATIONS', 6, 'SEGMENT5', 'VARCHAR2', 25, NULL, NULL, 'Y'""",
+    "fx_dict_constraints": """
+SELECT 'AP' AS owner, 'AP_INVOICES_PK' AS constraint_name, 'P' AS constraint_type
+UNION ALL SELECT 'AP', 'AP_INVOICES_NN', 'C'
+UNION ALL SELECT 'GL', 'GL_JE_HEADERS_PK', 'P'
+UNION ALL SELECT 'GL', 'GL_JE_LINES_PK', 'P'
+UNION ALL SELECT 'HR', 'PER_PEOPLE_PK', 'P'""",
+    "fx_dict_cons_columns": """
+SELECT 'AP' AS owner, 'AP_INVOICES_PK' AS constraint_name, 'AP_INVOICES_ALL' AS table_name, 'INVOICE_ID' AS column_name, 1 AS position
+UNION ALL SELECT 'AP', 'AP_INVOICES_NN', 'AP_INVOICES_ALL', 'VENDOR_ID', 1
+UNION ALL SELECT 'GL', 'GL_JE_HEADERS_PK', 'GL_JE_HEADERS', 'JE_HEADER_ID', 1
+UNION ALL SELECT 'GL', 'GL_JE_LINES_PK', 'GL_JE_LINES', 'JE_HEADER_ID', 1
+UNION ALL SELECT 'XX', 'GL_JE_LINES_PK', 'GL_JE_LINES', 'JE_LINE_NUM', 2
+UNION ALL SELECT 'HR', 'PER_PEOPLE_PK', 'PER_ALL_PEOPLE_F', 'PERSON_ID', 1""",
     # One source, bronze and silver table per part; facts per size and marts per brand.
     "fx_lineage_edges": """
 SELECT 'oracle.T' || CAST(p_partkey AS STRING) AS source, 'bronze.t' || CAST(p_partkey AS STRING) AS target, 'load_bronze' AS transformation FROM part
@@ -238,10 +309,8 @@ class Tables:
         if name not in self._known:
             if name in VIEWS:
                 inputs = {t: self[t] for t in self._inputs(VIEWS[name])}
-                text = re.sub(
-                    r"\b(" + "|".join(inputs) + r")\b", lambda m: "{" + m.group(1) + "}",
-                    VIEWS[name],
-                )
+                named = r"\b(" + "|".join(inputs) + r")\b" if inputs else r"(?!)"
+                text = re.sub(named, lambda m: "{" + m.group(1) + "}", VIEWS[name])
                 self._known[name] = self.spark.sql(text, **inputs)
             else:
                 self._known[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from closebook.functions.skew import with_neighbor
 from closebook.model import CDC_TABLES, END_OF_TIME, ENTITIES, REPLICATION_MODES
+from closebook.sources.files import remove
 
 KEYS = ["table_name", "pk"]
 ORDER = ["event_time", "event_id"]
@@ -43,7 +44,7 @@ def with_backfill(snapshot: DataFrame, events: DataFrame) -> DataFrame:
     return inserts.unionByName(events, allowMissingColumns=True)
 
 
-def history(events: DataFrame, keys=KEYS, order=ORDER, values=("value",)) -> DataFrame:
+def history(events: DataFrame, keys=KEYS, order=ORDER, values=("value",), task_rows=None) -> DataFrame:
     """Date-effective versions: each holds from its event to the next of its key.
 
     Events of one key at the same instant make one version, the last by id. A
@@ -52,7 +53,7 @@ def history(events: DataFrame, keys=KEYS, order=ORDER, values=("value",)) -> Dat
     """
     at = order[0]
     rows = events.select(*keys, *order, "operation", *values)
-    followed = with_neighbor(rows, keys, order, {"next_time": at}, profile=events)
+    followed = with_neighbor(rows, keys, order, {"next_time": at}, task_rows=task_rows)
     last_of_instant = F.col("next_time").isNull() | (F.col("next_time") > F.col(at))
     end = F.lit(END_OF_TIME).cast("timestamp_ntz")
     return followed.where(last_of_instant & (F.col("operation") != "DELETE")).select(
@@ -150,36 +151,27 @@ def trigger_for(mode: str, interval="900 seconds") -> dict:
     return {"processingTime": interval} if mode == "continuous" else {"availableNow": True}
 
 
-def start_volume(changes, path, checkpoint, *, lateness="1 hour", width="900 seconds",
-                 mode="incremental", interval="900 seconds"):
-    """Stream of finished volume windows; events later than the watermark are dropped."""
-    counted = volume(changes.withWatermark("event_time", lateness), width)
-    return (
-        counted.writeStream.outputMode("append").format("parquet")
-        .option("path", path).option("checkpointLocation", checkpoint)
-        .trigger(**trigger_for(mode, interval)).start()
-    )
+# A folder is replaced whole, partitions that no longer get rows too.
+_WHOLE = ("partitionOverwriteMode", "static")
 
 
-def start_state(changes, path, checkpoint, *, keys=KEYS, order=ORDER, mode="incremental",
-                interval="900 seconds"):
-    """Stream that keeps the newest event per key in a table of deltas.
+def _stream(checkpoint: str) -> str:
+    """Short name of a checkpoint: batch numbers belong to it."""
+    return "s" + hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
-    Each micro-batch writes its newest events to its own partition and
-    replaces it when the batch is run again, then logs itself as done; the work
-    is that of the batch, not of the table. `read_state` merges on read and
-    `compact_state` folds deltas into a base. Batch numbers belong to a
-    checkpoint: with a new one the changes are read from the start, which
-    gives the same state again.
+
+def _start(changes, path, checkpoint, prepare, parts, mode, interval):
+    """Stream whose micro-batches each replace a folder of their own, then mark it done.
+
+    A batch that runs again gives the same folder; one that has not ended is not read.
     """
-    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+    stream = _stream(checkpoint)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        latest_per_key(batch, keys, order).write.mode("overwrite").parquet(
-            f"{path}/delta/stream={stream}/batch_id={batch_id}"
-        )
-        done = batch.sparkSession.createDataFrame([(stream, batch_id)], _DONE)
-        done.coalesce(1).write.mode("append").parquet(f"{path}/done")
+        at = f"stream={stream}/batch_id={batch_id}"
+        prepare(batch).write.mode("overwrite").option(*_WHOLE).partitionBy(*parts).parquet(f"{path}/delta/{at}")
+        mark = batch.sparkSession.createDataFrame([(batch_id,)], "mark bigint")
+        mark.coalesce(1).write.mode("overwrite").parquet(f"{path}/done/{at}")
 
     return (
         changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
@@ -187,69 +179,181 @@ def start_state(changes, path, checkpoint, *, keys=KEYS, order=ORDER, mode="incr
     )
 
 
-_DONE = "stream string, batch_id bigint"
-_FOLDED = "version bigint, stream string, batch_id bigint"
-
-
-def _log(spark: SparkSession, path: str, schema: str):
-    """A small log table, None before its first row."""
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table of the stream, empty before its first row."""
     try:
-        return spark.read.schema(schema).parquet(path)
+        return spark.read.schema(schema).option("basePath", path).parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return None
+        return spark.createDataFrame([], schema)
 
 
-def _folded(spark: SparkSession, path: str) -> tuple[int, dict[str, int]]:
-    """Version of the base, and the last batch of each stream in it; 0 without a base."""
-    log = _log(spark, f"{path}/folded", _FOLDED)
-    if log is None:
-        return 0, {}
-    version = log.agg(F.max("version")).first()[0]
-    return version, {r["stream"]: r["batch_id"] for r in log.where(F.col("version") == version).collect()}
+_BATCH = "stream string, batch_id bigint"
 
 
-def _done(spark: SparkSession, path: str) -> dict[str, int]:
-    """Last finished batch of each stream; one row per checkpoint ever used."""
-    log = _log(spark, f"{path}/done", _DONE)
-    if log is None:
-        return {}
-    return dict(log.groupBy("stream").agg(F.max("batch_id")).collect())
+def _finished(spark: SparkSession, path: str, folded: dict[str, int]) -> dict[str, int]:
+    """Last finished batch of each stream, of those that are not folded yet."""
+    done = _read(spark, f"{path}/done", f"mark bigint, {_BATCH}")
+    last = dict(done.groupBy("stream").agg(F.max("batch_id")).collect())
+    return {s: n for s, n in last.items() if n > folded.get(s, -1)}
 
 
-def _merged(spark, path, keys, order, done, version, folded) -> DataFrame:
-    """Newest event per key of the base and of finished deltas that are not in it."""
+def _open_deltas(spark, path, schema, finished, folded) -> DataFrame:
+    """Rows of finished batches that are in no base; unread folders are pruned."""
     wanted = F.lit(False)
-    for stream, last in done.items():
+    for stream, last in finished.items():
         wanted = wanted | (
-            (F.col("stream") == stream) & (F.col("batch_id") > folded.get(stream, -1))
-            & (F.col("batch_id") <= last)
+            (F.col("stream") == stream) & F.col("batch_id").between(folded.get(stream, -1) + 1, last)
         )
-    events = spark.read.parquet(f"{path}/delta").where(wanted).drop("stream", "batch_id")
-    if version:
-        events = events.unionByName(spark.read.parquet(f"{path}/base/version={version}"))
-    return latest_per_key(events, keys, order)
+    return _read(spark, f"{path}/delta", schema).where(wanted)
+
+
+# ---- Volume ----
+
+VOLUME_SCHEMA = (
+    "window_start timestamp, window_end timestamp, stream_name string, table_name string, "
+    "events bigint, row_count bigint"
+)
+
+
+def start_volume(changes, path, checkpoint, *, width="900 seconds", mode="incremental",
+                 interval="900 seconds"):
+    """Stream of volume windows: each micro-batch adds what it counted.
+
+    Counts are summed on read (`read_volume`), so an event counts however late it comes.
+    """
+    return _start(changes, path, checkpoint, lambda b: volume(b, width), ["operation"], mode, interval)
+
+
+def read_volume(spark: SparkSession, path: str) -> DataFrame:
+    """Events and changed rows per window, table and operation of all finished batches."""
+    deltas = _open_deltas(
+        spark, path, f"{VOLUME_SCHEMA}, {_BATCH}, operation string", _finished(spark, path, {}), {}
+    )
+    by = ["window_start", "window_end", "stream_name", "table_name", "operation"]
+    return deltas.groupBy(*by).agg(
+        F.sum("events").alias("events"), F.sum("row_count").alias("row_count")
+    )
+
+
+# ---- State ----
 
+# Parts of a state table, by a hash of the key; the same for the life of a table.
+BUCKETS = 64
+# The event time as streams have it.
+STATE_SCHEMA = ENTITIES["cdc_event"].replace("timestamp_ntz", "timestamp")
 
-def read_state(spark: SparkSession, path: str, keys=KEYS, order=ORDER) -> DataFrame:
-    """Current rows from base and deltas, deleted keys left out."""
-    state = _merged(spark, path, keys, order, _done(spark, path), *_folded(spark, path))
-    return state.where(F.col("operation") != "DELETE")
+
+def start_state(changes, path, checkpoint, *, keys=KEYS, order=ORDER, mode="incremental",
+                interval="900 seconds"):
+    """Stream that keeps the newest event per key in a table of deltas.
+
+    Each micro-batch writes its newest events to its own folder, in buckets by a hash of
+    the key; the work is that of the batch, not of the table. `read_state` merges on read
+    and `compact_state` folds deltas into a base. With a new checkpoint the changes are
+    read from the start, which gives the same state again.
+    """
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+
+    def prepare(batch):
+        return latest_per_key(batch, keys, order).withColumn("bucket", bucket)
+
+    return _start(changes, path, checkpoint, prepare, ["bucket"], mode, interval)
+
+
+_MANIFEST = "kind string, name string, number bigint, version bigint"
+
+
+class _State:
+    """What a state table holds now: base version of each bucket, and open deltas.
+
+    The manifest of a version lists both; the newest one counts, so a reader sees a
+    compaction whole or not at all.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str):
+        self.spark, self.path, self.schema = spark, path, schema
+        log = _read(spark, f"{path}/manifest", _MANIFEST)
+        self.version = log.agg(F.max("version")).first()[0] or 0
+        rows = log.where(F.col("version") == self.version).collect()
+        self.bases = {int(r["name"]): r["number"] for r in rows if r["kind"] == "bucket"}
+        self.folded = {r["name"]: r["number"] for r in rows if r["kind"] == "stream"}
+        self.finished = _finished(spark, path, self.folded)
+        self.deltas = _open_deltas(
+            spark, path, f"{schema}, {_BATCH}, bucket int", self.finished, self.folded
+        )
+
+    def touched(self) -> list[int]:
+        """Buckets with open deltas: from folder names, at most one per bucket."""
+        return sorted(r[0] for r in self.deltas.select("bucket").distinct().collect())
+
+    def base(self, touched: list[int], inside: bool) -> DataFrame:
+        """Base rows of the buckets that deltas touch, or of all others."""
+        wanted = F.lit(False)
+        for bucket, version in self.bases.items():
+            if (bucket in touched) == inside:
+                wanted = wanted | ((F.col("bucket") == bucket) & (F.col("version") == version))
+        base = _read(self.spark, f"{self.path}/base", f"{self.schema}, version bigint, bucket int")
+        return base.where(wanted).drop("version")
+
+    def merged(self, touched, keys, order) -> DataFrame:
+        """Newest event per key in the touched buckets."""
+        deltas = self.deltas.drop("stream", "batch_id")
+        return latest_per_key(self.base(touched, True).unionByName(deltas), [*keys, "bucket"], order)
+
+
+def read_state(spark: SparkSession, path: str, keys=KEYS, order=ORDER, schema=STATE_SCHEMA) -> DataFrame:
+    """Current rows from base and deltas, deleted keys left out; no rows before the first batch.
+
+    Only buckets with open deltas are merged; base rows of the others pass as they are.
+    """
+    state = _State(spark, path, schema)
+    touched = state.touched()
+    rows = state.base(touched, False).unionByName(state.merged(touched, keys, order))
+    return rows.drop("bucket").where(F.col("operation") != "DELETE")
 
 
-def compact_state(spark: SparkSession, path: str, keys=KEYS, order=ORDER) -> int:
-    """Fold all finished deltas into a new base, tombstones kept; returns its version.
+def compact_state(spark: SparkSession, path: str, keys=KEYS, order=ORDER, schema=STATE_SCHEMA) -> int:
+    """Fold all finished deltas into the bases of their buckets; returns the version.
 
-    The base is written whole before it is logged, so a reader sees either the
-    old base or the new one.
+    Tombstones are kept. Bases are written before the manifest that names them. What the
+    version before had already replaced is removed, so readers of that version still
+    find all they need; readers of older ones do not.
     """
-    done, (version, folded) = _done(spark, path), _folded(spark, path)
-    if all(last <= folded.get(stream, -1) for stream, last in done.items()):
-        return version
-    base = _merged(spark, path, keys, order, done, version, folded)
-    base.write.mode("overwrite").parquet(f"{path}/base/version={version + 1}")
-    spark.createDataFrame([(version + 1, s, n) for s, n in done.items()], _FOLDED).coalesce(
-        1
-    ).write.mode("append").parquet(f"{path}/folded")
-    return version + 1
+    state = _State(spark, path, schema)
+    if not state.finished:
+        return state.version
+    touched, version = state.touched(), state.version + 1
+    state.merged(touched, keys, order).hint("rebalance", "bucket").write.mode("overwrite").option(*_WHOLE).partitionBy(
+        "bucket"
+    ).parquet(f"{path}/base/version={version}")
+    bases = {**state.bases, **dict.fromkeys(touched, version)}
+    folded = {**state.folded, **state.finished}
+    rows = [("bucket", str(b), v) for b, v in bases.items()] + [("stream", s, n) for s, n in folded.items()]
+    spark.createDataFrame(rows, "kind string, name string, number bigint").coalesce(1).write.mode(
+        "overwrite"
+    ).parquet(f"{path}/manifest/version={version}")
+    _trim(spark, path, state)
+    return version
+
+
+def _trim(spark: SparkSession, path: str, state: _State) -> None:
+    """Remove bases, deltas, marks and manifests that `state` does not need."""
+    bases = _read(spark, f"{path}/base", f"{state.schema}, version bigint, bucket int")
+    stale = [
+        f"{path}/base/version={r['version']}/bucket={r['bucket']}"
+        for r in bases.select("version", "bucket").distinct().collect()
+        if r["version"] < state.bases.get(r["bucket"], 0)
+    ]
+    done = _read(spark, f"{path}/done", f"mark bigint, {_BATCH}")
+    for r in done.select("stream", "batch_id").collect():
+        if r["batch_id"] <= state.folded.get(r["stream"], -1):
+            at = f"stream={r['stream']}/batch_id={r['batch_id']}"
+            stale += [f"{path}/delta/{at}", f"{path}/done/{at}"]
+    log = _read(spark, f"{path}/manifest", _MANIFEST)
+    stale += [
+        f"{path}/manifest/version={r[0]}"
+        for r in log.where(F.col("version") < state.version).select("version").distinct().collect()
+    ]
+    remove(spark, stale)

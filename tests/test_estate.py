@@ -34,22 +34,34 @@ def test_system_objects_are_left_out(spark):
 
 def test_flexfields(spark):
     df = spark.createDataFrame(
-        [("T", 2, "SEGMENT2"), ("T", 1, "SEGMENT1"), ("T", 3, "ATTRIBUTE1"), ("T", 4, "SEGMENT_ATTRIBUTE"), ("U", 1, "ID")],
-        "table_name string, column_id int, column_name string",
+        [("A", "T", 2, "SEGMENT2"), ("A", "T", 1, "SEGMENT1"), ("A", "T", 3, "ATTRIBUTE1"), ("A", "T", 4, "SEGMENT_ATTRIBUTE"),
+         ("A", "U", 1, "ID"), ("B", "T", 1, "SEGMENT9")],
+        "owner string, table_name string, column_id int, column_name string",
     )
-    got = {(r["table_name"], r["flexfield_type"]): r["columns"] for r in catalog.flexfields(df).collect()}
-    assert got == {("T", "KFF"): ["SEGMENT1", "SEGMENT2", "SEGMENT_ATTRIBUTE"], ("T", "DFF"): ["ATTRIBUTE1"]}
+    got = {(r["owner"], r["table_name"], r["flexfield_type"]): r["columns"] for r in catalog.flexfields(df).collect()}
+    assert got == {("A", "T", "KFF"): ["SEGMENT1", "SEGMENT2", "SEGMENT_ATTRIBUTE"], ("A", "T", "DFF"): ["ATTRIBUTE1"],
+                   ("B", "T", "KFF"): ["SEGMENT9"]}
 
 
 def test_schema_metadata(spark):
-    tables = spark.createDataFrame([("GL_T", 10), ("BIN$1", 1), ("E", None)], "table_name string, num_rows long")
+    tables = spark.createDataFrame(
+        [("O", "GL_T", 10), ("O", "BIN$1", 1), ("O", "E", None), ("P", "GL_T", 3)], "owner string, table_name string, num_rows long")
     columns = spark.createDataFrame(
-        [("GL_T", 2, "B", "DATE", "Y"), ("GL_T", 1, "A", "NUMBER", "N")],
-        "table_name string, column_id int, column_name string, data_type string, nullable string",
+        [("O", "GL_T", 2, "B", "DATE", 7, None, None, "Y"), ("O", "GL_T", 1, "A", "NUMBER", 22, 9, 2, "N"),
+         ("P", "GL_T", 1, "C", "VARCHAR2", 5, None, None, "Y")],
+        "owner string, table_name string, column_id int, column_name string, data_type string, data_length int, "
+        "data_precision int, data_scale int, nullable string",
     )
-    keys = spark.createDataFrame([("GL_T", "B", 2), ("GL_T", "A", 1)], "table_name string, column_name string, position int")
-    got = {r["table_name"]: r for r in catalog.schema_metadata(tables, columns, keys).collect()}
-    assert set(got) == {"GL_T", "E"}
+    keys = spark.createDataFrame([("O", "GL_T", "B", 2), ("O", "GL_T", "A", 1)],
+                                 "owner string, table_name string, column_name string, position int")
+    both = {(r["owner"], r["table_name"]): r for r in catalog.schema_metadata(tables, columns, keys).collect()}
+    assert set(both) == {("O", "GL_T"), ("O", "E"), ("P", "GL_T")}
+    assert [c["column_name"] for c in both["P", "GL_T"]["columns"]] == ["C"]
+    counts = {(r["owner"], r["table_name"]): r["column_count"] for r in catalog.classify(tables, columns).collect()}
+    assert counts == {("O", "GL_T"): 2, ("O", "E"): 0, ("P", "GL_T"): 1}
+    assert catalog.table_columns(columns, "O", "GL_T") == [("A", "NUMBER(9,2)", None), ("B", "DATE", None)]
+    assert catalog.table_columns(columns, "P", "GL_T") == [("C", "VARCHAR2", 5)]
+    got = {t: r for (o, t), r in both.items() if o == "O"}
     assert [c["column_name"] for c in got["GL_T"]["columns"]] == ["A", "B"]
     assert got["GL_T"]["primary_key"] == ["A", "B"]
     assert (got["E"]["columns"], got["E"]["primary_key"], got["E"]["estimated_rows"]) == ([], [], 0)
@@ -75,6 +87,11 @@ def test_relationships(spark):
         {"V": vendors, "I": invoices, "L": loose, "S": other_type}, {"V": "vendor_id"}
     ).collect()
     assert [(r["source_table"], r["distinct_values"], r["matched_values"]) for r in got] == [("I", 98, 98)]
+    narrow = invoices.select(F.col("vendor_id").cast("int").alias("vendor_id"))
+    money = invoices.select(F.col("vendor_id").cast("decimal(12,2)").alias("vendor_id"))
+    many = {f"T{i}": narrow if i % 2 else money for i in range(70)}
+    found = catalog.relationships({"V": vendors, **many}, {"V": "vendor_id"}).collect()
+    assert len(found) == 70 and all(r["matched_values"] == 98 for r in found)
     all_of_them = catalog.relationships({"V": vendors, "L": loose}, {"V": "vendor_id"}, threshold=0.0)
     assert all_of_them.first()["containment"] == 0.5
     with pytest.raises(ValueError):
@@ -122,7 +139,11 @@ def test_masking(spark):
                                "person_id int, email string, nid string, first_name string")
     out = compliance.mask(df, emails=["email"], ids=["nid"], keys=["person_id"], hide=["first_name"], secret="s").collect()
     key = hashlib.sha256(b"s7").hexdigest()
-    assert [tuple(r) for r in out] == [(key, "s***@x.sa", "******7890", None), (key, "@", "**", None), (None, None, None, None)]
+    assert [tuple(r) for r in out] == [(key, "s***@x.sa", "******7890", None), (key, "*", "**", None), (None, None, None, None)]
+    odd = spark.createDataFrame([("no address",), ("a b@c",), ("@x.sa",), ("s@x.sa",), ("two\nlines",)], "email string")
+    assert [r[0] for r in compliance.mask(odd, emails=["email"]).collect()] == ["*" * 10, "*" * 5, "*" * 5, "s***@x.sa", "*" * 9]
+    with pytest.raises(ValueError):
+        compliance.mask(df, keys=["person_id"])
 
 
 def test_consent_log(spark, tmp_path):
@@ -188,8 +209,8 @@ def test_lineage_ends_on_cycles(spark):
     assert rows(lineage.lineage_graph(edges, "a", "downstream")) == {("b", 1): 1, ("c", 1): 1, ("d", 2): 1}
     assert rows(lineage.lineage_graph(edges, "c", "upstream")) == {("a", 1): 1, ("b", 1): 1, ("d", 2): 1}
     assert lineage.lineage_graph(edges, "nothing").count() == 0
-    with pytest.raises(ValueError):
-        lineage.lineage_graph(edges, "a", "downstream", max_depth=1)
+    long = spark.createDataFrame([(f"n{i}", f"n{i + 1}", "x") for i in range(12)], lineage.EDGE_SCHEMA)
+    assert lineage.lineage_graph(long, "n0", "downstream").agg(F.max("depth")).first()[0] == 12
     with pytest.raises(ValueError):
         lineage.lineage_graph(edges, "a", "sideways")
 

@@ -1,6 +1,7 @@
 import datetime as dt
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from closebook.sources import extract
@@ -77,25 +78,23 @@ def test_line_pages_bound_rows(spark):
     assert first[6]["copies"] == 2
 
 
-def test_one_line_number_many_times(spark, monkeypatch):
-    from closebook.functions import skew
-
+@pytest.mark.parametrize("number", [5, None])
+def test_one_line_number_many_times(spark, number):
+    """A flood of lines of one number, or of none, makes no long list."""
     lines = spark.range(4000).select(
         F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 50 + 2).cast("int").alias("h"),
-        F.lit(5).alias("n"), F.col("id").alias("amount"),
+        F.lit(number).cast("int").alias("n"), F.col("id").alias("amount"),
     )
     wanted = {}
     for r in lines.collect():
         wanted.setdefault(r["h"], []).append(r["amount"])
-    for least in (skew.HOT_MIN_ROWS, 1):
-        monkeypatch.setattr(skew, "HOT_MIN_ROWS", least)
-        pages = extract.line_pages(lines, "h", "n", ["amount"], page_size=100).collect()
-        got = {}
-        for r in pages:
-            assert len(r["lines"]) < 200
-            got.setdefault(r["h"], []).extend(x["amount"] for x in r["lines"])
-        assert {h: sorted(v) for h, v in got.items()} == wanted
-        assert len([r for r in pages if r["h"] == 1]) == 14
+    pages = extract.line_pages(lines, "h", "n", ["amount"], page_size=100).collect()
+    got = {}
+    for r in pages:
+        assert len(r["lines"]) < 300 and r["page"] == (0 if number else extract.NO_NUMBER)
+        got.setdefault(r["h"], []).extend(x["amount"] for x in r["lines"])
+    assert {h: sorted(v) for h, v in got.items()} == wanted
+    assert len([r for r in pages if r["h"] == 1]) == 7
 
 
 def test_org_lookup(spark, folder):

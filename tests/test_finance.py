@@ -2,8 +2,10 @@ import datetime as dt
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from closebook.operators import finance
+from closebook.sources.fixtures import Tables
 
 NOW = dt.datetime(2026, 3, 8, 12)
 
@@ -73,10 +75,44 @@ def books(spark):
 def test_period_totals(books):
     rows = finance.period_totals(*books).collect()
     assert [(r["ledger_id"], r["period_name"], float(r["net"]), r["line_count"]) for r in rows] == [
-        (1, "Jan-26", 50.0, 4)
+        (1, "Jan-26", 50.0, 4), (1, None, 999.0, 1)
     ]
 
 
+def test_no_posted_line_is_lost(spark, folder):
+    t = Tables(spark, folder)
+    headers, lines = t["fx_gl_je_headers"], t["fx_gl_je_lines"]
+    posted = lines.join(headers.where("status IN ('P', 'POSTED')"), "je_header_id", "left_semi")
+    want = posted.agg(F.count("*"), F.sum("accounted_dr"), F.sum("accounted_cr")).first()
+    got = finance.period_totals(headers, lines).agg(F.sum("line_count"), F.sum("total_dr"), F.sum("total_cr")).first()
+    assert tuple(got) == tuple(want)
+    close = finance.period_close(headers, lines, t["fx_gl_balances_close"])
+    assert close.agg(F.sum("line_count")).first()[0] == want[0]
+
+
+def test_vendor_with_equal_amounts_has_no_outliers(spark):
+    rows = [(i, 1, Decimal("0.10")) for i in range(30)] + [(100 + i, 2, Decimal("5")) for i in range(20)] + [(200, 2, Decimal("500")), (201, 3, Decimal("9"))]
+    df = spark.createDataFrame(rows, "invoice_id int, vendor_id int, invoice_amount decimal(18,2)")
+    assert [r["invoice_id"] for r in finance.outlier_invoices(df).collect()] == [200]
+
+
+def test_three_decimals_and_periods_with_balances_only(spark):
+    headers = spark.createDataFrame([(1, 1, "Jan-26", "P")], "je_header_id int, ledger_id int, period_name string, status string")
+    lines = spark.createDataFrame(
+        [(1, 10, "KWD", Decimal("1.000"), Decimal("1.000"))],
+        "je_header_id int, code_combination_id int, currency_code string, accounted_dr decimal(18,3), accounted_cr decimal(18,3)")
+    balance = spark.createDataFrame(
+        [(1, 10, "KWD", "Jan-26", Decimal("5.000"), None, Decimal("5.008")), (1, 10, "KWD", "Adj-26", Decimal("2"), None, Decimal("3")),
+         (1, 10, "KWD", "Adj-26", Decimal("2"), None, Decimal("2"))],
+        "ledger_id int, code_combination_id int, currency_code string, period_name string, "
+        "begin_balance_dr decimal(18,3), begin_balance_cr decimal(18,3), reported_end_balance decimal(18,3)")
+    proofs = finance.balance_proof(balance, headers, lines).collect()
+    assert sorted((r["period_name"], r["proved"], str(r["difference"])) for r in proofs) == [
+        ("Adj-26", False, "-1.000"), ("Adj-26", True, "0.000"), ("Jan-26", True, "-0.008")]
+    close = {r["period_name"]: tuple(r)[3:] for r in finance.period_close(headers, lines, balance).collect()}
+    assert close == {"Jan-26": (1, 1, 0, True), "Adj-26": (0, 2, 1, False)}
+
+
 def balances(spark, items):
     return spark.createDataFrame(
         [(1, account, "USD", "Jan-26", Decimal(begin), None, Decimal(end)) for account, begin, end in items],

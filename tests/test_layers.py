@@ -42,9 +42,17 @@ def test_resolved_invoice_without_lines(spark):
     lines = spark.createDataFrame(
         [], "invoice_id int, line_number int, amount decimal(18,2), description string, dist_code_combination_id long"
     )
-    pages = extract.line_pages(lines, "invoice_id", "line_number", ["amount", "description", "dist_code_combination_id"])
-    row = extract.resolve_invoices(raw, pages).first()
-    assert row["lines"] == [] and row["amount_paid"]["amount"] == 0 and row["context"]["org_id"] == 101
+    row = extract.resolve_invoices(raw, lines).first()
+    assert row["lines_count"] == 0 and row["amount_paid"]["amount"] == 0 and row["context"]["org_id"] == 101
+    # Equal lines count one by one, on one row per invoice, however many there are.
+    line = (1, 1, Decimal(10), "x", 7)
+    many = spark.createDataFrame([line, line] + [(1, None, Decimal(1), None, None)] * 2500, lines.schema)
+    flat = layers.flatten(extract.resolve_invoices(raw, many)).collect()
+    assert [(r["lines_count"], r["invoice_amount"]) for r in flat] == [(2502, 10.0)]
+    pages = extract.line_pages(many, "invoice_id", "line_number", ["amount", "description", "dist_code_combination_id"])
+    resolved = extract.resolve_invoice_pages(raw, pages).collect()
+    assert sorted((r["page"], r["line_count"], len(r["lines"])) for r in resolved) == [(-1, 2500, 1), (0, 2, 1)]
+    assert {(x["copies"], x["amount"]["currency"]) for r in resolved for x in r["lines"]} == {(2, "USD"), (2500, "USD")}
 
 
 def test_spark_types():
@@ -72,7 +80,9 @@ def test_staging_and_intermediate(spark):
 def test_mart_union_of_different_widths(spark):
     a = spark.createDataFrame([(1, "x")], "id int, a string")
     b = spark.createDataFrame([(2, 3.0)], "id int, b double")
-    out = layers.mart_union({"stg_a": a, "stg_b": b})
+    out = layers.mart_union({"A_ALL": a, "B": b})
+    with pytest.raises(ValueError):
+        layers.mart_union({"A_ALL": a, "A": b})
     assert rows(out.select("source_table", "id", "a", "b")) == {("stg_a", 1, "x", None): 1, ("stg_b", 2, None, 3.0): 1}
 
 
@@ -104,8 +114,8 @@ def test_export_files(spark, tmp_path, fmt):
         "json": '{"id":1,"amount":10.50}\n{"id":2,"amount":\n{"id":3,"amount":1.25}\n',
     }[fmt]
     (tmp_path / "f").write_text(text)
-    raw = files.read_export(spark, str(tmp_path), "id int, amount decimal(9,2)", fmt).cache()
+    raw = files.read_export(spark, str(tmp_path), "id int, amount decimal(9,2)", fmt)
     good, bad = files.split_export(raw)
     assert rows(good) == {(1, Decimal("10.50")): 1, (3, Decimal("1.25")): 1}
     assert [r[0] for r in bad.collect()] == [{"csv": "2,oops", "json": '{"id":2,"amount":'}[fmt]]
-    raw.unpersist()
+    assert bad.count() == 1

@@ -99,3 +99,34 @@ def test_lost_rows_fail_the_certificate(spark, sources, tmp_path, monkeypatch):
     assert (row["success"], row["certificate_status"]) == (False, "FAILED")
     assert row["rows_extracted"] - row["rows_loaded"] == lost
     assert Decimal(row["rows_loaded"]) > 0
+
+
+def test_lines_on_unknown_accounts_fail_the_certificate(spark, tmp_path):
+    """Ten posted lines, six of them on accounts the source does not have."""
+    import datetime as dt
+
+    headers = spark.createDataFrame(
+        [(1, 1, "J", "Jan-26", "P", 2001, 101, dt.datetime(2026, 1, 1))],
+        "je_header_id int, je_batch_id int, journal_name string, period_name string, status string, ledger_id int, org_id int, posted_date timestamp_ntz")
+    lines = spark.createDataFrame(
+        [(1, i, i, "USD", Decimal(5), None) for i in range(10)],
+        "je_header_id int, je_line_num int, code_combination_id int, currency_code string, accounted_dr decimal(18,2), accounted_cr decimal(18,2)")
+    accounts = spark.createDataFrame(
+        [(i, "a", "b", "c", "d", "e", "Y") for i in range(4)],
+        "code_combination_id int, segment1 string, segment2 string, segment3 string, segment4 string, segment5 string, enabled_flag string")
+    balances = spark.createDataFrame(
+        [], "ledger_id int, code_combination_id int, currency_code string, period_name string, actual_flag string, "
+        "begin_balance_dr decimal(18,2), begin_balance_cr decimal(18,2), period_net_dr decimal(18,2), period_net_cr decimal(18,2)")
+    tables = {"GL_JE_HEADERS": headers, "GL_JE_LINES": lines, "GL_BALANCES": balances, "GL_CODE_COMBINATIONS": accounts}
+    row = runs.migrate(spark, "GL", tables, str(tmp_path), run_id="r1").first()
+    assert (row["success"], row["certificate_status"]) == (False, "FAILED")
+    assert "row_count of Oracle GL_JE_LINES: 10 in the source, 4 in the lake" in row["errors"]
+    assert row["duration_seconds"] > 0
+    kept = spark.read.parquet(f"{tmp_path}/checks").where("source_label = 'Oracle GL_JE_LINES'").first()
+    assert (kept["source_value"], kept["extract_value"], kept["target_value"], kept["passed"]) == (10, 4, 4, False)
+    assert spark.read.parquet(f"{tmp_path}/certificates").first()["status"] == "FAILED"
+    # The journal is unposted: the next run of the period takes its lines out of the lake.
+    tables["GL_JE_HEADERS"] = headers.withColumn("status", headers["status"].substr(2, 1))
+    again = runs.migrate(spark, "GL", tables, str(tmp_path), period_name="Jan-26", ledger_id=2001).first()
+    assert again["success"], again["errors"]
+    assert spark.read.schema(lines.schema).parquet(f"{tmp_path}/bronze/gl_je_lines").count() == 0

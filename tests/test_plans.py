@@ -4,32 +4,28 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
+import __spark_entry__  # noqa: F401  (it registers the queries)
 from closebook.functions import skew
+from closebook.plans.registry import ORACLES, QUERIES
 from tests.oracle import compare, connect
 
-# Queries that join or look along a key that may be hot.
-SPREAD = [
-    "q_gl_journals", "q_gl_lines_account", "q_gl_balances", "q_gl_resolve_lines", "q_ap_lines_semi",
-    "q_org_context", "q_bronze_flatten", "q_dq_orphan_rows", "q_dq_repeat_rows", "q_gl_period_totals",
-    "q_gl_balance_proof", "q_gold_trial_balance", "q_ap_outliers", "q_cdc_history", "q_run_timeline",
-    "q_lineage", "q_migration_run",
-]
+# Queries that look along a key that may have a long history.
+CUT = ["q_cdc_history", "q_run_timeline"]
 
 
 def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(n for n in entry.queries() if "migration" not in n))
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if "migration" not in n))
 def test_plan(spark, folder, name):
-    plan = plan_of(entry.queries()[name](spark, folder))
+    plan = plan_of(QUERIES[name](spark, folder))
     for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "MapInPandas", "Scan ExistingRDD"):
         assert node not in plan
 
 
 def test_aging_reads_few_columns(spark, folder):
-    plan = plan_of(entry.queries()["q_ap_aging"](spark, folder))
+    plan = plan_of(QUERIES["q_ap_aging"](spark, folder))
     schemas = re.findall(r"ReadSchema: struct<([^>]*)>", plan)
     orders = [s for s in schemas if "o_orderkey" in s]
     assert orders and all("o_orderpriority" not in s for s in orders)
@@ -37,11 +33,8 @@ def test_aging_reads_few_columns(spark, folder):
     assert plan.count("hashpartitioning(org_id") == 1
 
 
-@pytest.mark.parametrize("name", SPREAD)
-def test_hot_keys_give_the_same_rows(spark, folder, name, monkeypatch):
-    monkeypatch.setattr(skew, "HOT_MIN_ROWS", 2)
-    monkeypatch.setattr(skew, "HOT_SHARE", 0.01)
-    rows, problems = compare(
-        entry.queries()[name](spark, folder), connect(folder), entry.oracle_sql()[name]
-    )
+@pytest.mark.parametrize("name", CUT)
+def test_long_histories_give_the_same_rows(spark, folder, name, monkeypatch):
+    monkeypatch.setattr(skew, "TASK_ROWS", 5)
+    rows, problems = compare(QUERIES[name](spark, folder), connect(folder), ORACLES[name])
     assert not problems

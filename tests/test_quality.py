@@ -1,9 +1,10 @@
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from closebook.model import Rule, default_rules
-from closebook.operators import quality
+from closebook.operators import catalog, quality
 
 
 def rule(rule_type, column="A", table="T", severity="ERROR", **more):
@@ -148,10 +149,27 @@ def test_violating_rows_and_samples(spark):
         quality.violations(rule("balance"), df)
 
 
-def test_key_rules_from_catalog():
-    entries = [
-        {"table_name": "T", "column_name": "ID", "is_pk": True},
-        {"table_name": "T", "column_name": "X", "is_pk": False},
-    ]
-    got = [(r.rule_id, r.rule_type) for r in quality.key_rules(entries)]
-    assert got == [("unique_t_id", "uniqueness"), ("not_null_t_id", "not_null")]
+def test_key_rules_from_the_dictionary(spark):
+    constraints = spark.createDataFrame([("O", "PK", "P"), ("O", "NN", "C")], "owner string, constraint_name string, constraint_type string")
+    columns = spark.createDataFrame(
+        [("O", "PK", "GL_T", "ID", 1), ("O", "NN", "GL_T", "X", 1), ("Q", "PK", "GL_T", "Y", 2)],
+        "owner string, constraint_name string, table_name string, column_name string, position int")
+    got = [(r.rule_id, r.rule_type, r.module) for r in quality.key_rules(catalog.primary_keys(constraints, columns))]
+    assert got == [("unique_gl_t_id", "uniqueness", "GL"), ("not_null_gl_t_id", "not_null", "GL")]
+
+
+def test_bounds_are_exact(spark):
+    cases = {"-0.0000000001": False, "0": True, "1e30": False, "400000": True, "400000.00000000000001": False, "-1e-30": False,
+             "1e5": True, "n/a": False, "": False, " 7 ": True, "NaN": False, "12345678901234567890123": False}
+    df = spark.createDataFrame(list(cases.items()), "v string, ok boolean")
+    rule = Rule("r", "R", "AP", "ERROR", "range", "T", "V", min_value="0", max_value="400000")
+    assert df.where(quality.violates(rule, df) == F.col("ok")).collect() == []
+    least = Rule("r", "R", "AP", "ERROR", "range", "T", "V", min_value="0")
+    large = spark.createDataFrame([(1e30,), (-1e-300,), (float("nan"),)], "v double")
+    assert [r[0] for r in large.select(quality.violates(least, large)).collect()] == [False, True, True]
+
+
+def test_white_space_of_unicode_is_blank(spark):
+    df = spark.createDataFrame([("\u00a0",), ("\u2003 \u3000",), ("x\u00a0",), ("",), (None,)], "v string")
+    rule = Rule("r", "R", "AP", "ERROR", "not_null", "T", "V")
+    assert [r[0] for r in df.select(quality.violates(rule, df)).collect()] == [True, True, False, True, True]

@@ -72,11 +72,11 @@ def test_run_checks(spark):
 def test_row_differences(spark):
     schema = "id int, a string, b int"
     source = spark.createDataFrame(
-        [(1, "x", 1), (2, "x", None), (3, "x", 1), (4, None, 1), (6, "p", 1), (6, "q", 1), (None, "n", 1)],
+        [(1, "x", 1), (2, "x", None), (3, "x", 1), (4, None, 1), (6, "p", 1), (6, "q", 1), (7, "p", 1), (7, "p", 1), (None, "n", 1)],
         schema,
     )
     target = spark.createDataFrame(
-        [(1, "x", 1), (2, "y", 5), (4, None, 1), (5, "x", 1), (6, "p", 1), (6, "q", 1), (None, "n", 2)],
+        [(1, "x", 1), (2, "y", 5), (4, None, 1), (5, "x", 1), (6, "q", 1), (6, "p", 1), (7, "p", 1), (7, "q", 1), (None, "n", 2)],
         schema,
     )
     got = {
@@ -85,11 +85,11 @@ def test_row_differences(spark):
     }
     assert got == {
         2: ("changed", "a,b", 1, 1), 3: ("missing", "", 1, 0), 5: ("extra", "", 0, 1),
-        6: ("repeated", "", 2, 2), None: ("changed", "b", 1, 1),
+        7: ("repeated", "", 2, 2), None: ("changed", "b", 1, 1),
     }
     rest = reconcile.multiset_differences(source, target, ["id", "a", "b"])
     assert sorted((r["id"] or 0, r["source_rows"], r["target_rows"]) for r in rest.collect()) == [
-        (0, 0, 1), (0, 1, 0), (2, 0, 1), (2, 1, 0), (3, 1, 0), (5, 0, 1),
+        (0, 0, 1), (0, 1, 0), (2, 0, 1), (2, 1, 0), (3, 1, 0), (5, 0, 1), (7, 0, 1), (7, 2, 1),
     ]
 
 

@@ -1,86 +1,46 @@
-"""Hot keys: the same rows as a plain join or window, spread over many tasks."""
+"""Long histories: the same rows as a plain window, in a plan of one size."""
 
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from closebook.functions import skew
-from closebook.functions.skew import hot_hashes, salted_join, with_neighbor
+from closebook.functions.skew import checked_join, with_neighbor
 from tests.util import rows
 
 
-@pytest.fixture(scope="module")
-def fact(spark):
-    # A third of the rows share key 7, a tenth have no key, one row has 500 copies.
-    df = spark.range(0, 6000, 1, 6).select(
-        F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 10 == 1, None)
-        .otherwise(F.col("id") % 400).cast("bigint").alias("k"),
-        F.when(F.col("id") < 500, 0).otherwise(F.col("id")).alias("v"),
-    )
-    return df
-
-
-@pytest.fixture(scope="module")
-def dim(spark):
-    return spark.range(0, 300).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
-
-
-def test_hot_keys_are_found(fact):
-    hot = hot_hashes(fact, ["k"], share=0.05, min_rows=1)
-    wanted = fact.where("k = 7 OR k IS NULL").select(F.xxhash64("k")).distinct().collect()
-    assert sorted(hot) == sorted(r[0] for r in wanted)
-    assert hot_hashes(fact, ["k"], share=0.05, min_rows=10_000) == []
-    assert hot_hashes(fact.limit(0), ["k"], min_rows=0) == []
-
-
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_join_is_the_join(fact, dim, how):
-    plain = fact.join(dim, ["k"], how)
-    salted = salted_join(fact, dim, "k", how, share=0.05, min_rows=1, salts=8)
-    assert salted.columns == plain.columns
-    assert rows(salted) == rows(plain)
-
-
-def test_salted_join_on_two_keys(fact, dim):
-    left, right = fact.withColumn("x", F.lit("a")), dim.withColumn("x", F.lit("a"))
-    plain = left.join(right, ["k", "x"])
-    assert rows(salted_join(left, right, ["k", "x"], share=0.05, min_rows=1)) == rows(plain)
-
-
-def test_hot_key_goes_to_many_salts(spark, fact, dim):
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    spark.conf.set("spark.sql.shuffle.partitions", "16")
-    try:
-        def largest(df):
-            part = df.where("k = 7").groupBy(F.spark_partition_id()).count()
-            return part.agg(F.max("count")).first()[0], part.count()
-
-        plain, _ = largest(fact.join(dim, "k"))
-        most, tasks = largest(salted_join(fact, dim, "k", share=0.05, min_rows=1, salts=64))
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.unset("spark.sql.adaptive.enabled")
-        spark.conf.set("spark.sql.shuffle.partitions", "4")
-    assert plain == fact.where("k = 7").count()
-    assert tasks > 8 and most < plain / 3
-
-
-def test_copies_of_one_row_are_spread(spark):
-    copies = spark.range(0, 800, 1, 8).select(F.lit(1).cast("bigint").alias("k"), F.lit("same").alias("v"))
-    dim = spark.range(1, 2).select(F.col("id").alias("k"))
-    joined = salted_join(copies, dim, "k", share=0.05, min_rows=1, salts=64)
-    assert joined.count() == 800
-    salt = F.pmod(F.xxhash64("k", "v") + F.spark_partition_id(), F.lit(skew.SALTS))
-    assert copies.select(salt.alias("s")).distinct().count() == 8
-
-
-def test_salted_join_wants_equal_types(spark, fact):
+def test_join_wants_equal_types(spark):
+    fact = spark.range(4).select(F.col("id").alias("k"))
     other = spark.range(3).select(F.col("id").cast("int").alias("k"))
     with pytest.raises(TypeError):
-        salted_join(fact, other, "k")
+        checked_join(fact, other, "k")
     with pytest.raises(ValueError):
-        salted_join(fact, fact, "k", "full")
+        checked_join(fact, fact, "k", "full")
+    assert checked_join(fact, spark.range(2).select(F.col("id").alias("k")), "k", "left_anti").count() == 2
+
+
+def test_hot_key_is_split_by_adaptive_execution(spark):
+    """A join whose fact has one key in most rows runs as a skew join, without a salt."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        fact = spark.range(0, 60_000, 1, 8).select(
+            F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id") % 400).cast("bigint").alias("k"),
+            F.sha2(F.col("id").cast("string"), 256).alias("v"))
+        dim = spark.range(0, 300).select(F.col("id").alias("k"), F.lit("x").alias("w"))
+        joined = checked_join(fact, dim, "k")
+        joined.collect()
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert "skew=true" in plan
 
 
 @pytest.fixture(scope="module")
@@ -95,22 +55,19 @@ def events(spark):
 
 
 @pytest.mark.parametrize("direction", ["next", "previous"])
-@pytest.mark.parametrize("pieces", [2, 16])
-def test_neighbor_is_the_window(events, direction, pieces):
+@pytest.mark.parametrize("task_rows", [1, 20, 500, 100_000])
+def test_neighbor_is_the_window(events, direction, task_rows):
     step = F.lead if direction == "next" else F.lag
     window = Window.partitionBy("k").orderBy("at", "id")
     plain = events.withColumns({"at2": step("at").over(window), "id2": step("id").over(window)})
     got = with_neighbor(
-        events, ["k"], ["at", "id"], {"at2": "at", "id2": "id"}, direction,
-        pieces=pieces, share=0.05, min_rows=1,
+        events, ["k"], ["at", "id"], {"at2": "at", "id2": "id"}, direction, task_rows=task_rows
     )
     assert got.columns == plain.columns
     assert rows(got) == rows(plain)
-    unsplit = with_neighbor(events, ["k"], ["at", "id"], {"at2": "at", "id2": "id"}, direction)
-    assert rows(unsplit) == rows(plain)
 
 
-def test_one_instant_of_a_hot_key_is_cut_by_id(spark):
+def test_one_instant_of_a_long_history_is_cut_by_id(spark):
     """Two thirds of the rows have one key, most of them one time."""
     start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
     df = spark.range(0, 3000, 1, 5).select(
@@ -121,11 +78,24 @@ def test_one_instant_of_a_hot_key_is_cut_by_id(spark):
     )
     window = Window.partitionBy("k").orderBy("at", "id")
     for direction, step in (("next", F.lead), ("previous", F.lag)):
-        got = with_neighbor(df, ["k"], ["at", "id"], {"id2": "id"}, direction,
-                            pieces=16, share=0.05, min_rows=1)
+        got = with_neighbor(df, ["k"], ["at", "id"], {"id2": "id"}, direction, task_rows=100)
         assert rows(got) == rows(df.withColumn("id2", step("id").over(window)))
-    hot = skew.hot_hashes(df, ["k"], 0.05, 1)
-    piece = skew._piece(df, ["k"], ["at", "id"], hot, 16)
-    sizes = df.where("k = 'hot'").groupBy(piece.alias("p")).count()
-    assert sizes.agg(F.max("count")).first()[0] < 400
-    assert sizes.count() > 16
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        cuts = skew.history_cuts(df, ["k"], ["at", "id"], 100)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    sizes = skew.with_piece(df, ["k"], ["at", "id"], cuts, "p").where("k = 'hot'").groupBy("p").count()
+    assert sizes.count() > 12 and sizes.agg(F.max("count")).first()[0] < 400
+
+
+def test_plan_has_one_size(spark):
+    def plan(keys):
+        start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+        df = spark.range(0, 6000, 1, 4).select(
+            (F.col("id") % keys).alias("k"), F.timestamp_add("SECOND", F.col("id").cast("int"), start).alias("at"), "id")
+        got = with_neighbor(df, ["k"], ["at", "id"], {"id2": "id"}, task_rows=10)
+        return len(got._jdf.queryExecution().optimizedPlan().toString())
+
+    few, many = plan(3), plan(150)
+    assert many < 20_000 and abs(many - few) < 200
