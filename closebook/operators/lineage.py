@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -16,6 +17,14 @@ def document_lineage(spark, path: str, edges: list[tuple[str, str, str]]) -> Non
     spark.createDataFrame(edges, EDGE_SCHEMA).coalesce(1).write.mode("append").parquet(path)
 
 
+def observed(seen: Observation) -> dict:
+    """What an observation has taken; nothing where the plan was found to be empty."""
+    try:
+        return seen.get
+    except Py4JJavaError:
+        return {}
+
+
 def lineage_graph(edges: DataFrame, asset: str, direction="upstream") -> DataFrame:
     """Assets an asset is made from (upstream) or feeds (downstream), with their distance.
 
@@ -32,7 +41,7 @@ def lineage_graph(edges: DataFrame, asset: str, direction="upstream") -> DataFra
     def level(rows, depth):
         seen = Observation()
         rows.observe(seen, F.count("*").alias("n")).write.parquet(f"{path}/depth={depth}")
-        return spark.read.schema("asset string").parquet(f"{path}/depth={depth}"), seen.get["n"]
+        return spark.read.schema("asset string").parquet(f"{path}/depth={depth}"), observed(seen).get("n", 0)
 
     frontier, size = level(spark.createDataFrame([(asset,)], "asset string"), 0)
     depth = 0

@@ -6,6 +6,7 @@ import datetime as dt
 import time
 import uuid
 from concurrent.futures import ThreadPoolExecutor
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -173,7 +174,10 @@ def migrate(
                     rows, path, parts, whole, lambda table: in_scope(table, parts, *scope)
                 )
                 table = in_scope(files.read_table(spark, path, extracts[name]), parts, *scope)
-                values = {reconcile.labels(c)[0]: seen.get[f"m{i}"] for i, c in enumerate(own)}
+                taken = lineage.observed(seen)
+                values = {
+                    reconcile.labels(c)[0]: taken.get(f"m{i}", Decimal(0)) for i, c in enumerate(own)
+                }
                 # Counting a Parquet table reads its footers only.
                 return table_map[name], table, table.count(), values
 

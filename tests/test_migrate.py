@@ -119,7 +119,7 @@ def test_lines_on_unknown_accounts_fail_the_certificate(spark, tmp_path):
         "begin_balance_dr decimal(18,2), begin_balance_cr decimal(18,2), period_net_dr decimal(18,2), period_net_cr decimal(18,2)")
     tables = {"GL_JE_HEADERS": headers, "GL_JE_LINES": lines, "GL_BALANCES": balances, "GL_CODE_COMBINATIONS": accounts}
     row = runs.migrate(spark, "GL", tables, str(tmp_path), run_id="r1").first()
-    assert (row["success"], row["certificate_status"]) == (False, "FAILED")
+    assert (row["success"], row["certificate_status"]) == (False, "FAILED"), row["errors"]
     assert "row_count of Oracle GL_JE_LINES: 10 in the source, 4 in the lake" in row["errors"]
     assert row["duration_seconds"] > 0
     kept = spark.read.parquet(f"{tmp_path}/checks").where("source_label = 'Oracle GL_JE_LINES'").first()
