@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from closebook.llm.common import LOWER, UPPER, free_name, query, table
 
 WINDOW = 13
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 200_000  # an automaton of about 200 MB
+#: Columns of the result that replace columns of the same name.
+NEW = {"n_words", "n_hit", "n_items", "items_sha256", "item_ids", "spans", "contaminated"}
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _TO_LOWER = str.maketrans(UPPER, LOWER)
 
@@ -190,8 +192,7 @@ def find_contamination(
     Columns of `docs` with one of these names make way for the new ones.
     """
     added = ["n_hit", "n_items", "items_sha256", "item_ids", "spans"]
-    clash = [c for c in docs.columns if c.lower() in {*added, "n_words", "contaminated"}]
-    docs = docs.drop(*clash)
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in NEW])
     names = ("n_words", free_name(docs, "hit_runs"), free_name(docs, "hit_ids"))
     state = (
         f"n_words bigint, `{names[1]}` array<struct<first:bigint,last:bigint>>, `{names[2]}` array<string>"

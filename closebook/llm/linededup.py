@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from closebook.llm.common import query, table, whole
 
 RUN = 3
+#: Columns of the result that replace columns of the same name.
+NEW = {"n_lines", "n_removed", "n_runs"}
 
 
 def _lines(text: Column) -> Column:
@@ -79,8 +81,7 @@ def delete_repeated_runs(
     Texts that lose nothing stay as they are, null included. Columns of `docs` with the
     name of a new one make way for it.
     """
-    added = {"n_lines", "n_removed", "n_runs"}
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in added])
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in NEW])
     found = later_windows(docs, id_column, text_column, run)
     text = whole(text_column)
     rows = docs.select(F.struct("*").alias("row"), F.struct(

@@ -4,8 +4,8 @@ A document is its token ids and the end id 1; one longer than the sequence is cu
 pieces. Only lengths decide the packing, and there are at most 4096 of them, so the plan
 is made from their counts, a table of that size whatever the number of documents:
 
-1. Large lengths (over an eighth of a sequence) are sorted and cut into groups of equal
-   cardinality; each is rounded up to the largest of its group.
+1. Large lengths (over a half, a quarter or an eighth of a sequence) are sorted and cut
+   into groups of equal cardinality; each is rounded up to the largest of its group.
 2. Configurations of the few rounded sizes are optimised: column generation, with a
    knapsack that prices new configurations by the duals. Whole multiples are used.
 3. Actual lengths take the places of the rounded ones, longest first. A run is a number
@@ -14,6 +14,8 @@ is made from their counts, a table of that size whatever the number of documents
    first, into the fullest sequence that still takes them; a run is split where only a
    part of it is filled.
 
+The limit of what is large that gives fewest sequences is taken.
+
 Pieces then find their place by their rank among the pieces of their length: tasks
 number their own pieces, a prefix sum over tasks makes that a rank, and the plan says
 which run, sequence and offset the rank has. No length is brought together in one task.
@@ -41,8 +43,8 @@ LENGTH = 4096
 END_ID = 1
 GROUPS = 64
 UNIT = 8
-LARGE_PART = 8
-CACHED_WORDS = 300_000
+LARGE_PARTS = (2, 4, 8)
+CACHED_WORDS = 600_000
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -71,29 +73,45 @@ class WordTokenizer:
                 plain += [x for x in parts[w] if x not in self.cache]
             else:
                 plain.append(w)
-        plain = list(dict.fromkeys(plain))
-        for w, e in zip(plain, self.own.encode_batch([w.decode("utf-8") for w in plain], add_special_tokens=False), strict=True):
+        letters, other = [], []
+        for w in dict.fromkeys(plain):
+            text = w.decode("utf-8")
+            (letters if text.isalpha() else other).append((w, text))
+        # Words of letters alone are encoded as one text and told apart by their places.
+        for at in range(0, len(letters), 4000):
+            some = letters[at:at + 4000]
+            whole = self.own.encode(" ".join(t for _, t in some), add_special_tokens=False)
+            starts = np.cumsum([0] + [len(t) + 1 for _, t in some])
+            ids = np.array(whole.ids, "<u4")
+            edges = np.searchsorted([a for a, _ in whole.offsets], starts)
+            for (w, _), a, b in zip(some, edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                self.cache[w] = ids[a:b].tobytes()
+        for (w, _), e in zip(other, self.own.encode_batch([t for _, t in other], add_special_tokens=False), strict=True):
             self.cache[w] = np.array(e.ids, "<u4").tobytes()
         for w, (body, tail) in parts.items():
             self.cache[w] = self.cache[body] + self.cache[tail]
 
-    def ids(self, text: str | None) -> bytes:
-        """The ids as unsigned little-endian 32-bit numbers, without the end id."""
-        words = (text or "").encode("utf-8").lower().split()
-        try:
-            return b"".join(map(self.cache.__getitem__, words))
-        except KeyError:
-            if len(self.cache) > CACHED_WORDS:
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        """Of each text the ids as unsigned little-endian 32-bit numbers, without the end id."""
+        split = [(text or "").encode("utf-8").lower().split() for text in texts]
+        unknown = set().union(*split).difference(self.cache)
+        if len(self.cache) + len(unknown) > CACHED_WORDS:
+            self.cache.clear()
+            unknown = set().union(*split)
+        if len(unknown) <= CACHED_WORDS:
+            self._learn(unknown)
+            return [b"".join(map(self.cache.__getitem__, words)) for words in split]
+        # More words than the cache holds are learned piece by piece.
+        out = []
+        for words in split:
+            parts = []
+            for at in range(0, len(words), CACHED_WORDS):
+                some = words[at:at + CACHED_WORDS]
                 self.cache.clear()
-            # A text of more words than the cache holds is learned piece by piece.
-            out = []
-            for at in range(0, len(words), CACHED_WORDS // 4):
-                some = words[at:at + CACHED_WORDS // 4]
-                self._learn([w for w in set(some) if w not in self.cache])
-                out.append(b"".join(map(self.cache.__getitem__, some)))
-                if len(self.cache) > CACHED_WORDS:
-                    self.cache.clear()
-            return b"".join(out)
+                self._learn(set(some))
+                parts.append(b"".join(map(self.cache.__getitem__, some)))
+            out.append(b"".join(parts))
+        return out
 
 
 _TOKENIZERS: dict = {}
@@ -105,6 +123,19 @@ def tokenizer(path: str) -> WordTokenizer:
     return _TOKENIZERS[path]
 
 
+def _by_size(ids, texts, chars: int = 4_000_000):
+    """Ids of the texts of a column, in calls of about `chars` characters."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text.as_py())
+        size += len(held[-1] or "")
+        if size >= chars:
+            yield from ids(held)
+            held, size = [], 0
+    if held:
+        yield from ids(held)
+
+
 def _pieces(path: str, size: int):
     def step(batches):
         words, task, seen = tokenizer(path), TaskContext.get().partitionId(), {}
@@ -113,8 +144,8 @@ def _pieces(path: str, size: int):
             ids = batch.column(batch.schema.get_field_index("id"))
             texts = batch.column(batch.schema.get_field_index("text"))
             owner, rows = [], []
-            for n, text in enumerate(texts):
-                raw = words.ids(text.as_py()) + end
+            for n, raw in enumerate(_by_size(words.ids, texts)):
+                raw += end
                 for piece, at in enumerate(range(0, len(raw), 4 * size)):
                     part = raw[at:at + 4 * size]
                     length = len(part) // 4
@@ -225,11 +256,17 @@ class _Runs:
 
 def plan(counts: dict[int, int], size: int = LENGTH, groups: int = GROUPS, unit: int = UNIT):
     """Runs (first sequence, number of sequences, lengths in each) that hold all pieces."""
+    plans = [plan_with(counts, part, size, groups, unit) for part in LARGE_PARTS]
+    return min(plans, key=lambda runs: sum(number for _, number, _ in runs))
+
+
+def plan_with(counts: dict[int, int], large_part: int, size: int, groups: int, unit: int):
+    """The plan in which lengths over `size / large_part` are large."""
     runs = _Runs(size)
     left = dict(counts)
     if left.get(size):
         runs.add(None, left.pop(size), [size], 0)
-    large = sorted((n for n in left if n > size // LARGE_PART), reverse=True)
+    large = sorted((n for n in left if n > size // large_part), reverse=True)
     total = sum(left[n] for n in large)
     if total:
         members: list[list[list[int]]] = []

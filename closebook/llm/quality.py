@@ -185,6 +185,8 @@ def score_views(model: dict, features: list[np.ndarray]) -> tuple[np.ndarray, np
 
 
 _ADDED = ("content_score", "metadata_score", "score")
+#: Columns of the result that replace columns of the same name.
+NEW = {*_ADDED, "accepted"}
 
 
 def _score(sent, names):
@@ -232,7 +234,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
 
 def score_quality(docs: DataFrame, model: dict) -> DataFrame:
     """`docs` with `content_score`, `metadata_score`, `score` and `accepted`."""
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in {*_ADDED, "accepted"}])
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in NEW])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     scored = docs.mapInArrow(_score(sent, docs.columns), schema + "".join(f", {n} double" for n in _ADDED))

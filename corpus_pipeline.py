@@ -1,14 +1,87 @@
-"""A training corpus from `documents`: stages, each reading what the one before wrote."""
+"""A training corpus from `documents`: five stages, each reading what the one before wrote.
+
+1. `quality`: documents that the co-trained quality classifier rejects go. Labels are
+   those of the table `labels`.
+2. `line_dedup`: runs of three lines that occurred before are cut from the texts.
+3. `near_dedup`: of each group of near-duplicates the one with the smallest id stays.
+   Rows that repeat this id count as one. Texts without words are near nothing and stay.
+4. `decontaminate`: documents of which the table `benchmark` covers a twentieth go.
+5. `packing`: what is left is packed into sequences of 4096 tokens; a row per piece.
+
+Stages 1 to 4 return the columns of documents, extra ones included; where a text was cut,
+`n_chars` is its new length. Nulls, empty texts and empty tables are what the operators'
+docstrings say; null texts stay null unless a stage drops the row.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from closebook.llm import decontaminate, linededup, minhash, packing, quality
+from closebook.llm.common import free_name, table, whole, written
+
+
+def _aside(docs: DataFrame, taken: set[str]) -> tuple[DataFrame, list]:
+    """`docs` with other names for columns that an operator would replace, and the way back."""
+    out, back = docs, []
+    for c in docs.columns:
+        other = c if c.lower() not in taken else free_name(out, f"_{c}")
+        out = out if other == c else out.withColumnRenamed(c, other)
+        back.append(F.col(f"`{other}`").alias(c))
+    return out, back
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    rows, back = _aside(docs, quality.NEW)
+    return quality.score_quality(rows, model).where("accepted").select(*back)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rows, back = _aside(docs, linededup.NEW)
+    cut = linededup.delete_repeated_runs(rows)
+    length = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return cut.withColumn("n_chars", length).select(*back)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(docs)
+    # Of each component the smallest id; rows without words all stay.
+    texts = found.where("n_shingles > 0").groupBy("component", "doc_id", "text_key").agg(F.count("*").alias("copies"))
+    best = texts.groupBy("component").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key", "copies")).alias("best"))
+    key, copies = free_name(docs, "text_key"), free_name(docs, "copies")
+    keep = best.select(
+        F.col("best.doc_id").alias("kept_id"), F.col("best.text_key").alias("kept_key"), F.col("best.copies").alias(copies))
+    keyed = docs.withColumn(key, F.sha2(whole(), 256))
+    chosen = keyed.join(keep, F.col(key).eqNullSafe(F.col("kept_key")) & F.col("doc_id").eqNullSafe(F.col("kept_id")))
+    # A chosen row that stands in the table several times is one document.
+    once = chosen.where(F.col(copies) == 1).select(*docs.columns)
+    several = chosen.where(F.col(copies) > 1).dropDuplicates([key, "doc_id"]).select(*docs.columns)
+    wordless = docs.where(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    return once.unionByName(several).unionByName(wordless)
+
+
+def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rows, back = _aside(docs, decontaminate.NEW)
+    found = decontaminate.find_contamination(rows, table(spark, sf_dir, "benchmark"))
+    return found.where("NOT contaminated").select(*back)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
 
-from closebook.llm.common import table, written
 
-STAGES: list = []
+STAGES = [
+    ("quality", quality_stage),
+    ("line_dedup", line_stage),
+    ("near_dedup", near_stage),
+    ("decontaminate", decontaminate_stage),
+    ("packing", packing_stage),
+]
 
-#: The stages are trained or tokenized: no SQL twin; tests hold them against brute force.
+#: Trained and tokenized stages have no SQL twin; tests hold the others against brute force.
 ORACLE_SQL = None
 
 
