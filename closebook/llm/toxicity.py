@@ -1,7 +1,7 @@
 """Toxicity: a factorization machine over hashed terms.
 
 Terms of a text are its lower-case words and their first four, five and six letters,
-hashed to 2**18 numbers; a term counts once. On the training sample the terms that tell
+hashed to 2**22 numbers; a term counts once. On the training sample the terms that tell
 the classes apart are chosen; the machine learns a weight for each and a vector of eight
 factors, so that a pair of terms (an insult with the name of a group, say) has a weight
 of its own: the inner product of their vectors. Scores are calibrated on a part of the
@@ -28,10 +28,13 @@ from pyspark.sql import functions as F
 from closebook.llm.common import free_name, query, table
 
 SAMPLE = 12_000
-BUCKETS = 1 << 18
+BUCKETS = 1 << 22
 TERMS = 2048
 FACTORS = 8
-EPOCHS = 40
+EPOCHS, LEAST_STEPS = 40, 2_000
+LEAST_EVIDENCE = 30.0  # chi-square a term must reach
+CLEAR = 6.0
+HIDDEN = 0.5  # share of terms hidden in each step of training
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.7
 CACHED_WORDS = 200_000
@@ -79,14 +82,15 @@ def _extract(batches):
 def choose_terms(rows: list, labels: np.ndarray, limit: int = TERMS) -> dict[int, int]:
     """The buckets that tell the classes apart most, by the chi-square of their presence."""
     n, positive = len(labels), max(int(labels.sum()), 1)
-    counts = np.zeros((2, BUCKETS))
+    counts = np.zeros((2, BUCKETS), np.int32)
     for row, label in zip(rows, labels, strict=True):
         counts[int(label), row] += 1
     total = counts.sum(axis=0)
     expected = total * positive / n
-    score = np.where(total >= 3, (counts[1] - expected) ** 2 / np.maximum(expected, 1e-9), 0)
+    spread = expected * (1 - positive / n) * (1 - total / n)
+    score = np.where((total >= 3) & (total < n), (counts[1] - expected) ** 2 / np.maximum(spread, 1e-9), 0)
     best = np.argsort(-score, kind="stable")[:limit]
-    return {int(b): i for i, b in enumerate(best[score[best] > 0])}
+    return {int(b): i for i, b in enumerate(best[score[best] >= LEAST_EVIDENCE])}
 
 
 def logits(model: dict, rows: list) -> np.ndarray:
@@ -96,7 +100,8 @@ def logits(model: dict, rows: list) -> np.ndarray:
         if row:
             v = model["factors"][row]
             out[i] += model["weights"][row].sum() + 0.5 * ((v.sum(axis=0) ** 2).sum() - (v * v).sum())
-    return out
+    # Pairs add up with the square of their terms; beyond this nothing is left to tell.
+    return np.clip(out, -CLEAR, CLEAR)
 
 
 def sigmoid(x):
@@ -138,22 +143,23 @@ def fit(rows: list, labels: np.ndarray, seed: int = 7) -> dict:
         x[i, numbers[at]] = 1
     y = labels[train]
     rng = np.random.default_rng(seed)
-    p = {"bias": np.zeros(1), "weights": np.zeros(len(known)), "factors": rng.normal(0, 0.02, (len(known), FACTORS))}
+    p = {"bias": np.zeros(1), "weights": np.zeros(len(known)), "factors": rng.normal(0, 0.05, (len(known), FACTORS))}
     p["bias"][0] = np.log(share / (1 - share))
     moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in p.items()}
     step = 0
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-LEAST_STEPS * 128 // len(train)))):
         order = rng.permutation(len(train))
         for at in range(0, len(order), 128):
             some = order[at:at + 128]
-            xs = x[some].astype(float)
+            # Part of the terms is hidden, so that each that remains has to tell by itself.
+            xs = x[some] * (rng.random(x[some].shape) >= HIDDEN)
             s = xs @ p["factors"]
             z = p["bias"][0] + xs @ p["weights"] + 0.5 * ((s * s).sum(axis=1) - xs @ (p["factors"] ** 2).sum(axis=1))
             e = (sigmoid(z) - y[some]) / len(some)
             slope = {
                 "bias": np.array([e.sum()]),
-                "weights": xs.T @ e + 1e-5 * p["weights"],
-                "factors": xs.T @ (e[:, None] * s) - (xs.T @ e)[:, None] * p["factors"] + 1e-5 * p["factors"],
+                "weights": xs.T @ e + 3e-4 * p["weights"],
+                "factors": xs.T @ (e[:, None] * s) - (xs.T @ e)[:, None] * p["factors"] + 3e-4 * p["factors"],
             }
             step += 1
             for k, g in slope.items():

@@ -92,15 +92,21 @@ def test_quality_on_documents_without_label(spark):
 
 
 def test_views_teach_each_other():
-    rng = np.random.default_rng(1)
-    y = (rng.random(2400) < 0.5).astype(float)
-    views = [rng.normal(0, 1, (2400, 40)) + y[:, None] * 0.55 for _ in range(2)]
-    few, free, test = slice(0, 40), slice(40, 1400), slice(1400, 2400)
-    right = []
-    for rounds in (0, 4):
-        model = q.cotrain([v[few] for v in views], y[few], [v[free] for v in views], rounds)
-        right.append(((q.score_views(model, [v[test] for v in views])[2] > 0.5) == y[test]).mean())
-    assert right[1] >= right[0] and right[1] > 0.9
+    """One view is read with ease, the other has few labels for its many features."""
+    gains = []
+    few, free, test = slice(0, 160), slice(160, 1400), slice(1400, 2400)
+    for seed in range(3):
+        rng = np.random.default_rng(seed)
+        y = (rng.random(2400) < 0.5).astype(float)
+        views = [rng.normal(0, 1, (2400, 4)) + y[:, None] * 3, rng.normal(0, 1, (2400, 200)) + y[:, None] * 0.2]
+        right = []
+        for rounds in (0, 4):
+            model = q.cotrain([v[few] for v in views], y[few], [v[free] for v in views], rounds)
+            scores = q.score_views(model, [v[test] for v in views])
+            right.append(((scores[1] > 0.5) == y[test]).mean())
+            assert ((scores[2] > 0.5) == y[test]).mean() > 0.95
+        gains.append(right[1] - right[0])
+    assert min(gains) > 0.03
 
 
 @pytest.mark.parametrize("rows", [[], [(0, 1, 1), (1, 1, 1), (2, None, 0)]])
