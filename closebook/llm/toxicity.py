@@ -27,14 +27,14 @@ from pyspark.sql import functions as F
 
 from closebook.llm.common import free_name, query, table
 
-SAMPLE = 12_000
+SAMPLE = 8_000
 BUCKETS = 1 << 22
 TERMS = 2048
 FACTORS = 8
 EPOCHS, LEAST_STEPS = 40, 2_000
 LEAST_EVIDENCE = 30.0  # chi-square a term must reach
 CLEAR = 6.0
-HIDDEN = 0.5  # share of terms hidden in each step of training
+HIDDEN = 0.5  # share of terms hidden in a step of training
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.7
 CACHED_WORDS = 200_000
@@ -97,7 +97,7 @@ def logits(model: dict, rows: list) -> np.ndarray:
     """Machine output for rows of term numbers."""
     out = np.full(len(rows), model["bias"])
     for i, row in enumerate(rows):
-        if row:
+        if len(row):
             v = model["factors"][row]
             out[i] += model["weights"][row].sum() + 0.5 * ((v.sum(axis=0) ** 2).sum() - (v * v).sum())
     # Pairs add up with the square of their terms; beyond this nothing is left to tell.
@@ -128,6 +128,7 @@ def calibrate(scores: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 
 def fit(rows: list, labels: np.ndarray, seed: int = 7) -> dict:
     """A machine fitted on rows of buckets; every fifth row is kept for calibration."""
+    rows = [np.asarray(row, np.int32) for row in rows]
     labels = np.asarray(labels, float)
     share = float(labels.mean()) if len(labels) else 0.0
     if not len(labels) or share in (0.0, 1.0):
@@ -137,7 +138,9 @@ def fit(rows: list, labels: np.ndarray, seed: int = 7) -> dict:
         held[:] = False
     train = np.flatnonzero(~held)
     known = choose_terms([rows[i] for i in train], labels[train])
-    numbers = [[known[b] for b in row if b in known] for row in rows]
+    number = np.full(BUCKETS, -1, np.int32)
+    number[list(known)] = list(known.values())
+    numbers = [found[found >= 0] for found in (number[row] for row in rows)]
     x = np.zeros((len(train), len(known)), np.float32)
     for i, at in enumerate(train):
         x[i, numbers[at]] = 1
@@ -151,7 +154,7 @@ def fit(rows: list, labels: np.ndarray, seed: int = 7) -> dict:
         order = rng.permutation(len(train))
         for at in range(0, len(order), 128):
             some = order[at:at + 128]
-            # Part of the terms is hidden, so that each that remains has to tell by itself.
+            # Part of the terms is hidden, so that each one has to tell by itself if it can.
             xs = x[some] * (rng.random(x[some].shape) >= HIDDEN)
             s = xs @ p["factors"]
             z = p["bias"][0] + xs @ p["weights"] + 0.5 * ((s * s).sum(axis=1) - xs @ (p["factors"] ** 2).sum(axis=1))
@@ -214,7 +217,7 @@ def train(
         .mapInArrow(_extract, "label int, turn bigint, terms array<int>").toPandas()
         .sort_values("turn", kind="stable")
     )
-    return fit([list(r) for r in rows["terms"]], (rows["label"].to_numpy() > 0).astype(float))
+    return fit([np.asarray(r, np.int32) for r in rows["terms"]], (rows["label"].to_numpy() > 0).astype(float))
 
 
 def score_toxicity(docs: DataFrame, model: dict, text_column: str = "text", name: str = "score") -> DataFrame:

@@ -9,7 +9,7 @@ from closebook.llm import toxicity as t
 from tests.llm import cases
 
 
-def toxic_corpus(spark, n=900, seed=2):
+def toxic_corpus(spark, n=2400, seed=2):
     """An insult word, or a word that is bad only together with a group name."""
     rng = random.Random(seed)
     rows, labels = [], []
