@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -256,6 +256,31 @@ def sample_violations(rule, df, key, reference=None, limit=SAMPLES) -> DataFrame
     )
 
 
+def with_samples(results, data, rules, keys, reference_data=None, limit=SAMPLES) -> DataFrame:
+    """Result rows with `samples`: the first violating rows of each rule, as JSON texts.
+
+    `keys` maps a table to the columns its rows are ordered by. Rules over a whole table
+    (balance) have none.
+    """
+    reference = {k.upper(): v for k, v in (reference_data or {}).items()}
+    parts = []
+    for df, group in _tables(data, list(rules)):
+        for rule in group:
+            if rule.rule_type in (*ROW_RULES, "uniqueness", "referential"):
+                key = keys[rule.table_name]
+                found = sample_violations(
+                    rule, df, key, reference.get((rule.reference_table or "").upper()), limit)
+                parts.append(found.select("rule_id", F.struct(*key).alias("key"), "row")
+                             .select("rule_id", "row", F.row_number().over(Window.partitionBy("rule_id").orderBy("key")).alias("n")))
+    none = F.array().cast("array<string>")
+    if not parts:
+        return results.withColumn("samples", none)
+    # At most `limit` rows of each rule.
+    listed = reduce(DataFrame.unionByName, parts).groupBy("rule_id").agg(
+        F.sort_array(F.collect_list(F.struct("n", "row")))["row"].alias("samples"))
+    return results.join(listed, "rule_id", "left").withColumn("samples", F.coalesce("samples", none))
+
+
 def key_rules(keys: DataFrame) -> list[Rule]:
     """Unique and not-null rules for the key columns of the dictionary.
 

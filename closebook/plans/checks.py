@@ -167,6 +167,28 @@ def dq_samples(t):
     ).select("rule_id", "invoice_id")
 
 
+SAMPLED = ["ap_positive_amounts", "ap_valid_vendor", "ap_known_vendor"]
+_BROKEN = {
+    "ap_positive_amounts": "invoice_amount < 0", "ap_valid_vendor": "vendor_id IS NULL",
+    "ap_known_vendor": "vendor_id IS NOT NULL AND vendor_id NOT IN (SELECT vendor_id FROM fx_ap_suppliers)",
+}
+
+
+@query("q_dq_report_samples", "\nUNION ALL\n".join(f"""
+SELECT '{rule}' AS rule_id, (SELECT count(*) FROM fx_ap_invoices WHERE {_BROKEN[rule]}) AS violations_count,
+       COALESCE(string_agg(CAST(invoice_id AS VARCHAR), ',' ORDER BY invoice_id), '') AS first_invoices
+FROM (SELECT invoice_id FROM fx_ap_invoices WHERE {_BROKEN[rule]} ORDER BY invoice_id LIMIT 10)""" for rule in SAMPLED))
+def dq_report_samples(t):
+    rules = [RULES["ap_positive_amounts"], RULES["ap_valid_vendor"], VENDOR_RULE]
+    reference = {"AP_SUPPLIERS": t["fx_ap_suppliers"]}
+    results = quality.evaluate_rules("AP", t["fx_ap_invoices"], rules, reference)
+    rows = quality.with_samples(
+        results, t["fx_ap_invoices"], rules, {"AP_INVOICES_ALL": ["invoice_id"]}, reference
+    )
+    ids = F.transform("samples", lambda x: F.get_json_object(x, "$.invoice_id"))
+    return rows.select("rule_id", "violations_count", F.array_join(ids, ",").alias("first_invoices"))
+
+
 @query("q_dq_balance", SQL["gl_balance_check"])
 def dq_balance(t):
     return quality.evaluate_rules("GL", t["fx_gl_je_lines"], [RULES["gl_balance_check"]])

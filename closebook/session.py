@@ -57,5 +57,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared folder, for tables one run writes."""
+    """A fresh folder under the shared folder, for tables one run writes.
+
+    Results read them lazily, so they stay as long as the session; `remove_scratch` drops
+    those of a session that has no more use for its results.
+    """
     return f"{checkpoint_dir(spark).rstrip('/')}/closebook/{name}-{uuid.uuid4().hex}"
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Remove all tables that runs of this session wrote under the shared folder."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark).rstrip('/')}/closebook")
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
