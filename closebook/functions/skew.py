@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from closebook.session import scratch_path
+
 # Rows of one key that a single window group may hold; a longer history is cut.
 TASK_ROWS = 1_000_000
 
@@ -45,7 +47,7 @@ def history_cuts(df: DataFrame, keys, order, task_rows: int) -> DataFrame | None
     Rows of such keys are range-partitioned by key, time and second order column, so
     they fall in even ranges however they share keys or instants; each range gives one
     cut per key in it. That is a list of at most the number of shuffle partitions plus
-    the number of such keys, taken to the driver once so that all uses see one list.
+    the number of such keys, written once so that all uses see one list.
     None when no key is that long.
     """
     spark = df.sparkSession
@@ -65,7 +67,11 @@ def history_cuts(df: DataFrame, keys, order, task_rows: int) -> DataFrame | None
         .collect()
     )
     rows = [(r["key_hash"], r["cuts"], r["cuts"][::_stride(len(r["cuts"]))]) for r in ranges]
-    return spark.createDataFrame(rows, _CUTS) if rows else None
+    if not rows:
+        return None
+    path = scratch_path(spark, "cuts")
+    spark.createDataFrame(rows, _CUTS).coalesce(1).write.parquet(path)
+    return spark.read.schema(_CUTS).parquet(path)
 
 
 def _stride(cuts: int) -> int:
