@@ -142,7 +142,8 @@ def with_next(df: DataFrame, id_column: str, columns: list[str]) -> DataFrame:
         step = max(1, int(len(firsts) ** 0.5))
 
         def longs(values):
-            return F.transform(F.split(F.lit(",".join(map(str, values))), ","), lambda x: x.cast("bigint"))
+            # A cast is folded to one constant array; a function over its elements would not be.
+            return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
         coarse = (F.size(F.filter(longs(firsts[::step]), lambda x: x >= key)) - 1) * step
         fine = F.size(F.filter(F.slice(longs(firsts), coarse + 1, F.lit(step)), lambda x: x >= key))
