@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from closebook.llm.common import free_name, query, table
 
-SAMPLE = 8_000
+SAMPLE = 6_000
 BUCKETS = 1 << 22
 TERMS = 2048
 FACTORS = 8
@@ -86,11 +86,12 @@ def choose_terms(rows: list, labels: np.ndarray, limit: int = TERMS) -> dict[int
     for row, label in zip(rows, labels, strict=True):
         counts[int(label), row] += 1
     total = counts.sum(axis=0)
-    expected = total * positive / n
-    spread = expected * (1 - positive / n) * (1 - total / n)
-    score = np.where((total >= 3) & (total < n), (counts[1] - expected) ** 2 / np.maximum(spread, 1e-9), 0)
+    seen = np.flatnonzero((total >= 3) & (total < n))
+    share = total[seen] / n
+    expected = share * positive
+    score = (counts[1, seen] - expected) ** 2 / np.maximum(expected * (1 - positive / n) * (1 - share), 1e-9)
     best = np.argsort(-score, kind="stable")[:limit]
-    return {int(b): i for i, b in enumerate(best[score[best] >= LEAST_EVIDENCE])}
+    return {int(b): i for i, b in enumerate(seen[best[score[best] >= LEAST_EVIDENCE]])}
 
 
 def logits(model: dict, rows: list) -> np.ndarray:
