@@ -35,12 +35,12 @@ from pyspark.sql import functions as F
 from closebook.llm.common import query, table
 from closebook.llm.toxicity import calibrate, sigmoid
 
-LABELLED = 6_000
-POOL = 6_000
+LABELLED = 4_000
+POOL = 4_000
 ROUNDS = 4
 ADDED = 400
 SURE = 0.95
-CONTENT_BUCKETS = 512
+CONTENT_BUCKETS = 256
 NAMED_BUCKETS = 64
 THRESHOLD = 0.5
 
@@ -122,12 +122,12 @@ class Logistic:
 
     def __init__(self, x: np.ndarray, y: np.ndarray, weight: float = 1e-3, steps: int = 300):
         self.mean, self.scale = x.mean(axis=0), np.maximum(x.std(axis=0), 0.02)
-        z = (x - self.mean) / self.scale
+        z = ((x - self.mean) / self.scale).astype(np.float32)
         w, b = np.zeros(x.shape[1]), 0.0
         m, v = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
         for t in range(1, steps + 1):
-            e = (sigmoid(z @ w + b) - y) / len(y)
-            g = np.append(z.T @ e + weight * w, e.sum())
+            e = (sigmoid(z @ w.astype(np.float32) + b) - y) / len(y)
+            g = np.append(z.T @ e.astype(np.float32) + weight * w, e.sum())
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             move = 0.05 * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-8)
@@ -149,13 +149,13 @@ def cotrain(labelled: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], r
     target = [[y[~held]], [y[~held]]]
     free = [np.ones(len(p), bool) for p in pool]
     for turn in range(rounds + 1):
-        models = [Logistic(np.concatenate(own[v]).astype(float), np.concatenate(target[v])) for v in (0, 1)]
-        curves = [calibrate(models[v].logits(labelled[v][held].astype(float)), y[held]) for v in (0, 1)]
+        models = [Logistic(np.concatenate(own[v]), np.concatenate(target[v])) for v in (0, 1)]
+        curves = [calibrate(models[v].logits(labelled[v][held]), y[held]) for v in (0, 1)]
         if turn == rounds or not len(pool[0]):
             break
         for v in (0, 1):
             other = 1 - v
-            p = sigmoid(curves[v][0] * models[v].logits(pool[v].astype(float)) + curves[v][1])
+            p = sigmoid(curves[v][0] * models[v].logits(pool[v]) + curves[v][1])
             for label, sure in ((1.0, p), (0.0, 1 - p)):
                 rows = np.flatnonzero((sure >= SURE) & free[other])
                 # As many of each class as its share, so that the classes stay as they are.
@@ -166,7 +166,7 @@ def cotrain(labelled: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], r
                 free[other][rows] = False
     views = []
     for v in (0, 1):
-        p = sigmoid(curves[v][0] * models[v].logits(labelled[v][held].astype(float)) + curves[v][1])
+        p = sigmoid(curves[v][0] * models[v].logits(labelled[v][held]) + curves[v][1])
         loss = -np.mean(np.where(y[held] > 0, np.log(np.maximum(p, 1e-12)), np.log(np.maximum(1 - p, 1e-12))))
         views.append({"model": models[v], "curve": curves[v], "trust": 1 / (loss + 0.02)})
     total = sum(v["trust"] for v in views)
@@ -178,7 +178,7 @@ def score_views(model: dict, features: list[np.ndarray]) -> tuple[np.ndarray, np
     if "views" not in model:
         flat = np.full(len(features[0]), model["share"])
         return flat, flat, flat
-    odds = [v["curve"][0] * v["model"].logits(x.astype(float)) + v["curve"][1] for v, x in zip(model["views"], features, strict=True)]
+    odds = [v["curve"][0] * v["model"].logits(x) + v["curve"][1] for v, x in zip(model["views"], features, strict=True)]
     both = sum(2 * v["trust"] * o for v, o in zip(model["views"], odds, strict=True))
     prior = np.log(model["share"] / (1 - model["share"]))
     return sigmoid(odds[0]), sigmoid(odds[1]), sigmoid(both - prior)
