@@ -14,8 +14,14 @@ the order of their ids, rows without id last, rows of one id by the hash of thei
 4. Windows after the least place are deleted, with all lines they cover. Where a run
    overlaps its own repeat (one line many times over), only what precedes the repeat stays.
 
+With `words` given, runs of fewer than `RUN` lines that hold more words than that are
+deleted in the same way, so the least repeat follows words where lines are long. Each
+length has windows of its own; the least hash of a short window is its fingerprint too.
+`op7_line_dedup` goes without, as its SQL twin does; the pipeline takes `WORDS`.
+
 Null and empty texts are one empty line and stay as they are. Rows equal in id and text
-are one place: neither goes because of the other. Texts of fewer lines than `RUN` stay.
+are one place: neither goes because of the other. Without `words`, texts of fewer lines
+than `RUN` stay.
 """
 
 from __future__ import annotations
@@ -26,8 +32,11 @@ from pyspark.sql import functions as F
 from closebook.llm.common import query, table, whole
 
 RUN = 3
+WORDS = 50
 #: Columns of the result that replace columns of the same name.
 NEW = {"n_lines", "n_removed", "n_runs"}
+#: Words stand between these.
+BLANK = r"[\x20\x09-\x0D]+"
 
 
 def _lines(text: Column) -> Column:
@@ -46,35 +55,51 @@ def _keyed(docs: DataFrame, id_column: str, text: Column) -> DataFrame:
     )
 
 
-def later_windows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", run: int = RUN) -> DataFrame:
-    """(doc, starts): the first lines, from 0, of windows that have occurred before."""
+def _windows(docs: DataFrame, size: int, run: int, words: int | None) -> DataFrame:
+    """Windows of `size` lines, with zeros for the lines that `run` has more; with `words`,
+    only those that hold more."""
+    lines = _lines(F.col("text"))
+    hashed = docs.where(F.size(lines) >= size).select(
+        "doc", F.transform(lines, lambda x: F.xxhash64(x)).alias("hashes"),
+        *([F.transform(lines, lambda x: F.size(F.filter(F.split(x, BLANK), lambda w: w != ""))).alias("held")] if words is not None else []))
+    starts = F.sequence(F.lit(0), F.size("hashes") - size)
+    if words is not None:
+        starts = F.filter(starts, lambda at: sum((F.get("held", at + j) for j in range(size)), F.lit(0)) > words)
+    return hashed.select("doc", "hashes", F.explode(starts).alias("at")).select(
+        "doc", "at", F.lit(size).alias("size"),
+        *[(F.element_at("hashes", F.col("at") + j + 1) if j < size else F.lit(0).cast("bigint")).alias(f"h{j}") for j in range(run)])
+
+
+def later_windows(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", run: int = RUN, words: int | None = None,
+) -> DataFrame:
+    """(doc, starts): the first lines, from 0, and sizes of windows that have occurred before."""
     keyed = _keyed(docs, id_column, whole(text_column))
-    hashed = keyed.select("doc", F.transform(_lines(F.col("text")), lambda x: F.xxhash64(x)).alias("hashes"))
-    windows = (
-        hashed.where(F.size("hashes") >= run)
-        .select("doc", "hashes", F.explode(F.sequence(F.lit(0), F.size("hashes") - run)).alias("at"))
-        .select("doc", "at", *[F.element_at("hashes", F.col("at") + j + 1).alias(f"h{j}") for j in range(run)])
-    )
+    windows = _windows(keyed, run, run, None)
+    for size in range(1, run) if words is not None else ():
+        windows = windows.unionByName(_windows(keyed, size, run, words))
     lines = [f"h{j}" for j in range(run)]
-    windows = windows.withColumn("fingerprint", F.least(*lines))
+    used = [F.when(F.col("size") > j, F.col(h)) for j, h in enumerate(lines)]
+    windows = windows.withColumn("fingerprint", F.least(*used))
     # Equal windows choose the line of the same number; the least of equal ones is the first.
-    chosen = F.coalesce(*[F.when(F.col(h) == F.col("fingerprint"), F.col("at") + j) for j, h in enumerate(lines)])
+    chosen = F.coalesce(*[F.when(h == F.col("fingerprint"), F.col("at") + j) for j, h in enumerate(used)])
     position = F.xxhash64("doc.unnamed", "doc.id", "doc.text", chosen)
     shared = (
         windows.select("fingerprint", position.alias("p")).groupBy("fingerprint")
         .agg(F.min("p").alias("a"), F.max("p").alias("b")).where("a <> b").select("fingerprint")
     )
     extended = windows.join(shared, "fingerprint").select(
-        *lines, F.struct("doc.unnamed", "doc.id", "doc.text", "at").alias("place"))
-    first = extended.groupBy(*lines).agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last")
-    later = extended.join(first.drop("last"), lines).where("place > first")
+        "size", *lines, F.struct("doc.unnamed", "doc.id", "doc.text", "at").alias("place"))
+    first = extended.groupBy("size", *lines).agg(
+        F.min("place").alias("first"), F.max("place").alias("last")).where("first < last")
+    later = extended.join(first.drop("last"), ["size", *lines]).where("place > first")
     return later.groupBy(
         F.struct(F.col("place.unnamed"), F.col("place.id"), F.col("place.text")).alias("doc")
-    ).agg(F.collect_set("place.at").alias("starts"))
+    ).agg(F.collect_set(F.struct("place.at", "size")).alias("starts"))
 
 
 def delete_repeated_runs(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", run: int = RUN,
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", run: int = RUN, words: int | None = None,
 ) -> DataFrame:
     """`docs` with the text without repeated runs, and `n_lines`, `n_removed`, `n_runs`.
 
@@ -82,7 +107,7 @@ def delete_repeated_runs(
     name of a new one make way for it.
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in NEW])
-    found = later_windows(docs, id_column, text_column, run)
+    found = later_windows(docs, id_column, text_column, run, words)
     text = whole(text_column)
     rows = docs.select(F.struct("*").alias("row"), F.struct(
         F.col(id_column).isNull().alias("unnamed"),
@@ -91,7 +116,7 @@ def delete_repeated_runs(
     ).alias("doc"))
     joined = rows.join(found, "doc", "left").select("row", F.col("starts").alias("starts"))
     own = _lines(whole(f"row.{text_column}"))
-    gone = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.array(*[s + j for j in range(run)]))))
+    gone = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s["at"], s["at"] + s["size"] - 1))))
     cut = joined.select("row", own.alias("lines"), F.when(F.col("starts").isNotNull(), gone).alias("gone"))
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     kept_text = F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n")

@@ -2,7 +2,8 @@
 
 1. `quality`: documents that the co-trained quality classifier rejects go. Labels are
    those of the table `labels`.
-2. `line_dedup`: runs of three lines that occurred before are cut from the texts.
+2. `line_dedup`: runs of three lines, and shorter ones of over 50 words, that occurred
+   before are cut from the texts.
 3. `near_dedup`: of each group of near-duplicates the one with the smallest id stays.
    Rows that repeat this id count as one. Texts without words are near nothing and stay.
 4. `decontaminate`: documents of which the table `benchmark` covers a twentieth go.
@@ -40,7 +41,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows, back = _aside(docs, linededup.NEW)
-    cut = linededup.delete_repeated_runs(rows)
+    cut = linededup.delete_repeated_runs(rows, words=linededup.WORDS)
     length = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return cut.withColumn("n_chars", length).select(*back)
 

@@ -51,3 +51,34 @@ def test_no_documents(spark):
 def test_main_path_has_no_python(spark, folder):
     plan = l.op7(spark, folder)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "Cartesian", "NestedLoop"))
+
+
+def brute_words(text, run, words, seen):
+    """Lines of `text` in windows of `run` lines, and in shorter ones of over `words` words, that `seen` has."""
+    lines, gone = (text or "").split("\n"), set()
+    for size in range(1, run + 1):
+        for i in range(len(lines) - size + 1):
+            window = tuple(lines[i:i + size])
+            if size == run or sum(len(x.split()) for x in window) > words:
+                if window in seen:
+                    gone.update(range(i, i + size))
+                seen.add(window)
+    return text if not gone else "\n".join(x for i, x in enumerate(lines) if i not in gone)
+
+
+def test_short_runs_of_many_words(spark):
+    rng = random.Random(5)
+    passage, half, other = cases.sentence(rng, 51), cases.sentence(rng, 26), cases.sentence(rng, 25)
+    short = cases.sentence(rng, 50)
+    texts = [passage, passage, f"a\n{passage}\nb", f"c\n{half}\n{other}\nd", f"{half}\n{other}", f"e\n{other}\n{half}",
+             short, short, f"{passage}\n{passage}", f"{half}\n{half}\n{half}", "", None, "x"]
+    pool = [cases.sentence(rng, n) for n in (3, 20, 30, 40, 55)]
+    texts += ["\n".join(rng.choice(pool) for _ in range(rng.randint(1, 6))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    seen, want = set(), []
+    for text in texts:
+        want.append(brute_words(text, l.RUN, l.WORDS, seen))
+    got = {r["doc_id"]: r for r in l.delete_repeated_runs(docs, words=l.WORDS).collect()}
+    assert [got[i]["text"] for i in range(len(texts))] == want
+    assert want[:8] == [passage, "", "a\nb", f"c\n{half}\n{other}\nd", "", f"e\n{other}\n{half}", short, short]
+    assert got[1]["n_removed"] == 1 and got[4]["n_removed"] == 2

@@ -94,3 +94,10 @@ def test_run(spark, docs, sf_dir):
     rows = [(r["doc_id"], r["text"]) for r in rest.select("doc_id", "text").collect()]
     assert 0 < len(rows) < docs.count()
     check(pipeline.run(spark, sf_dir).collect(), rows, tokenizer, packing.LENGTH)
+
+
+def test_line_stage_cuts_repeated_paragraphs(spark, sf_dir):
+    paragraph = " ".join(f"word{i}" for i in range(51))
+    docs = spark.createDataFrame([(1, paragraph, 1), (2, f"own\n{paragraph}\nend", 1)], "doc_id bigint, text string, n_chars bigint")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in pipeline.line_stage(spark, docs, sf_dir).collect()}
+    assert got == {1: (paragraph, 1), 2: ("own\nend", 7)}
