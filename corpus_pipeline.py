@@ -3,7 +3,8 @@
 1. `quality`: documents that the co-trained quality classifier rejects go. Labels are
    those of the table `labels`.
 2. `line_dedup`: runs of three lines, and shorter ones of over 50 words, that occurred
-   before are cut from the texts.
+   before are cut from the texts. Documents of which no word is left go; those that came
+   in without words stay.
 3. `near_dedup`: of each group of near-duplicates the one with the smallest id stays.
    Rows that repeat this id count as one. Texts without words are near nothing and stay.
 4. `decontaminate`: documents of which the table `benchmark` covers a twentieth go.
@@ -39,13 +40,26 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.score_quality(rows, model).where("accepted").select(*back)
 
 
-def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows, back = _aside(docs, linededup.NEW)
+def _wordless(text):
+    return ~F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, emptied: bool = True) -> DataFrame:
+    """Every row with its text cut; without `emptied`, not those that lost all their words."""
+    came = free_name(docs, "came_wordless")
+    rows, back = _aside(docs.withColumn(came, _wordless("text")), linededup.NEW)
+    back = back[:-1]
     cut = linededup.delete_repeated_runs(rows, words=linededup.WORDS)
     length = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    if not emptied:
+        cut = cut.where(F.col(came) | ~_wordless("text"))
     return cut.withColumn("n_chars", length).select(*back)
 
 
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_stage(spark, docs, sf_dir, emptied=False)
+
+
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(docs)
     # Of each component the smallest id; rows without words all stay.
@@ -60,7 +74,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # A chosen row that stands in the table several times is one document.
     once = chosen.where(F.col(copies) == 1).select(*docs.columns)
     several = chosen.where(F.col(copies) > 1).dropDuplicates([key, "doc_id"]).select(*docs.columns)
-    wordless = docs.where(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    wordless = docs.where(_wordless("text"))
     return once.unionByName(several).unionByName(wordless)
 
 
@@ -76,7 +90,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [
     ("quality", quality_stage),
-    ("line_dedup", line_stage),
+    ("line_dedup", line_dedup_stage),
     ("near_dedup", near_stage),
     ("decontaminate", decontaminate_stage),
     ("packing", packing_stage),

@@ -101,3 +101,12 @@ def test_line_stage_cuts_repeated_paragraphs(spark, sf_dir):
     docs = spark.createDataFrame([(1, paragraph, 1), (2, f"own\n{paragraph}\nend", 1)], "doc_id bigint, text string, n_chars bigint")
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in pipeline.line_stage(spark, docs, sf_dir).collect()}
     assert got == {1: (paragraph, 1), 2: ("own\nend", 7)}
+
+
+def test_emptied_copies_go_and_empty_documents_stay(spark, sf_dir):
+    text = "a b\nc d\ne f"
+    rows = [(1, text, 11), (2, text, 11), (3, "", 0), (4, None, None), (5, " \n\n\n", 4), (6, f"{text}\nown", 15), (7, " \n\n\n", 4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint")
+    stage = dict(pipeline.STAGES)["line_dedup"]
+    got = {r["doc_id"]: r["text"] for r in stage(spark, docs, sf_dir).collect()}
+    assert got == {1: text, 3: "", 4: None, 5: " \n\n\n", 6: "own", 7: ""}
