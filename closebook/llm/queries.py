@@ -2,6 +2,7 @@
 
 from closebook.llm import (  # noqa: F401
     decontaminate,
+    filteraudit,
     fingerprints,
     linededup,
     minhash,
