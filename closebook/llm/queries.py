@@ -12,5 +12,6 @@ from closebook.llm import (  # noqa: F401
     secrets,
     suffixdedup,
     toxicity,
+    warc,
 )
 from closebook.llm.common import ORACLES, QUERIES  # noqa: F401
