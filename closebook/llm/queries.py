@@ -9,6 +9,7 @@ from closebook.llm import (  # noqa: F401
     packing,
     pages,
     quality,
+    search,
     secrets,
     suffixdedup,
     toxicity,
