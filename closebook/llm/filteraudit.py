@@ -50,7 +50,14 @@ GOOD, TOXIC = 1, 2
 LEAST_BATCHES, MOST_BATCHES, BATCH_BYTES = 4, 64, 64 << 30
 #: A page for so many bytes of files, about 1,000 to 2,000 texts.
 LEAST_PAGES, PAGE_BYTES = 16, 2 << 20
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE = "spark.sql.streaming.stateStore."
+#: The state outside the heap; a commit writes what changed, and no file is allocated ahead
+#: of its data, which costs megabytes for each partition of the state.
+STATE_SETTINGS = {
+    f"{STATE}providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{STATE}rocksdb.changelogCheckpointing.enabled": "true",
+    f"{STATE}rocksdb.allowFAllocate": "false",
+}
 KEYED = "page bigint, twin binary, id bigint, role int, part string, mask int, kind int, n bigint"
 DELTAS = "part string, mask int, kind int, n bigint"
 
@@ -179,14 +186,15 @@ def mask_counters(
         total = batch.groupBy("part", "mask", "kind").agg(F.sum("n").alias("n")).where("n <> 0")
         total.write.mode("overwrite").parquet(f"{target}/counters/batch={number}")
 
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, ROCKSDB)
+    before = {key: spark.conf.get(key, None) for key in STATE_SETTINGS}
+    for key, value in STATE_SETTINGS.items():
+        spark.conf.set(key, value)
     try:
         run = changes.writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{target}/checkpoint")
         run.foreachBatch(add).start().awaitTermination()
     finally:
-        spark.conf.set(provider, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     summed = spark.read.schema(DELTAS).parquet(f"{target}/counters").groupBy("part", "mask", "kind").agg(F.sum("n").alias("n"))
     return summed.where("n <> 0")
 
