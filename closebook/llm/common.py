@@ -54,3 +54,17 @@ def free_name(df: DataFrame, wanted: str) -> str:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+_WORKER: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """What the tasks of one operator keep in a Python worker; that of the one before goes.
+
+    Workers live on between stages, and a pipeline would gather all its stages' caches.
+    """
+    if owner not in _WORKER:
+        _WORKER.clear()
+        _WORKER[owner] = {}
+    return _WORKER[owner]

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from closebook.llm.common import LOWER, UPPER, free_name, query, table
+from closebook.llm.common import LOWER, UPPER, free_name, query, table, worker_cache
 
 WINDOW = 13
 BLOCK_CHARS = 200_000  # an automaton of about 200 MB
@@ -81,15 +81,13 @@ def hit_words(machine, words: list[str]) -> tuple[list[tuple[int, int]], set]:
     return runs, owners
 
 
-_MACHINES: dict = {}
-
-
 def _machine(key, items, size):
     """The automaton of a block, built once in each Python worker."""
-    if key not in _MACHINES:
-        _MACHINES.clear()
-        _MACHINES[key] = automaton(items.value, size)
-    return _MACHINES[key]
+    held = worker_cache("automata")
+    if key not in held:
+        held.clear()
+        held[key] = automaton(items.value, size)
+    return held[key]
 
 
 def _scan(items, key, size, text_column, names):

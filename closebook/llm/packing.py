@@ -20,7 +20,8 @@ Pieces then find their place by their rank among the pieces of their length: tas
 number their own pieces, a prefix sum over tasks makes that a rank, and the plan says
 which run, sequence and offset the rank has. No length is brought together in one task.
 
-Null and empty texts are the end id alone. An empty table packs to nothing. Repeated
+Null and empty texts are the end id alone. Special tokens of the tokenizer that stand in a
+text are their ids there. An empty table packs to nothing. Repeated
 rows are packed as often as they occur.
 """
 
@@ -28,6 +29,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
 
 import numpy as np
@@ -37,14 +39,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from closebook.llm.common import query, table, written
+from closebook.llm.common import query, table, worker_cache, written
 
 LENGTH = 4096
 END_ID = 1
 GROUPS = 64
 UNIT = 8
 LARGE_PARTS = (2, 4, 8)
-CACHED_WORDS = 600_000
+CACHED_WORDS = 150_000
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -53,7 +55,11 @@ class WordTokenizer:
 
     No token of this tokenizer reaches over white space, and it lower-cases, so a text's
     ids are those of its ASCII-lower-cased words in turn. Letters and the dots and
-    commas after them are cached apart, as the tokenizer splits there too.
+    commas after them are cached apart, as the tokenizer splits there too. Its special
+    tokens are found in the text as it stands, before anything is lower-cased.
+
+    The cache has two generations of `CACHED_WORDS` words: when the younger one is full it
+    becomes the older one, and words of that which come again join the younger.
     """
 
     def __init__(self, path: str):
@@ -61,8 +67,22 @@ class WordTokenizer:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.own = Tokenizer.from_file(path)
+        # Words come without special tokens; one that looks like it when lower-cased is text.
         self.own.encode_special_tokens = True
         self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        special = {t.content: np.array([i], "<u4").tobytes() for i, t in self.own.get_added_tokens_decoder().items()}
+        self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
+        self.special_ids = special
+
+    def _known(self, words) -> None:
+        """Have all these words in the younger generation."""
+        missing = words.difference(self.cache)
+        if len(self.cache) + len(missing) > CACHED_WORDS:
+            self.older, self.cache, missing = self.cache, {}, words
+        again = missing & self.older.keys()
+        self.cache.update((w, self.older[w]) for w in again)
+        self._learn(missing - again)
 
     def _learn(self, words):
         parts, plain = {}, []
@@ -93,34 +113,34 @@ class WordTokenizer:
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Of each text the ids as unsigned little-endian 32-bit numbers, without the end id."""
+        if self.special and any(text and self.special.search(text) for text in texts):
+            return [b"".join(parts) for parts in map(self._around_special, texts)]
         split = [(text or "").encode("utf-8").lower().split() for text in texts]
-        unknown = set().union(*split).difference(self.cache)
-        if len(self.cache) + len(unknown) > CACHED_WORDS:
-            self.cache.clear()
-            unknown = set().union(*split)
-        if len(unknown) <= CACHED_WORDS:
-            self._learn(unknown)
+        distinct = set().union(*split)
+        if len(distinct) <= CACHED_WORDS:
+            self._known(distinct)
             return [b"".join(map(self.cache.__getitem__, words)) for words in split]
-        # More words than the cache holds are learned piece by piece.
+        # More words than a generation holds are learned piece by piece.
         out = []
         for words in split:
             parts = []
             for at in range(0, len(words), CACHED_WORDS):
                 some = words[at:at + CACHED_WORDS]
-                self.cache.clear()
-                self._learn(set(some))
+                self._known(set(some))
                 parts.append(b"".join(map(self.cache.__getitem__, some)))
             out.append(b"".join(parts))
         return out
 
-
-_TOKENIZERS: dict = {}
+    def _around_special(self, text):
+        for at, part in enumerate(self.special.split(text or "")):
+            yield self.special_ids[part] if at % 2 else self.ids([part])[0]
 
 
 def tokenizer(path: str) -> WordTokenizer:
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordTokenizer(path)
-    return _TOKENIZERS[path]
+    held = worker_cache("tokenizers")
+    if path not in held:
+        held[path] = WordTokenizer(path)
+    return held[path]
 
 
 def _by_size(ids, texts, chars: int = 4_000_000):

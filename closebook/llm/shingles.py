@@ -7,21 +7,21 @@ from __future__ import annotations
 
 import numpy as np
 
+from closebook.llm.common import worker_cache
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 CHUNK = 1 << 20
 
-_POWERS = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
-
-
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse, modulo 2**64."""
-    if len(_POWERS["up"]) < n:
+    held = worker_cache("powers")
+    if len(held.get("up", ())) < n:
         for name, base in (("up", _BASE), ("down", _INVERSE)):
             steps = np.full(n, base, np.uint64)
             steps[0] = 1
-            _POWERS[name] = np.multiply.accumulate(steps)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+            held[name] = np.multiply.accumulate(steps)
+    return held["up"][:n], held["down"][:n]
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -13,9 +13,7 @@ from tests.llm import cases
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(public_tokenizers.path(p.TOKENIZER))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path(p.TOKENIZER))
 
 
 def ids(tokenizer, text):
@@ -64,6 +62,7 @@ def test_cached_words_give_the_ids_of_whole_texts(tokenizer, monkeypatch):
     for cached in (p.CACHED_WORDS, 2000, 8):
         monkeypatch.setattr(p, "CACHED_WORDS", cached)
         own.cache.clear()
+        own.older.clear()
         for _ in range(2):
             assert [np.frombuffer(x, "<u4").tolist() for x in own.ids(texts)] == want
         assert [np.frombuffer(own.ids([t])[0], "<u4").tolist() for t in texts] == want
@@ -103,3 +102,23 @@ def test_plan_does_not_grow_with_the_number_of_pieces():
     large = p.plan({n: k * 1_000_003 for n, k in counts.items()})
     assert len(large) < 4 * len(small)
     assert sum(number * sum(lengths) for _, number, lengths in large) == sum(n * k * 1_000_003 for n, k in counts.items())
+
+
+def test_special_tokens_are_those_of_the_tokenizer(spark, tokenizer):
+    """Found in the text as it stands; in another case they are ordinary text."""
+    texts = ["a b <|endoftext|> c", "a<|startoftext|>b <|ENDOFTEXT|> c", "<|endoftext|>", "x <|endoftext|><|endoftext|>. Y", "<|endof text|>", "no", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    check(p.pack(docs).collect(), list(enumerate(texts)), tokenizer, 4096)
+    own = p.tokenizer(public_tokenizers.path(p.TOKENIZER))
+    assert np.frombuffer(own.ids([texts[0]])[0], "<u4").tolist() == [320, 321, 49407, 322]
+
+
+def test_two_generations_of_words(tokenizer, monkeypatch):
+    monkeypatch.setattr(p, "CACHED_WORDS", 7)
+    own = p.WordTokenizer(public_tokenizers.path(p.TOKENIZER))
+    rng = random.Random(2)
+    for _ in range(40):
+        texts = [cases.sentence(rng, rng.randint(0, 12)) + ("." if rng.random() < 0.5 else "") for _ in range(3)] + ["the same words each time"]
+        got = [np.frombuffer(x, "<u4").tolist() for x in own.ids(texts)]
+        assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(own.cache) <= 3 * 7 and len(own.older) <= 3 * 7

@@ -87,7 +87,6 @@ def test_decontamination_stage(spark, docs, sf_dir):
 
 def test_run(spark, docs, sf_dir):
     tokenizer = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
-    tokenizer.encode_special_tokens = True
     rest = docs
     for _, stage in pipeline.STAGES[:-1]:
         rest = spark.createDataFrame(stage(spark, rest, sf_dir).collect(), docs.schema)
