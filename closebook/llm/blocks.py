@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from typing import NamedTuple
 
 #: Fixed values of HTML: elements without content, without markup inside, and inline ones.
@@ -29,21 +30,50 @@ _NAMES = re.compile(r"(?:^|\s)(class|id|role|data-y)\s*=\s*(?:\"([^\"]*)\"|'([^'
 _SPACE = re.compile(r"\s+")
 
 
+#: Elements whose text is never the article's, and those it stands in, by their meaning in HTML.
+AROUND = frozenset("nav header footer aside form button select dialog menu noscript".split())
+MAIN = frozenset("article main".split())
+
+
+class Element:
+    """An open element: its tag and names (`tag`, `.class`, `#id`, `@role`), and what it inherits."""
+
+    __slots__ = ("around", "label", "main", "names", "parent", "tag")
+
+    def __init__(self, tag: str, names: tuple[str, ...], label: str | None, parent: Element | None):
+        self.tag, self.names, self.parent = tag, names, parent
+        self.label = label if label is not None or parent is None else parent.label
+        said = any(n in AROUND or n[1:] in ("ad", "ads", "advert", "comments") for n in names)
+        self.around = said or (parent is not None and parent.around)
+        self.main = tag in MAIN or (parent is not None and parent.main)
+
+
 class Block(NamedTuple):
     text: str
-    path: tuple[str, ...]  # tags and names (`tag`, `.class`, `#id`, `@role`) of the elements around it
+    place: Element | None  # innermost element around it that is not inline
     linked: int  # characters inside links
     label: str | None  # innermost data-y around it; only made-up training pages have it
 
+    @property
+    def main(self) -> bool:
+        """Main text by the meaning of the elements around it."""
+        return self.place is not None and self.place.main and not self.place.around
+
+    @property
+    def around(self) -> bool:
+        """Not main text, by the meaning of an element around it."""
+        return self.place is not None and self.place.around
 
-class _Open(NamedTuple):
-    tag: str
-    names: tuple[str, ...]
-    label: str | None
+    def names(self):
+        """Names of the elements around, from the innermost outwards."""
+        at = self.place
+        while at is not None:
+            yield from reversed(at.names)
+            at = at.parent
 
 
-def _opened(tag: str, attributes: str) -> _Open:
-    names, label = [tag], None
+def _opened(tag: str, attributes: str, parent: Element | None, outer: str | None) -> Element:
+    names, label = [tag], outer
     if "=" in attributes:
         for m in _NAMES.finditer(attributes):
             key, value = m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or ""
@@ -52,14 +82,16 @@ def _opened(tag: str, attributes: str) -> _Open:
             else:
                 mark = {"class": ".", "id": "#", "role": "@"}[key]
                 names += [mark + x.lower() for x in value.split()]
-    return _Open(tag, tuple(names), label)
+    return Element(tag, tuple(names), label, parent)
 
 
 def read_blocks(page: str | None) -> list[Block]:
     """The blocks with text, in page order."""
     page = page or ""
     blocks: list[Block] = []
-    stack: list[_Open] = []
+    # Open elements, inline ones too, each with the innermost that is not; how many of each tag.
+    stack: list[tuple[Element, Element | None]] = []
+    opened: Counter[str] = Counter()
     held: list[str] = []
     linked = 0
     at, n = 0, len(page)
@@ -69,19 +101,23 @@ def read_blocks(page: str | None) -> list[Block]:
         if held:
             text = _SPACE.sub(" ", html.unescape("".join(held))).strip()
             if text:
-                path = tuple(x for o in stack if o.tag not in INLINE for x in o.names)
-                label = next((o.label for o in reversed(stack) if o.label is not None), None)
-                blocks.append(Block(text, path, linked, label))
+                own, place = stack[-1] if stack else (None, None)
+                blocks.append(Block(text, place, linked, own.label if own else None))
             held.clear()
         linked = 0
 
+    def close(to: int):
+        for o, _ in stack[to:]:
+            opened[o.tag] -= 1
+        del stack[to:]
+
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
             lt = n
         if lt > at:
             held.append(page[at:lt])
-            if any(o.tag == "a" for o in stack[-4:]):
+            if any(o.tag == "a" for o, _ in stack[-4:]):
                 linked += lt - at
         if lt == n:
             break
@@ -107,10 +143,8 @@ def read_blocks(page: str | None) -> list[Block]:
         if tag not in INLINE:
             flush()
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            if opened[tag]:
+                close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0].tag == tag))
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
@@ -119,12 +153,15 @@ def read_blocks(page: str | None) -> list[Block]:
         if tag in VOID or m.group(3).endswith("/"):
             continue
         for ended in CLOSES.get(tag, ()):
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag == ended:
-                    del stack[i:]
+            for i in range(len(stack) - 1, -1, -1) if opened[ended] else ():
+                if stack[i][0].tag == ended:
+                    close(i)
                     break
-                if stack[i].tag not in INLINE and stack[i].tag not in CLOSES:
+                if stack[i][0].tag not in INLINE and stack[i][0].tag not in CLOSES:
                     break
-        stack.append(_opened(tag, m.group(3)))
+        own, place = stack[-1] if stack else (None, None)
+        element = _opened(tag, m.group(3), place, own.label if own else None)
+        stack.append((element, place if tag in INLINE else element))
+        opened[tag] += 1
     flush()
     return blocks

@@ -6,14 +6,18 @@ all blocks of a page in both directions and gives each the odds of being main te
 over an even chance are joined in page order by one space.
 
 It is trained on pages of the table itself, `SAMPLE` at most, in the order of a hash of
-the url. Their own markup labels them (inside `article` or `main`, outside of elements
-for navigation and the like); the same texts are also set into varied layouts, with
+the url, of long ones on a stretch of `TRAIN_BLOCKS` blocks. Pages that hold an `article`
+or `main` label their own blocks (inside of it, outside of elements for navigation and the
+like); pages without label nothing. The same texts are also set into varied layouts, with
 menus, notices, adverts, sidebars, forms and reader comments around and inside of the
-article, whose labels are known. Tag names alone are sometimes taken away, so that words
-and neighbours have to decide too.
-
-Null and empty pages have no blocks and an empty text. Without any labelled page the
-labels of the markup are used as they are. Rows are independent of each other, so
+article, whose labels are known. Where no page has such an element, the long blocks without
+links that no element puts around an article take their place in those layouts. Tag names
+alone are sometimes taken away, so that words and neighbours have to decide too.
+
+Reading a page takes time in proportion to its length, however deep its elements; pages are
+labelled in groups of `BLOCKS_AT_ONCE` blocks, a longer page alone. Null and empty pages
+have no blocks and an empty text. Where the sample has no text that could be an article's
+the labels of the markup are used as they are. Rows are independent of each other, so
 repeated pages give repeated rows; an empty table gives an empty result.
 """
 
@@ -38,26 +42,14 @@ HIDDEN = 16
 PATH_BUCKETS, WORD_BUCKETS, FIGURES = 192, 96, 7
 CACHED_WORDS = 100_000
 TRAIN_BLOCKS = 100
-PAGES_AT_ONCE = 64
-
-#: Elements whose text is never the article's, by their meaning in HTML.
-AROUND = frozenset("nav header footer aside form button select dialog menu noscript".split())
-MAIN = frozenset("article main".split())
+BLOCKS_AT_ONCE = 4096
+FADE = 0.9
+#: A block that could be an article's, where no page says which are.
+LONG_WORDS = 25
 
 _WORD = re.compile(r"\w+")
 
 
-def markup_label(block: Block) -> bool:
-    """Main text by the meaning of the elements around it."""
-    inside = False
-    for name in block.path:
-        if name in MAIN:
-            inside = True
-        elif name in AROUND or name[1:] in ("ad", "ads", "advert", "comments"):
-            return False
-    return inside
-
-
 class Vectors:
     """Vectors of blocks; words are hashed once while they fit the cache."""
 
@@ -72,14 +64,26 @@ class Vectors:
             found = self.cache[word] = zlib.crc32(word.encode("utf-8", "surrogatepass")) % WORD_BUCKETS
         return found
 
+    def _path(self, block: Block) -> np.ndarray:
+        """Names around a block, the farther the lighter, as far as a weight changes a sum."""
+        out, weight = np.zeros(PATH_BUCKETS, np.float32), 1.0
+        for name in block.names():
+            out[zlib.crc32(name.encode("utf-8", "surrogatepass")) % PATH_BUCKETS] += weight
+            weight *= FADE
+            if weight < 1e-7:
+                break
+        return out
+
     def __call__(self, blocks: list[Block]) -> np.ndarray:
         n = len(blocks)
         path = np.zeros((n, PATH_BUCKETS), np.float32)
         words = np.zeros((n, WORD_BUCKETS), np.float32)
         figures = np.zeros((n, FIGURES), np.float32)
+        places: dict[int, np.ndarray] = {}
         for i, b in enumerate(blocks):
-            for depth, name in enumerate(reversed(b.path)):
-                path[i, zlib.crc32(name.encode("utf-8", "surrogatepass")) % PATH_BUCKETS] += 1.0 / (1 + 0.1 * depth)
+            if id(b.place) not in places:
+                places[id(b.place)] = self._path(b)
+            path[i] = places[id(b.place)]
             own = [self._word(w) for w in _WORD.findall(b.text.lower())]
             if own:
                 words[i] = np.bincount(own, minlength=WORD_BUCKETS) / len(own)
@@ -133,17 +137,19 @@ class Labeller:
         joined = np.concatenate([forward, backward, z], axis=2)
         return joined @ self.p["out"] + self.p["last"][0], (z, joined, tf, tb)
 
-    def logits(self, pages: list[np.ndarray]) -> list[np.ndarray]:
-        """Odds of the blocks of each page; pages of like length are read together."""
+    def logits(self, pages: list[list[Block]], vectors: Vectors) -> list[np.ndarray]:
+        """Odds of the blocks of each page; pages of like length are read together, as many as
+        `BLOCKS_AT_ONCE` holds."""
         out: list = [np.zeros(0)] * len(pages)
-        order = sorted(range(len(pages)), key=lambda i: len(pages[i]))
-        for at in range(0, len(order), PAGES_AT_ONCE):
-            some = [i for i in order[at:at + PAGES_AT_ONCE] if len(pages[i])]
-            if some:
-                x, mask = _padded([pages[i] for i in some])
-                z, _ = self._forward(x, mask)
-                for row, i in zip(z, some, strict=True):
-                    out[i] = row[:len(pages[i])]
+        order = sorted((i for i in range(len(pages)) if pages[i]), key=lambda i: len(pages[i]))
+        while order:
+            some = [order.pop(0)]
+            while order and len(pages[order[0]]) * (len(some) + 1) <= BLOCKS_AT_ONCE:
+                some.append(order.pop(0))
+            x, mask = _padded([vectors(pages[i]) for i in some])
+            z, _ = self._forward(x, mask)
+            for row, i in zip(z, some, strict=True):
+                out[i] = row[:len(pages[i])]
         return out
 
     def slopes(self, x, mask, y):
@@ -198,14 +204,14 @@ class Labeller:
 
 def _padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     steps = max(len(p) for p in pages)
-    x, mask = np.zeros((len(pages), steps, pages[0].shape[1])), np.zeros((len(pages), steps))
+    x, mask = np.zeros((len(pages), steps, pages[0].shape[1]), np.float32), np.zeros((len(pages), steps), np.float32)
     for i, p in enumerate(pages):
         x[i, :len(p)] = p
         mask[i, :len(p)] = 1
     return x, mask
 
 
-#: Layouts of made-up training pages. {t} is a text, {l} a row of links.
+#: Layouts of made-up training pages. {t} is a text, {l} a row of links.
 ARTICLES = (
     "<article>{b}</article>", "<main>{b}</main>", "<main><article class=\"post\">{b}</article></main>", "<div class=\"content\">{b}</div>",
     "<div id=\"content\"><div class=\"post-body\">{b}</div></div>", "<div class=\"article-body\">{b}</div>", "<section class=\"story\">{b}</section>",
@@ -298,12 +304,19 @@ def _marked(markup: str, label: str) -> str:
 
 
 def fit(pages: list[str], layouts: int = LAYOUTS, seed: int = 6) -> Labeller | None:
-    """A labeller trained on pages and on their texts in other layouts; None without labels."""
+    """A labeller trained on pages that say where their article is, and on texts in other
+    layouts; None without a text that could be an article's."""
     vectors = Vectors()
     read = [b for b in (read_blocks(p) for p in pages) if b]
-    articles = [t for t in ([b.text for b in p if markup_label(b)] for p in read) if t]
-    around = [b.text for p in read for b in p if not markup_label(b)]
-    if not articles or not around:
+    # Only a page that says where its article is labels its blocks; of others it is known
+    # what an element puts around the article.
+    labelled = [p for p in read if any(b.main for b in p)]
+    articles = [[b.text for b in p if b.main] for p in labelled]
+    if not articles:
+        plain = ([b.text for b in p if not b.around and not b.linked and len(b.text.split()) >= LONG_WORDS] for p in read)
+        articles = [t for t in plain if t]
+    around = [b.text for p in labelled for b in p if not b.main] or [b.text for p in read for b in p if b.around]
+    if not articles:
         return None
     rng = np.random.default_rng(seed)
     made = Layouts(articles, around)
@@ -318,10 +331,11 @@ def fit(pages: list[str], layouts: int = LAYOUTS, seed: int = 6) -> Labeller | N
             x.append(vectors(blocks))
             y.append(labels)
 
-    for blocks in read:
-        add(blocks, [markup_label(b) for b in blocks])
+    for blocks in labelled:
+        add(blocks, [b.main for b in blocks])
+    # As many made-up pages whatever the share of pages that label themselves.
     for texts in articles:
-        for _ in range(layouts):
+        for _ in range(-(-layouts * len(read) // len(articles))):
             blocks = read_blocks(made.page(texts))
             add(blocks, [b.label == "1" for b in blocks])
     labeller = Labeller()
@@ -332,8 +346,8 @@ def fit(pages: list[str], layouts: int = LAYOUTS, seed: int = 6) -> Labeller | N
 def main_text(pages: list[list[Block]], labeller: Labeller | None, vectors: Vectors) -> list[str]:
     """The main text of each page."""
     if labeller is None:
-        return [" ".join(b.text for b in p if markup_label(b)) for p in pages]
-    odds = labeller.logits([vectors(p) for p in pages])
+        return [" ".join(b.text for b in p if b.main) for p in pages]
+    odds = labeller.logits(pages, vectors)
     return [" ".join(b.text for b, z in zip(p, o, strict=True) if z > 0) for p, o in zip(pages, odds, strict=True)]
 
 

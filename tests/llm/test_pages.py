@@ -31,7 +31,7 @@ def test_blocks(page, want):
 
 def test_paths_and_links():
     b = read_blocks("<body><div class='A b' id=c><p>x <a href=1>link</a></p></div><p>y</p></body>")
-    assert b[0].path == ("body", "div", ".a", ".b", "#c", "p") and b[1].path == ("body", "p")
+    assert list(b[0].names())[::-1] == ["body", "div", ".a", ".b", "#c", "p"] and list(b[1].names())[::-1] == ["body", "p"]
     assert b[0].linked == 4 and b[1].linked == 0
 
 
@@ -104,3 +104,50 @@ def test_every_case(spark):
     none = pages.limit(0)
     assert p.train(none) is None and p.extract_text(none, None).count() == 0
     assert [r["text"] for r in p.extract_text(pages.where("page_id = 3"), None).collect()] == ["x", "x"]
+
+
+def plain_site(rng, n):
+    """Pages without `article` or `main`."""
+    return [(i + 1000, u, page.replace("<article>", "<div class=body-copy>").replace("</article>", "</div>"), want) for i, u, page, want in site(rng, n)]
+
+
+@pytest.mark.parametrize(("share", "exact", "kept"), [(0.5, 0.85, 0.98), (1.0, 0.0, 0.7)])
+def test_pages_that_do_not_say_where_their_article_is(share, exact, kept):
+    """They are no examples of pages without a text, even where the whole sample is such."""
+    rng = random.Random(8)
+    n = p.SAMPLE
+    train = [*site(rng, n - int(n * share)), *plain_site(rng, int(n * share))]
+    rng.shuffle(train)
+    labeller, vectors = p.fit([r[2] for r in train]), p.Vectors()
+    for made in (site, plain_site):
+        test = made(rng, 60)
+        found = p.main_text([read_blocks(r[2]) for r in test], labeller, vectors)
+        right = sum(f == r[3] for f, r in zip(found, test, strict=True))
+        assert right >= (0.95 if made is site and share < 1 else exact) * len(test), (made.__name__, right)
+        words = [len(set(f.split()) & set(r[3].split())) / len(set(r[3].split())) for f, r in zip(found, test, strict=True)]
+        assert all(found) and np.mean(words) >= kept
+
+
+def test_deep_and_broken_pages_take_time_in_proportion():
+    import time
+
+    for piece in ("<div>x", "<b>y", "<div>x</p></span>", "<li>z<b>", "</div>text", "<p><b><i>w"):
+        begun = time.perf_counter()
+        blocks = read_blocks(piece * (100_000 // len(piece)))
+        vectors = p.Vectors()(blocks[:5000])
+        assert time.perf_counter() - begun < 5, piece
+        assert len(vectors) == min(len(blocks), 5000)
+
+
+def test_long_pages_are_read_in_bounded_memory():
+    import tracemalloc
+
+    pages = [read_blocks("<p>some words here</p>" * n) for n in [3] * 200 + [20_000]]
+    labeller = p.Labeller()
+    tracemalloc.start()
+    odds = labeller.logits(pages, p.Vectors())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [len(o) for o in odds] == [len(q) for q in pages] and peak < 300 << 20
+    alone = labeller.logits(pages[:1], p.Vectors())[0]
+    assert np.allclose(alone, odds[0], atol=1e-4)
