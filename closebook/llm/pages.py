@@ -10,8 +10,8 @@ the url, of long ones on a stretch of `TRAIN_BLOCKS` blocks. Pages that hold an
 or `main` label their own blocks (inside of it, outside of elements for navigation and the
 like); pages without label nothing. The same texts are also set into varied layouts, with
 menus, notices, adverts, sidebars, forms and reader comments around and inside of the
-article, whose labels are known. Where no page has such an element, the long blocks without
-links that no element puts around an article take their place in those layouts. Tag names
+article, whose labels are known. Where no page has such an element, what stands between a
+page's first and last long block takes its place in those layouts. Tag names
 alone are sometimes taken away, so that words and neighbours have to decide too.
 
 Reading a page takes time in proportion to its length, however deep its elements; pages are
@@ -303,6 +303,12 @@ def _marked(markup: str, label: str) -> str:
     return f"{markup[:end]} data-y=\"{label}\"{markup[end:]}"
 
 
+def _likely(blocks: list[Block]) -> list[str]:
+    """Texts from the first long block to the last, without links and what is put around."""
+    long = [i for i, b in enumerate(blocks) if not b.around and not b.linked and len(b.text.split()) >= LONG_WORDS]
+    return [b.text for b in blocks[long[0]:long[-1] + 1] if not b.around and not b.linked] if long else []
+
+
 def fit(pages: list[str], layouts: int = LAYOUTS, seed: int = 6) -> Labeller | None:
     """A labeller trained on pages that say where their article is, and on texts in other
     layouts; None without a text that could be an article's."""
@@ -313,8 +319,7 @@ def fit(pages: list[str], layouts: int = LAYOUTS, seed: int = 6) -> Labeller | N
     labelled = [p for p in read if any(b.main for b in p)]
     articles = [[b.text for b in p if b.main] for p in labelled]
     if not articles:
-        plain = ([b.text for b in p if not b.around and not b.linked and len(b.text.split()) >= LONG_WORDS] for p in read)
-        articles = [t for t in plain if t]
+        articles = [t for t in map(_likely, read) if t]
     around = [b.text for p in labelled for b in p if not b.main] or [b.text for p in read for b in p if b.around]
     if not articles:
         return None

