@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,8 +66,14 @@ def worker_cache(owner: str) -> dict:
     """What the tasks of one operator keep in a Python worker; that of the one before goes.
 
     Workers live on between stages, and a pipeline would gather all its stages' caches.
+    What is freed goes back to the system where the C library can do that.
     """
     if owner not in _WORKER:
-        _WORKER.clear()
+        if _WORKER:
+            _WORKER.clear()
+            gc.collect()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
         _WORKER[owner] = {}
     return _WORKER[owner]

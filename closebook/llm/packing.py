@@ -106,8 +106,10 @@ class WordTokenizer:
             edges = np.searchsorted([a for a, _ in whole.offsets], starts)
             for (w, _), a, b in zip(some, edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 self.cache[w] = ids[a:b].tobytes()
-        for (w, _), e in zip(other, self.own.encode_batch([t for _, t in other], add_special_tokens=False), strict=True):
-            self.cache[w] = np.array(e.ids, "<u4").tobytes()
+        for at in range(0, len(other), 2000):  # what is encoded is held with all its offsets
+            some = other[at:at + 2000]
+            for (w, _), e in zip(some, self.own.encode_batch([t for _, t in some], add_special_tokens=False), strict=True):
+                self.cache[w] = np.array(e.ids, "<u4").tobytes()
         for w, (body, tail) in parts.items():
             self.cache[w] = self.cache[body] + self.cache[tail]
 
@@ -143,7 +145,7 @@ def tokenizer(path: str) -> WordTokenizer:
     return held[path]
 
 
-def _by_size(ids, texts, chars: int = 4_000_000):
+def _by_size(ids, texts, chars: int = 2_000_000):
     """Ids of the texts of a column, in calls of about `chars` characters."""
     held, size = [], 0
     for text in texts:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from closebook.llm.common import query, table
+from closebook.llm.common import query, table, worker_cache
 from closebook.llm.toxicity import calibrate, sigmoid
 
 LABELLED = 4_000
@@ -191,6 +191,7 @@ NEW = {*_ADDED, "accepted"}
 
 def _score(sent, names):
     def step(batches):
+        worker_cache("quality")  # those of other operators go
         model = sent.value
         for batch in batches:
             for start in range(0, len(batch), 512):

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from closebook.llm.common import LOWER, UPPER, query, table, written
+from closebook.llm.common import LOWER, UPPER, query, table, worker_cache, written
 
 TOP = 10
 BLOCK_POSTINGS = 4_000_000
@@ -64,6 +64,7 @@ def part(w, tf, n, N: int, L: int):
 
 def _count(sent):
     def step(batches):
+        worker_cache("search")  # those of other operators go
         numbers = sent.value
         for batch in batches:
             n, terms, tfs = [], [], []

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from closebook.llm.common import free_name, query, table
+from closebook.llm.common import free_name, query, table, worker_cache
 
 SAMPLE = 6_000
 BUCKETS = 1 << 22
@@ -185,6 +185,7 @@ def score_rows(model: dict, rows: list) -> np.ndarray:
 
 def _score(sent, text_column, name):
     def step(batches):
+        worker_cache("toxicity")  # those of other operators go
         model = sent.value
         terms = Terms(model["known"])
         for batch in batches:
