@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from closebook.functions.scalars import join_segments, period_number, period_year
 from closebook.operators import catalog, layers
 from closebook.plans.registry import big, moment, money, query
 from closebook.session import scratch_path
-from closebook.sources import extract, files
+from closebook.sources import extract, files, lake
 
 
 @query("q_gl_journals", """
@@ -377,6 +380,75 @@ def sink_rerun(t):
     ).withColumn("amount", money("amount"))
 
 
+@query("q_export_quoted", """
+SELECT invoice_id, CASE WHEN invoice_id % 7 = 0 THEN 'note of' || chr(10) || invoice_num || ', "quoted"' || chr(10) ELSE invoice_num END AS note,
+       CAST(NULL AS VARCHAR) AS line
+FROM fx_ap_invoices WHERE invoice_id % 43 <> 0
+UNION ALL
+SELECT NULL, NULL, 'x' || CAST(invoice_id AS VARCHAR) || ',"two' || chr(10) || 'lines"' FROM fx_ap_invoices WHERE invoice_id % 43 = 0""")
+def export_quoted(t):
+    """Export files whose quoted fields hold line ends; bad records come back whole."""
+    path = scratch_path(t.spark, "export")
+    note = F.concat(F.lit('"note of\n'), "invoice_num", F.lit(', ""quoted""\n"'))
+    number = F.col("invoice_id").cast("string")
+    record = (
+        F.when(F.col("invoice_id") % 43 == 0, F.concat(F.lit("x"), number, F.lit(',"two\nlines"')))
+        .when(F.col("invoice_id") % 7 == 0, F.concat(number, F.lit(","), note))
+        .otherwise(F.concat(number, F.lit(","), "invoice_num"))
+    )
+    t["fx_ap_invoices"].select(record.alias("value")).write.text(path)
+    good, bad = files.split_export(files.read_export(t.spark, path, "invoice_id bigint, note string", escape='"'))
+    return good.select("invoice_id", "note", F.lit(None).cast("string").alias("line")).unionByName(
+        bad.select(F.col(files.CORRUPT).alias("line")), allowMissingColumns=True)
+
+
+@query("q_sink_concurrent", """
+SELECT 'accounts' AS table_name, segment2 AS part, count(*) AS rows, CAST(sum(code_combination_id) AS BIGINT) AS ids FROM fx_gl_code_combinations
+WHERE (code_combination_id % 3 <> 0 AND code_combination_id % 7 <> 0) OR code_combination_id % 3 <> 1 GROUP BY segment2
+UNION ALL
+SELECT 'headers', CAST(ledger_id AS VARCHAR), count(*), CAST(sum(je_header_id) AS BIGINT) FROM fx_gl_je_headers
+WHERE CASE ledger_id WHEN 2001 THEN je_header_id % 2 = 0 WHEN 2002 THEN je_header_id % 5 = 0 ELSE true END GROUP BY ledger_id""")
+def sink_concurrent(t):
+    """Two ledgers load at once, into a table of their own parts and one they share.
+
+    One run of each fails half way, and the first ledger loads its accounts again without
+    some of them.
+    """
+    path = scratch_path(t.spark, "sink")
+    accounts = t["fx_gl_code_combinations"].select("code_combination_id", "segment2")
+    headers = t["fx_gl_je_headers"].select("je_header_id", "ledger_id")
+    own, shared, key = f"{path}/headers", f"{path}/accounts", ["code_combination_id"]
+    lake.load_version(headers, own, ["ledger_id"])
+
+    def load(ledger, rows, account_rows):
+        lake.load_version(headers.where(F.col("ledger_id") == ledger).where(rows), own, ["ledger_id"], {"ledger_id": ledger}, retain=9)
+        lake.load_version(accounts.where(account_rows), shared, scope={"ledger_id": ledger}, key=key, retain=9)
+
+    def fails(ledger):
+        lost = accounts.withColumn("segment2", F.raise_error(F.lit("lost connection")).cast("string"))
+        try:
+            lake.load_version(lost, shared, scope={"ledger_id": ledger}, key=key, retain=9)
+        except PySparkException:
+            return True
+        raise AssertionError("a failed load went through")
+
+    with ThreadPoolExecutor(4) as pool:
+        runs = [
+            pool.submit(load, 2001, "je_header_id % 2 = 0", "code_combination_id % 3 <> 0"),
+            pool.submit(load, 2002, "je_header_id % 5 = 0", "code_combination_id % 3 <> 1"),
+            pool.submit(fails, 2003), pool.submit(fails, 2001),
+        ]
+        for run in runs:
+            run.result()
+    lake.load_version(
+        accounts.where("code_combination_id % 3 <> 0 AND code_combination_id % 7 <> 0"), shared, scope={"ledger_id": 2001}, key=key)
+    held = files.read_table(t.spark, shared, accounts).select(F.lit("accounts").alias("table_name"), F.col("segment2").alias("part"),
+                                                              big("code_combination_id").alias("id"))
+    held = held.unionByName(files.read_table(t.spark, own, headers).select(
+        F.lit("headers").alias("table_name"), F.col("ledger_id").cast("string").alias("part"), big("je_header_id").alias("id")))
+    return held.groupBy("table_name", "part").agg(F.count("*").alias("rows"), F.sum("id").alias("ids"))
+
+
 @query("q_mart_union", """
 SELECT 'stg_ap_invoices' AS source_table, invoice_id, vendor_id, CAST(NULL AS INTEGER) AS line_number, CAST(invoice_amount AS DOUBLE) AS amount, CAST(NULL AS VARCHAR) AS vendor_name FROM fx_ap_invoices
 UNION ALL

@@ -15,6 +15,7 @@ from closebook.functions.skew import checked_join
 from closebook.model import MODULE_TABLES, Check, module_checks
 from closebook.operators import lineage, reconcile
 from closebook.sources import extract, files
+from closebook.sources import lake as versions
 
 RESULT_SCHEMA = (
     "run_id string, module string, period_name string, success boolean, rows_extracted bigint, "
@@ -37,6 +38,13 @@ PARTITIONS = {
     "AP_INVOICE_LINES_ALL": ["org_id"],
 }
 
+# Keys of tables without such columns: scopes share them, a row counts once.
+KEYS = {
+    "GL_CODE_COMBINATIONS": ["code_combination_id"],
+    "AP_SUPPLIERS": ["vendor_id"],
+    "PER_ALL_PEOPLE_F": ["person_id", "effective_start_date"],
+}
+
 
 def extract_module(module, sources, period=None, ledger_id=None, org_id=None) -> dict:
     """Source table -> extract, for every table of the module that is in `sources`."""
@@ -126,7 +134,9 @@ def migrate(
     predicates of the scope, with what was written; the certificate covers every check,
     and the errors of the result name those that failed. A dry run writes no table and
     reconciles the extracts. The first error ends the run. Checks, certificate and events
-    are in the lake, in a folder of the run.
+    are in the lake, in a folder of the run. Each table gets a new version, so runs of
+    several scopes may load at once, and a table that ledgers or organizations share keeps
+    the rows of the others.
     """
     began = time.monotonic()
     module, run_id = module.upper(), run_id or uuid.uuid4().hex[:8]
@@ -161,7 +171,7 @@ def migrate(
             target = bronze
             steps.append("load_bronze (dry_run)")
         else:
-            whole = all(x is None for x in scope)
+            named = {"period_name": period, "ledger_id": ledger_id, "org_id": org_id}
 
             def load(name):
                 path, parts = f"{lake}/bronze/{table_map[name]}", PARTITIONS.get(name, [])
@@ -170,10 +180,14 @@ def migrate(
                 rows = extracts[name].observe(
                     seen, *[reconcile.measure(c).alias(f"m{i}") for i, c in enumerate(own)]
                 )
-                files.load_table(
-                    rows, path, parts, whole, lambda table: in_scope(table, parts, *scope)
-                )
-                table = in_scope(files.read_table(spark, path, extracts[name]), parts, *scope)
+                key = None if parts else KEYS.get(name)
+                mine = {c: v for c, v in named.items() if v is not None and (c in parts or key)}
+                done = versions.load_version(rows, path, parts, mine, key)
+                if key:
+                    newest = versions.read_version(spark, path)
+                    table = versions.table_of(spark, path, newest, extracts[name], done)
+                else:
+                    table = in_scope(files.read_table(spark, path, extracts[name]), parts, *scope)
                 taken = lineage.observed(seen)
                 values = {
                     reconcile.labels(c)[0]: taken.get(f"m{i}", Decimal(0)) for i, c in enumerate(own)
