@@ -105,7 +105,7 @@ class Rule:
     rule_type: str
     table_name: str
     column_name: str | None = None
-    columns: tuple[str, ...] = ()  # any_not_null, all_not_null, balance (debit, credit)
+    columns: tuple[str, ...] = ()  # any_not_null, all_not_null, balance (debit, credit), uniqueness of several
     expression: str | None = None  # custom_sql: condition every row must meet
     min_value: str | None = None
     max_value: str | None = None

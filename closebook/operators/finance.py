@@ -177,6 +177,37 @@ def duplicate_invoices(invoices: DataFrame) -> DataFrame:
     )
 
 
+def near_duplicate_invoices(invoices: DataFrame, width="1.00") -> DataFrame:
+    """Invoices of one vendor whose numbers are one edit apart and whose amounts differ by at
+    most `width`: a row for each number and amount, with how many others are near it.
+
+    Two numbers one edit apart are equal after one character is dropped from one of them or
+    from both, so each number goes to the blocks of its own text and of every text with one
+    character less; amounts go to two cells of the width. A block holds one text with one
+    character more at most, which bounds it whatever the vendor: no vendor is compared
+    within itself. Candidates are checked by edit distance. Equal invoices count once, as
+    copies.
+    """
+    whole = invoices.dropna(subset=DUPLICATE_KEY).withColumn("invoice_amount", F.col("invoice_amount").cast("decimal(18,2)"))
+    known = whole.groupBy(*DUPLICATE_KEY).agg(F.count("*").alias("copies"), F.min("invoice_id").alias("first_id"))
+    shorter = F.expr(
+        "array_distinct(array_append(transform(sequence(1, greatest(length(invoice_num), 1)), "
+        "i -> concat(substring(invoice_num, 1, i - 1), substring(invoice_num, i + 1))), invoice_num))")
+    cell = F.floor(F.col("invoice_amount") / F.lit(width).cast("decimal(18,2)"))
+    placed = known.drop("copies").withColumn("text", F.explode(shorter)).withColumn("cell", F.explode(F.array(cell, cell + 1)))
+    block = ["vendor_id", "text", "cell"]
+    shared = placed.groupBy(*block).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    placed = placed.join(shared, block, "left_semi")
+    other = placed.select(*block, F.col("invoice_num").alias("o_num"), F.col("invoice_amount").alias("o_amount"), F.col("first_id").alias("o_id"))
+    near = placed.join(other, block).where(
+        ((F.col("invoice_num") != F.col("o_num")) & (F.levenshtein("invoice_num", "o_num") <= 1))
+        & (F.abs(F.col("invoice_amount") - F.col("o_amount")) <= F.lit(width).cast("decimal(18,2)")))
+    # The blocks two numbers share make one of it.
+    once = near.groupBy(*DUPLICATE_KEY, "o_num", "o_amount").agg(F.min("o_id").alias("o_id"))
+    found = once.groupBy(*DUPLICATE_KEY).agg(F.count("*").alias("near"), F.min("o_id").alias("first_near_id"))
+    return known.join(found, DUPLICATE_KEY).select(*DUPLICATE_KEY, "copies", "near", "first_near_id")
+
+
 def outlier_invoices(invoices: DataFrame, deviations: float = 3.0) -> DataFrame:
     """Invoices more than `deviations` sample standard deviations off their vendor's mean.
 

@@ -8,6 +8,7 @@ hold it.
 
 from __future__ import annotations
 
+from decimal import Context, Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -54,17 +55,50 @@ def violates(rule: Rule, df: DataFrame) -> Column:
     raise ValueError(f"{rule.rule_type} is not a row rule")
 
 
+_PRECISE = Context(prec=400)
 # Digits before and after the point that the exact comparison looks at.
 _WHOLE, _FRACTION = 19, 19
 _NUMBER = r"^\s*([+-]?)([0-9]*)\.?([0-9]*)(?:[eE]([+-]?[0-9]{1,4}))?\s*$"
 
 
+def _digits(text: Column) -> Column:
+    """A number's text as (sign, length of the whole part, whole part, places), without zeros
+    that change nothing; structs of one sign order as the numbers' sizes do."""
+    sign, whole, places, power = (F.regexp_extract(text, _NUMBER, i) for i in (1, 2, 3, 4))
+    shift = F.coalesce(power.try_cast("int"), F.lit(0))
+    digits = F.concat(whole, places)
+    point = F.length(whole) + shift
+    zeros = F.lit("0")
+    before = (
+        F.when(point <= 0, F.lit("")).when(point >= F.length(digits), F.concat(digits, F.repeat(zeros, point - F.length(digits))))
+        .otherwise(F.substring(digits, F.lit(1), point))
+    )
+    after = (
+        F.when(point <= 0, F.concat(F.repeat(zeros, -point), digits)).when(point >= F.length(digits), F.lit(""))
+        .otherwise(F.substring(digits, point + 1, F.length(digits)))
+    )
+    before, after = F.regexp_replace(before, "^0+", ""), F.regexp_replace(after, "0+$", "")
+    return F.struct(
+        F.when((before == "") & (after == ""), 0).when(sign == "-", -1).otherwise(1).alias("sign"),
+        F.struct(F.length(before).alias("size"), before.alias("whole"), after.alias("places")).alias("amount"),
+    )
+
+
+def _order(text: Column, bound: str) -> Column:
+    """-1, 0 or 1: a number's text below, equal to or above the bound."""
+    value, limit = _digits(text), _digits(F.lit(bound))
+    by_amount = F.when(value.amount < limit.amount, -1).when(value.amount > limit.amount, 1).otherwise(0)
+    return (
+        F.when(value.sign < limit.sign, -1).when(value.sign > limit.sign, 1)
+        .otherwise(value.sign * by_amount)
+    )
+
+
 def _within(raw: Column, data_type: T.DataType, least: str | None, most: str | None) -> Column:
     """Is a value a number from `least` to `most`, without rounding it; false for other text.
 
     A value that decimal(38,19) holds exactly is compared as that. Others are larger than
-    it holds, or have more places: the sign of what the decimal lost, against the bound
-    that is nearest, decides by the value as double and then by its text's sign.
+    it holds, or have more places: their digits are compared as text, whatever their number.
     """
     exact_type = f"decimal({_WHOLE + _FRACTION},{_FRACTION})"
     text = raw.cast("string")
@@ -82,9 +116,14 @@ def _within(raw: Column, data_type: T.DataType, least: str | None, most: str | N
         if bound is None:
             continue
         limit = F.lit(bound)
-        by_decimal = rounded >= limit.cast(exact_type) if above else rounded <= limit.cast(exact_type)
+        by_decimal = rounded >= limit.try_cast(exact_type) if above else rounded <= limit.try_cast(exact_type)
         by_double = double >= limit.cast("double") if above else double <= limit.cast("double")
-        inside = inside & F.when(lost, by_double).otherwise(by_decimal)
+        order = _order(text, bound)
+        by_digits = order >= 0 if above else order <= 0
+        # Only a double has text that is no digits: an infinite one.
+        wide = F.when(text.rlike(_NUMBER), by_digits).otherwise(by_double)
+        exact = Decimal(bound) == Decimal(bound).quantize(Decimal(1).scaleb(-_FRACTION), context=_PRECISE) and abs(Decimal(bound)) < 10**_WHOLE
+        inside = inside & (F.when(lost, wide).otherwise(by_decimal) if exact else wide)
     return is_number & F.coalesce(inside, F.lit(False))
 
 
@@ -149,7 +188,14 @@ def _value_counts(df: DataFrame, name: str) -> DataFrame:
 
 
 def _uniqueness(df: DataFrame, rule: Rule) -> DataFrame:
-    repeats = _value_counts(df, rule.column_name).select((F.col("n") - 1).alias("n"))
+    """Of a rule over several columns rows with a null in any do not count."""
+    if rule.columns:
+        parts = [_column(df, c)[0].alias(f"v{i}") for i, c in enumerate(rule.columns)]
+        names = [f"v{i}" for i in range(len(parts))]
+        counts = df.select(*parts).dropna().groupBy(*names).agg(F.count("*").alias("n"))
+    else:
+        counts = _value_counts(df, rule.column_name)
+    repeats = counts.select((F.col("n") - 1).alias("n"))
     return _counted(rule, repeats, "duplicate(s) found")
 
 
@@ -228,14 +274,16 @@ def violations(rule: Rule, df: DataFrame, key=(), reference: DataFrame | None =
     """
     if rule.rule_type in ROW_RULES:
         return df.where(violates(rule, df))
-    column = next(f.name for f in df.schema if f.name.lower() == rule.column_name.lower())
+    named = {f.name.lower(): f.name for f in df.schema}
     if rule.rule_type == "uniqueness":
-        first = df.where(F.col(column).isNotNull()).groupBy(column).agg(
+        own = [named[c.lower()] for c in rule.columns or (rule.column_name,)]
+        first = df.dropna(subset=own).groupBy(*own).agg(
             F.min(F.struct(*key)).alias("__first"), F.count("*").alias("__n")
         )
-        repeated = checked_join(df, first.where("__n > 1"), column)
+        repeated = checked_join(df, first.where("__n > 1"), own)
         return repeated.where(F.struct(*key) != F.col("__first")).select(*df.columns)
     if rule.rule_type == "referential":
+        column = named[rule.column_name.lower()]
         rows = df.where(F.col(column).isNotNull())
         if reference is None:
             return rows
@@ -282,19 +330,31 @@ def with_samples(results, data, rules, keys, reference_data=None, limit=SAMPLES)
 
 
 def key_rules(keys: DataFrame) -> list[Rule]:
-    """Unique and not-null rules for the key columns of the dictionary.
+    """A unique rule for the key of each table of the dictionary, over all its columns, and a
+    not-null rule for each of them.
 
     `keys` is what `catalog.primary_keys` gives, of the tables that rules are wanted for.
+    Tables of one name under several owners are named `OWNER.TABLE`.
     """
+    rows = keys.select("owner", "table_name", "column_name", "position", module_of().alias("module")).distinct()
+    tables: dict[tuple[str, str], list] = {}
+    for r in rows.orderBy("table_name", "owner", "position").collect():
+        tables.setdefault((r["table_name"], r["owner"]), []).append(r)
+    owners: dict[str, int] = {}
+    for table, _ in tables:
+        owners[table] = owners.get(table, 0) + 1
     rules = []
-    rows = keys.select("table_name", "column_name", "position", module_of().alias("module")).distinct()
-    for r in rows.orderBy("table_name", "position").collect():
-        table, column = r["table_name"], r["column_name"]
-        for kind, rule_type in (("unique", "uniqueness"), ("not_null", "not_null")):
-            rules.append(
-                Rule(
-                    f"{kind}_{table}_{column}".lower(), f"{table}.{column} {kind}", r["module"],
-                    "ERROR", rule_type, table, column,
-                )
+    for (table, owner), columns in tables.items():
+        name = f"{owner}.{table}" if owners[table] > 1 else table
+        module, own = columns[0]["module"], [r["column_name"] for r in columns]
+
+        def rule(kind, rule_type, columns, name=name, module=module):
+            text = ",".join(columns)
+            return Rule(
+                f"{kind}_{name}_{'_'.join(columns)}".lower(), f"{name}.{text} {kind}", module, "ERROR", rule_type, name, text,
+                tuple(columns) if len(columns) > 1 else (),
             )
+
+        rules.append(rule("unique", "uniqueness", own))
+        rules += [rule("not_null", "not_null", [c]) for c in own]
     return rules

@@ -19,6 +19,7 @@ from closebook.functions.scalars import (
     variance_pct,
 )
 from closebook.model import Check, module_checks
+from closebook.session import scratch_path
 
 CHECK_SCHEMA = (
     "module string, check_type string, source_label string, target_label string, "
@@ -205,6 +206,57 @@ def row_differences(source, target, key, columns) -> DataFrame:
     ).where(F.col("status").isNotNull())
 
 
+#: Groups of keys whose sums are compared first; what is broadcast is at most a number each.
+BUCKETS = 1 << 16
+
+
+def _hash(columns) -> Column:
+    """64 bits of values and of which of them are null."""
+    absent = reduce(Column.bitwiseOR, [
+        F.when(F.col(c).isNull(), F.lit(1 << i % 63)).otherwise(F.lit(0)).cast("bigint") for i, c in enumerate(columns)])
+    return F.xxhash64(*columns, absent)
+
+
+def differing_keys(source, target, key, columns, buckets=BUCKETS) -> DataFrame:
+    """Hashes of the keys whose rows differ between the sides, found by digests alone.
+
+    Two levels of a digest tree: sums over buckets of keys, combined before the shuffle;
+    then, of the buckets that differ, the digest of each row, 16 bytes however wide the row
+    is. Rows that both sides have cancel out.
+    """
+    key, columns = list(key), list(columns)
+    digests = [
+        side.select(_hash(key).alias("key_hash"), _hash([*key, *columns]).alias("digest"), F.lit(sign).alias("side"))
+        for side, sign in ((source, 1), (target, -1))
+    ]
+    rows = digests[0].unionByName(digests[1]).withColumn("bucket", F.pmod("key_hash", F.lit(buckets)).cast("int"))
+    half = F.lit((1 << 31) - 1)
+    sums = rows.groupBy("bucket").agg(
+        F.sum("side").alias("n"), F.sum(F.col("side") * F.col("digest").bitwiseAND(half)).alias("low"),
+        F.sum(F.col("side") * F.shiftrightunsigned("digest", 33)).alias("high"))
+    apart = sums.where("n <> 0 OR low <> 0 OR high <> 0").select("bucket")
+    return (
+        rows.join(F.broadcast(apart), "bucket", "left_semi").groupBy("key_hash", "digest").agg(F.sum("side").alias("n"))
+        .where("n <> 0").select("key_hash").distinct()
+    )
+
+
+def located_differences(source, target, key, columns, buckets=BUCKETS) -> DataFrame:
+    """The rows of `row_differences`, of which only keys that differ are shuffled whole.
+
+    The hashes of those keys are written once: their number is that of the differences, and
+    Spark joins by their measured size.
+    """
+    spark, path = source.sparkSession, scratch_path(source.sparkSession, "differing")
+    differing_keys(source, target, key, columns, buckets).write.parquet(path)
+    found = spark.read.schema("key_hash bigint").parquet(path)
+    sides = [
+        side.select(*key, *columns).withColumn("key_hash", _hash(list(key))).join(found, "key_hash", "left_semi").drop("key_hash")
+        for side in (source, target)
+    ]
+    return row_differences(*sides, key, columns)
+
+
 def multiset_differences(source, target, columns) -> DataFrame:
     """Rows whose number of copies differs; works for tables without a key."""
     stacked = source.select(*columns, F.lit(1).alias("__n")).unionByName(

@@ -247,6 +247,44 @@ def dq_from_catalog(t):
     return quality.evaluate_rules("ALL", source_tables(t), quality.key_rules(keys))
 
 
+COMPOSITE = [
+    Rule("unique_gl_je_lines_je_header_id_je_line_num", "GL_JE_LINES.JE_HEADER_ID,JE_LINE_NUM unique", "GL", "ERROR", "uniqueness",
+         "GL_JE_LINES", "JE_HEADER_ID,JE_LINE_NUM", ("JE_HEADER_ID", "JE_LINE_NUM")),
+    Rule("not_null_gl_je_lines_je_header_id", "GL_JE_LINES.JE_HEADER_ID not_null", "GL", "ERROR", "not_null", "GL_JE_LINES", "JE_HEADER_ID"),
+    Rule("not_null_gl_je_lines_je_line_num", "GL_JE_LINES.JE_LINE_NUM not_null", "GL", "ERROR", "not_null", "GL_JE_LINES", "JE_LINE_NUM"),
+]
+
+
+@query("q_dq_composite_key", "\nUNION ALL\n".join([
+    _rule_sql(
+        COMPOSITE[0], "CAST(count(*) - count(DISTINCT (je_header_id, je_line_num)) AS BIGINT) AS n",
+        "(SELECT * FROM fx_gl_je_lines WHERE je_header_id IS NOT NULL AND je_line_num IS NOT NULL)",
+        "CAST(n AS VARCHAR) || ' duplicate(s) found for JE_HEADER_ID,JE_LINE_NUM'"),
+    _row_sql(COMPOSITE[1], "je_header_id IS NULL", "fx_gl_je_lines"), _row_sql(COMPOSITE[2], "je_line_num IS NULL", "fx_gl_je_lines"),
+]))
+def dq_composite_key(t):
+    """A key of two columns is one rule over both; the table's rows repeat in neither alone."""
+    keys = t.spark.createDataFrame(
+        [("APPS", "GL_JE_LINES", "JE_HEADER_ID", 1), ("APPS", "GL_JE_LINES", "JE_LINE_NUM", 2)],
+        "owner string, table_name string, column_name string, position int")
+    return quality.evaluate_rules("ALL", source_tables(t), quality.key_rules(keys))
+
+
+WIDE_RULE = Rule("ap_wide_number", "Wide Numbers", "AP", "ERROR", "range", "AP_INVOICES_ALL", "WIDE", min_value="1e25",
+                 max_value="10000000000000000000000000.0000000000000000000000000002")
+
+
+@query("q_dq_range_wide", _row_sql(WIDE_RULE, "invoice_id % 5 IN (0, 3, 4)", "fx_ap_invoices"))
+def dq_range_wide(t):
+    """Bounds and values of more digits than any number type holds."""
+    whole, n = "1" + "0" * 25, F.col("invoice_id") % 5
+    wide = (
+        F.when(n == 0, F.lit("9" * 25 + "." + "9" * 30)).when(n == 1, F.lit(whole)).when(n == 2, F.lit(f"+{whole}." + "0" * 27 + "20"))
+        .when(n == 3, F.lit(f"{whole}." + "0" * 27 + "3")).otherwise(F.lit("1.00000000000000000000000000000001E25").substr(1, 40))
+    )
+    return quality.evaluate_rules("AP", t["fx_ap_invoices"].withColumn("wide", wide), [WIDE_RULE])
+
+
 # ---- Reconciliation ----
 
 
@@ -411,7 +449,7 @@ def _rows_of(view):
     return f"(SELECT invoice_id, count(*) AS n, list_sort(list({row})) AS r FROM {view} GROUP BY 1)"
 
 
-@query("q_recon_rowdiff", f"""
+ROWDIFF_SQL = f"""
 SELECT * FROM (
   SELECT COALESCE(s.invoice_id, x.invoice_id) AS invoice_id,
          CASE WHEN x.invoice_id IS NULL THEN 'missing' WHEN s.invoice_id IS NULL THEN 'extra'
@@ -420,13 +458,24 @@ SELECT * FROM (
          CASE WHEN s.n = 1 AND x.n = 1 THEN 'invoice_amount' ELSE '' END AS changed_columns,
          COALESCE(s.n, 0) AS source_rows, COALESCE(x.n, 0) AS target_rows
   FROM {_rows_of('fx_ap_invoices_rep')} s FULL JOIN {_rows_of('fx_ap_invoices_rep_tgt')} x ON s.invoice_id = x.invoice_id)
-WHERE status IS NOT NULL""")
+WHERE status IS NOT NULL"""
+
+
+@query("q_recon_rowdiff", ROWDIFF_SQL)
 def recon_rowdiff(t):
     return reconcile.row_differences(
         t["fx_ap_invoices_rep"], t["fx_ap_invoices_rep_tgt"], ["invoice_id"], COMPARED
     )
 
 
+@query("q_recon_located", ROWDIFF_SQL)
+def recon_located(t):
+    """The same differences, found by digests before whole rows are shuffled."""
+    return reconcile.located_differences(
+        t["fx_ap_invoices_rep"], t["fx_ap_invoices_rep_tgt"], ["invoice_id"], COMPARED
+    )
+
+
 @query("q_recon_multiset", """
 WITH u AS (
   SELECT invoice_id, line_number, amount, description, dist_code_combination_id, 1 AS s, 0 AS x FROM fx_ap_invoice_lines

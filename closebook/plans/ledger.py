@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from closebook.operators import finance
+from closebook.operators import finance, matching
 from closebook.plans.registry import moment, money, query
 
 AS_OF = "2001-08-01"
@@ -96,6 +96,17 @@ def ap_duplicates(t):
     return rows.withColumn("invoice_amount", money("invoice_amount"))
 
 
+@query("q_ap_near_duplicates", """
+WITH k AS (SELECT vendor_id, invoice_num, invoice_amount, count(*) AS copies, min(invoice_id) AS first_id FROM fx_ap_invoices_typo
+           WHERE vendor_id IS NOT NULL AND invoice_num IS NOT NULL AND invoice_amount IS NOT NULL GROUP BY 1, 2, 3)
+SELECT a.vendor_id, a.invoice_num, CAST(a.invoice_amount AS DOUBLE) AS invoice_amount, any_value(a.copies) AS copies, count(*) AS near, min(b.first_id) AS first_near_id
+FROM k a JOIN k b ON a.vendor_id = b.vendor_id AND a.invoice_num <> b.invoice_num
+WHERE levenshtein(a.invoice_num, b.invoice_num) <= 1 AND abs(a.invoice_amount - b.invoice_amount) <= 1.00
+GROUP BY a.vendor_id, a.invoice_num, a.invoice_amount""")
+def ap_near_duplicates(t):
+    return finance.near_duplicate_invoices(t["fx_ap_invoices_typo"]).withColumn("invoice_amount", money("invoice_amount"))
+
+
 @query("q_ap_outliers", """
 WITH s AS (
   SELECT vendor_id, avg(CAST(invoice_amount AS DOUBLE)) AS mean, stddev_samp(CAST(invoice_amount AS DOUBLE)) AS spread
@@ -139,3 +150,51 @@ def gold_ap_vendor(t):
             "first_invoice": moment("first_invoice"), "last_invoice": moment("last_invoice"),
         }
     )
+
+
+def _settled(name, rows, cell):
+    """The lines of `rows` with the rank and the pairs of their cell, as text of a query."""
+    return f"""
+{name} AS (SELECT *, row_number() OVER (PARTITION BY side, account, cell ORDER BY line_id % 64, amount, line_id) AS r,
+                  least(count(*) FILTER (side = 'source') OVER (PARTITION BY account, cell), count(*) FILTER (side = 'target') OVER (PARTITION BY account, cell)) AS pairs
+           FROM (SELECT side, account, line_id, amount, grp, {cell} AS cell FROM ({rows}) AS x) AS y)"""
+
+
+def _left(name):
+    return f"SELECT side, account, line_id, amount, grp FROM {name} WHERE r > pairs"
+
+
+_CENTS = "CAST(amount * 100 AS BIGINT)"
+UNRECONCILED_SQL = f"""
+WITH lines AS (
+  SELECT 'source' AS side, account, line_id, amount, je_header_id AS grp FROM fx_ledger_lines
+  UNION ALL SELECT 'target', account, line_id, amount, NULL FROM fx_statement_lines),
+{_settled("e", "SELECT * FROM lines WHERE amount IS NOT NULL", _CENTS)},
+{_settled("n", _left("e"), f"floor({_CENTS} / 5.0)")},
+{_settled("m", _left("n"), f"floor(({_CENTS} + 2.5) / 5.0)")},
+l AS ({_left("m")}),
+g AS (SELECT account, grp, count(*) AS n, sum(amount) AS amount, min(line_id) AS line_id FROM l WHERE side = 'source' GROUP BY account, grp),
+{_settled("s", "SELECT 'source' AS side, account, line_id, amount, grp FROM g WHERE n BETWEEN 2 AND 50 UNION ALL SELECT * FROM l WHERE side = 'target'", _CENTS)}
+SELECT side, account, line_id, CAST(amount AS DOUBLE) AS amount, 'left' AS match FROM s WHERE side = 'target' AND r > pairs
+UNION ALL
+SELECT 'source', account, line_id, CAST(amount AS DOUBLE), 'left' FROM l
+WHERE side = 'source' AND (account, grp) NOT IN (SELECT (account, grp) FROM s WHERE side = 'source' AND r <= pairs)
+UNION ALL
+SELECT side, account, line_id, NULL, 'left' FROM lines WHERE amount IS NULL
+UNION ALL
+SELECT side, NULL, count(*), CAST(sum(amount) AS DOUBLE), 'near' FROM (SELECT * FROM n WHERE r <= pairs UNION ALL SELECT * FROM m WHERE r <= pairs) GROUP BY side
+UNION ALL
+SELECT side, NULL, count(*), CAST(sum(amount) AS DOUBLE), 'exact' FROM e WHERE r <= pairs GROUP BY side
+UNION ALL
+SELECT 'target', NULL, count(*), CAST(sum(amount) AS DOUBLE), 'sum' FROM s WHERE side = 'target' AND r <= pairs HAVING count(*) > 0"""
+
+
+@query("q_gl_unreconciled_lines", UNRECONCILED_SQL)
+def gl_unreconciled_lines(t):
+    """Ledger lines and statement lines that nothing settles, and totals of the others."""
+    found = matching.match_lines(t["fx_ledger_lines"], t["fx_statement_lines"], ["account"], "0.05", group="je_header_id")
+    left = found.where("match IS NULL").select("side", "account", "line_id", money("amount").alias("amount"), F.lit("left").alias("match"))
+    counted = found.where("match IS NOT NULL AND NOT (match = 'sum' AND side = 'source')")
+    totals = counted.groupBy("side", "match").agg(F.count("*").alias("line_id"), F.sum("amount").alias("amount"))
+    return left.unionByName(
+        totals.select("side", F.lit(None).cast("bigint").alias("account"), "line_id", money("amount").alias("amount"), "match"))

@@ -61,6 +61,14 @@ SELECT invoice_id, vendor_id, invoice_amount FROM fx_ap_invoices
 UNION ALL
 SELECT invoice_id + 200000000, 800000000 + invoice_id % 40, CAST(0.10 AS DECIMAL(18,2))
 FROM fx_ap_invoices WHERE invoice_id % 5 = 0""",
+    # Invoices that were typed again with a character added, dropped or replaced.
+    "fx_ap_invoices_typo": """
+SELECT invoice_id, invoice_num, vendor_id, invoice_amount FROM fx_ap_invoices
+UNION ALL
+SELECT invoice_id + 300000000,
+       CASE invoice_id % 3 WHEN 0 THEN invoice_num || '7' WHEN 1 THEN replace(invoice_num, 'INV-', 'INV') ELSE 'JNV-' || substr(invoice_num, 5) END,
+       vendor_id, CAST(invoice_amount + CASE invoice_id % 2 WHEN 0 THEN 0.50 ELSE 1.01 END AS DECIMAL(18,2))
+FROM fx_ap_invoices WHERE invoice_id % 31 = 0""",
     "fx_ap_suppliers": """
 SELECT c_custkey AS vendor_id, c_name AS vendor_name, CAST(c_custkey AS STRING) AS segment1, 'Y' AS enabled_flag
 FROM customer""",
@@ -113,6 +121,21 @@ UNION ALL
 SELECT ledger_id, code_combination_id, currency_code, 'Adj-99', CAST(begin_balance_dr AS DECIMAL(18,3)),
        CAST(begin_balance_cr AS DECIMAL(18,3)), CAST(begin_balance_dr + code_combination_id % 3 AS DECIMAL(18,3))
 FROM fx_gl_balances WHERE code_combination_id % 10 = 0""",
+    # Ledger lines and the statement they should settle: some lines are missing, off by cents,
+    # new, or paid together with others of their journal.
+    "fx_ledger_lines": """
+SELECT je_header_id * 10 + je_line_num AS line_id, code_combination_id % 100 AS account, je_header_id,
+       coalesce(accounted_dr, -accounted_cr) AS amount
+FROM fx_gl_je_lines""",
+    "fx_statement_lines": """
+SELECT line_id + 1000000000 AS line_id, account,
+       CAST(amount + CASE je_header_id % 13 WHEN 1 THEN 0.02 WHEN 2 THEN -0.03 WHEN 3 THEN 0.30 ELSE 0.00 END AS DECIMAL(18,2)) AS amount
+FROM fx_ledger_lines WHERE je_header_id % 17 <> 0 AND je_header_id % 19 <> 0 AND amount IS NOT NULL
+UNION ALL
+SELECT min(line_id) + 2000000000, account, CAST(sum(amount) AS DECIMAL(18,2))
+FROM fx_ledger_lines WHERE je_header_id % 19 = 0 AND je_header_id % 17 <> 0 AND amount IS NOT NULL GROUP BY je_header_id, account
+UNION ALL
+SELECT line_id + 3000000000, account, amount FROM fx_ledger_lines WHERE je_header_id % 41 = 0""",
     "fx_people": """
 SELECT c_custkey AS person_id,
        'EMP' || CAST(CASE WHEN c_custkey % 100 = 99 THEN c_custkey - 1 ELSE c_custkey END AS STRING) AS employee_number,

@@ -173,3 +173,35 @@ def test_white_space_of_unicode_is_blank(spark):
     df = spark.createDataFrame([("\u00a0",), ("\u2003 \u3000",), ("x\u00a0",), ("",), (None,)], "v string")
     rule = Rule("r", "R", "AP", "ERROR", "not_null", "T", "V")
     assert [r[0] for r in df.select(quality.violates(rule, df)).collect()] == [True, True, False, True, True]
+
+
+def test_a_key_of_several_columns_is_one_rule(spark):
+    keys = spark.createDataFrame(
+        [("A", "GL_T", "H", 1), ("A", "GL_T", "N", 2), ("A", "AP_X", "ID", 1), ("B", "AP_X", "ID", 1)],
+        "owner string, table_name string, column_name string, position int")
+    rules = {r.rule_id: r for r in quality.key_rules(keys)}
+    assert set(rules) == {
+        "unique_gl_t_h_n", "not_null_gl_t_h", "not_null_gl_t_n", "unique_a.ap_x_id", "not_null_a.ap_x_id", "unique_b.ap_x_id", "not_null_b.ap_x_id"}
+    assert rules["unique_b.ap_x_id"].table_name == "B.AP_X"
+    own = [r for r in rules.values() if r.table_name == "GL_T"]
+    good = spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "h int, n int")
+    assert all(r["passed"] for r in quality.evaluate_rules("GL", good, own).collect())
+    bad = good.union(spark.createDataFrame([(1, 2), (None, 1), (None, 1)], "h int, n int"))
+    got = {r["rule_id"]: r["violations_count"] for r in quality.evaluate_rules("GL", bad, own).collect()}
+    assert got == {"unique_gl_t_h_n": 1, "not_null_gl_t_h": 2, "not_null_gl_t_n": 0}
+    rows = bad.withColumn("k", bad.h * 0 + 1)
+    assert quality.violations(rules["unique_gl_t_h_n"], bad.withColumn("k", F.monotonically_increasing_id()), ["k"]).count() == 1 and rows.count() == 6
+
+
+def test_bounds_of_any_length_are_exact(spark):
+    big = 10**25
+    cases = [(str(big), True), (str(big + 1), False), (str(big - 1), True), (f"{big}.{'0' * 40}1", False), ("1e25", True), ("1.0000000000000000000000000000001e25", False),
+             (f"-{big}", True), (f"-{big + 1}", False), (f"-{big}.5", False), ("0", True), ("-0.0", True), ("1e26", False), ("-1e-400", True), ("9" * 26, False), (f" {big} ", True),
+             ("0" * 50 + "7", True), ("x", False), (None, True)]
+    rule = Rule("r", "R", "AP", "ERROR", "range", "T", "V", min_value=str(-big), max_value=f"{big}")
+    df = spark.createDataFrame(cases, "v string, ok boolean")
+    assert df.where(quality.violates(rule, df) == F.col("ok")).collect() == []
+    decimals = spark.createDataFrame([(Decimal(big + 1),), (Decimal(big),)], "v decimal(38,0)")
+    assert [r[0] for r in decimals.select(quality.violates(rule, decimals)).collect()] == [True, False]
+    doubles = spark.createDataFrame([(1e25,), (1.0000000000000002e25,), (float("inf"),), (float("-inf"),), (5.0,)], "v double")
+    assert [r[0] for r in doubles.select(quality.violates(rule, doubles)).collect()] == [False, True, True, True, False]
