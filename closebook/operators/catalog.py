@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from closebook.functions.scalars import target_type
 from closebook.model import MODULE_PREFIXES
 from closebook.operators.layers import spark_type
+from closebook.session import scratch_path
 
 # An Oracle table has at most 1,000 columns, so lists per table stay small.
 
@@ -195,6 +196,86 @@ def relationships(
     return out.withColumn("containment", contained).where(F.col("containment") >= threshold)
 
 
+#: Values a sketch of a column keeps is 2 to this power: it misses a containment by a few hundredths.
+SKETCH = 12
+SLACK = 0.15
+
+
+def _kind(data_type: T.DataType) -> str | None:
+    if isinstance(data_type, (T.IntegralType, T.DecimalType)):
+        return "number"
+    return "text" if isinstance(data_type, T.StringType) else None
+
+
+def _value(name: str, data_type: T.DataType) -> Column:
+    """A value as text that is the same in every column that can hold it."""
+    c = F.col(f"`{name}`")
+    return c.cast("decimal(38,6)").cast("string") if _kind(data_type) == "number" else c
+
+
+def column_sketches(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, column_name, kind, sketch) of every number and text column, by one
+    aggregate over each table."""
+    out = None
+    for name, df in tables.items():
+        own = [f for f in df.schema if _kind(f.dataType)]
+        if not own:
+            continue
+        sums = [F.theta_sketch_agg(_value(f.name, f.dataType), F.lit(SKETCH)).alias(f"s{i}") for i, f in enumerate(own)]
+        rows = F.array(*[
+            F.struct(F.lit(name).alias("table_name"), F.lit(f.name).alias("column_name"), F.lit(_kind(f.dataType)).alias("kind"), F.col(f"s{i}").alias("sketch"))
+            for i, f in enumerate(own)])
+        part = df.agg(*sums).select(F.inline(rows))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def implied_references(tables: dict[str, DataFrame], keys: dict[str, str], threshold: float = 0.95) -> DataFrame:
+    """Columns whose values are, to `threshold`, those of a key of another table, under any name.
+
+    Each table is scanned once for sketches of its columns. A sketch is a bounded number of
+    hashes, so every column meets every key by an intersection of sketches, of which there
+    are as many as the dictionary has columns and keys. The pairs that come within `SLACK`
+    of the threshold are then counted exactly, all pairs of one key in one grouping by value.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    path = scratch_path(spark, "sketches")
+    sketches = column_sketches(tables)
+    sketches.write.parquet(path)
+    every = spark.read.schema(sketches.schema).parquet(path).where("sketch IS NOT NULL")
+    is_key = F.lit(False)
+    for table, key in keys.items():
+        is_key = is_key | ((F.col("table_name") == table) & (F.col("column_name") == key))
+    of_keys = every.where(is_key).select(
+        F.col("table_name").alias("target_table"), F.col("column_name").alias("target_column"), "kind", F.col("sketch").alias("key_sketch"))
+    both = F.theta_sketch_estimate(F.theta_intersection("sketch", "key_sketch"))
+    likely = every.join(of_keys, "kind").where("table_name <> target_table").withColumn("own", F.theta_sketch_estimate("sketch"))
+    likely = likely.where(F.col("own") > 0).where(both >= (threshold - SLACK) * F.col("own"))
+    # Names of columns and keys, as many as the dictionary has.
+    found: dict[tuple[str, str], list[tuple[str, str]]] = {}
+    for r in likely.select("table_name", "column_name", "target_table", "target_column").collect():
+        found.setdefault((r["target_table"], r["target_column"]), []).append((r["table_name"], r["column_name"]))
+    out = None
+    for (key_table, key), users in found.items():
+        def values(table, column, turn):
+            return tables[table].select(_value(column, tables[table].schema[column].dataType).alias("v"), F.lit(turn).alias("turn"))
+
+        rows = reduce(DataFrame.unionByName, [values(*user, n) for n, user in enumerate([(key_table, key), *users])])
+        # At most an entry per column and value: the columns that have it, and whether the key does.
+        by_value = rows.where(F.col("v").isNotNull()).groupBy("v").agg(F.collect_set("turn").alias("turns"))
+        part = by_value.select(F.array_contains("turns", 0).alias("known"), F.explode("turns").alias("turn")).groupBy("turn").agg(
+            F.count("*").alias("distinct_values"), F.count_if("known").alias("matched_values")).where("turn > 0")
+        names = spark.createDataFrame([(n, *user) for n, user in enumerate(users, 1)], "turn int, source_table string, source_column string")
+        part = part.join(names, "turn").select(
+            "source_table", "source_column", F.lit(key_table).alias("target_table"), F.lit(key).alias("target_column"), "distinct_values", "matched_values")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return spark.createDataFrame([], "source_table string, source_column string, target_table string, target_column string, "
+                                         "distinct_values bigint, matched_values bigint, containment double")
+    contained = F.col("matched_values") / F.col("distinct_values")
+    return out.withColumn("containment", contained).where(F.col("containment") >= threshold)
+
+
 def cast_profile(raw: DataFrame, columns: list[tuple[str, str, int | None]]) -> DataFrame:
     """Per column: rows, nulls, values lost by the staging cast, text longer than allowed.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from closebook.functions.scalars import model_name
@@ -142,6 +144,38 @@ def relationships(t):
     return catalog.relationships(tables, {name: key for name, (_, key) in KEYED.items()})
 
 
+#: Columns of whole numbers and amounts of the views, for the SQL that counts every pair.
+NUMBERS = {
+    "AP_INVOICES_ALL": "invoice_id vendor_id invoice_amount amount_paid org_id set_of_books_id",
+    "AP_SUPPLIERS": "vendor_id",
+    "GL_JE_HEADERS": "je_header_id je_batch_id ledger_id org_id",
+    "GL_CODE_COMBINATIONS": "code_combination_id",
+    "AP_INVOICE_LINES_ALL": "invoice_id line_number amount dist_code_combination_id",
+    "GL_JE_LINES": "je_header_id je_line_num code_combination_id accounted_dr accounted_cr",
+    "GL_BALANCES": "ledger_id code_combination_id period_net_dr period_net_cr begin_balance_dr begin_balance_cr reported_end_balance",
+}
+
+
+def _view(table):
+    return {**UNKEYED, **{k: v[0] for k, v in KEYED.items()}}[table]
+
+
+IMPLIED_SQL = " UNION ALL ".join(
+    f"SELECT '{table}' AS source_table, '{column}' AS source_column, '{target}' AS target_table, '{key}' AS target_column, "
+    f"count(DISTINCT {column}) AS distinct_values, count(DISTINCT CASE WHEN {column} IN (SELECT {key} FROM {view}) THEN {column} END) AS matched_values FROM {_view(table)}"
+    for target, (view, key) in KEYED.items() for table, columns in NUMBERS.items() if table != target for column in columns.split()
+)
+
+
+@query("q_implied_references", f"""
+SELECT *, CAST(matched_values AS DOUBLE) / distinct_values AS containment FROM ({IMPLIED_SQL})
+WHERE distinct_values > 0 AND CAST(matched_values AS DOUBLE) / distinct_values >= 0.95""")
+def implied_references(t):
+    """References under other names, found by sketches of all columns and counted exactly."""
+    tables = {name: t[_view(name)] for name in NUMBERS}
+    return catalog.implied_references(tables, {name: key for name, (_, key) in KEYED.items()})
+
+
 @query("q_key_descriptions", """
 SELECT owner, table_name, column_name,
        concat_ws(' ', CASE WHEN is_pk THEN 'Primary key.' END,
@@ -392,6 +426,45 @@ def cdc_stream_state(t):
     )
 
 
+@query("q_cdc_stream_resume", CURRENT_SQL)
+def cdc_stream_resume(t):
+    """The state of a stream that is stopped half way and goes on from its checkpoint."""
+    inbox, out, check = scratch_path(t.spark, "inbox"), scratch_path(t.spark, "state"), scratch_path(t.spark, "offsets")
+    late = F.col("event_id") % 3 == 0
+    t["fx_cdc_events"].where(~late).repartition(4).write.parquet(inbox)
+    stream = cdc.start_state(cdc.read_changes(t.spark, inbox, 1), out, check, mode="continuous", interval="0 seconds")
+    try:
+        while not stream.recentProgress and stream.isActive:  # stopped after its first batch or later
+            time.sleep(0.05)
+    finally:
+        stream.stop()
+    t["fx_cdc_events"].where(late).write.mode("append").parquet(inbox)
+    for _ in range(2):  # the second run finds nothing new
+        _ended(cdc.start_state(cdc.read_changes(t.spark, inbox), out, check))
+    return cdc.read_state(t.spark, out).select(
+        "table_name", "pk", "operation", "value", "event_id", moment("event_time").alias("event_time")
+    )
+
+
+@query("q_cdc_snapshot", """
+WITH a AS (SELECT * FROM fx_cdc_events WHERE event_id % 2 = 0 OR event_id % 5 = 0),
+s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY table_name, pk ORDER BY event_time DESC, event_id DESC) AS rn FROM a WHERE event_id % 2 = 0) WHERE rn = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY table_name, pk ORDER BY event_time DESC, event_id DESC) AS n
+      FROM (SELECT * EXCLUDE (rn) FROM s UNION ALL SELECT * FROM a WHERE event_id % 2 <> 0))
+SELECT table_name, pk, operation, value, event_id, strftime(event_time, '%Y-%m-%d %H:%M:%S') AS event_time FROM r WHERE n = 1 AND operation <> 'DELETE'""")
+def cdc_snapshot(t):
+    """A state that a snapshot overwrites, and the changes that come after it."""
+    inbox, out, check = scratch_path(t.spark, "inbox"), scratch_path(t.spark, "state"), scratch_path(t.spark, "offsets")
+    t["fx_cdc_events"].where("event_id % 2 <> 0 AND event_id % 5 <> 0").write.parquet(inbox)
+    _ended(cdc.start_state(cdc.read_changes(t.spark, inbox), out, check))
+    cdc.load_snapshot(t["fx_cdc_events"].where("event_id % 2 = 0"), out)
+    t["fx_cdc_events"].where("event_id % 2 <> 0 AND event_id % 5 = 0").write.mode("append").parquet(inbox)
+    _ended(cdc.start_state(cdc.read_changes(t.spark, inbox), out, check))
+    return cdc.read_state(t.spark, out).select(
+        "table_name", "pk", "operation", "value", "event_id", moment("event_time").alias("event_time")
+    )
+
+
 @query("q_cdc_stream_volume", VOLUME_SQL)
 def cdc_stream_volume(t):
     """Volume windows of a stream over the same events, the newest ones first."""

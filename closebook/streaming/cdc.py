@@ -147,7 +147,7 @@ def trigger_for(mode: str, interval="900 seconds") -> dict:
     if mode not in REPLICATION_MODES:
         raise ValueError(f"replication mode must be one of {', '.join(REPLICATION_MODES)}")
     if mode == "snapshot":
-        raise ValueError("a snapshot is a batch overwrite, not a stream")
+        raise ValueError("a snapshot is a batch overwrite, not a stream: load_snapshot")
     return {"processingTime": interval} if mode == "continuous" else {"availableNow": True}
 
 
@@ -241,6 +241,12 @@ def read_volume(spark: SparkSession, path: str) -> DataFrame:
 
 # Parts of a state table, by a hash of the key; the same for the life of a table.
 BUCKETS = 64
+
+
+def _bucket(keys) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+
+
 # The event time as streams have it.
 STATE_SCHEMA = ENTITIES["cdc_event"].replace("timestamp_ntz", "timestamp")
 
@@ -254,10 +260,9 @@ def start_state(changes, path, checkpoint, *, keys=KEYS, order=ORDER, mode="incr
     and `compact_state` folds deltas into a base. With a new checkpoint the changes are
     read from the start, which gives the same state again.
     """
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
 
     def prepare(batch):
-        return latest_per_key(batch, keys, order).withColumn("bucket", bucket)
+        return latest_per_key(batch, keys, order).withColumn("bucket", _bucket(keys))
 
     return _start(changes, path, checkpoint, prepare, ["bucket"], mode, interval)
 
@@ -324,14 +329,32 @@ def compact_state(spark: SparkSession, path: str, keys=KEYS, order=ORDER, schema
     state = _State(spark, path, schema)
     if not state.finished:
         return state.version
-    touched, version = state.touched(), state.version + 1
-    state.merged(touched, keys, order).hint("rebalance", "bucket").write.mode("overwrite").option(*_WHOLE).partitionBy(
+    touched = state.touched()
+    return _rebase(state, state.merged(touched, keys, order), touched)
+
+
+def load_snapshot(rows: DataFrame, path: str, keys=KEYS, order=ORDER, schema=STATE_SCHEMA) -> int:
+    """Replication mode `snapshot`: the state becomes `rows`, whatever it was; returns the version.
+
+    `rows` have the columns of change events. Batches of streams that were finished before
+    the snapshot count as part of it; later ones are changes to it.
+    """
+    names = [f.name for f in rows.sparkSession.createDataFrame([], schema).schema]
+    state = _State(rows.sparkSession, path, schema)
+    whole = latest_per_key(rows.withColumn("event_time", F.col("event_time").cast("timestamp")).select(*names), keys, order)
+    return _rebase(state, whole.withColumn("bucket", _bucket(keys)), range(BUCKETS))
+
+
+def _rebase(state: _State, rows: DataFrame, buckets) -> int:
+    """Write new bases of these buckets and the manifest that names them."""
+    spark, path, version = state.spark, state.path, state.version + 1
+    rows.hint("rebalance", "bucket").write.mode("overwrite").option(*_WHOLE).partitionBy(
         "bucket"
     ).parquet(f"{path}/base/version={version}")
-    bases = {**state.bases, **dict.fromkeys(touched, version)}
+    bases = {**state.bases, **dict.fromkeys(buckets, version)}
     folded = {**state.folded, **state.finished}
-    rows = [("bucket", str(b), v) for b, v in bases.items()] + [("stream", s, n) for s, n in folded.items()]
-    spark.createDataFrame(rows, "kind string, name string, number bigint").coalesce(1).write.mode(
+    log = [("bucket", str(b), v) for b, v in bases.items()] + [("stream", s, n) for s, n in folded.items()]
+    spark.createDataFrame(log, "kind string, name string, number bigint").coalesce(1).write.mode(
         "overwrite"
     ).parquet(f"{path}/manifest/version={version}")
     _trim(spark, path, state)

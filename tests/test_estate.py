@@ -220,3 +220,19 @@ def test_documented_edges_are_kept(spark, tmp_path):
     lineage.document_lineage(spark, path, EDGES[:2])
     lineage.document_lineage(spark, path, EDGES[2:])
     assert rows(spark.read.parquet(path)) == rows(spark.createDataFrame(EDGES, lineage.EDGE_SCHEMA))
+
+
+def test_references_under_other_names_are_found(spark):
+    """Planted references, exact and nearly so, of numbers and texts, and columns that are none."""
+    n = 20_000
+    people = spark.range(n).select(F.col("id").alias("person_id"), F.concat(F.lit("E"), F.col("id")).alias("number"))
+    orders = spark.range(30_000).select(
+        (F.col("id") % n).cast("decimal(20,0)").alias("buyer"), F.when(F.col("id") % 40 == 0, -F.col("id")).otherwise(F.col("id") % n).alias("mostly"),
+        F.when(F.col("id") % 3 == 0, F.col("id") + n).otherwise(F.col("id") % n).alias("seldom"), F.concat(F.lit("E"), F.col("id") % 9).alias("badge"),
+        (F.col("id") + 10 * n).alias("other"), F.lit(None).cast("int").alias("nothing"), F.lit(1.5).alias("rate"))
+    found = catalog.implied_references({"PEOPLE": people, "ORDERS": orders}, {"PEOPLE": "person_id"}).collect()
+    assert {(r["source_table"], r["source_column"], r["target_column"]) for r in found} == {("ORDERS", "buyer", "person_id"), ("ORDERS", "mostly", "person_id")}
+    assert {r["source_column"]: r["distinct_values"] for r in found}["buyer"] == n
+    texts = catalog.implied_references({"PEOPLE": people, "ORDERS": orders}, {"PEOPLE": "number"})
+    assert [(r["source_column"], r["containment"]) for r in texts.collect()] == [("badge", 1.0)]
+    assert catalog.implied_references({"PEOPLE": people}, {"PEOPLE": "person_id"}).count() == 0
