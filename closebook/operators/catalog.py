@@ -196,9 +196,10 @@ def relationships(
     return out.withColumn("containment", contained).where(F.col("containment") >= threshold)
 
 
-#: Values a sketch of a column keeps is 2 to this power: it misses a containment by a few hundredths.
+#: Values a sketch of a column keeps, as a power of 2, and the standard errors a containment is
+#: allowed to be off by.
 SKETCH = 12
-SLACK = 0.15
+ERRORS = 5
 
 
 def _kind(data_type: T.DataType) -> str | None:
@@ -250,7 +251,10 @@ def implied_references(tables: dict[str, DataFrame], keys: dict[str, str], thres
         F.col("table_name").alias("target_table"), F.col("column_name").alias("target_column"), "kind", F.col("sketch").alias("key_sketch"))
     both = F.theta_sketch_estimate(F.theta_intersection("sketch", "key_sketch"))
     likely = every.join(of_keys, "kind").where("table_name <> target_table").withColumn("own", F.theta_sketch_estimate("sketch"))
-    likely = likely.where(F.col("own") > 0).where(both >= (threshold - SLACK) * F.col("own"))
+    # Share of the values below the largest hash that both sketches keep.
+    kept = F.least(F.lit(1.0), F.lit(float(1 << SKETCH)) / F.greatest("own", F.theta_sketch_estimate("key_sketch"), F.lit(1)))
+    error = F.sqrt((1 / kept - 1) / F.greatest("own", F.lit(1)) + F.lit(1.0 / (1 << SKETCH)))
+    likely = likely.where(F.col("own") > 0).where(both >= (F.lit(threshold) - ERRORS * error) * F.col("own"))
     # Names of columns and keys, as many as the dictionary has.
     found: dict[tuple[str, str], list[tuple[str, str]]] = {}
     for r in likely.select("table_name", "column_name", "target_table", "target_column").collect():
