@@ -381,6 +381,22 @@ def cdc_history_cut(t):
     return rows.withColumns({c: moment(c) for c in ("valid_from", "valid_to")})
 
 
+@query("q_cdc_stream_history", HISTORY_SQL)
+def cdc_stream_history(t):
+    """The history of a stream whose newest events come first, folded half way."""
+    out, check, inbox = scratch_path(t.spark, "history"), scratch_path(t.spark, "offsets"), scratch_path(t.spark, "changes")
+    whole = t.spark.read.schema(cdc.ENTITIES["cdc_event"]).parquet(_inbox(t))
+    for late in (False, True):
+        whole.where((F.col("event_id") % 4 == 0) == F.lit(late)).write.mode("append").parquet(inbox)
+        _ended(cdc.start_history(cdc.read_changes(t.spark, inbox, 4), out, check))
+        if not late:
+            cdc.compact_history(t.spark, out)
+    # Some events come once more, by another checkpoint.
+    _ended(cdc.start_history(cdc.read_changes(t.spark, inbox), out, scratch_path(t.spark, "offsets")))
+    rows = cdc.read_history(t.spark, out)
+    return rows.withColumns({c: moment(c) for c in ("valid_from", "valid_to")})
+
+
 VOLUME_SQL = """
 SELECT strftime(time_bucket(INTERVAL '15 minutes', event_time), '%Y-%m-%d %H:%M:%S') AS window_start,
        strftime(time_bucket(INTERVAL '15 minutes', event_time) + INTERVAL '15 minutes', '%Y-%m-%d %H:%M:%S') AS window_end,

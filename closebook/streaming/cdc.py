@@ -51,9 +51,14 @@ def history(events: DataFrame, keys=KEYS, order=ORDER, values=("value",), task_r
     DELETE closes the version before it and makes none. Open versions end at
     the sentinel date.
     """
-    at = order[0]
     rows = events.select(*keys, *order, "operation", *values)
-    followed = with_neighbor(rows, keys, order, {"next_time": at}, task_rows=task_rows)
+    followed = with_neighbor(rows, keys, order, {"next_time": order[0]}, task_rows=task_rows)
+    return _versions(followed, keys, order, values)
+
+
+def _versions(followed: DataFrame, keys, order, values) -> DataFrame:
+    """Versions of events that know the time of the next event of their key."""
+    at = order[0]
     last_of_instant = F.col("next_time").isNull() | (F.col("next_time") > F.col(at))
     end = F.lit(END_OF_TIME).cast("timestamp_ntz")
     return followed.where(last_of_instant & (F.col("operation") != "DELETE")).select(
@@ -345,6 +350,56 @@ def load_snapshot(rows: DataFrame, path: str, keys=KEYS, order=ORDER, schema=STA
     return _rebase(state, whole.withColumn("bucket", _bucket(keys)), range(BUCKETS))
 
 
+# ---- History ----
+
+#: Events as a history keeps them: with the time of the next event of their key.
+HISTORY_SCHEMA = f"{STATE_SCHEMA}, next_time timestamp"
+
+
+def start_history(changes, path, checkpoint, *, keys=KEYS, mode="incremental", interval="900 seconds"):
+    """Stream that keeps every event of every key, for `read_history`.
+
+    A micro-batch writes its own events in buckets by a hash of the key; late ones and those
+    that come again may be among them. `compact_history` folds them into the buckets.
+    """
+    def prepare(batch):
+        once = batch.dropDuplicates([*keys, "event_id"])
+        return once.withColumn("next_time", F.lit(None).cast("timestamp")).withColumn("bucket", _bucket(keys))
+
+    return _start(changes, path, checkpoint, prepare, ["bucket"], mode, interval)
+
+
+def _followed(state: _State, touched: list[int], keys, order) -> DataFrame:
+    """All events of the touched buckets, each with the time of the next of its key."""
+    deltas = state.deltas.drop("stream", "batch_id")
+    events = state.base(touched, True).unionByName(deltas).drop("next_time").dropDuplicates([*keys, "event_id"])
+    plain = events.withColumn(order[0], F.col(order[0]).cast("timestamp_ntz"))
+    followed = with_neighbor(plain, keys, order, {"next_time": order[0]})
+    return followed.withColumns({c: F.col(c).cast("timestamp") for c in (order[0], "next_time")})
+
+
+def read_history(spark: SparkSession, path: str, keys=KEYS, order=ORDER, values=("value",)) -> DataFrame:
+    """The versions of `history` from the events of a stream, whatever order they came in.
+
+    Only keys in buckets with open deltas are put in order; events of the others know what
+    follows them.
+    """
+    state = _State(spark, path, HISTORY_SCHEMA)
+    touched = state.touched()
+    rows = state.base(touched, False).unionByName(_followed(state, touched, keys, order))
+    rows = rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in (order[0], "next_time")})
+    return _versions(rows, keys, order, values)
+
+
+def compact_history(spark: SparkSession, path: str, keys=KEYS, order=ORDER) -> int:
+    """Fold finished deltas into their buckets, as `compact_state` does; returns the version."""
+    state = _State(spark, path, HISTORY_SCHEMA)
+    if not state.finished:
+        return state.version
+    touched = state.touched()
+    return _rebase(state, _followed(state, touched, keys, order), touched)
+
+
 def _rebase(state: _State, rows: DataFrame, buckets) -> int:
     """Write new bases of these buckets and the manifest that names them."""
     spark, path, version = state.spark, state.path, state.version + 1

@@ -229,3 +229,38 @@ def test_continuous_stream_can_be_paused(spark, tmp_path):
     finish(cdc.start_state(cdc.read_changes(spark, inbox), out, check))
     assert state(cdc.read_state(spark, out)) == {1: 1.0, 2: 2.0}
     assert spark.read.parquet(f"{out}/delta").count() == 2
+
+
+def versions(df):
+    return rows(df.select("pk", "value", F.col("valid_from").cast("string"), F.col("valid_to").cast("string"), "is_current"))
+
+
+def test_stream_history_takes_late_events(spark, tmp_path):
+    """Late, repeated and deleting events, with folds between; equal to the history in batch."""
+    inbox, out, check = (str(tmp_path / n) for n in ("in", "history", "check"))
+    parts = [
+        [(10, 1, "INSERT", 10, 1.0), (11, 2, "INSERT", 0, 5.0)], [(9, 1, "INSERT", 5, 0.5), (12, 1, "DELETE", 20, 0.0)],
+        [(13, 1, "INSERT", 15, 2.0), (10, 1, "INSERT", 10, 1.0)], [(14, 3, "INSERT", 1, 7.0), (15, 1, "UPDATE", 15, 3.0)],
+    ]
+    seen = []
+    for n, part in enumerate(parts):
+        feed(events(spark, part), inbox, n)
+        seen += part
+        finish(cdc.start_history(cdc.read_changes(spark, inbox), out, check))
+        want = versions(cdc.history(events(spark, sorted(set(seen)))))
+        assert versions(cdc.read_history(spark, out)) == want
+        if n % 2:
+            cdc.compact_history(spark, out)
+            assert versions(cdc.read_history(spark, out)) == want
+    assert cdc.read_history(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_snapshot_overwrites_the_state(spark, tmp_path):
+    inbox, out, check = (str(tmp_path / n) for n in ("in", "state", "check"))
+    feed(events(spark, [(1, 1, "INSERT", 0, 1.0), (2, 2, "INSERT", 0, 2.0)]), inbox, 0)
+    finish(cdc.start_state(cdc.read_changes(spark, inbox), out, check))
+    cdc.load_snapshot(events(spark, [(3, 2, "INSERT", 0, 20.0), (4, 3, "INSERT", 0, 30.0)]), out)
+    assert state(cdc.read_state(spark, out)) == {2: 20.0, 3: 30.0}
+    feed(events(spark, [(5, 3, "DELETE", 9, 0.0), (6, 4, "INSERT", 9, 40.0)]), inbox, 1)
+    finish(cdc.start_state(cdc.read_changes(spark, inbox), out, check))
+    assert state(cdc.read_state(spark, out)) == {2: 20.0, 4: 40.0}
