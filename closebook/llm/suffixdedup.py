@@ -360,7 +360,8 @@ def remove_repeats(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH, gram: int = GRAM,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """One row per row of `docs`: id, n_bytes, n_removed, n_spans, kept_sha256."""
+    """One row per row of `docs`: id, n_bytes, n_removed, n_spans, kept_sha256, removed_share
+    (removed bytes of all, 0 for an empty text)."""
     chosen, runs = repeated_runs(docs, text_column, length, gram, block_bytes)
     listed = runs.groupBy("digest").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
     stripped = chosen.select("digest", "text").join(listed, "digest").mapInArrow(
@@ -372,12 +373,13 @@ def remove_repeats(
     copies = rows.groupBy("digest").agg(F.count("*").alias("copies")).where("copies > 1")
     facts = stripped.join(copies, "digest", "full")
     gone = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
-    return rows.join(facts, "digest", "left").select(
+    out = rows.join(facts, "digest", "left").select(
         id_column, "n_bytes",
         F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("bigint").alias("n_removed"),
         F.when(gone, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("bigint").alias("n_spans"),
         F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "whole")).alias("kept_sha256"),
     )
+    return out.withColumn("removed_share", F.col("n_removed") / F.greatest("n_bytes", F.lit(1)))
 
 
 @query("op3_suffix_array_dedup")
