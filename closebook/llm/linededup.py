@@ -17,7 +17,7 @@ the order of their ids, rows without id last, rows of one id by the hash of thei
 With `words` given, runs of fewer than `RUN` lines that hold more words than that are
 deleted in the same way, so the least repeat follows words where lines are long. Each
 length has windows of its own; the least hash of a short window is its fingerprint too.
-`op7_line_dedup` goes without, as its SQL twin does; the pipeline takes `WORDS`.
+`op7_line_dedup` and the pipeline take `WORDS`.
 
 Null and empty texts are one empty line and stay as they are. Rows equal in id and text
 are one place: neither goes because of the other. Without `words`, texts of fewer lines
@@ -133,19 +133,29 @@ def delete_repeated_runs(
     )
 
 
-def sql_later(source: str, run: int = RUN) -> str:
+def _sql_windows(source: str, size: int, words: int | None) -> str:
+    """SQL for (doc_id, p, k, w): the windows of `size` lines, those of over `words` words."""
+    enough = "" if words is None else (
+        f" WHERE list_sum(list_transform(w, lambda x: len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')))) > {words}")
+    return f"""
+SELECT doc_id, p, {size} AS k, w FROM (
+    SELECT doc_id, unnest(range(1, len(lines) - {size} + 2)) AS p,
+        unnest(list_transform(range(1, len(lines) - {size} + 2), lambda i: list_slice(lines, i, i + {size - 1}))) AS w
+    FROM (SELECT doc_id, string_split(COALESCE(text, ''), chr(10)) AS lines FROM {source}) WHERE len(lines) >= {size}){enough}"""
+
+
+def sql_later(source: str, run: int = RUN, words: int | None = WORDS) -> str:
     """SQL for (doc_id, text, lines, gone, n_runs) of a table of documents with distinct ids."""
+    sizes = [(run, None)] + ([(k, words) for k in range(1, run)] if words is not None else [])
+    windows = " UNION ALL ".join(_sql_windows(source, *size) for size in sizes)
     return f"""
 SELECT l.doc_id, l.text, l.lines, COALESCE(g.gone, []::BIGINT[]) AS gone, COALESCE(g.n_runs, 0) AS n_runs FROM
     (SELECT doc_id, text, string_split(COALESCE(text, ''), chr(10)) AS lines FROM {source}) l
 LEFT JOIN (
     SELECT doc_id, list(i) AS gone, CAST(sum(CASE WHEN i - 1 = before THEN 0 ELSE 1 END) AS BIGINT) AS n_runs FROM (
         SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM (
-            SELECT DISTINCT doc_id, unnest(range(p, p + {run})) AS i FROM (
-                SELECT doc_id, p, row_number() OVER (PARTITION BY w ORDER BY doc_id, p) AS n FROM (
-                    SELECT doc_id, unnest(range(1, len(lines) - {run} + 2)) AS p,
-                        unnest(list_transform(range(1, len(lines) - {run} + 2), lambda i: list_slice(lines, i, i + {run - 1}))) AS w
-                    FROM (SELECT doc_id, string_split(COALESCE(text, ''), chr(10)) AS lines FROM {source}) WHERE len(lines) >= {run}))
+            SELECT DISTINCT doc_id, unnest(range(p, p + k)) AS i FROM (
+                SELECT doc_id, p, k, row_number() OVER (PARTITION BY k, w ORDER BY doc_id, p) AS n FROM ({windows}))
             WHERE n > 1))
     GROUP BY doc_id) g ON g.doc_id = l.doc_id"""
 
@@ -160,7 +170,8 @@ FROM ({sql_later('documents')})"""
 
 @query("op7_line_dedup", SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of each document without runs of three lines that occurred before."""
+    """What is left of each document without runs that occurred before: of three lines, or of
+    one or two that hold over 50 words."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    done = delete_repeated_runs(docs)
+    done = delete_repeated_runs(docs, words=WORDS)
     return done.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(whole(), 256).alias("kept_sha256"))
