@@ -46,7 +46,7 @@ END_ID = 1
 GROUPS = 64
 UNIT = 8
 LARGE_PARTS = (2, 4, 8)
-CACHED_WORDS = 150_000
+CACHED_WORDS = 300_000
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -115,8 +115,14 @@ class WordTokenizer:
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Of each text the ids as unsigned little-endian 32-bit numbers, without the end id."""
-        if self.special and any(text and self.special.search(text) for text in texts):
-            return [b"".join(parts) for parts in map(self._around_special, texts)]
+        if not self.special or not any(text and self.special.search(text) for text in texts):
+            return self._plain(texts)
+        # Every other part is a special token; the others are encoded together.
+        parts = [self.special.split(text or "") for text in texts]
+        known = iter(self._plain([x for own in parts for x in own[::2]]))
+        return [b"".join(self.special_ids[x] if at % 2 else next(known) for at, x in enumerate(own)) for own in parts]
+
+    def _plain(self, texts: list[str | None]) -> list[bytes]:
         split = [(text or "").encode("utf-8").lower().split() for text in texts]
         distinct = set().union(*split)
         if len(distinct) <= CACHED_WORDS:
@@ -133,10 +139,6 @@ class WordTokenizer:
             out.append(b"".join(parts))
         return out
 
-    def _around_special(self, text):
-        for at, part in enumerate(self.special.split(text or "")):
-            yield self.special_ids[part] if at % 2 else self.ids([part])[0]
-
 
 def tokenizer(path: str) -> WordTokenizer:
     held = worker_cache("tokenizers")
