@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,8 +44,9 @@ def history_cuts(df: DataFrame, keys, order, task_rows: int) -> DataFrame | None
 
     Rows of such keys are range-partitioned by key, time and second order column, so
     they fall in even ranges however they share keys or instants; each range gives one
-    cut per key in it. That is a list of at most the number of shuffle partitions plus
-    the number of such keys, written once so that all uses see one list.
+    cut per key in it. That is a table of at most the number of shuffle partitions plus the
+    number of such keys, written once by Spark so that all uses see one; it does not pass
+    through the driver.
     None when no key is that long.
     """
     spark = df.sparkSession
@@ -64,18 +63,17 @@ def history_cuts(df: DataFrame, keys, order, task_rows: int) -> DataFrame | None
         .groupBy("key_hash", F.spark_partition_id().alias("range"))
         .agg(F.min(F.struct("at", "id")).alias("cut"))
         .groupBy("key_hash").agg(F.sort_array(F.collect_list("cut")).alias("cuts"))
-        .collect()
+        .select("key_hash", "cuts", F.filter("cuts", lambda c, i: i % _stride() == 0).alias("strides"))
     )
-    rows = [(r["key_hash"], r["cuts"], r["cuts"][::_stride(len(r["cuts"]))]) for r in ranges]
-    if not rows:
-        return None
     path = scratch_path(spark, "cuts")
-    spark.createDataFrame(rows, _CUTS).coalesce(1).write.parquet(path)
-    return spark.read.schema(_CUTS).parquet(path)
+    ranges.write.parquet(path)
+    cuts = spark.read.schema(_CUTS).parquet(path)
+    return None if cuts.isEmpty() else cuts
 
 
-def _stride(cuts: int) -> int:
-    return max(1, math.isqrt(cuts))
+def _stride() -> Column:
+    """Cuts of one stride: the root of their number."""
+    return F.greatest(F.lit(1), F.floor(F.sqrt(F.size("cuts").cast("double"))).cast("int"))
 
 
 def with_piece(df: DataFrame, keys, order, cuts: DataFrame, name: str) -> DataFrame:
@@ -88,7 +86,7 @@ def with_piece(df: DataFrame, keys, order, cuts: DataFrame, name: str) -> DataFr
     hashed = df.withColumn("__key_hash", F.xxhash64(*keys))
     joined = hashed.join(cuts, hashed["__key_hash"] == cuts["key_hash"], "left")
     # Whole strides first, then within one stride: about twice the root of the cuts.
-    stride = F.greatest(F.lit(1), F.floor(F.sqrt(F.size("cuts").cast("double"))).cast("int"))
+    stride = _stride()
     passed = F.size(F.filter("strides", lambda c: c <= here))
     start = F.greatest((passed - 1) * stride, F.lit(0))
     inside = F.size(F.filter(F.slice("cuts", start + 1, stride), lambda c: c <= here))

@@ -266,3 +266,34 @@ def vendor_mart(invoices, suppliers) -> DataFrame:
     )
     # Grouped facts have at most one row per vendor and currency.
     return facts.join(suppliers.select("vendor_id", "vendor_name"), "vendor_id", "left")
+
+
+def gold_headcount(people: DataFrame, first: str, last: str, by=("first_name",)) -> DataFrame:
+    """People per month and `by`: active at the month's end, joined and left in it.
+
+    `people` is date-effective: a version holds from its start to its end, both included, and
+    a person has several. Each version meets only the months it holds in, from `first` to
+    `last`, so the interval join is a bounded list a version and one grouping, however many
+    versions a person has. A person counts once a month, in the group of the version of its
+    last day. A version that starts where none of the person held the day before has joined;
+    one that ends where none follows has left.
+    """
+    start, end = F.col("effective_start_date").cast("date"), F.col("effective_end_date").cast("date")
+    low, high = F.lit(first).cast("date"), F.lit(last).cast("date")
+    rows = people.where(F.col("person_id").isNotNull()).select("person_id", *by, start.alias("s"), end.alias("e"))
+    # Days a person is in, from and to, as edges: what starts the day after an end cancels it.
+    edges = rows.select("person_id", *by, F.col("s").alias("day"), F.lit(1).alias("step")).unionByName(
+        rows.select("person_id", *by, F.date_add("e", 1).alias("day"), F.lit(-1).alias("step")))
+    moved = edges.where(F.col("day").between(low, F.date_add(F.last_day(high), 1))).groupBy("person_id", "day").agg(
+        F.sum("step").alias("step"), *[F.max_by(c, F.struct("step", c)).alias(c) for c in by])
+    # A leaver's day is the last one held.
+    moved = moved.where("step <> 0").select(
+        *by, F.trunc(F.when(F.col("step") > 0, F.col("day")).otherwise(F.date_sub("day", 1)), "MM").alias("month"),
+        F.when(F.col("step") > 0, 1).otherwise(0).alias("joined"), F.when(F.col("step") < 0, 1).otherwise(0).alias("left"))
+    moved = moved.where(F.col("month").between(low, high)).groupBy(*by, "month").agg(F.sum("joined").alias("joined"), F.sum("left").alias("left"))
+    held = rows.where((F.col("s") <= F.last_day(high)) & (F.col("e") >= low)).withColumn(
+        "month", F.explode(F.sequence(F.trunc(F.greatest("s", low), "MM"), F.trunc(F.least("e", high), "MM"), F.expr("interval 1 month"))))
+    active = held.where(F.last_day("month").between(F.col("s"), F.col("e"))).groupBy(*by, "month").agg(
+        F.count_distinct("person_id").alias("active"))
+    both = active.unionByName(moved, allowMissingColumns=True)
+    return both.groupBy(*by, "month").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("active", "joined", "left")])

@@ -198,3 +198,19 @@ def gl_unreconciled_lines(t):
     totals = counted.groupBy("side", "match").agg(F.count("*").alias("line_id"), F.sum("amount").alias("amount"))
     return left.unionByName(
         totals.select("side", F.lit(None).cast("bigint").alias("account"), "line_id", money("amount").alias("amount"), "match"))
+
+
+@query("q_gold_hcm_headcount", """
+WITH m AS (SELECT CAST(unnest(generate_series(TIMESTAMP '2021-01-01', TIMESTAMP '2022-02-01', INTERVAL 1 MONTH)) AS DATE) AS month),
+v AS (SELECT *, CAST(effective_start_date AS DATE) AS s, CAST(effective_end_date AS DATE) AS e FROM fx_people_versions),
+a AS (SELECT first_name, month, count(DISTINCT person_id) AS n FROM m JOIN v ON last_day(month) BETWEEN s AND e GROUP BY 1, 2),
+j AS (SELECT first_name, CAST(date_trunc('month', s) AS DATE) AS month, count(*) AS n FROM v x
+      WHERE s BETWEEN DATE '2021-01-01' AND DATE '2022-02-28' AND NOT EXISTS (SELECT 1 FROM v y WHERE y.person_id = x.person_id AND y.e = x.s - 1) GROUP BY 1, 2),
+l AS (SELECT first_name, CAST(date_trunc('month', e) AS DATE) AS month, count(*) AS n FROM v x
+      WHERE e BETWEEN DATE '2021-01-01' AND DATE '2022-02-28' AND NOT EXISTS (SELECT 1 FROM v y WHERE y.person_id = x.person_id AND y.s = x.e + 1) GROUP BY 1, 2)
+SELECT first_name, CAST(month AS VARCHAR) AS month, CAST(sum(act) AS BIGINT) AS active, CAST(sum(j) AS BIGINT) AS joined, CAST(sum(l) AS BIGINT) AS "left"
+FROM (SELECT first_name, month, n AS act, 0 AS j, 0 AS l FROM a UNION ALL SELECT first_name, month, 0, n, 0 FROM j UNION ALL SELECT first_name, month, 0, 0, n FROM l)
+GROUP BY first_name, month""")
+def gold_hcm_headcount(t):
+    found = finance.gold_headcount(t["fx_people_versions"], "2021-01-01", "2022-02-01")
+    return found.withColumn("month", F.col("month").cast("string"))

@@ -148,6 +148,16 @@ SELECT c_custkey AS person_id,
        DATE '2020-01-01' AS effective_start_date,
        CASE WHEN c_custkey % 7 = 0 THEN DATE '2023-06-30' ELSE DATE '4712-12-31' END AS effective_end_date
 FROM customer""",
+    # Versions of people: some changed group once, some left and came back.
+    "fx_people_versions": """
+SELECT person_id, first_name, DATE '2020-01-01' AS effective_start_date,
+       CASE WHEN person_id % 5 = 0 THEN DATE '2021-03-14' WHEN person_id % 7 = 0 THEN DATE '2021-06-30' ELSE DATE '4712-12-31' END AS effective_end_date
+FROM fx_people
+UNION ALL
+SELECT person_id, 'MOVED', DATE '2021-03-15', CASE WHEN person_id % 2 = 0 THEN DATE '2021-12-31' ELSE DATE '4712-12-31' END
+FROM fx_people WHERE person_id % 5 = 0
+UNION ALL
+SELECT person_id, first_name, DATE '2021-09-10', DATE '4712-12-31' FROM fx_people WHERE person_id % 7 = 0 AND person_id % 5 <> 0""",
     "fx_cdc_events": """
 SELECT event_id, 'cdc-gl-apps' AS stream_name,
        CASE user_id % 5 WHEN 0 THEN 'GL_JE_HEADERS' WHEN 1 THEN 'GL_JE_LINES' WHEN 2 THEN 'GL_BALANCES'

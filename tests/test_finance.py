@@ -151,3 +151,33 @@ def test_outliers(spark):
     assert [r["invoice_id"] for r in finance.outlier_invoices(df).collect()] == [40]
     same = invoices(spark, [(1, 100, 0, "N")] * 5)
     assert finance.outlier_invoices(same).count() == 0
+
+
+def test_headcount_of_dated_versions(spark):
+    """Day by day over every version: moves are no joins, a gap is a leave and a join."""
+    day = dt.date
+    versions = [
+        (1, "a", day(2021, 1, 1), day(4712, 12, 31)), (2, "a", day(2021, 1, 15), day(2021, 2, 28)), (3, "a", day(2021, 2, 1), day(2021, 2, 10)),
+        (3, "b", day(2021, 2, 11), day(2021, 4, 30)), (4, "b", day(2020, 5, 1), day(2021, 1, 31)), (4, "b", day(2021, 3, 2), day(4712, 12, 31)),
+        (5, "c", day(2021, 6, 1), day(4712, 12, 31)), (None, "a", day(2021, 1, 1), day(4712, 12, 31)),
+    ]
+    people = spark.createDataFrame(versions, "person_id int, first_name string, effective_start_date date, effective_end_date date")
+    got = {(r["first_name"], r["month"].month): (r["active"], r["joined"], r["left"]) for r in finance.gold_headcount(people, "2021-01-01", "2021-04-01").collect()}
+    held = {}
+    for who, group, a, b in versions:
+        d = max(a, day(2020, 12, 31))
+        while who is not None and d <= min(b, day(2021, 5, 1)):
+            held[who, d] = group
+            d += dt.timedelta(1)
+    want = {}
+    for month in range(1, 5):
+        last = day(2021, month + 1, 1) - dt.timedelta(1)
+        for (who, d), group in held.items():
+            if (d.year, d.month) != (2021, month):
+                continue
+            n = want.setdefault((group, month), [0, 0, 0])
+            n[0] += d == last
+            n[1] += (who, d - dt.timedelta(1)) not in held
+            n[2] += (who, d + dt.timedelta(1)) not in held
+    assert got == {k: tuple(v) for k, v in want.items() if any(v)}
+    assert finance.gold_headcount(people.limit(0), "2021-01-01", "2021-04-01").count() == 0

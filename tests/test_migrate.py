@@ -130,3 +130,29 @@ def test_lines_on_unknown_accounts_fail_the_certificate(spark, tmp_path):
     again = runs.migrate(spark, "GL", tables, str(tmp_path), period_name="Jan-26", ledger_id=2001).first()
     assert again["success"], again["errors"]
     assert spark.read.schema(lines.schema).parquet(f"{tmp_path}/bronze/gl_je_lines").count() == 0
+
+
+def test_two_ledgers_at_once_keep_their_accounts(spark, sources, tmp_path):
+    """Each ledger has accounts of its own; both run at once into one lake, the first one twice."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    lake, accounts = str(tmp_path), sources["GL_CODE_COMBINATIONS"]
+    own = {2001: accounts.where("code_combination_id % 2 = 0"), 2002: accounts.where("code_combination_id % 2 = 1")}
+
+    def run(ledger):
+        keep = own[ledger].select("code_combination_id")
+        tables = {
+            "GL_JE_HEADERS": sources["GL_JE_HEADERS"], "GL_CODE_COMBINATIONS": own[ledger],
+            "GL_JE_LINES": sources["GL_JE_LINES"].join(keep, "code_combination_id", "left_semi"),
+            "GL_BALANCES": sources["GL_BALANCES"].join(keep, "code_combination_id", "left_semi"),
+        }
+        return runs.migrate(spark, "GL", tables, lake, ledger_id=ledger).first()
+
+    for ledgers in ((2001, 2002), (2001,)):
+        with ThreadPoolExecutor(2) as pool:
+            for row in pool.map(run, ledgers):
+                assert (row["success"], row["certificate_status"]) == (True, "CERTIFIED"), row["errors"]
+        held = runs.files.read_table(spark, f"{lake}/bronze/gl_code_combinations", accounts)
+        assert rows(held) == rows(accounts)
+        headers = runs.files.read_table(spark, f"{lake}/bronze/gl_je_headers")
+        assert {r[0] for r in headers.select("ledger_id").distinct().collect()} == {2001, 2002}
