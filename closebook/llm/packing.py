@@ -87,12 +87,13 @@ class WordTokenizer:
     def _learn(self, words):
         parts, plain = {}, []
         for w in words:
-            body = w.rstrip(b".,")
-            if body and len(body) < len(w) and body.decode("utf-8").isalpha():
-                parts[w] = (body, w[len(body):])
-                plain += [x for x in parts[w] if x not in self.cache]
-            else:
-                plain.append(w)
+            if w[-1] in b".,":
+                body = w.rstrip(b".,")
+                if body and (body.isalpha() or body.decode("utf-8").isalpha()):
+                    parts[w] = (body, w[len(body):])
+                    plain += [x for x in parts[w] if x not in self.cache]
+                    continue
+            plain.append(w)
         letters, other = [], []
         for w in dict.fromkeys(plain):
             text = w.decode("utf-8")
@@ -100,12 +101,11 @@ class WordTokenizer:
         # Words of letters alone are encoded as one text and told apart by their places.
         for at in range(0, len(letters), 4000):
             some = letters[at:at + 4000]
-            whole = self.own.encode(" ".join(t for _, t in some), add_special_tokens=False)
+            whole = self.own.encode(" ".join([t for _, t in some]), add_special_tokens=False)
             starts = np.cumsum([0] + [len(t) + 1 for _, t in some])
-            ids = np.array(whole.ids, "<u4")
-            edges = np.searchsorted([a for a, _ in whole.offsets], starts)
-            for (w, _), a, b in zip(some, edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                self.cache[w] = ids[a:b].tobytes()
+            ids = np.array(whole.ids, "<u4").tobytes()
+            edges = (4 * np.searchsorted([a for a, _ in whole.offsets], starts)).tolist()
+            self.cache.update((w, ids[a:b]) for (w, _), a, b in zip(some, edges[:-1], edges[1:], strict=True))
         for at in range(0, len(other), 2000):  # what is encoded is held with all its offsets
             some = other[at:at + 2000]
             for (w, _), e in zip(some, self.own.encode_batch([t for _, t in some], add_special_tokens=False), strict=True):
