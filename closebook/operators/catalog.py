@@ -269,9 +269,9 @@ def implied_references(tables: dict[str, DataFrame], keys: dict[str, str], thres
         by_value = rows.where(F.col("v").isNotNull()).groupBy("v").agg(F.collect_set("turn").alias("turns"))
         part = by_value.select(F.array_contains("turns", 0).alias("known"), F.explode("turns").alias("turn")).groupBy("turn").agg(
             F.count("*").alias("distinct_values"), F.count_if("known").alias("matched_values")).where("turn > 0")
-        names = spark.createDataFrame([(n, *user) for n, user in enumerate(users, 1)], "turn int, source_table string, source_column string")
-        part = part.join(names, "turn").select(
-            "source_table", "source_column", F.lit(key_table).alias("target_table"), F.lit(key).alias("target_column"), "distinct_values", "matched_values")
+        names = F.array(*[F.struct(F.lit(t).alias("source_table"), F.lit(c).alias("source_column")) for t, c in users])
+        part = part.withColumn("of", F.element_at(names, F.col("turn"))).select(
+            "of.*", F.lit(key_table).alias("target_table"), F.lit(key).alias("target_column"), "distinct_values", "matched_values")
         out = part if out is None else out.unionByName(part)
     if out is None:
         return spark.createDataFrame([], "source_table string, source_column string, target_table string, target_column string, "
