@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
@@ -13,8 +15,21 @@ EDGE_SCHEMA = "source string, target string, transformation string"
 
 
 def document_lineage(spark, path: str, edges: list[tuple[str, str, str]]) -> None:
-    """Append edges (source, target, transformation), the few of one run."""
-    spark.createDataFrame(edges, EDGE_SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    """Append edges (source, target, transformation), the few of one run.
+
+    They are written in a folder of their own and moved: runs that write into one folder at
+    once would clear each other's attempts.
+    """
+    own = f"{path}/_run-{uuid.uuid4().hex}"
+    spark.createDataFrame(edges, EDGE_SCHEMA).coalesce(1).write.parquet(own)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    at = hadoop.Path(own)
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for file in system.listStatus(at):
+        name = file.getPath().getName()
+        if name.startswith("part-"):  # named by the job, so no other has it
+            system.rename(file.getPath(), hadoop.Path(f"{path}/{name}"))
+    system.delete(at, True)
 
 
 def observed(seen: Observation) -> dict:
