@@ -61,36 +61,63 @@ _WHOLE, _FRACTION = 19, 19
 _NUMBER = r"^\s*([+-]?)([0-9]*)\.?([0-9]*)(?:[eE]([+-]?[0-9]{1,4}))?\s*$"
 
 
+def _once(value: Column, then) -> Column:
+    """`then` of a value that is computed once a row, however often `then` names it."""
+    return F.transform(F.array(value), then)[0]
+
+
 def _digits(text: Column) -> Column:
     """A number's text as (sign, length of the whole part, whole part, places), without zeros
     that change nothing; structs of one sign order as the numbers' sizes do."""
-    sign, whole, places, power = (F.regexp_extract(text, _NUMBER, i) for i in (1, 2, 3, 4))
-    shift = F.coalesce(power.try_cast("int"), F.lit(0))
-    digits = F.concat(whole, places)
-    point = F.length(whole) + shift
     zeros = F.lit("0")
-    before = (
-        F.when(point <= 0, F.lit("")).when(point >= F.length(digits), F.concat(digits, F.repeat(zeros, point - F.length(digits))))
-        .otherwise(F.substring(digits, F.lit(1), point))
-    )
-    after = (
-        F.when(point <= 0, F.concat(F.repeat(zeros, -point), digits)).when(point >= F.length(digits), F.lit(""))
-        .otherwise(F.substring(digits, point + 1, F.length(digits)))
-    )
-    before, after = F.regexp_replace(before, "^0+", ""), F.regexp_replace(after, "0+$", "")
-    return F.struct(
-        F.when((before == "") & (after == ""), 0).when(sign == "-", -1).otherwise(1).alias("sign"),
-        F.struct(F.length(before).alias("size"), before.alias("whole"), after.alias("places")).alias("amount"),
-    )
 
+    def pointed(parts):
+        shift = F.coalesce(parts["power"].try_cast("int"), F.lit(0))
+        return F.struct(
+            parts["sign"].alias("sign"), F.concat(parts["whole"], parts["places"]).alias("digits"),
+            (F.length(parts["whole"]) + shift).alias("point"))
+
+    def split(number):
+        digits, point = number["digits"], number["point"]
+        before = (
+            F.when(point <= 0, F.lit("")).when(point >= F.length(digits), F.concat(digits, F.repeat(zeros, point - F.length(digits))))
+            .otherwise(F.substring(digits, F.lit(1), point))
+        )
+        after = (
+            F.when(point <= 0, F.concat(F.repeat(zeros, -point), digits)).when(point >= F.length(digits), F.lit(""))
+            .otherwise(F.substring(digits, point + 1, F.length(digits)))
+        )
+        return F.struct(
+            number["sign"].alias("sign"), F.regexp_replace(before, "^0+", "").alias("whole"), F.regexp_replace(after, "0+$", "").alias("places"))
+
+    def ordered(number):
+        whole, places = number["whole"], number["places"]
+        return F.struct(
+            F.when((whole == "") & (places == ""), 0).when(number["sign"] == "-", -1).otherwise(1).alias("sign"),
+            F.struct(F.length(whole).alias("size"), whole.alias("whole"), places.alias("places")).alias("amount"),
+        )
+
+    names = ("sign", "whole", "places", "power")
+    parts = F.struct(*[F.regexp_extract(text, _NUMBER, i).alias(n) for i, n in enumerate(names, 1)])
+    return _once(_once(_once(parts, pointed), split), ordered)
+
+
+def _bound_digits(bound: str) -> tuple[int, Column]:
+    """What `_digits` gives for a bound: its sign and its amount."""
+    number = Decimal(bound)
+    whole, _, places = f"{number.copy_abs():f}".partition(".")
+    whole, places = whole.lstrip("0"), places.rstrip("0")
+    sign = 0 if not whole and not places else -1 if number.is_signed() else 1
+    return sign, F.struct(F.lit(len(whole)).alias("size"), F.lit(whole).alias("whole"), F.lit(places).alias("places"))
 
-def _order(text: Column, bound: str) -> Column:
-    """-1, 0 or 1: a number's text below, equal to or above the bound."""
-    value, limit = _digits(text), _digits(F.lit(bound))
-    by_amount = F.when(value.amount < limit.amount, -1).when(value.amount > limit.amount, 1).otherwise(0)
+
+def _order(value: Column, bound: str) -> Column:
+    """-1, 0 or 1: the digits of a number below, equal to or above the bound."""
+    sign, limit = _bound_digits(bound)
+    by_amount = F.when(value["amount"] < limit, -1).when(value["amount"] > limit, 1).otherwise(0)
     return (
-        F.when(value.sign < limit.sign, -1).when(value.sign > limit.sign, 1)
-        .otherwise(value.sign * by_amount)
+        F.when(value["sign"] < sign, -1).when(value["sign"] > sign, 1)
+        .otherwise(value["sign"] * by_amount)
     )
 
 
@@ -111,19 +138,28 @@ def _within(raw: Column, data_type: T.DataType, least: str | None, most: str | N
             text.rlike(_NUMBER) & text.rlike("[0-9]"), text.try_cast(exact_type), text.try_cast("double"))
     # What the rounding has changed: compared as text digits it is the sign of value - rounded.
     lost = (double != rounded.cast("double")) | rounded.isNull()
-    inside = F.lit(True)
-    for bound, above in ((least, True), (most, False)):
-        if bound is None:
-            continue
-        limit = F.lit(bound)
-        by_decimal = rounded >= limit.try_cast(exact_type) if above else rounded <= limit.try_cast(exact_type)
-        by_double = double >= limit.cast("double") if above else double <= limit.cast("double")
-        order = _order(text, bound)
-        by_digits = order >= 0 if above else order <= 0
-        # Only a double has text that is no digits: an infinite one.
-        wide = F.when(text.rlike(_NUMBER), by_digits).otherwise(by_double)
-        exact = Decimal(bound) == Decimal(bound).quantize(Decimal(1).scaleb(-_FRACTION), context=_PRECISE) and abs(Decimal(bound)) < 10**_WHOLE
-        inside = inside & (F.when(lost, wide).otherwise(by_decimal) if exact else wide)
+    bounds = [(bound, above) for bound, above in ((least, True), (most, False)) if bound is not None]
+
+    def between(side) -> Column:
+        return reduce(Column.__and__, [side(bound, above) for bound, above in bounds], F.lit(True))
+
+    def by_decimal(bound, above):
+        limit = F.lit(bound).try_cast(exact_type)
+        return rounded >= limit if above else rounded <= limit
+
+    def by_double(bound, above):
+        limit = F.lit(bound).cast("double")
+        return double >= limit if above else double <= limit
+
+    def by_digits(value):
+        return between(lambda bound, above: _order(value, bound) >= 0 if above else _order(value, bound) <= 0)
+
+    # Only a double has text that is no digits: an infinite one.
+    wide = F.when(text.rlike(_NUMBER), _once(_digits(text), by_digits)).otherwise(between(by_double))
+    exact = all(
+        Decimal(bound) == Decimal(bound).quantize(Decimal(1).scaleb(-_FRACTION), context=_PRECISE) and abs(Decimal(bound)) < 10**_WHOLE
+        for bound, _ in bounds)
+    inside = F.when(lost, wide).otherwise(between(by_decimal)) if exact else wide
     return is_number & F.coalesce(inside, F.lit(False))
 
 

@@ -205,3 +205,14 @@ def test_bounds_of_any_length_are_exact(spark):
     assert [r[0] for r in decimals.select(quality.violates(rule, decimals)).collect()] == [True, False]
     doubles = spark.createDataFrame([(1e25,), (1.0000000000000002e25,), (float("inf"),), (float("-inf"),), (5.0,)], "v double")
     assert [r[0] for r in doubles.select(quality.violates(rule, doubles)).collect()] == [False, True, True, True, False]
+
+
+def test_bounds_name_a_value_once(spark):
+    """Digits are taken once a value: named again and again they grew past what can be compiled."""
+    df = spark.createDataFrame([("1e30",), ("5",), (None,)], "v string")
+    rule = Rule("r", "R", "AP", "ERROR", "range", "T", "V", min_value="-1e25", max_value="1e25")
+    bad = quality.violates(rule, df).alias("bad")
+    assert [r[0] for r in df.select(bad).collect()] == [True, False, False]
+    # Four of them are the parts of a number.
+    plan = df.select(bad)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") <= 4
