@@ -237,7 +237,7 @@ def implied_references(tables: dict[str, DataFrame], keys: dict[str, str], thres
     Each table is scanned once for sketches of its columns. A sketch is a bounded number of
     hashes, so every column meets every key by an intersection of sketches, of which there
     are as many as the dictionary has columns and keys. The pairs that come within `SLACK`
-    of the threshold are then counted exactly, all pairs of one key in one grouping by value.
+    of the threshold are then counted exactly, all pairs in one grouping by value.
     """
     spark = next(iter(tables.values())).sparkSession
     path = scratch_path(spark, "sketches")
@@ -256,28 +256,53 @@ def implied_references(tables: dict[str, DataFrame], keys: dict[str, str], thres
     error = F.sqrt((1 / kept - 1) / F.greatest("own", F.lit(1)) + F.lit(1.0 / (1 << SKETCH)))
     likely = likely.where(F.col("own") > 0).where(both >= (F.lit(threshold) - ERRORS * error) * F.col("own"))
     # Names of columns and keys, as many as the dictionary has.
-    found: dict[tuple[str, str], list[tuple[str, str]]] = {}
-    for r in likely.select("table_name", "column_name", "target_table", "target_column").collect():
-        found.setdefault((r["target_table"], r["target_column"]), []).append((r["table_name"], r["column_name"]))
-    out = None
-    for (key_table, key), users in found.items():
-        def values(table, column, turn):
-            return tables[table].select(_value(column, tables[table].schema[column].dataType).alias("v"), F.lit(turn).alias("turn"))
-
-        rows = reduce(DataFrame.unionByName, [values(*user, n) for n, user in enumerate([(key_table, key), *users])])
-        # At most an entry per column and value: the columns that have it, and whether the key does.
-        by_value = rows.where(F.col("v").isNotNull()).groupBy("v").agg(F.collect_set("turn").alias("turns"))
-        part = by_value.select(F.array_contains("turns", 0).alias("known"), F.explode("turns").alias("turn")).groupBy("turn").agg(
-            F.count("*").alias("distinct_values"), F.count_if("known").alias("matched_values")).where("turn > 0")
-        names = F.array(*[F.struct(F.lit(t).alias("source_table"), F.lit(c).alias("source_column")) for t, c in users])
-        part = part.withColumn("of", F.element_at(names, F.col("turn"))).select(
-            "of.*", F.lit(key_table).alias("target_table"), F.lit(key).alias("target_column"), "distinct_values", "matched_values")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+    pairs = [tuple(r) for r in likely.select("table_name", "column_name", "target_table", "target_column").collect()]
+    if not pairs:
         return spark.createDataFrame([], "source_table string, source_column string, target_table string, target_column string, "
                                          "distinct_values bigint, matched_values bigint, containment double")
     contained = F.col("matched_values") / F.col("distinct_values")
-    return out.withColumn("containment", contained).where(F.col("containment") >= threshold)
+    return _counted_pairs(tables, pairs).withColumn("containment", contained).where(F.col("containment") >= threshold)
+
+
+#: Columns in a number of `_counted_pairs`.
+COLUMNS = 62
+
+
+def _counted_pairs(tables: dict[str, DataFrame], pairs: list[tuple[str, str, str, str]]) -> DataFrame:
+    """Values of a column, and those that a key has too, for pairs (table, column, key's table,
+    key). A value is marked with a bit for each column that has it, each table is read once,
+    and pairs are counted from the patterns of bits, of which there are few."""
+    out = None
+    for kind in ("number", "text"):
+        mine = [p for p in pairs if _kind(tables[p[0]].schema[p[1]].dataType) == kind]
+        if not mine:
+            continue
+        turns = {c: n for n, c in enumerate(dict.fromkeys(c for p in mine for c in ((p[2], p[3]), (p[0], p[1]))))}
+        words = [f"bits{w}" for w in range(-(-len(turns) // COLUMNS))]
+        rows = None
+        for table in dict.fromkeys(t for t, _ in turns):
+            cells = [
+                F.struct(
+                    (F.col(f"`{c}`").cast("decimal(38,6)") if kind == "number" else F.col(f"`{c}`")).alias("v"),
+                    *[F.lit(1 << n % COLUMNS if n // COLUMNS == w else 0).cast("bigint").alias(word) for w, word in enumerate(words)])
+                for (t, c), n in turns.items() if t == table]
+            part = tables[table].select(F.inline(F.array(*cells)))
+            rows = part if rows is None else rows.unionByName(part)
+        by_value = rows.where(F.col("v").isNotNull()).groupBy("v").agg(*[F.bit_or(w).alias(w) for w in words])
+        patterns = by_value.groupBy(*words).agg(F.count("*").alias("n"))
+
+        def has(turn):
+            word, bit = F.array(*words)[F.floor(turn / COLUMNS).cast("int")], F.pmod(turn, F.lit(COLUMNS))
+            return F.call_function("shiftright", word, bit).bitwiseAND(F.lit(1)) == 1
+
+        asked = F.array(*[F.struct(
+            *[F.lit(x).alias(n) for n, x in zip(("source_table", "source_column", "target_table", "target_column"), p, strict=True)],
+            F.lit(turns[p[:2]]).alias("own"), F.lit(turns[p[2:]]).alias("key")) for p in mine])
+        part = patterns.select("n", *words, F.inline(asked)).where(has(F.col("own"))).groupBy(
+            "source_table", "source_column", "target_table", "target_column").agg(
+            F.sum("n").alias("distinct_values"), F.coalesce(F.sum(F.when(has(F.col("key")), F.col("n"))), F.lit(0)).alias("matched_values"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def cast_profile(raw: DataFrame, columns: list[tuple[str, str, int | None]]) -> DataFrame:

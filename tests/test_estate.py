@@ -236,3 +236,17 @@ def test_references_under_other_names_are_found(spark):
     texts = catalog.implied_references({"PEOPLE": people, "ORDERS": orders}, {"PEOPLE": "number"})
     assert [(r["source_column"], r["containment"]) for r in texts.collect()] == [("badge", 1.0)]
     assert catalog.implied_references({"PEOPLE": people}, {"PEOPLE": "person_id"}).count() == 0
+
+
+def test_implied_references_read_a_table_once_for_all_keys(spark):
+    """Columns that look like several keys are grouped once, also with more columns than a number has bits."""
+    n = 300
+    keys = {f"K{i}": "id" for i in range(3)}
+    tables = {name: spark.range(n + int(name[1])) for name in keys}
+    tables["WIDE"] = spark.range(n).select(*[(F.col("id") % (n - c)).alias(f"c{c}") for c in range(70)])
+    found = catalog.implied_references(tables, keys)
+    got = {(r["source_table"], r["source_column"], r["target_table"]): (r["distinct_values"], r["matched_values"]) for r in found.collect()}
+    want = {("WIDE", f"c{c}", k): (n - c, n - c) for c in range(70) for k in keys}
+    want |= {(a, "id", b): (n + int(a[1]), n + min(int(a[1]), int(b[1]))) for a in keys for b in keys if a != b}
+    assert got == want
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Range (") == len(tables)
