@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from closebook.functions.scalars import elapsed_days
 from closebook.functions.skew import checked_join
 from closebook.model import AGING_BUCKETS, POSTED_STATUSES, UNPAID_FLAGS
+from closebook.session import scratch_path
 
 
 def amount_remaining():
@@ -183,27 +184,36 @@ def near_duplicate_invoices(invoices: DataFrame, width="1.00") -> DataFrame:
 
     Two numbers one edit apart are equal after one character is dropped from one of them or
     from both, so each number goes to the blocks of its own text and of every text with one
-    character less; amounts go to two cells of the width. A block holds one text with one
+    character less; amounts go to two cells of the width. Numbers are only spelled out in
+    cells where the vendor has another invoice. A block holds one text with one
     character more at most, which bounds it whatever the vendor: no vendor is compared
-    within itself. Candidates are checked by edit distance. Equal invoices count once, as
-    copies.
+    within itself. Blocks go by a hash; candidates are checked by vendor and edit distance.
+    Equal invoices count once, as copies.
     """
     whole = invoices.dropna(subset=DUPLICATE_KEY).withColumn("invoice_amount", F.col("invoice_amount").cast("decimal(18,2)"))
     known = whole.groupBy(*DUPLICATE_KEY).agg(F.count("*").alias("copies"), F.min("invoice_id").alias("first_id"))
+    # Kept as a table: it is read for the cells, for their rows and for the result.
+    path = scratch_path(known.sparkSession, "invoices")
+    known.write.parquet(path)
+    known = known.sparkSession.read.schema(known.schema).parquet(path)
+    cell = F.floor(F.col("invoice_amount") / F.lit(width).cast("decimal(18,2)"))
+    billed = known.drop("copies").withColumn("cell", F.explode(F.array(cell, cell + 1)))
+    at = ["vendor_id", "cell"]
+    met = billed.groupBy(*at).agg(F.count("*").alias("n")).where("n > 1").drop("n")
     shorter = F.expr(
         "array_distinct(array_append(transform(sequence(1, greatest(length(invoice_num), 1)), "
         "i -> concat(substring(invoice_num, 1, i - 1), substring(invoice_num, i + 1))), invoice_num))")
-    cell = F.floor(F.col("invoice_amount") / F.lit(width).cast("decimal(18,2)"))
-    placed = known.drop("copies").withColumn("text", F.explode(shorter)).withColumn("cell", F.explode(F.array(cell, cell + 1)))
-    block = ["vendor_id", "text", "cell"]
-    shared = placed.groupBy(*block).agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    placed = placed.join(shared, block, "left_semi")
-    other = placed.select(*block, F.col("invoice_num").alias("o_num"), F.col("invoice_amount").alias("o_amount"), F.col("first_id").alias("o_id"))
-    near = placed.join(other, block).where(
-        ((F.col("invoice_num") != F.col("o_num")) & (F.levenshtein("invoice_num", "o_num") <= 1))
+    blocks = F.transform(shorter, lambda text: F.xxhash64("vendor_id", "cell", text))
+    placed = billed.join(met, at, "left_semi").select(*DUPLICATE_KEY, "first_id", F.explode(blocks).alias("block"))
+    placed = placed.withColumn("n", F.count("*").over(Window.partitionBy("block"))).where("n > 1").drop("n")
+    other = placed.select(
+        "block", F.col("vendor_id").alias("o_vendor"), F.col("invoice_num").alias("o_num"), F.col("invoice_amount").alias("o_amount"),
+        F.col("first_id").alias("o_id"))
+    near = placed.join(other, "block").where(
+        ((F.col("vendor_id") == F.col("o_vendor")) & (F.col("invoice_num") != F.col("o_num")) & (F.levenshtein("invoice_num", "o_num") <= 1))
         & (F.abs(F.col("invoice_amount") - F.col("o_amount")) <= F.lit(width).cast("decimal(18,2)")))
-    # The blocks two numbers share make one of it.
-    once = near.groupBy(*DUPLICATE_KEY, "o_num", "o_amount").agg(F.min("o_id").alias("o_id"))
+    # The blocks two numbers share make one of it. `first_id` keeps both sides of the join one shuffle.
+    once = near.groupBy(*DUPLICATE_KEY, "first_id", "o_num", "o_amount").agg(F.min("o_id").alias("o_id"))
     found = once.groupBy(*DUPLICATE_KEY).agg(F.count("*").alias("near"), F.min("o_id").alias("first_near_id"))
     return known.join(found, DUPLICATE_KEY).select(*DUPLICATE_KEY, "copies", "near", "first_near_id")
 

@@ -86,6 +86,16 @@ def test_planted_typos_are_found(spark):
     assert finance.near_duplicate_invoices(apart).count() == 0
 
 
+def test_numbers_are_spelled_out_in_shared_cells_only(spark):
+    """Invoices of one vendor far apart in amount never reach the blocks of their texts."""
+    far = spark.range(20_000).select(
+        F.col("id").alias("invoice_id"), F.concat(F.lit("INV-"), F.col("id")).alias("invoice_num"), F.lit(1).alias("vendor_id"),
+        (F.col("id") * 10).cast("decimal(18,2)").alias("invoice_amount"))
+    assert finance.near_duplicate_invoices(far).count() == 0
+    # 22 blocks an invoice were shuffled three times, about 60 MB.
+    assert shuffled(spark, lambda: finance.near_duplicate_invoices(far)) < 4_000_000
+
+
 def shuffled(spark, df) -> int:
     """Bytes the stages of a run write to shuffles."""
     store = spark.sparkContext._jsc.sc().statusStore()
