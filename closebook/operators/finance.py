@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -278,13 +280,49 @@ def vendor_mart(invoices, suppliers) -> DataFrame:
     return facts.join(suppliers.select("vendor_id", "vendor_name"), "vendor_id", "left")
 
 
+#: Months in a number of `_active`.
+MONTHS = 62
+
+
+def _active(rows: DataFrame, by, first: dt.date, last: dt.date) -> DataFrame:
+    """People (`by`, month, active) whose versions (person_id, s, e) hold at a month's end."""
+    begin = 12 * first.year + first.month
+    months = 12 * last.year + last.month - begin + 1
+
+    def turn(day):
+        return 12 * F.year(day) + F.month(day) - begin
+
+    # A version that ends within a month does not hold at its end.
+    held = rows.dropna(subset=["s", "e"]).select(
+        "person_id", *by, F.greatest(turn("s"), F.lit(0)).alias("low"), F.least(turn(F.date_add("e", 1)) - 1, F.lit(months - 1)).alias("high"),
+    ).where("low <= high")
+    words = range(-(-months // MONTHS))
+
+    def bits(word):
+        low, high = F.greatest(F.col("low"), F.lit(word * MONTHS)), F.least(F.col("high"), F.lit(word * MONTHS + MONTHS - 1))
+        one = F.lit(1).cast("bigint")
+        run = F.call_function("shiftleft", one, high - low + 1) - 1
+        return F.when(low <= high, F.call_function("shiftleft", run, low - word * MONTHS)).otherwise(F.lit(0).cast("bigint"))
+
+    people = held.groupBy("person_id", *by).agg(*[F.bit_or(bits(w)).alias(f"bits{w}") for w in words])
+
+    def held_in(word):
+        turns = F.sequence(F.lit(word * MONTHS), F.lit(min(months, (word + 1) * MONTHS) - 1))
+        return F.filter(turns, lambda i: F.call_function("shiftright", F.col(f"bits{word}"), i - word * MONTHS).bitwiseAND(F.lit(1)) == 1)
+
+    turns = F.concat(*[held_in(w) for w in words])
+    counts = people.select(*by, F.explode(turns).alias("turn")).groupBy(*by, "turn").agg(F.count("*").alias("active"))
+    month = F.add_months(F.lit(first.replace(day=1)), F.col("turn"))
+    return counts.select(*by, month.alias("month"), "active")
+
+
 def gold_headcount(people: DataFrame, first: str, last: str, by=("first_name",)) -> DataFrame:
     """People per month and `by`: active at the month's end, joined and left in it.
 
     `people` is date-effective: a version holds from its start to its end, both included, and
-    a person has several. Each version meets only the months it holds in, from `first` to
-    `last`, so the interval join is a bounded list a version and one grouping, however many
-    versions a person has. A person counts once a month, in the group of the version of its
+    a person has several. The months a version holds at the end of, from `first` to `last`, are
+    bits of a few numbers, so the interval join is one row a person and group, however many
+    months and versions there are. A person counts once a month, in the group of the version of its
     last day. A version that starts where none of the person held the day before has joined;
     one that ends where none follows has left.
     """
@@ -301,9 +339,6 @@ def gold_headcount(people: DataFrame, first: str, last: str, by=("first_name",))
         *by, F.trunc(F.when(F.col("step") > 0, F.col("day")).otherwise(F.date_sub("day", 1)), "MM").alias("month"),
         F.when(F.col("step") > 0, 1).otherwise(0).alias("joined"), F.when(F.col("step") < 0, 1).otherwise(0).alias("left"))
     moved = moved.where(F.col("month").between(low, high)).groupBy(*by, "month").agg(F.sum("joined").alias("joined"), F.sum("left").alias("left"))
-    held = rows.where((F.col("s") <= F.last_day(high)) & (F.col("e") >= low)).withColumn(
-        "month", F.explode(F.sequence(F.trunc(F.greatest("s", low), "MM"), F.trunc(F.least("e", high), "MM"), F.expr("interval 1 month"))))
-    active = held.where(F.last_day("month").between(F.col("s"), F.col("e"))).groupBy(*by, "month").agg(
-        F.count_distinct("person_id").alias("active"))
+    active = _active(rows, by, dt.date.fromisoformat(first), dt.date.fromisoformat(last))
     both = active.unionByName(moved, allowMissingColumns=True)
     return both.groupBy(*by, "month").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("active", "joined", "left")])

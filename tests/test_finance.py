@@ -181,3 +181,18 @@ def test_headcount_of_dated_versions(spark):
             n[2] += (who, d + dt.timedelta(1)) not in held
     assert got == {k: tuple(v) for k, v in want.items() if any(v)}
     assert finance.gold_headcount(people.limit(0), "2021-01-01", "2021-04-01").count() == 0
+
+
+def test_headcount_groups_people_once_for_all_months(spark):
+    """A row a person and group is shuffled, not one a month; also over more months than a number has bits."""
+    day = dt.date
+    people = spark.createDataFrame(
+        [(1, "a", day(2001, 1, 31), day(4712, 12, 31)), (1, "a", day(2005, 1, 1), day(2005, 2, 28)), (2, "a", day(2008, 5, 2), day(2008, 5, 30)),
+         (3, "a", day(2012, 1, 1), day(2011, 1, 1)), (4, "b", day(1990, 1, 1), day(2006, 4, 30)), (5, "b", None, day(2006, 4, 30))],
+        "person_id int, first_name string, effective_start_date date, effective_end_date date")
+    found = finance.gold_headcount(people, "2001-01-01", "2012-12-01")
+    got = {(r["first_name"], r["month"]): r["active"] for r in found.collect() if r["active"]}
+    months = [day(y, m, 1) for y in range(2001, 2013) for m in range(1, 13)]
+    assert got == {**{("a", m): 1 for m in months}, **{("b", m): 1 for m in months if m <= day(2006, 4, 1)}}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "bit_or" in plan and "count(distinct" not in plan
