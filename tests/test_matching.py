@@ -61,6 +61,20 @@ def test_a_hot_cell_is_dealt_out(spark):
     assert found.where("match_key IS NOT NULL").groupBy("match_key").count().where("count <> 2").count() == 0
 
 
+def test_a_pass_sorts_lines_once(spark, monkeypatch):
+    """One shuffle of the lines a pass, and the same matches where buckets are taken in parts."""
+    rng = random.Random(8)
+    source = [(rng.randint(1, 2), i, rng.randint(1, 9), rng.randint(1, 90)) for i in range(300)]
+    target = [(rng.randint(1, 2), 1000 + i, rng.randint(1, 9), None) for i in range(260)]
+    whole = rows(matching.match_lines(side(spark, source), side(spark, target).drop("grp"), ["account"], "0.10", group="grp"))
+    lines = side(spark, source).withColumn("side", F.lit("source")).unionByName(side(spark, target).withColumn("side", F.lit("target")))
+    plan = matching._pass(lines, ["account"], F.col("amount"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Join") == 0
+    monkeypatch.setattr(matching, "CROWD", 1)
+    monkeypatch.setattr(matching, "BUCKETS", 97)
+    assert rows(matching.match_lines(side(spark, source), side(spark, target).drop("grp"), ["account"], "0.10", group="grp")) == whole
+
+
 def test_empty_sides(spark):
     one = [(1, 1, 5, None)]
     assert matched(spark, one, [])[0] == {("s", 1): None}
