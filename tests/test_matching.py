@@ -106,7 +106,7 @@ def test_numbers_are_spelled_out_in_shared_cells_only(spark):
         F.col("id").alias("invoice_id"), F.concat(F.lit("INV-"), F.col("id")).alias("invoice_num"), F.lit(1).alias("vendor_id"),
         (F.col("id") * 10).cast("decimal(18,2)").alias("invoice_amount"))
     assert finance.near_duplicate_invoices(far).count() == 0
-    # 22 blocks an invoice were shuffled three times, about 60 MB.
+    # All blocks of an invoice, about 20, were shuffled three times.
     assert shuffled(spark, lambda: finance.near_duplicate_invoices(far)) < 4_000_000
 
 
