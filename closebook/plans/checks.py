@@ -521,6 +521,13 @@ def migration_run(t):
     ).drop("duration_seconds")
 
 
+def _as_table(t, name):
+    """A view written as a table of its own: extraction and reconciliation both read it."""
+    path = scratch_path(t.spark, name)
+    t[name].write.parquet(path)
+    return t.spark.read.schema(t[name].schema).parquet(path)
+
+
 @query("q_migration_ledger", """
 WITH h AS (SELECT * FROM fx_gl_je_headers WHERE status IN ('P', 'POSTED')),
 n AS (SELECT (SELECT count(*) FROM h)
@@ -533,7 +540,7 @@ SELECT 'check' AS run_id, 'GL' AS module, 'all' AS period_name, true AS success,
 def migration_ledger(t):
     sources = {
         "GL_JE_HEADERS": t["fx_gl_je_headers"], "GL_JE_LINES": t["fx_gl_je_lines"],
-        "GL_BALANCES": t["fx_gl_balances"], "GL_CODE_COMBINATIONS": t["fx_gl_code_combinations"],
+        "GL_BALANCES": _as_table(t, "fx_gl_balances"), "GL_CODE_COMBINATIONS": t["fx_gl_code_combinations"],
     }
     return migrate(
         t.spark, "GL", sources, scratch_path(t.spark, "migration"), period_year=2001, period_num=8,
@@ -566,7 +573,7 @@ def migration_lost(t):
     accounts = t["fx_gl_code_combinations"].where("code_combination_id % 50 <> 0")
     sources = {
         "GL_JE_HEADERS": t["fx_gl_je_headers"], "GL_JE_LINES": t["fx_gl_je_lines"],
-        "GL_BALANCES": t["fx_gl_balances"], "GL_CODE_COMBINATIONS": accounts,
+        "GL_BALANCES": _as_table(t, "fx_gl_balances"), "GL_CODE_COMBINATIONS": accounts,
     }
     lake = scratch_path(t.spark, "migration")
     migrate(t.spark, "GL", sources, lake, run_id="check")

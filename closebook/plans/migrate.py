@@ -38,6 +38,9 @@ PARTITIONS = {
     "AP_INVOICE_LINES_ALL": ["org_id"],
 }
 
+# Extracts that gather their rows by those columns themselves, before they are joined.
+GATHERED = {"GL_JE_LINES", "GL_BALANCES"}
+
 # Keys of tables without such columns: scopes share them, a row counts once.
 KEYS = {
     "GL_CODE_COMBINATIONS": ["code_combination_id"],
@@ -46,17 +49,25 @@ KEYS = {
 }
 
 
-def extract_module(module, sources, period=None, ledger_id=None, org_id=None) -> dict:
-    """Source table -> extract, for every table of the module that is in `sources`."""
+def extract_module(module, sources, period=None, ledger_id=None, org_id=None, to_write=False) -> dict:
+    """Source table -> extract, for every table of the module that is in `sources`.
+
+    Extracts `to_write` that are `GATHERED` come rebalanced by their `PARTITIONS`.
+    """
     s = sources
+
+    def gather(name):
+        return PARTITIONS[name] if to_write else ()
+
     if module == "GL":
         return {
             "GL_JE_HEADERS": extract.posted_headers(s["GL_JE_HEADERS"], period, ledger_id),
             "GL_JE_LINES": extract.journal_lines(
-                s["GL_JE_LINES"], s["GL_CODE_COMBINATIONS"], s["GL_JE_HEADERS"], period, ledger_id
+                s["GL_JE_LINES"], s["GL_CODE_COMBINATIONS"], s["GL_JE_HEADERS"], period, ledger_id,
+                gather("GL_JE_LINES"),
             ),
             "GL_BALANCES": extract.gl_balances(
-                s["GL_BALANCES"], s["GL_CODE_COMBINATIONS"], period, ledger_id
+                s["GL_BALANCES"], s["GL_CODE_COMBINATIONS"], period, ledger_id, gather("GL_BALANCES")
             ),
             "GL_CODE_COMBINATIONS": s["GL_CODE_COMBINATIONS"],
         }
@@ -155,7 +166,7 @@ def migrate(
     event("MigrationStarted", tables=list(table_map), dry_run=dry_run)
     stage = "Extraction"
     try:
-        extracts = extract_module(module, sources, *scope)
+        extracts = extract_module(module, sources, *scope, to_write=not dry_run)
         source = source_scope(module, sources, *scope)
         # Reading the schema resolves every column, so a bad source fails here.
         bronze = {table_map[name]: df for name, df in extracts.items()}
@@ -182,7 +193,7 @@ def migrate(
                 )
                 key = None if parts else KEYS.get(name)
                 mine = {c: v for c, v in named.items() if v is not None and (c in parts or key)}
-                done = versions.load_version(rows, path, parts, mine, key)
+                done = versions.load_version(rows, path, parts, mine, key, gathered=name in GATHERED)
                 if key:
                     newest = versions.read_version(spark, path)
                     table = versions.table_of(spark, path, newest, extracts[name], done)

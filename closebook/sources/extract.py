@@ -15,6 +15,8 @@ from closebook.functions.skew import checked_join
 from closebook.model import END_OF_TIME, POSTED_STATUSES
 
 SEGMENTS = [f"segment{i}" for i in range(1, 6)]
+# Accounts that are broadcast so that rows can be gathered before they get their account.
+ACCOUNTS_AT_ONCE = 1_500_000
 
 
 def read_jdbc(
@@ -92,26 +94,34 @@ def segment_list(present) -> Column:
     )
 
 
-def lines_with_account(lines: DataFrame, accounts: DataFrame, lists=False) -> DataFrame:
+def lines_with_account(lines: DataFrame, accounts: DataFrame, lists=False, gather=()) -> DataFrame:
     """Journal or balance rows with the segments of their account.
 
     With `lists` also the segment list: it hangs on the account alone, so it is built
-    once per account and not once per line.
+    once per account and not once per line. With `gather` the rows come rebalanced by those
+    columns, to be written by them: before the join where the accounts can be broadcast, so
+    that account columns are not shuffled, otherwise after it, without the joined text.
     """
+    if gather and accounts.limit(ACCOUNTS_AT_ONCE + 1).count() > ACCOUNTS_AT_ONCE:
+        joined = checked_join(lines, accounts.select("code_combination_id", *SEGMENTS), "code_combination_id")
+        rows = joined.hint("rebalance", *gather).withColumn("concatenated_segments", join_segments(*SEGMENTS))
+        return rows.withColumn("segments", segment_list(SEGMENTS)) if lists else rows
     more = [segment_list(SEGMENTS).alias("segments")] if lists else []
     dims = accounts.select(
         "code_combination_id", *SEGMENTS, join_segments(*SEGMENTS).alias("concatenated_segments"), *more
     )
+    if gather:
+        lines, dims = lines.hint("rebalance", *gather), F.broadcast(dims)
     return checked_join(lines, dims, "code_combination_id")
 
 
-def journal_lines(lines, accounts, headers, period=None, ledger_id=None) -> DataFrame:
+def journal_lines(lines, accounts, headers, period=None, ledger_id=None, gather=()) -> DataFrame:
     """Lines of the posted headers, with account segments, ledger and period."""
     scope = posted_headers(headers, period, ledger_id).select(
         "je_header_id", "ledger_id", "period_name"
     )
     wanted = checked_join(lines, scope.dropDuplicates(["je_header_id"]), "je_header_id")
-    return lines_with_account(wanted, accounts)
+    return lines_with_account(wanted, accounts, gather=gather)
 
 
 def journals_with_line_totals(
@@ -213,7 +223,7 @@ def actual_balances(balances, period=None, ledger_id=None) -> DataFrame:
     return rows
 
 
-def gl_balances(balances, accounts, period=None, ledger_id=None) -> DataFrame:
+def gl_balances(balances, accounts, period=None, ledger_id=None, gather=()) -> DataFrame:
     """Actual balances outside the statistical currency, with net begin and end."""
     rows = actual_balances(balances, period, ledger_id)
 
@@ -222,10 +232,13 @@ def gl_balances(balances, accounts, period=None, ledger_id=None) -> DataFrame:
 
     begin = amount("begin_balance_dr") - amount("begin_balance_cr")
     net = amount("period_net_dr") - amount("period_net_cr")
-    with_net = rows.withColumns(
-        {"begin_balance_net": begin, "period_net": net, "end_balance_net": begin + net}
-    )
-    return lines_with_account(with_net, accounts)
+    nets = {"begin_balance_net": begin, "period_net": net, "end_balance_net": begin + net}
+    if not gather:
+        return lines_with_account(rows.withColumns(nets), accounts)
+    # Rows are shuffled without the nets.
+    placed = lines_with_account(rows, accounts, gather=gather).withColumns(nets)
+    own = dict.fromkeys(["code_combination_id", *rows.columns, *nets])
+    return placed.select(*own, *SEGMENTS, "concatenated_segments")
 
 
 # ---- Payables ----

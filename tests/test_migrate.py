@@ -156,3 +156,28 @@ def test_two_ledgers_at_once_keep_their_accounts(spark, sources, tmp_path):
         assert rows(held) == rows(accounts)
         headers = runs.files.read_table(spark, f"{lake}/bronze/gl_je_headers")
         assert {r[0] for r in headers.select("ledger_id").distinct().collect()} == {2001, 2002}
+
+
+@pytest.mark.parametrize("at_once", [extract.ACCOUNTS_AT_ONCE, 0])
+def test_rows_are_gathered_before_they_get_derived_columns(spark, sources, monkeypatch, at_once):
+    """Few accounts are joined behind the shuffle; the joined text and the nets are made there anyhow."""
+    monkeypatch.setattr(extract, "ACCOUNTS_AT_ONCE", at_once)
+    plain, gathered = (runs.extract_module("GL", sources, to_write=w) for w in (False, True))
+    for name, late in (("GL_JE_LINES", ["concatenated_segments"]), ("GL_BALANCES", ["concatenated_segments", "end_balance_net"])):
+        assert gathered[name].schema == plain[name].schema
+        assert rows(gathered[name]) == rows(plain[name])
+        plan = gathered[name]._jdf.queryExecution().optimizedPlan().toString()
+        before, after = plan.split("RebalancePartitions", 1)
+        at = after.split("\n")[0].index("[")
+        assert "ledger_id" in after.split("\n")[0][at:]
+        assert all(c in before and f"AS {c}#" in before for c in late if at_once == 0 or c not in ("concatenated_segments",))
+        assert ("Join Inner, " in before) == (at_once > 0)
+
+
+def test_a_view_is_computed_once_for_a_migration(spark, folder):
+    from closebook.plans import checks
+
+    t = Tables(spark, folder)
+    held = checks._as_table(t, "fx_gl_balances")
+    assert held.dtypes == t["fx_gl_balances"].dtypes and rows(held) == rows(t["fx_gl_balances"])
+    assert "Join" not in held._jdf.queryExecution().optimizedPlan().toString()
