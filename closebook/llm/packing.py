@@ -30,6 +30,7 @@ from __future__ import annotations
 import bisect
 import os
 import re
+import string
 import zlib
 
 import numpy as np
@@ -48,14 +49,16 @@ UNIT = 8
 LARGE_PARTS = (2, 4, 8)
 CACHED_WORDS = 300_000
 TOKENIZER = "word_bpe_49k.json"
+LATIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
+MARKS = string.punctuation.replace("'", "").encode()  # after letters the tokenizer splits before these
 
 
 class WordTokenizer:
     """Ids of whole texts from a cache of the ids of their words.
 
     No token of this tokenizer reaches over white space, and it lower-cases, so a text's
-    ids are those of its ASCII-lower-cased words in turn. Letters and the dots and
-    commas after them are cached apart, as the tokenizer splits there too. Its special
+    ids are those of its ASCII-lower-cased words in turn. Letters and the ASCII marks
+    after them are cached apart, as the tokenizer splits there too. Its special
     tokens are found in the text as it stands, before anything is lower-cased.
 
     The cache has two generations of `CACHED_WORDS` words: when the younger one is full it
@@ -63,7 +66,7 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.own = Tokenizer.from_file(path)
@@ -74,6 +77,15 @@ class WordTokenizer:
         special = {t.content: np.array([i], "<u4").tobytes() for i, t in self.own.get_added_tokens_decoder().items()}
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         self.special_ids = special
+        # Lower-case Latin letters stay as they are, and a run of them is one part: for those
+        # normalizing and the pattern that splits can be left out.
+        self.letters = Tokenizer.from_file(path)
+        self.letters.normalizer = normalizers.Sequence([])
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        known = self.own.get_vocab()
+        self.ends = np.zeros(max(known.values(), default=0) + 1, bool)
+        self.ends[[i for t, i in known.items() if t.endswith("</w>")]] = True
 
     def _known(self, words) -> None:
         """Have all these words in the younger generation."""
@@ -85,33 +97,51 @@ class WordTokenizer:
         self._learn(missing - again)
 
     def _learn(self, words):
-        parts, plain = {}, []
+        marked, plain, other = [], {}, {}
         for w in words:
-            if w[-1] in b".,":
-                body = w.rstrip(b".,")
-                if body and (body.isalpha() or body.decode("utf-8").isalpha()):
-                    parts[w] = (body, w[len(body):])
-                    plain += [x for x in parts[w] if x not in self.cache]
+            body = w.rstrip(MARKS)
+            text = body.decode("utf-8")
+            if not text.isalpha():
+                other[w] = w.decode("utf-8")
+                continue
+            if len(body) < len(w):
+                marked.append(w)
+                tail = w[len(body):]
+                if tail not in self.cache:
+                    other[tail] = tail.decode("utf-8")
+                if body in self.cache:
                     continue
-            plain.append(w)
-        letters, other = [], []
-        for w in dict.fromkeys(plain):
-            text = w.decode("utf-8")
-            (letters if text.isalpha() else other).append((w, text))
-        # Words of letters alone are encoded as one text and told apart by their places.
-        for at in range(0, len(letters), 4000):
-            some = letters[at:at + 4000]
-            whole = self.own.encode(" ".join([t for _, t in some]), add_special_tokens=False)
-            starts = np.cumsum([0] + [len(t) + 1 for _, t in some])
-            ids = np.array(whole.ids, "<u4").tobytes()
-            edges = (4 * np.searchsorted([a for a, _ in whole.offsets], starts)).tolist()
-            self.cache.update((w, ids[a:b]) for (w, _), a, b in zip(some, edges[:-1], edges[1:], strict=True))
-        for at in range(0, len(other), 2000):  # what is encoded is held with all its offsets
-            some = other[at:at + 2000]
-            for (w, _), e in zip(some, self.own.encode_batch([t for _, t in some], add_special_tokens=False), strict=True):
+            plain[body] = text
+        # Words of letters alone are encoded as one text.
+        latin = [w for w, text in plain.items() if LATIN(text)]
+        more = [w for w, text in plain.items() if not LATIN(text)] if len(latin) < len(plain) else []
+        for words, own in ((latin, self.letters), (more, self.own)):
+            for at in range(0, len(words), 4000):
+                some = words[at:at + 4000]
+                self._learn_letters(own, some, [plain[w] for w in some])
+        words = list(other)
+        for at in range(0, len(words), 2000):  # what is encoded is held with all its offsets
+            some = words[at:at + 2000]
+            for w, e in zip(some, self.own.encode_batch([other[w] for w in some], add_special_tokens=False), strict=True):
                 self.cache[w] = np.array(e.ids, "<u4").tobytes()
-        for w, (body, tail) in parts.items():
-            self.cache[w] = self.cache[body] + self.cache[tail]
+        for w in marked:
+            body = w.rstrip(MARKS)
+            self.cache[w] = self.cache[body] + self.cache[w[len(body):]]
+
+    def _learn_letters(self, own, words: list[bytes], texts: list[str]) -> None:
+        """Tell words apart by the ids that end one, or where a word has several by their places."""
+        joined = " ".join(texts)
+        ids = np.array(own.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+        edges = np.flatnonzero(self.ends[ids]) + 1
+        if len(edges) == len(words) and edges[-1] == len(ids):
+            edges = [0, *(4 * edges).tolist()]
+        else:
+            whole = own.encode(joined, add_special_tokens=False)
+            ids = np.array(whole.ids, "<u4")
+            starts = np.cumsum([0] + [len(t) + 1 for t in texts])
+            edges = (4 * np.searchsorted([a for a, _ in whole.offsets], starts)).tolist()
+        raw = ids.tobytes()
+        self.cache.update((w, raw[a:b]) for w, a, b in zip(words, edges[:-1], edges[1:], strict=True))
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Of each text the ids as unsigned little-endian 32-bit numbers, without the end id."""

@@ -122,3 +122,28 @@ def test_two_generations_of_words(tokenizer, monkeypatch):
         got = [np.frombuffer(x, "<u4").tolist() for x in own.ids(texts)]
         assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
         assert len(own.cache) <= 3 * 7 and len(own.older) <= 3 * 7
+
+
+def test_letters_and_marks_are_learned_apart(tokenizer, monkeypatch):
+    """A word that comes again with other marks behind it costs the tokenizer its marks only."""
+    own = p.WordTokenizer(public_tokenizers.path(p.TOKENIZER))
+    marks = [m for m in "###|!!|?.|)|_|<=>|$%|.,;:|**|~`|@[]{}".split("|")]
+    words = [f"{w}{m}" for w in ("house", "stra\u00dfe", "\u0130x", "\u0958a", "x\u0301", "caf\u00e9") for m in ("", *marks)]
+    text = " ".join([*words, "don't!", "we'll##", "a'", "'s!", "x'##", "9###"])
+    assert np.frombuffer(own.ids([text])[0], "<u4").tolist() == ids(tokenizer, text)[:-1]
+    sent = []
+    real = own.own
+
+    class Counted:
+        def encode_batch_fast(self, texts, **more):
+            sent.extend(texts)
+            return real.encode_batch_fast(texts, **more)
+
+        def encode_batch(self, texts, **more):
+            sent.extend(texts)
+            return real.encode_batch(texts, **more)
+
+    own.own = Counted()
+    again = "house&& caf\u00e9&&"
+    assert np.frombuffer(own.ids([again])[0], "<u4").tolist() == ids(tokenizer, again)[:-1]
+    assert sent == ["&&"]
