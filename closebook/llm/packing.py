@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from closebook.llm.common import query, table, worker_cache, written
+from closebook.llm.common import batch_rows, query, table, worker_cache, written
 
 LENGTH = 4096
 END_ID = 1
@@ -48,6 +48,8 @@ GROUPS = 64
 UNIT = 8
 LARGE_PARTS = (2, 4, 8)
 CACHED_WORDS = 300_000
+CALL_CHARS = 1_000_000
+BATCH_ROWS = 1_000  # of whole texts, held by Spark's and Python's side of a task at once
 TOKENIZER = "word_bpe_49k.json"
 LATIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
 MARKS = string.punctuation.replace("'", "").encode()  # after letters the tokenizer splits before these
@@ -79,7 +81,7 @@ class WordTokenizer:
         self.special_ids = special
         # Lower-case Latin letters stay as they are, and a run of them is one part: for those
         # normalizing and the pattern that splits can be left out.
-        self.letters = Tokenizer.from_file(path)
+        self.letters = Tokenizer(self.own.model)  # one model for both
         self.letters.normalizer = normalizers.Sequence([])
         self.letters.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
@@ -177,7 +179,7 @@ def tokenizer(path: str) -> WordTokenizer:
     return held[path]
 
 
-def _by_size(ids, texts, chars: int = 2_000_000):
+def _by_size(ids, texts, chars: int = CALL_CHARS):
     """Ids of the texts of a column, in calls of about `chars` characters."""
     held, size = [], 0
     for text in texts:
@@ -421,9 +423,10 @@ def pack(
     path = tokenizer_path or public_tokenizers.path(TOKENIZER)
     kind = docs.schema[id_column].dataType.simpleString()
     chosen = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    pieces = written(chosen.mapInArrow(
-        _pieces(path, size),
-        f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, task int, turn bigint"), "pieces")
+    with batch_rows(docs.sparkSession, BATCH_ROWS):
+        pieces = written(chosen.mapInArrow(
+            _pieces(path, size),
+            f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, task int, turn bigint"), "pieces")
     per_task = pieces.groupBy("task", "length").agg(F.count("*").alias("k"))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     base = per_task.select("task", "length", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("base"))

@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -147,3 +148,28 @@ def test_letters_and_marks_are_learned_apart(tokenizer, monkeypatch):
     again = "house&& caf\u00e9&&"
     assert np.frombuffer(own.ids([again])[0], "<u4").tolist() == ids(tokenizer, again)[:-1]
     assert sent == ["&&"]
+
+
+def test_texts_come_in_bounded_calls_and_batches(spark, monkeypatch):
+    calls, sizes = [], []
+
+    def ids(texts):
+        calls.append(sum(len(t or "") for t in texts))
+        return [b""] * len(texts)
+
+    texts = pa.array(["word " * 20_000, None, ""] * 30)
+    assert len(list(p._by_size(ids, texts))) == 90 and max(calls) <= 1_100_000 and sum(calls) == 3_000_000
+
+    def rows(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    def counted(df, name):
+        sizes.extend(r["n"] for r in spark.range(5_000).coalesce(1).mapInArrow(rows, "n bigint").collect())
+        return written(df, name)
+
+    written, name = p.written, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    monkeypatch.setattr(p, "written", counted)
+    assert p.pack(spark.createDataFrame([(1, "some words")], "doc_id bigint, text string")).count() == 1
+    assert sum(sizes) == 5_000 and max(sizes) <= 1_000 and spark.conf.get(name) == before
