@@ -109,15 +109,18 @@ def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
 
-def calibrate(scores: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic curve through scores (Newton steps, smoothed targets)."""
-    positive, negative = labels.sum(), len(labels) - labels.sum()
+def calibrate(scores: np.ndarray, labels: np.ndarray, numbers: np.ndarray | None = None) -> tuple[float, float]:
+    """Slope and offset of a logistic curve through scores (Newton steps, smoothed targets);
+    with `numbers`, each stands for that many."""
+    numbers = np.ones(len(labels)) if numbers is None else numbers
+    positive, negative = (numbers * labels).sum(), (numbers * (1 - labels)).sum()
     target = np.where(labels > 0, (positive + 1) / (positive + 2), 1 / (negative + 2))
     a, b = 1.0, 0.0
     for _ in range(50):
         p = sigmoid(a * scores + b)
-        w = np.maximum(p * (1 - p), 1e-9)
-        g = np.array([((p - target) * scores).sum() + 1e-3 * (a - 1), (p - target).sum()])
+        w = numbers * np.maximum(p * (1 - p), 1e-9)
+        off = numbers * (p - target)
+        g = np.array([(off * scores).sum() + 1e-3 * (a - 1), off.sum()])
         h = np.array([[(w * scores * scores).sum() + 1e-3, (w * scores).sum()], [(w * scores).sum(), w.sum() + 1e-6]])
         move = np.linalg.solve(h, g)
         move = np.clip(move, -1, 1)

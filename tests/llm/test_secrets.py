@@ -2,6 +2,9 @@ import hashlib
 import random
 import re
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from closebook.llm import secrets as s
 from tests.llm import cases
 
@@ -124,3 +127,36 @@ def test_threshold_is_that_of_the_recall():
     secrets = [shown(value(rng, HEX, 30)) for _ in range(360)] + words(40)
     rng.shuffle(secrets)
     assert s.fit(secrets, words(400))["threshold"] < 0.5
+
+
+def test_tasks_learn_from_all_findings(spark):
+    rows, _ = corpus(spark)
+    # Ids play no part in it.
+    docs = spark.createDataFrame([(None, text) for _, text, _ in rows], "doc_id bigint, text string")
+    assert s.train(docs) is not None
+    model = s.train(docs.repartition(5), small=0, shard=300)
+    again = s.train(docs.repartition(3), small=0, shard=300)
+    assert model["threshold"] == again["threshold"] and (model["network"].flat() == again["network"].flat()).all()
+    got = {r["doc_id"]: r["spans"] for r in s.scan_secrets(spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string"), model).collect()}
+    spans = {i: [text[int(x.split(":")[1]):int(x.split(":")[2])] for x in got[i].split(",") if x.startswith("model")] for i, text, _ in rows}
+    assert sum(put in spans[i] for i, _, put in rows if i % 8 == 7) >= 40 and sum(bool(spans[i]) for i, _, _ in rows if i % 8 != 7) <= 20
+
+
+def test_findings_are_counted_and_dealt_once(spark):
+    rows, docs = corpus(spark)
+    found = docs.select("text").mapInArrow(s._findings, "windows array<string>, label int")
+    want = sum(len(s.base_findings(t)) + len(s.candidates(t, b := s.base_findings(t))) + len(s.undigited(t, b)) for _, t, _ in rows)
+    assert found.count() == want
+    keyed = found.distinct().withColumn("key", F.xxhash64("windows", "label")).withColumn("half", F.lit(0)).withColumn("held", F.lit(False))
+    others = keyed.where("label <> 1").count()
+    dealt = s._dealt(keyed, 2, {0: 10 ** 9, 1: 1, 2: 10 ** 9}, True)
+    assert dealt.where("label <> 1").count() == others
+    # Rare ones go to every slot of both networks.
+    assert dealt.where("label = 1").count() == keyed.where("label = 1").count() * 2 * 2 * s.ROUNDS
+    assert dealt.where("slot < 0 OR slot >= 8").count() == 0
+
+
+def test_counted_calibration_is_that_of_repeated_scores():
+    rng = np.random.default_rng(1)
+    z, y, n = rng.normal(size=60), rng.integers(2, size=60).astype(float), rng.integers(1, 5, size=60)
+    assert np.allclose(s.calibrate(z, y, n), s.calibrate(np.repeat(z, n), np.repeat(y, n)))
