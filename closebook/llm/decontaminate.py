@@ -163,6 +163,16 @@ def _finish(text_column, names, added):
     return step
 
 
+def _then(first, second):
+    """Two functions for mapInArrow in one. In two steps a task takes two Python workers, and as
+    workers are used in turn, all of them gather what the stages that follow keep in one."""
+
+    def step(batches):
+        return second(first(batches))
+
+    return step
+
+
 def blocks(benchmark: DataFrame, id_column: str, text_column: str, block_chars: int):
     """Lists of (id, text), each of at most `block_chars` characters unless it is one item.
 
@@ -199,11 +209,14 @@ def find_contamination(
     context = docs.sparkSession.sparkContext
     out = docs
     parts = list(blocks(benchmark, item_id, item_text, block_chars)) or [[]]
-    for part in parts:
-        sent = context.broadcast(part)
-        out = out.mapInArrow(_scan(sent, (id(sent), len(part), str(sent._jbroadcast.id())), size, text_column, names), f"{own}, {state}")
     ended = "n_hit bigint, n_items bigint, items_sha256 string, item_ids array<string>, spans array<struct<start:bigint,`end`:bigint>>"
-    out = out.mapInArrow(_finish(text_column, names, added), f"{own}, n_words bigint, {ended}")
+    for at, part in enumerate(parts):
+        sent = context.broadcast(part)
+        scan = _scan(sent, (id(sent), len(part), str(sent._jbroadcast.id())), size, text_column, names)
+        if at < len(parts) - 1:
+            out = out.mapInArrow(scan, f"{own}, {state}")
+        else:
+            out = out.mapInArrow(_then(scan, _finish(text_column, names, added)), f"{own}, n_words bigint, {ended}")
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 

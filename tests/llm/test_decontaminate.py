@@ -81,3 +81,9 @@ def test_empty_tables(spark):
     assert d.find_contamination(cases.no_documents(spark), benchmark(spark, items)).count() == 0
     found = d.find_contamination(docs, benchmark(spark, [])).collect()
     assert not any(r["contaminated"] or r["n_hit"] for r in found)
+
+
+def test_a_task_takes_one_python_worker(spark):
+    docs, items = planted(spark)
+    found = d.find_contamination(docs, benchmark(spark, items))
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
