@@ -8,8 +8,8 @@ hit, as code point offsets of the original text.
 
 The benchmark is the stated query set. Its text is broadcast in blocks of at most
 `BLOCK_CHARS` characters. Usually that is one block and one automaton; a larger
-benchmark makes one scan per block, chained without a shuffle, so that memory stays
-bounded whatever its size. Documents need no shuffle at all.
+benchmark makes one scan per block, chained without a shuffle, each in a Python worker
+of its own with its own automaton. Documents need no shuffle at all.
 
 Null and empty texts have no words, no hits and are not contaminated. Items with null
 text have no windows. Items of one id count once; items without an id mark words but
